@@ -7,15 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .license_scan import license_digest, scan_licenses
 from .sharding import shard_by_bytes
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(scan_licenses(table(spark, sf_dir, "documents")))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_sharding": op6_sharding}
+    return {
+        "op1_license_scans": op1_license_scans,
+        "op6_sharding": op6_sharding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
