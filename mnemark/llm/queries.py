@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import langid, toxicity
 from .common import table
 from .license_scan import license_digest, scan_licenses
+from .sampling import fold_of
 from .sharding import shard_by_bytes
 
 
@@ -19,10 +22,29 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_toxicity(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        (fold_of("doc_id", 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    said = langid.identify(docs, langid.learn(docs))
+    return said.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scans": op1_license_scans,
         "op6_sharding": op6_sharding,
+        "op7_toxicity": op7_toxicity,
+        "op10_language_id": op10_language_id,
     }
 
 
