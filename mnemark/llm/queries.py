@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, toxicity
+from .ann import nearest
 from .common import table
 from .license_scan import license_digest, scan_licenses
+from .near_embeddings import near_embeddings
 from .sampling import fold_of
 from .sharding import shard_by_bytes
 
@@ -18,6 +20,10 @@ def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(scan_licenses(table(spark, sf_dir, "documents")))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), every=20, top=20)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
 
@@ -33,6 +39,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     said = langid.identify(docs, langid.learn(docs))
@@ -42,8 +52,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scans": op1_license_scans,
+        "op4_nearest_neighbours": op4_nearest_neighbours,
         "op6_sharding": op6_sharding,
         "op7_toxicity": op7_toxicity,
+        "op8_embedding_dedup": op8_embedding_dedup,
         "op10_language_id": op10_language_id,
     }
 
