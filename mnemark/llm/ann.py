@@ -26,9 +26,24 @@ from .vectors import distinct_vectors, matrix, sample_matrix, valid_vectors
 
 #: Pivots, pivots in a list, the part of a block that is ranked anew, and its least size.
 PIVOTS, LISTED, ANEW, LEAST = 512, 96, 0.05, 400
+#: Sampled vectors that pivots are chosen from, and the cosine from which two pivots are too much alike.
+POOL, APART = 4096, 0.7
+#: Vectors with this part of the greatest possible sum of shared weights are ranked anew too, however many there are.
+ALIKE = 0.6
 BLOCK, QUERIES = 16384, 2048
 
 
+def choose_pivots(pool: np.ndarray, most: int) -> np.ndarray:
+    """The first vectors of the pool that are not much alike, so that a crowd of near copies gives one pivot."""
+    unit = pool / np.linalg.norm(pool, axis=1, keepdims=True)
+    far = np.ones(len(pool), bool)
+    chosen: list[int] = []
+    while len(chosen) < most and far.any():
+        chosen.append(int(np.argmax(far)))
+        far &= unit @ unit[chosen[-1]] < APART
+    return pool[chosen]
+
+
 def lists(x: np.ndarray, pivots: np.ndarray, listed: int, longest: float) -> np.ndarray:
     """Each row's nearest pivots in order; ``longest`` 0 takes the rows for queries."""
     extra = np.sqrt(np.maximum(0.0, longest**2 - (x**2).sum(axis=1))) if longest else np.zeros(len(x))
@@ -60,6 +75,8 @@ def search(key, table: pa.Table, pivots: np.ndarray, listed: int, longest: float
             s, e = starts[p], starts[p + 1]
             shared[posted[s:e]] += np.minimum(weight[s:e], listed - place)
         near = np.argpartition(-shared, keep - 1)[:keep] if keep < n else np.arange(n)
+        alike = np.flatnonzero(shared >= ALIKE * listed * (listed + 1) / 2)
+        near = near if len(alike) < top else np.union1d(near, alike)
         exact = x[near] @ vec
         best = near[np.lexsort((ids[near], -exact))[:top]]
         found.append((np.full(len(best), one), ids[best], (x[best] * vec).sum(axis=1)))
@@ -82,7 +99,7 @@ def nearest(rows: DataFrame, every: int = 20, top: int = 20, vec_id: str = "vec_
         return queries.select("query_id", F.lit(1).alias("rank"), F.col("query_id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v))
     longest = float(reps.agg(F.max(length)).first()[0]) * (1 + 1e-9)
-    chosen = sample_matrix(reps, PIVOTS)
+    chosen = choose_pivots(sample_matrix(reps, POOL), PIVOTS)
     pivots = np.column_stack([chosen, np.sqrt(np.maximum(0.0, longest**2 - (chosen**2).sum(axis=1)))])
     listed = min(LISTED, len(pivots))
     blocks, parts = math.ceil(count / BLOCK), math.ceil(asks / QUERIES)
