@@ -4,26 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, toxicity
 from .ann import nearest
-from .common import table
+from .bpe import encode_digests
+from .common import table, work_dir
 from .license_scan import license_digest, scan_licenses
 from .near_embeddings import near_embeddings
+from .packing import pack
 from .sampling import fold_of
 from .sharding import shard_by_bytes
+from .token_store import verify_store, write_store
 
 
 def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(scan_licenses(table(spark, sf_dir, "documents")))
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = work_dir(spark)
+    write_store(table(spark, sf_dir, "documents"), where, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return verify_store(spark, where)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
+
+
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), every=20, top=20)
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
 
@@ -52,7 +70,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scans": op1_license_scans,
+        "op2_token_store": op2_token_store,
+        "op3_best_fit_packing": op3_best_fit_packing,
         "op4_nearest_neighbours": op4_nearest_neighbours,
+        "op5_bpe": op5_bpe,
         "op6_sharding": op6_sharding,
         "op7_toxicity": op7_toxicity,
         "op8_embedding_dedup": op8_embedding_dedup,
