@@ -17,19 +17,27 @@ def fold_of(doc_id: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds, F.lit(-1))
 
 
-def bounded_sample(rows: DataFrame, label: str, doc_id: str, text: str, most: int) -> dict[object, list[str]]:
-    """About ``most`` texts of each label at most (exactly all where a label has fewer), collected to the driver."""
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
-    if not counts:
-        return {}
-    share = F.coalesce(*[F.when(F.col(label) == F.lit(k), F.lit(min(GRAIN, GRAIN * most // n))) for k, n in counts.items()])
-    picked = rows.where((F.pmod(F.xxhash64(F.col(doc_id)), F.lit(GRAIN)) < share) & (F.length(text) <= LONGEST))
-    out: dict[object, list[str]] = {k: [] for k in counts}
-    for r in sorted(picked.select(label, doc_id, text).toLocalIterator(), key=lambda r: (str(r[1]), r[2])):
+def hashed_share(rows: DataFrame, label: str, doc_id: str, counts: dict, most: int) -> DataFrame:
+    """About ``most`` rows of each label (all where ``counts`` has fewer), chosen by the hash of their ids."""
+    shares = [F.when(F.col(label) == F.lit(k), F.lit(min(GRAIN, GRAIN * most // n))) for k, n in counts.items()]
+    return rows.where(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(GRAIN)) < (F.coalesce(*shares) if shares else F.lit(0)))
+
+
+def collect_texts(rows: DataFrame, label: str, doc_id: str, text: str, labels) -> dict[object, list[str]]:
+    """Texts of each label on the driver, in the order of their ids; only for bounded samples."""
+    out: dict[object, list[str]] = {k: [] for k in labels}
+    short = rows.where(F.length(text) <= LONGEST).select(label, doc_id, text)
+    for r in sorted(short.collect(), key=lambda r: (str(r[1]), r[2])):
         out[r[0]].append(r[2])
     return out
 
 
+def bounded_sample(rows: DataFrame, label: str, doc_id: str, text: str, most: int) -> dict[object, list[str]]:
+    """About ``most`` texts of each label at most, collected to the driver."""
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    return collect_texts(hashed_share(rows, label, doc_id, counts, most), label, doc_id, text, counts)
+
+
 def batches(it: Iterator, rows: int = 256) -> Iterator:
     """Arrow batches cut to so many rows, which bounds what a task's Python holds at once."""
     for batch in it:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import only_first
-from .sampling import batches, bounded_sample, fold_of
+from .sampling import batches, collect_texts, fold_of, hashed_share
 
 #: Labelled documents of each kind that are sampled to fit; two thirds for the dictionaries, the rest to calibrate.
 SAMPLE = 3000
@@ -123,11 +123,10 @@ def calibrate(points: np.ndarray, truth: np.ndarray, weight: np.ndarray) -> tupl
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE) -> Model | None:
     """Fit on documents whose crc32(id) mod 4 is not 2; None where these lack one of the labels."""
     marks = labels.select(F.col("doc_id").alias("doc_id"), F.col("toxic").alias("mark")).where("mark in (0, 1)").where(fold_of("doc_id", 4) != 2)
-    rows = only_first(docs, doc_id, text).toDF("doc_id", "text").where("text is not null").join(marks, "doc_id")
-    counts = {r[0]: r[1] for r in rows.groupBy("mark").count().collect()}
-    texts = bounded_sample(rows, "mark", "doc_id", "text", sample)
-    if not texts.get(0) or not texts.get(1):
-        return None
+    counts = {r[0]: r[1] for r in marks.groupBy("mark").count().collect()}
+    picked = F.broadcast(hashed_share(marks, "mark", "doc_id", counts, sample))  # about 2 * ``sample`` rows, whatever the input
+    rows = only_first(docs, doc_id, text).toDF("doc_id", "text").where("text is not null").join(picked, "doc_id")
+    texts = collect_texts(rows, "mark", "doc_id", "text", counts)
     bodies = [[plain(t) for t in texts[k]] for k in (0, 1)]
     fit = [[b for i, b in enumerate(x) if i % 3 or len(x) < 3] for x in bodies]
     held = [x[::3] for x in bodies]
