@@ -14,6 +14,7 @@ from .bpe import encode_digests
 from .common import table, work_dir
 from .license_scan import license_digest, scan_licenses
 from .near_embeddings import near_embeddings
+from .near_text import near_texts
 from .packing import pack
 from .sampling import fold_of
 from .sharding import shard_by_bytes
@@ -61,6 +62,10 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_embeddings(table(spark, sf_dir, "embeddings"), least=0.9)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     said = langid.identify(docs, langid.learn(docs))
@@ -77,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sharding": op6_sharding,
         "op7_toxicity": op7_toxicity,
         "op8_embedding_dedup": op8_embedding_dedup,
+        "op9_jaccard_join": op9_jaccard_join,
         "op10_language_id": op10_language_id,
     }
 
