@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import only_first
-from .sampling import batches, bounded_sample, fold_of
+from .sampling import batches, bounded_sample, fold_of, keep_rows
 
 #: Documents of each language that are sampled to fill its filter, and n-grams kept of them.
 SAMPLE, KEPT = 2000, 30_000
@@ -117,3 +117,19 @@ def identify(docs: DataFrame, filters: Filters, text: str = "text", doc_id: str
             )
 
     return only_first(docs, doc_id, text).toDF("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` for whose language there is evidence, with all their columns.
+
+    A text goes if it is null, has no letter, or shares no n-gram with any language beyond what chance gives.
+    """
+
+    def judge():
+        def kept(t: str | None) -> bool:
+            said, score = filters.decide(t)
+            return said != UNKNOWN and score > 0
+
+        return kept
+
+    return keep_rows(docs, text, judge)

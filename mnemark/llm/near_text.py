@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import only_first, stage
@@ -217,14 +218,8 @@ def _components(sets: DataFrame) -> DataFrame:
     return inner.union(outer)
 
 
-def near_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs``: the groups of linked documents.
-
-    Rows link when their sets of shingles are similar, and equal sets link whatever their ids. A null or empty text has
-    no shingles and links with nothing: its component is its own id. A component's id is the least id of its rows, null
-    ids aside. Repeated rows are each kept; an empty table gives no rows; other columns are ignored.
-    """
-    rows = only_first(docs, doc_id, text).toDF("doc_id", "text")
+def _groups(rows: DataFrame) -> DataFrame:
+    """doc_id, key, n, component (a set's key) and component_id of every row of (doc_id, text); key null: no words."""
     known = stage(_summaries(rows))
     candidates = _of_known_size(stage(_candidates(known)))
     picked = rows.join(candidates.select("doc_id"), "doc_id", "left_semi").union(rows.where("doc_id is null"))
@@ -233,7 +228,46 @@ def near_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     keyed = known.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
     named = keyed.join(parts.withColumnRenamed("node", "key"), "key")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = named.select("key", "component").join(least, "component").select("key", "component_id")
-    own = keyed.join(linked, "key", "left").select("key", F.coalesce("component_id", "least").alias("component_id"))
-    full = known.where("key is not null").select("doc_id", "key", "n").join(own, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.union(known.where("key is null").select("doc_id", "n", "doc_id"))
+    linked = named.select("key", "component").join(least, "component").select("key", "component", "component_id")
+    own = keyed.join(linked, "key", "left").select("key", F.coalesce("component", "key").alias("component"), F.coalesce("component_id", "least").alias("component_id"))
+    full = known.where("key is not null").select("doc_id", "key", "n").join(own, "key").select("doc_id", "key", "n", "component", "component_id")
+    return full.union(known.where("key is null").select("doc_id", "key", "n", F.lit(None).cast("long"), "doc_id"))
+
+
+def near_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs``: the groups of linked documents.
+
+    Rows link when their sets of shingles are similar, and equal sets link whatever their ids. A null or empty text has
+    no shingles and links with nothing: its component is its own id. A component's id is the least id of its rows, null
+    ids aside. Repeated rows are each kept; an empty table gives no rows; other columns are ignored.
+    """
+    found = _groups(only_first(docs, doc_id, text).toDF("doc_id", "text"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any other columns) less all but one of each group of :func:`near_texts`.
+
+    The row of the least id stays; of several rows with that id, or of rows without one, any one. Rows without words
+    all stay. Columns and their order are kept; an empty table stays empty.
+    """
+    found = stage(_groups(only_first(docs, "doc_id", "text")))
+    gone = found.where("component is not null and doc_id <> component_id").select("doc_id")
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    plain = docs.where("doc_id is not null").join(_of_known_size(stage(gone.union(repeated).distinct())), "doc_id", "left_anti")
+    odd = found.where("doc_id is null").select("doc_id").limit(1).union(repeated.limit(1))
+    if odd.isEmpty():
+        return plain.select(*docs.columns)
+    # rows that their id does not tell apart are told apart by their sets
+    several = docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
+    at = docs.columns.index("text")
+
+    def with_key(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it, 256):
+            keys = pa.array([set_key(s) if len(s) else None for s in shingle_sets(batch.column(at))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names, "_set_key"])
+
+    keyed = stage(several.mapInArrow(with_key, T.StructType([*docs.schema.fields, T.StructField("_set_key", T.LongType())])))
+    owner = found.where("key is not null").select(F.col("key").alias("_set_key"), F.col("component").alias("_component"), F.col("component_id").alias("_least")).distinct()
+    chosen = keyed.join(owner, "_set_key").where(F.col("doc_id").eqNullSafe(F.col("_least"))).dropDuplicates(["_component"])
+    return plain.select(*docs.columns).union(chosen.select(*docs.columns)).union(keyed.where("_set_key is null").select(*docs.columns))

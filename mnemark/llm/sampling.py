@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +44,15 @@ def batches(it: Iterator, rows: int = 256) -> Iterator:
     for batch in it:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+
+
+def keep_rows(docs: DataFrame, text: str, judge: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
+    """The rows whose text is kept, with all their columns; ``judge`` is called once a task and gives the decision."""
+    at = docs.columns.index(text)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = judge()
+        for batch in batches(it):
+            yield batch.filter(pa.array([kept(t.as_py()) for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

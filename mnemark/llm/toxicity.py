@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import only_first
-from .sampling import batches, collect_texts, fold_of, hashed_share
+from .sampling import batches, collect_texts, fold_of, hashed_share, keep_rows
 
 #: Labelled documents of each kind that are sampled to fit; two thirds for the dictionaries, the rest to calibrate.
 SAMPLE = 3000
@@ -159,3 +159,13 @@ def score_toxicity(docs: DataFrame, model: Model | None, text: str = "text", doc
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return rows.mapInArrow(run, "doc_id long, score double")
+
+
+def keep_ordinary(docs: DataFrame, model: Model | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their columns; without a model all of them."""
+
+    def judge():
+        tools = model.compressors()
+        return lambda t: score(plain(t), model, tools) < threshold
+
+    return docs if model is None else keep_rows(docs, text, judge)
