@@ -1,0 +1,93 @@
+"""Column functions on text: normalising, terms, dates, labels."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+SPACE = r"[ \t\r\n\f]+"
+WEEKDAYS = ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")
+
+
+def normalize(text: Column) -> Column:
+    """Runs of white space as one space, none at either end; null as empty."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "))
+
+
+def stem(term: Column) -> Column:
+    """The first of: -ies to -y, no -ing, no -ed, no -s, where enough letters remain."""
+    t = F.regexp_replace(F.lower(term), "[^a-z0-9]+", "")
+    n = F.length(t)
+    return (
+        F.when((n > 4) & t.endswith("ies"), F.concat(F.substring(t, 1, n - 3), F.lit("y")))
+        .when((n > 5) & t.endswith("ing"), F.substring(t, 1, n - 3))
+        .when((n > 4) & t.endswith("ed"), F.substring(t, 1, n - 2))
+        .when((n > 4) & t.endswith("s"), F.substring(t, 1, n - 1))
+        .otherwise(t)
+    )
+
+
+def words(text: Column) -> Column:
+    """Lower-cased runs of a-z and 0-9, in order."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
+
+
+def tokens(text: Column) -> Column:
+    """Distinct stemmed words of more than two letters, in order."""
+    return F.array_distinct(F.filter(F.transform(words(text), stem), lambda w: F.length(w) > 2))
+
+
+def estimated_tokens(text: Column) -> Column:
+    return F.ceil(F.length(text) / 4).cast("long")
+
+
+def truncated(text: Column, most: int) -> Column:
+    return F.when(F.length(text) > most, F.concat(F.rtrim(F.substring(text, 1, most - 1)), F.lit("…"))).otherwise(text)
+
+
+def slug(text: Column, most: int = 60) -> Column:
+    dashed = F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-")
+    return F.substring(F.regexp_replace(dashed, "^-+|-+$", ""), 1, most)
+
+
+def last_segments(path: Column, count: int = 2) -> Column:
+    return F.substring_index(path, "/", -count)
+
+
+def hashed_pick(text: Column, pool: int) -> Column:
+    """Index into a pool of so many by the running hash 31 h + code, modulo 2^31 - 1."""
+    signs = F.filter(F.split(text, ""), lambda c: c != "")
+    total = F.aggregate(signs, F.lit(0).cast("long"), lambda h, c: (h * 31 + F.ascii(c)) % 2147483647)
+    return (total % pool).cast("long")
+
+
+def without_blocks(text: Column, tags: tuple[str, ...]) -> Column:
+    """The text less everything between an opening and a closing tag of one of the names."""
+    for tag in tags:
+        text = F.regexp_replace(text, f"(?is)<{tag}[^>]*>.*?</{tag}>", "")
+    return text
+
+
+def inferred_date(text: Column, today: Column) -> Column:
+    """The day a prompt speaks of: an ISO date, today, yesterday, a month and day, or a weekday; else null."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    iso = F.to_date(F.nullif(F.regexp_extract(low, r"([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), F.lit("")))
+    months = "january|february|march|april|may|june|july|august|september|october|november|december"
+    month = F.nullif(F.regexp_extract(low, rf"({months}) ([0-9]{{1,2}})", 1), F.lit(""))
+    day = F.nullif(F.regexp_extract(low, rf"({months}) ([0-9]{{1,2}})", 2), F.lit("")).cast("int")
+    number = F.array_position(F.array(*[F.lit(m) for m in months.split("|")]), month).cast("int")
+    this_year = F.date_add(F.make_date(F.year(today), number, F.lit(1)), day - 1)
+    last_year = F.date_add(F.make_date(F.year(today) - 1, number, F.lit(1)), day - 1)
+    named = F.when(day.between(1, 31), F.when(this_year > today, last_year).otherwise(this_year))
+    weekday = F.lit(None).cast("date")
+    for target in reversed(range(7)):
+        back = F.pmod(F.dayofweek(today) - 1 - target, F.lit(7))
+        back = F.when((back == 0) & ~low.contains(f"this {WEEKDAYS[target]}"), 7).otherwise(back)
+        weekday = F.when(low.contains(WEEKDAYS[target]), F.date_sub(today, back)).otherwise(weekday)
+    return (
+        F.when(iso.isNotNull(), iso)
+        .when(low.rlike("today|this (morning|afternoon|evening)"), today)
+        .when(low.rlike("yesterday|last night"), F.date_sub(today, 1))
+        .when(named.isNotNull(), named)
+        .otherwise(weekday)
+    )
