@@ -6,7 +6,8 @@
 3. Every set gives its PartEnum signatures; sets that share one meet in a sorted stream, which needs no room for a
    group. Each links with the first of its group, if the exact sets agree. Most groups of copies become one that way.
 4. Groups of a signature that still hold several components are compared in full: small ones as pairs, large ones as
-   tiles of parity sketches, whose distance bounds the sets' from below. Pairs that may be similar are verified.
+   tiles of parity sketches, whose distance bounds the sets' from below. In large groups each set first offers its
+   nearest of another component, until none of these links; then all pairs that the bound allows are verified.
 
 Nothing is dropped but by bounds that hold for every similar pair, so no link between different sets is lost.
 """
@@ -14,6 +15,7 @@ Nothing is dropped but by bounds that hold for every similar pair, so no link be
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from .common import only_first, stage
 from .components import connected_components
 from .partenum import NUMBER, OF, signatures
 from .sampling import batches
-from .shingles import BITS, parity_sketch, set_key, shingle_sets
+from .shingles import BITS, parity_sketch, set_key, shingle_sets, wide_sketch
 
 #: Sixteenths of the feature domain in which shingles of one set alone are counted.
 COUNTED = 5
@@ -56,15 +58,15 @@ def _summaries(docs: DataFrame) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame) -> DataFrame:
-    """key, n, shingles and sketch of every non-empty row."""
+    """key, n, shingles and two sketches of every non-empty row."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, 256):
             sets = [s for s in shingle_sets(batch.column(0)) if len(s)]
-            columns = [pa.array(list(map(set_key, sets)), pa.int64()), pa.array(list(map(len, sets)), pa.int64()), _lists(sets, pa.int64()), _lists([parity_sketch(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "shingles", "sketch"])
+            columns = [pa.array(list(map(set_key, sets)), pa.int64()), pa.array(list(map(len, sets)), pa.int64()), _lists(sets, pa.int64()), _lists([parity_sketch(s) for s in sets], pa.int64()), _lists([wide_sketch(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "shingles", "sketch", "wide"])
 
-    return docs.select("text").mapInArrow(run, "key long, n long, shingles array<long>, sketch array<long>")
+    return docs.select("text").mapInArrow(run, "key long, n long, shingles array<long>, sketch array<long>, wide array<long>")
 
 
 def _of_known_size(df: DataFrame) -> DataFrame:
@@ -115,8 +117,15 @@ def _stars(sets: DataFrame) -> DataFrame:
     return signed.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(star, "sig long, key long, hub long")
 
 
+def _of_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets that staged ``pairs`` name, so that no others are shuffled."""
+    named = stage(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    return sets.join(_of_known_size(named), "key", "left_semi")
+
+
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows of ``pairs`` (a, b) whose exact sets are similar."""
+    """The rows of staged ``pairs`` (a, b) whose exact sets are similar."""
+    sets = _of_pairs(pairs, sets)
     left = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
@@ -155,16 +164,21 @@ def _pairs_of_small(rows: DataFrame) -> DataFrame:
 
 
 def _by_sketch(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sketches do not differ by more than similar sets may."""
-    left = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
-    right = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
+    """The staged pairs whose wide sketches, where of one length, do not differ by more than similar sets may."""
+    sets = _of_pairs(pairs, sets)
+    left = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("wide").alias("ka"))
+    right = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("kb"))
     apart = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     met = pairs.join(left, "a").join(right, "b")
-    return met.where(apart * (OF + NUMBER) <= (OF - NUMBER) * (F.col("na") + F.col("nb"))).select(*pairs.columns)
+    may = (F.size("ka") != F.size("kb")) | (apart * (OF + NUMBER) <= (OF - NUMBER) * (F.col("na") + F.col("nb")))
+    return met.where(may).select(*pairs.columns)
 
 
-def _compare_tile(key, table: pa.Table) -> pa.Table:
-    """Pairs of different components in one pair of blocks whose sizes and sketches allow a link."""
+def _compare_tile(key, table: pa.Table, nearest: bool) -> pa.Table:
+    """Pairs of different components in one pair of blocks whose sizes and sketches allow a link.
+
+    With ``nearest`` only the nearest by sketch of each row of the left block.
+    """
     side, keys, comps, n = (table.column(c).to_numpy() for c in ("side", "key", "comp", "n"))
     sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)
     left = np.flatnonzero(side == 0)
@@ -175,7 +189,12 @@ def _compare_tile(key, table: pa.Table) -> pa.Table:
         apart = np.bitwise_count(sketch[a][:, None, :] ^ sketch[right][None, :, :]).sum(axis=2, dtype=np.int64)
         na, nb = n[a][:, None], n[right][None, :]
         fit = (comps[a][:, None] != comps[right][None, :]) & (apart * (OF + NUMBER) <= (OF - NUMBER) * (na + nb)) & (OF * np.minimum(na, nb) >= NUMBER * np.maximum(na, nb))
-        i, j = np.nonzero(fit)
+        if nearest:
+            j = np.where(fit, apart, BITS + 1).argmin(axis=1)
+            i = np.flatnonzero(fit[np.arange(len(a)), j])
+            j = j[i]
+        else:
+            i, j = np.nonzero(fit)
         x, y = a[i], right[j]
         x, y = np.where(keys[x] < keys[y], x, y), np.where(keys[x] < keys[y], y, x)
         out.append(np.array([keys[x], keys[y], comps[x], comps[y]]))
@@ -183,14 +202,21 @@ def _compare_tile(key, table: pa.Table) -> pa.Table:
     return pa.table(dict(zip(("a", "b", "ca", "cb"), found, strict=True)))
 
 
-def _pairs_of_large(rows: DataFrame, sets: DataFrame) -> DataFrame:
+def _pairs_of_large(rows: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
     """Like :func:`_pairs_of_small`, for groups of any size: blocks of ``TILE`` sets meet pairwise."""
     blocks = F.ceil(F.col("g") / TILE).cast("int")
     own = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     own = own.join(sets.select("key", "sketch"), "key").select("sig", "blocks", "own", "key", "comp", "n", "sketch")
     lefts = own.select("sig", F.col("own").alias("i"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("j"), F.lit(0).alias("side"), "key", "comp", "n", "sketch")
     rights = own.where("own > 0").select("sig", F.explode(F.expr("sequence(0, own - 1)")).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "key", "comp", "n", "sketch")
-    return lefts.union(rights).groupBy("sig", "i", "j").applyInArrow(lambda key, t: _compare_tile(key, t), "a long, b long, ca long, cb long")
+    return lefts.union(rights).groupBy("sig", "i", "j").applyInArrow(lambda key, t: _compare_tile(key, t, nearest), "a long, b long, ca long, cb long")
+
+
+def _unresolved(rows: DataFrame) -> DataFrame:
+    """The rows (sig, key, n, comp) of signatures that hold several components, with g, the number of their sets."""
+    by_sig = Window.partitionBy("sig")
+    spans = rows.select("sig", "key", "n", "comp", F.count(F.lit(1)).over(by_sig).alias("g"), F.min("comp").over(by_sig).alias("lo"), F.max("comp").over(by_sig).alias("hi"))
+    return spans.where("lo < hi").drop("lo", "hi")
 
 
 def _components(sets: DataFrame) -> DataFrame:
@@ -199,19 +225,24 @@ def _components(sets: DataFrame) -> DataFrame:
     met = shared.where("key <> hub").groupBy("key", "hub").agg(F.count(F.lit(1)).alias("c"))
     best = met.groupBy("key").agg(F.max(F.struct("c", "hub"))["hub"].alias("most"), F.min("hub").alias("least"))
     hubs = best.select(F.col("key").alias("a"), F.explode(F.array_distinct(F.array("most", "least"))).alias("b"))
-    first = stage(connected_components(_alike(hubs, sets)))
+    first = stage(connected_components(_alike(stage(hubs), sets)))
 
-    by_sig = Window.partitionBy("sig")
     comp = F.coalesce("component", "key")
     known = sets.select("key", "n").join(first.withColumnRenamed("node", "key"), "key", "left").select("key", "n", comp.alias("comp"))
-    grouped = shared.select("sig", "key").join(known, "key").select(
-        "sig", "key", "n", "comp", F.count(F.lit(1)).over(by_sig).alias("g"), F.min("comp").over(by_sig).alias("lo"), F.max("comp").over(by_sig).alias("hi")
-    )
-    open_ = stage(grouped.where("lo < hi").drop("lo", "hi"))
-    small = _by_sketch(_pairs_of_small(open_.where(F.col("g") <= SMALL)).distinct(), sets)
-    large = _pairs_of_large(open_.where(F.col("g") > SMALL), sets)
-    more = _alike(stage(small.union(large).distinct()), sets)
-    second = stage(connected_components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+    open_ = stage(_unresolved(shared.select("sig", "key").join(known, "key")))
+    large = stage(open_.where(F.col("g") > SMALL))
+    links: list[DataFrame] = []
+    while not large.isEmpty():  # as in Boruvka's rounds, each row offers its nearest of another component
+        found = stage(_alike(stage(_pairs_of_large(large, sets, nearest=True).distinct()), sets).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+        if found.isEmpty():
+            break
+        links.append(found)
+        moved = stage(connected_components(found)).select(F.col("node").alias("comp"), F.col("component").alias("to"))
+        large = large.join(_of_known_size(moved), "comp", "left").select("sig", "key", "n", F.coalesce("to", "comp").alias("comp"))
+        large = stage(_unresolved(large))
+    pairs = _pairs_of_small(open_.where(F.col("g") <= SMALL)).union(_pairs_of_large(large, sets, nearest=False)).distinct()
+    links.append(_alike(stage(_by_sketch(stage(pairs), sets)), sets).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    second = stage(connected_components(reduce(DataFrame.union, links)))
     joined = second.select(F.col("node").alias("component"), F.col("component").alias("upper"))
     inner = first.join(joined, "component", "left").select("node", F.coalesce("upper", "component").alias("component"))
     outer = second.join(first.select("node"), "node", "left_anti").select("node", "component")

@@ -92,14 +92,18 @@ def set_key(shingles: np.ndarray) -> int:
     return total - (1 << 64) if total >> 63 else total
 
 
-#: Bits of a set's parity sketch.
-BITS = 1024
+#: Bits of a set's parity sketch, and of the wide sketch that sets of more shingles than ``BITS`` have besides.
+BITS, WIDE = 1024, 16384
 
 
-def parity_sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parities of the numbers of shingles that fall to each of ``BITS`` places, as ``BITS`` / 64 numbers.
+def parity_sketch(shingles: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Parities of the numbers of shingles that fall to each of ``bits`` places, as ``bits`` / 64 numbers.
 
     Two sets differ by at least as many shingles as their sketches differ by bits.
     """
-    odd = (np.bincount((shingles >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1).astype(np.uint8)
+    odd = (np.bincount((shingles >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
+
+
+def wide_sketch(shingles: np.ndarray) -> np.ndarray:
+    return parity_sketch(shingles, WIDE if len(shingles) > BITS else BITS)
