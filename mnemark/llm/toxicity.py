@@ -127,6 +127,8 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     picked = F.broadcast(hashed_share(marks, "mark", "doc_id", counts, sample))  # about 2 * ``sample`` rows, whatever the input
     rows = only_first(docs, doc_id, text).toDF("doc_id", "text").where("text is not null").join(picked, "doc_id")
     texts = collect_texts(rows, "mark", "doc_id", "text", counts)
+    if not texts.get(0) or not texts.get(1):
+        return None
     bodies = [[plain(t) for t in texts[k]] for k in (0, 1)]
     fit = [[b for i, b in enumerate(x) if i % 3 or len(x) < 3] for x in bodies]
     held = [x[::3] for x in bodies]
