@@ -29,6 +29,8 @@ SAMPLE = 3000
 WINDOW, LEVEL, SHARED = 64, 6, 1500
 #: Numbers of words that may set a kind apart; the calibration documents choose among them.
 OWN = (8, 12, 24, 48, 96)
+#: Lengths, in bytes, of the beginnings of words that may set a kind apart.
+BEGINNINGS = (5, 6, 7, 8)
 #: Documents of this score or more are predicted to be toxic.
 THRESHOLD = 0.3
 NO_WORD = re.compile(rb"[\x00-\x20!-/:-@\[-`{-\x7f]+")
@@ -80,12 +82,19 @@ def score(body: bytes, model: Model, tools: list[zstandard.ZstdCompressor]) -> f
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * most + c * mean))))
 
 
+def terms(body: bytes) -> set[bytes]:
+    """The words of a text and their beginnings: coined words of one stem are rarely seen twice, their stem is."""
+    out = set(body.split())
+    return out | {w[:k] for w in out for k in BEGINNINGS if len(w) > k}
+
+
 def train_dictionaries(ordinary: list[bytes], toxic: list[bytes], apart_words: int) -> tuple[bytes, bytes]:
     """Dictionary contents of either kind; what sets a kind apart lies last, where matches cost least."""
     seen = [Counter(), Counter()]
+    whole = {w for bodies in (ordinary, toxic) for body in bodies for w in body.split()}
     for kind, bodies in enumerate((ordinary, toxic)):
         for body in bodies:
-            seen[kind].update(set(body.split()))
+            seen[kind].update(terms(body))
     n, m = max(1, len(ordinary)), max(1, len(toxic))
 
     def apart(word: bytes) -> float:
@@ -94,9 +103,21 @@ def train_dictionaries(ordinary: list[bytes], toxic: list[bytes], apart_words: i
         return (q - p) / math.sqrt(both * (1 - both) * (1 / n + 1 / m) + 1e-9)
 
     known = sorted(w for w in set(seen[0]) | set(seen[1]) if seen[0][w] + seen[1][w] >= 5)
-    ranked = sorted(known, key=apart)
-    own = (ranked[:apart_words], ranked[::-1][:apart_words])
-    shared = [w for w, _ in sorted((seen[0] + seen[1]).items(), key=lambda x: (-x[1], x[0]))[:SHARED] if w not in own[0] and w not in own[1]]
+    ranked = sorted(known, key=lambda w: (apart(w), len(w)))
+
+    def chosen(order: list[bytes], kind: int) -> list[bytes]:
+        """The first terms in this order, less beginnings that are hardly seen apart from a chosen longer term."""
+        out: list[bytes] = []
+        for w in order:
+            if len(out) == apart_words:
+                break
+            if not any(c.startswith(w) and seen[kind][w] <= 1.2 * seen[kind][c] for c in out):
+                out.append(w)
+        return out
+
+    own = (chosen(sorted(known, key=lambda w: (apart(w), -len(w))), 0), chosen(ranked[::-1], 1))
+    common = sorted((w for w in known if w in whole), key=lambda w: (-seen[0][w] - seen[1][w], w))[:SHARED]
+    shared = [w for w in common if w not in own[0] and w not in own[1]]
     return tuple(b" " + b" ".join(shared[::-1] + list(words[::-1])) + b" " for words in own)
 
 
