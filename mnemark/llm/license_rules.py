@@ -3,12 +3,14 @@
 Texts are matched after normalising: A-Z lower-cased, words parted by one space, nothing else kept. So patterns
 are written over words; ``{v}`` stands for an optional "version"/"v" and ``~`` for a single space.
 
-A rule is (keyword, pattern, label). The keyword must occur in a text before the pattern is tried. Order is
+A rule is (keyword, pattern, label). The keyword must occur in a text before the pattern is tried, and so must the
+anchor, a whole word that all matches of the pattern hold, worked out from the pattern. Order is
 priority: of overlapping detections the one of the earlier rule wins if it holds the other's interval.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 V = r"(?:version |v ?|ver )?"
@@ -333,19 +335,34 @@ SIGNATURES = (
 )
 
 
+#: What may match more than one text: groups, classes and optional characters.
+VARIABLE = re.compile(r"\([^()]*\)[?*+]?|\[[^\]]*\](?:\{[^}]*\}|[?*+])?|.\?")
+
+
 @dataclass(frozen=True)
 class Rule:
     priority: int
     keyword: str
     pattern: str
     label: str
+    anchor: str
+
+
+def anchor(pattern: str) -> str:
+    """The longest word that every match of ``pattern`` holds as a whole word; empty if there is none."""
+    fixed = [w for w in VARIABLE.sub("\0", pattern).split(" ") if w and "\0" not in w]
+    return max(fixed, key=len, default="")
+
+
+def _rule(priority: int, keyword: str, pattern: str, label: str) -> Rule:
+    return Rule(priority, keyword, f"(?<= ){pattern}(?= )", label, anchor(pattern))
 
 
 def rules() -> list[Rule]:
     """Every rule in priority order. The word boundary is the space that normalising leaves around words."""
-    return [Rule(i, k, f"(?<= ){p.replace('{v}', V)}(?= )", label) for i, (k, p, label) in enumerate(SIGNATURES)]
+    return [_rule(i, k, p.replace("{v}", V), label) for i, (k, p, label) in enumerate(SIGNATURES)]
 
 
 def base_rules() -> list[Rule]:
     """The contract's phrases; they are counted at every place and never suppressed."""
-    return [Rule(-1, phrase, f"(?<= ){phrase}(?= )", label) for phrase, label in BASE]
+    return [_rule(-1, phrase, phrase, label) for phrase, label in BASE]

@@ -1,6 +1,7 @@
 """License scan: ordered signature rules behind a keyword prefilter, on DataFrame functions alone.
 
-A text is normalised to its words, parted by one space. Keywords found in it choose the rules to try. Each match
+A text is normalised to its words, parted by one space. Its whole words and the keywords found in it choose the rules
+to try: the words are looked up in one pass, so that few keywords are sought in each text. Each match
 becomes an interval of word positions, and a match whose interval lies within that of a match of an earlier rule
 is suppressed. Every row is worked on where it is read: there is no shuffle.
 """
@@ -24,7 +25,7 @@ def _spaces(s: Column) -> Column:
 
 
 def _table(found: list[Rule]) -> Column:
-    return F.array(*[F.struct(F.lit(r.priority).alias("priority"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.label).alias("label")) for r in found])
+    return F.array(*[F.struct(F.lit(r.priority).alias("priority"), F.lit(r.anchor).alias("anchor"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.label).alias("label")) for r in found])
 
 
 def _spans(text: Column, rule: Column) -> Column:
@@ -43,8 +44,14 @@ def _spans(text: Column, rule: Column) -> Column:
     return F.aggregate(pairs, start, step, lambda s: s["spans"])
 
 
-def _detections(text: Column, hits: Column, found: list[Rule]) -> Column:
-    tried = F.filter(_table(found), lambda r: F.array_contains(hits, r["keyword"]) & F.regexp_like(text, r["pattern"]))
+def _detections(text: Column, anchors: Column, found: list[Rule]) -> Column:
+    """Detections of all rules whose anchor is among ``anchors`` and whose keyword the text holds."""
+
+    def tries(r: Column) -> Column:
+        near = (r["anchor"] == "") | F.array_contains(anchors, r["anchor"])
+        return near & F.contains(text, r["keyword"]) & F.regexp_like(text, r["pattern"])
+
+    tried = F.filter(_table(found), tries)
     return F.flatten(F.transform(tried, lambda r: _spans(text, r)))
 
 
@@ -56,21 +63,19 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     rows; other columns are ignored.
     """
     every, base = rules(), base_rules()
-    keywords = F.array(*[F.lit(k) for k in sorted({r.keyword for r in every + base})])
-    none = F.expr("cast(array() as array<struct<priority:int,label:string,start:int,end:int>>)")
+    anchors = F.array(*[F.lit(a) for a in sorted({r.anchor for r in every + base if r.anchor})])
     words = F.trim(F.regexp_replace(F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER), NO_WORD, " "))
     rows = only_first(docs, doc_id, text).toDF("doc_id", "text").select("doc_id", words.alias("words"))
     gated = rows.select(
         "doc_id",
         F.when(F.col("words") == "", F.lit(0)).otherwise(_spaces(F.col("words")) + 1).cast("long").alias("n_words"),
         F.concat(F.lit(" "), "words", F.lit(" ")).alias("words"),
-    ).withColumn("hits", F.filter(keywords, lambda k: F.contains(F.col("words"), k)))
-    hit = F.size("hits") > 0
+    ).withColumn("anchors", F.array_intersect(F.split("words", " "), anchors))
     tried = gated.select(
         "doc_id",
         "n_words",
-        F.when(hit, _detections(F.col("words"), F.col("hits"), base)).otherwise(none).alias("base"),
-        F.when(hit, _detections(F.col("words"), F.col("hits"), every)).otherwise(none).alias("found"),
+        _detections(F.col("words"), F.col("anchors"), base).alias("base"),
+        _detections(F.col("words"), F.col("anchors"), every).alias("found"),
     )
 
     def outdone(d: Column) -> Column:
