@@ -34,7 +34,7 @@ def episode(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     return table(spark, sf_dir, "documents").select(
         d.alias("session_id"),
-        F.substring("text", 1, 160).alias("summary"),
+        F.col("text").alias("summary"),
         (d % 10).alias("significance"),
         F.when(d % 5 != 0, F.col("source")).alias("repository"),
         F.array(*map(F.lit, SCOPES))[(d % 3).cast("int")].alias("scope"),
