@@ -71,10 +71,10 @@ def without_blocks(text: Column, tags: tuple[str, ...]) -> Column:
 def inferred_date(text: Column, today: Column) -> Column:
     """The day a prompt speaks of: an ISO date, today, yesterday, a month and day, or a weekday; else null."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    iso = F.to_date(F.nullif(F.regexp_extract(low, r"([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), F.lit("")))
+    iso = F.try_to_date(F.nullif(F.regexp_extract(low, r"\b([0-9]{4}-[0-9]{2}-[0-9]{2})\b", 1), F.lit("")))
     months = "january|february|march|april|may|june|july|august|september|october|november|december"
-    month = F.nullif(F.regexp_extract(low, rf"({months}) ([0-9]{{1,2}})", 1), F.lit(""))
-    day = F.nullif(F.regexp_extract(low, rf"({months}) ([0-9]{{1,2}})", 2), F.lit("")).cast("int")
+    month = F.nullif(F.regexp_extract(low, rf"\b({months})\s+([0-9]{{1,2}})(?:st|nd|rd|th)?\b", 1), F.lit(""))
+    day = F.nullif(F.regexp_extract(low, rf"\b({months})\s+([0-9]{{1,2}})(?:st|nd|rd|th)?\b", 2), F.lit("")).cast("int")
     number = F.array_position(F.array(*[F.lit(m) for m in months.split("|")]), month).cast("int")
     this_year = F.date_add(F.make_date(F.year(today), number, F.lit(1)), day - 1)
     last_year = F.date_add(F.make_date(F.year(today) - 1, number, F.lit(1)), day - 1)
@@ -86,8 +86,8 @@ def inferred_date(text: Column, today: Column) -> Column:
         weekday = F.when(low.contains(WEEKDAYS[target]), F.date_sub(today, back)).otherwise(weekday)
     return (
         F.when(iso.isNotNull(), iso)
-        .when(low.rlike("today|this (morning|afternoon|evening)"), today)
-        .when(low.rlike("yesterday|last night"), F.date_sub(today, 1))
+        .when(low.rlike(r"\btoday\b|\bthis (morning|afternoon|evening)\b"), today)
+        .when(low.rlike(r"\byesterday\b|\blast night\b"), F.date_sub(today, 1))
         .when(named.isNotNull(), named)
         .otherwise(weekday)
     )

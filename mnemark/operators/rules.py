@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from .ranking import first_of
 
 # How much each part of a capability's description counts.
 NAME_WEIGHT, DESCRIPTION_WEIGHT = 4, 3
@@ -75,6 +76,19 @@ def capability_match(capabilities: DataFrame, prompts: DataFrame) -> DataFrame:
     return weights.join(asked, "token").groupBy("prompt_id", "name").agg(F.sum("weight").alias("score"))
 
 
+def best_capabilities(capabilities: DataFrame, prompts: DataFrame, most: int) -> DataFrame:
+    """prompt_id, name, score of the ``most`` best of each prompt, by score and name.
+
+    Prompts that share the same words with any capability at all are matched once, and the answer is joined back.
+    """
+    known = capabilities.select(F.explode(words(F.concat_ws(" ", "name", "description"))).alias("token")).distinct()
+    asked = prompts.select("prompt_id", F.explode(F.array_distinct(words(F.col("text")))).alias("token")).join(known, "token", "left_semi")
+    alike = asked.groupBy("prompt_id").agg(F.array_join(F.array_sort(F.collect_set("token")), " ").alias("text"))
+    once = alike.select(F.col("text").alias("prompt_id"), "text").distinct()
+    best = first_of(capability_match(capabilities, once), ["prompt_id"], [F.desc("score"), F.col("name")], most)
+    return alike.join(best.withColumnRenamed("prompt_id", "text"), "text").select("prompt_id", "name", "score")
+
+
 def graph(nodes: list[tuple[str, DataFrame, str]], links: list[tuple[str, DataFrame, str, str, str, str]]) -> tuple[DataFrame, DataFrame]:
     """Nodes (kind, id) and edges (kind, from_kind, from_id, to_kind, to_id) of a provenance graph."""
     every = None

@@ -70,7 +70,7 @@ NORMAL = r"trim(regexp_replace(coalesce({0}, ''), '[ \t\r\n\f]+', ' ', 'g'))"
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = X.words(F.col("text"))
     long = F.filter(w, lambda t: F.length(t) > 3)
-    return S.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(F.array_distinct(long), 1, 2).alias("terms"), X.tokens(F.col("text")).alias("stems"))
+    return S.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(long).alias("terms"), X.tokens(F.col("text")).alias("stems"))
 
 
 PROMPTS = f"""
@@ -283,8 +283,8 @@ s AS (SELECT name, token, sum(weight) AS weight FROM w GROUP BY 1, 2), q AS (SEL
 SELECT prompt_id, name, CAST(sum(weight) AS BIGINT) AS score FROM s JOIN q USING (token) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY sum(weight) DESC, name) <= 3""")
 def capability_match(spark, sf_dir):
     parts = S.table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.concat_ws(" ", "p_brand", "p_type").alias("description"))
-    asked = S.table(spark, sf_dir, "customer").where("c_custkey <= 50").select(F.col("c_custkey").alias("prompt_id"), F.concat_ws(" small brass ", "c_mktsegment", "c_name").alias("text"))
-    return R.first_of(C.capability_match(parts, asked), ["prompt_id"], [F.desc("score"), F.col("name")], 3)
+    asked = S.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("prompt_id"), F.concat_ws(" small brass ", "c_mktsegment", "c_name").alias("text"))
+    return C.best_capabilities(parts, asked, 3)
 
 
 @registered("C2_memory_scope", f"""WITH {MEMORY}, t AS (SELECT id, type, repository, (['use this pattern ', 'always do it ', 'in this repo ', ''])[1 + id % 4] || left(content, 80) AS txt FROM memory)
@@ -296,7 +296,7 @@ FROM (SELECT *, coalesce(regexp_matches(lower(txt), 'this repo|this repository|t
  coalesce(regexp_matches(lower(txt), 'always|never|every project|all repos'), false) AS general FROM t)""")
 def memory_scope(spark, sf_dir):
     lead = F.array(*map(F.lit, ("use this pattern ", "always do it ", "in this repo ", "")))[(F.col("id") % 4).cast("int")]
-    return S.memory(spark, sf_dir).select("id", C.memory_scope(F.col("type"), F.concat(lead, F.substring("content", 1, 80)), F.col("repository"), F.lit(None).cast("string")).alias("scope"))
+    return S.memory(spark, sf_dir).select("id", C.memory_scope(F.col("type"), F.concat(lead, "content"), F.col("repository"), F.lit(None).cast("string")).alias("scope"))
 
 
 @registered("C16_due_tasks", f"""SELECT o_orderkey AS task, CASE WHEN o_orderkey % 13 = 0 THEN 'forced' WHEN o_orderkey % 5 = 0 THEN 'never_run' WHEN o_orderkey % 7 = 0 THEN 'always_due'
@@ -361,7 +361,7 @@ def text_functions(spark, sf_dir):
     t = F.col("text")
     return S.table(spark, sf_dir, "documents").select(
         "doc_id", F.md5(X.normalize(t)).alias("normal"), X.estimated_tokens(t).alias("cost"), X.truncated(t, 72).alias("short"), X.slug(t).alias("slug"),
-        F.array_join(F.transform(F.slice(X.words(t), 1, 12), X.stem), " ").alias("stems"),
+        F.array_join(F.transform(X.words(t), X.stem), " ").alias("stems"),
     )
 
 
@@ -382,7 +382,7 @@ DAYS = ("DATE '2024-03-27'", "DATE '2024-03-26'", "DATE '2024-01-15'", "DATE '20
 @registered("X12_inferred_date", f"SELECT item_id, CAST(CASE item_id % 8 {' '.join(f'WHEN {i} THEN {d}' for i, d in enumerate(DAYS))} END AS DATE) AS day FROM benchmark")
 def inferred_date(spark, sf_dir):
     lead = F.array(*map(F.lit, LEADS))[(F.col("item_id") % 8).cast("int")]
-    return S.table(spark, sf_dir, "benchmark").select("item_id", X.inferred_date(F.concat(lead, F.lit("and so on")), F.lit(TODAY).cast("date")).alias("day"))
+    return S.table(spark, sf_dir, "benchmark").select("item_id", X.inferred_date(F.concat(lead, F.coalesce("text", F.lit(""))), F.lit(TODAY).cast("date")).alias("day"))
 
 
 @registered("P15_graph_edges", """SELECT DISTINCT 'placed_by' AS kind, 'order' AS from_kind, CAST(o_orderkey AS VARCHAR) AS from_id, 'customer' AS to_kind, CAST(o_custkey AS VARCHAR) AS to_id FROM orders
