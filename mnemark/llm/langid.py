@@ -1,7 +1,8 @@
 """Language identification by language-bitmask n-gram filters.
 
 Each language has a Bloom filter of its n-grams. The filters are bit-sliced: one table holds at each slot a mask
-with a bit for each language, so looking an n-gram up once returns all the languages that contain it. A text's
+with a bit for each language, in as many 64-bit words as the languages need, so looking an n-gram up once returns all
+the languages that contain it. A text's
 n-grams are counted for each language, the hits that chance alone would give are taken off, and the language with
 the largest share, against what its own texts reach, is the answer.
 """
@@ -27,7 +28,8 @@ GRAM, SLOT_BITS = 5, 21
 HASHES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 NO_LETTER = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
-MOST_LANGUAGES = 64
+#: Languages of one word of a mask; each word of all slots takes 16 MB.
+WORD = 64
 
 
 def letters(text: str | None) -> str:
@@ -50,6 +52,11 @@ def slots(g: np.ndarray) -> list[np.ndarray]:
     return [(g * m) >> np.uint64(64 - SLOT_BITS) for m in HASHES]
 
 
+def bit(k: int) -> np.uint64:
+    """The place of language ``k`` in its word of a mask."""
+    return np.uint64(1 << k % WORD)
+
+
 @dataclass(frozen=True)
 class Filters:
     languages: tuple[str, ...]
@@ -61,9 +68,9 @@ class Filters:
     def shares(self, body: str) -> np.ndarray:
         """For each language the part of the text's n-grams that it contains, corrected for false positives."""
         first, second = slots(grams(body))
-        found = self.masks[first] & self.masks[second]
-        hits = np.array([np.count_nonzero(found & np.uint64(1 << k)) for k in range(len(self.languages))], float)
-        part = (hits / len(found) - self.chance) / np.maximum(1 - self.chance, 1e-9)
+        found = [m[first] & m[second] for m in self.masks]
+        hits = np.array([np.count_nonzero(found[k // WORD] & bit(k)) for k in range(len(self.languages))], float)
+        part = (hits / len(first) - self.chance) / np.maximum(1 - self.chance, 1e-9)
         return np.maximum(part, 0) / self.usual
 
     def decide(self, text: str | None) -> tuple[str, float]:
@@ -77,8 +84,8 @@ class Filters:
 
 
 def fill(texts: dict[str, list[str]]) -> Filters:
-    languages = tuple(sorted(texts))[:MOST_LANGUAGES]
-    masks = np.zeros(1 << SLOT_BITS, np.uint64)
+    languages = tuple(sorted(texts))
+    masks = np.zeros((-(-len(languages) // WORD), 1 << SLOT_BITS), np.uint64)
     bodies = {k: [b for b in map(letters, texts[k]) if b] for k in languages}
     for k, name in enumerate(languages):
         if not bodies[name]:
@@ -86,8 +93,8 @@ def fill(texts: dict[str, list[str]]) -> Filters:
         g, n = np.unique(np.concatenate([grams(b) for b in bodies[name]]), return_counts=True)
         kept = g[np.lexsort((g, -n))[:KEPT]]
         for at in slots(kept):
-            np.bitwise_or.at(masks, at, np.uint64(1 << k))
-    full = np.array([np.count_nonzero(masks & np.uint64(1 << k)) / len(masks) for k in range(len(languages))])
+            np.bitwise_or.at(masks[k // WORD], at, bit(k))
+    full = np.array([np.count_nonzero(masks[k // WORD] & bit(k)) / (1 << SLOT_BITS) for k in range(len(languages))])
     bare = Filters(languages, masks, full ** len(HASHES), np.ones(len(languages)), 0)
     usual = [np.mean([bare.shares(b)[k] for b in bodies[name][:200]]) if bodies[name] else 1.0 for k, name in enumerate(languages)]
     most = max(range(len(languages)), key=lambda k: len(texts[languages[k]]), default=0)

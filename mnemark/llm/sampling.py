@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRAIN = 1 << 30
-#: Documents longer than this many characters are left out of training samples.
+#: Most characters of a training text: longer ones are cut into pieces for languages, and left out for toxicity.
 LONGEST = 40_000
 
 
@@ -34,9 +34,18 @@ def collect_texts(rows: DataFrame, label: str, doc_id: str, text: str, labels) -
 
 
 def bounded_sample(rows: DataFrame, label: str, doc_id: str, text: str, most: int) -> dict[object, list[str]]:
-    """About ``most`` texts of each label at most, collected to the driver."""
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
-    return collect_texts(hashed_share(rows, label, doc_id, counts, most), label, doc_id, text, counts)
+    """About ``most`` texts of each label at most, collected to the driver; a long text counts as its pieces.
+
+    The first piece has its document's hash, so a sample of texts of one piece is a sample of documents.
+    """
+    pieces = F.greatest(F.ceil(F.length(text) / LONGEST), F.lit(1)).cast("int")
+    counts = {r[0]: r[1] for r in rows.groupBy(label).agg(F.sum(pieces)).collect()}
+    shares = [F.when(F.col(label) == F.lit(k), F.lit(min(GRAIN, GRAIN * most // n))) for k, n in counts.items()]
+    each = rows.select(label, doc_id, text, F.explode(F.sequence(F.lit(0), pieces - 1)).alias("_piece"))
+    drawn = F.when(F.col("_piece") == 0, F.xxhash64(doc_id)).otherwise(F.xxhash64(doc_id, "_piece"))
+    kept = each.where(F.pmod(drawn, F.lit(GRAIN)) < (F.coalesce(*shares) if shares else F.lit(0)))
+    cut = kept.select(label, doc_id, F.substring(F.col(text), F.col("_piece") * LONGEST + 1, F.lit(LONGEST)).alias(text))
+    return collect_texts(cut, label, doc_id, text, counts)
 
 
 def batches(it: Iterator, rows: int = 256) -> Iterator:
