@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[ \t\r\n\f]+"
+#: Headings of sections that the engine itself puts before a prompt.
+HEADINGS = (
+    "Relevant Day Summary", "Relevant Prior Work", "Relevant Commitments, Preferences, And Identity", "Cross-Repo Examples", "Cross-Repo Hints",
+    "Transferable Cross-Repo Preferences", "Active Workstream",
+)
 WEEKDAYS = ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")
 
 
@@ -68,6 +73,11 @@ def without_blocks(text: Column, tags: tuple[str, ...]) -> Column:
     return text
 
 
+def before_headings(text: Column) -> Column:
+    """The text up to the earliest line that is one of the injected sections' headings."""
+    return F.regexp_replace(text, rf"(?ms)^## (?:{'|'.join(HEADINGS)})(?=[\n\r\u2028\u2029]|\z).*\z", "")
+
+
 def inferred_date(text: Column, today: Column) -> Column:
     """The day a prompt speaks of: an ISO date, today, yesterday, a month and day, or a weekday; else null."""
     low = F.lower(F.coalesce(text, F.lit("")))

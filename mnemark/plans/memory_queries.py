@@ -372,7 +372,7 @@ def hashed_pick(spark, sf_dir):
 
 @registered("X19_without_blocks", r"SELECT page_id, md5(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', '', 'gis'), '<style[^>]*>.*?</style>', '', 'gis')) AS body FROM pages")
 def without_blocks(spark, sf_dir):
-    return S.table(spark, sf_dir, "pages").select("page_id", F.md5(X.without_blocks(F.col("html"), ("script", "style"))).alias("body"))
+    return S.table(spark, sf_dir, "pages").select("page_id", F.md5(X.before_headings(X.without_blocks(F.col("html"), ("script", "style")))).alias("body"))
 
 
 LEADS = ("what did we do today ", "yesterday we ", "on 2024-01-15 ", "last monday ", "march 15 ", "april 1 ", "last sunday ", "")

@@ -1,5 +1,6 @@
 """Queries that read their tables whole, against their SQL with its cuts taken out, or against brute force."""
 
+import hashlib
 from pathlib import Path
 
 import duckdb
@@ -72,3 +73,11 @@ def test_words_late_in_a_text_count(spark, tmp_path):
         0: "2024-03-27", 1: "2024-03-26", 2: "2024-01-15", 3: "2024-03-25", 4: "2024-03-15", 5: "2023-04-01", 6: "2024-03-24",
         7: "2024-03-15", 15: None, 23: None, 31: "2024-03-26",
     }
+
+
+def test_pages_are_cut_at_the_earliest_heading(spark, tmp_path):
+    html = ["kept\n## Active Workstream\nlost\n## Cross-Repo Hints\nlost", "kept\n## Active Workstreams\nkept", "a ## Active Workstream", "<style>x</style>kept\r\n## Cross-Repo Hints\r\nlost", None]
+    pq.write_table(pa.table({"page_id": range(5), "html": pa.array(html, pa.string())}), tmp_path / "pages.parquet")
+    got = {r.page_id: r.body for r in QUERIES["X19_without_blocks"](spark, str(tmp_path)).collect()}
+    want = ["kept\n", html[1], html[2], "kept\r\n", None]
+    assert got == {i: w and hashlib.md5(w.encode()).hexdigest() for i, w in enumerate(want)}
