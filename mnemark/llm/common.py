@@ -42,6 +42,31 @@ def drop_stage(spark: SparkSession, where: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Stages:
+    """Staged tables that are removed once they have been read: by :meth:`drop`, the rest at the end of the block."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.held = spark, {}, []
+
+    def __enter__(self) -> Stages:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for where in self.paths.values():
+            drop_stage(self.spark, where)
+
+    def stage(self, df: DataFrame) -> DataFrame:
+        where = work_dir(self.spark)
+        out = stage(df, where)
+        self.paths[id(out)] = where
+        self.held.append(out)  # so that no id is used twice
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            drop_stage(self.spark, self.paths.pop(id(df)))
+
+
 def only_first(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that clashing extra columns never meet the operator's own."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

@@ -2,12 +2,13 @@
 
 1. Equal sets become one, known by the hash of the set.
 2. Part of the feature domain is counted: a set with so many shingles of its own that no other set can be similar to it
-   is done. What is left is kept with its shingles.
+   is done. What is left is counted again among itself, over the whole domain. Two sets differ by all the shingles that
+   only one set has, so ``slack``, a set's size less seven times its own shingles, must not add up to less than nothing.
 3. Every set gives its PartEnum signatures; sets that share one meet in a sorted stream, which needs no room for a
    group. Each links with the first of its group, if the exact sets agree. Most groups of copies become one that way.
-4. Groups of a signature that still hold several components are compared in full: small ones as pairs, large ones as
-   tiles of parity sketches, whose distance bounds the sets' from below. In large groups each set first offers its
-   nearest of another component, until none of these links; then all pairs that the bound allows are verified.
+4. Signatures that still hold several components are compared in full, those of few sets as pairs. Signatures of many
+   sets are joined to crowds, so that two sets meet once however many signatures they share; a crowd's blocks meet
+   pairwise, each comparison is exact, and a task tells no more links than join its components.
 
 Nothing is dropped but by bounds that hold for every similar pair, so no link between different sets is lost.
 """
@@ -15,27 +16,26 @@ Nothing is dropped but by bounds that hold for every similar pair, so no link be
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from .common import only_first, stage
+from .common import Stages, only_first, stage
 from .components import connected_components
 from .partenum import NUMBER, OF, signatures
 from .sampling import batches
-from .shingles import BITS, parity_sketch, set_key, shingle_sets, wide_sketch
+from .shingles import set_key, shingle_sets, wide_sketch
 
 #: Sixteenths of the feature domain in which shingles of one set alone are counted.
 COUNTED = 5
 #: Rows of (key, id) that are broadcast at most; beyond that both sides are shuffled.
 BROADCAST = 1_000_000
-#: Groups up to this size are compared pair by pair, larger ones in tiles of so many sets.
-SMALL, TILE = 64, 1024
+#: Groups up to this size are compared pair by pair, larger ones in blocks of so many sets.
+SMALL, TILE = 64, 256
 
 
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -58,15 +58,15 @@ def _summaries(docs: DataFrame) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame) -> DataFrame:
-    """key, n, shingles and two sketches of every non-empty row."""
+    """key, n and shingles of every non-empty row."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, 256):
             sets = [s for s in shingle_sets(batch.column(0)) if len(s)]
-            columns = [pa.array(list(map(set_key, sets)), pa.int64()), pa.array(list(map(len, sets)), pa.int64()), _lists(sets, pa.int64()), _lists([parity_sketch(s) for s in sets], pa.int64()), _lists([wide_sketch(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "shingles", "sketch", "wide"])
+            columns = [pa.array(list(map(set_key, sets)), pa.int64()), pa.array(list(map(len, sets)), pa.int64()), _lists(sets, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "key long, n long, shingles array<long>, sketch array<long>, wide array<long>")
+    return docs.select("text").mapInArrow(run, "key long, n long, shingles array<long>")
 
 
 def _of_known_size(df: DataFrame) -> DataFrame:
@@ -74,14 +74,45 @@ def _of_known_size(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
+def _own(sets: DataFrame) -> DataFrame:
+    """(key, own): how many of its features no other row of ``sets`` (key, features) has.
+
+    A task tells a feature once for each batch, with the least and greatest of its keys, so a feature that most sets
+    share is a few rows of the exchange.
+    """
+
+    def told(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it, 4096):
+            feature = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            key = np.repeat(batch.column(0).to_numpy(), pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            order = np.lexsort((key, feature))
+            feature, key = feature[order], key[order]
+            first = np.flatnonzero(np.r_[True, feature[1:] != feature[:-1]][: len(feature)])
+            last = np.r_[first[1:], len(feature)][: len(first)] - 1
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, (feature[first], key[first], key[last]))), ["feature", "lo", "hi"])
+
+    once = sets.mapInArrow(told, "feature long, lo long, hi long").repartition("feature")
+    alone = once.groupBy("feature").agg(F.min("lo").alias("key"), F.max("hi").alias("other")).where("key = other")
+    return alone.groupBy("key").agg(F.count(F.lit(1)).alias("own"))
+
+
+def _may_link() -> Column:
+    """Whether a set of n shingles, ``own`` of them its own, can be similar to any other set."""
+    return F.lit(OF) * (F.col("n") - F.coalesce("own", F.lit(0))) >= F.lit(NUMBER) * F.col("n")
+
+
 def _candidates(known: DataFrame) -> DataFrame:
     """(key, doc_id) of the sets that the counted shingles do not rule out; doc_id is the least of the set's."""
-    features = known.where("key is not null").select("key", F.explode("part").alias("feature"))
-    alone = features.groupBy("feature").agg(F.min("key").alias("key"), F.max("key").alias("other")).where("key = other")
-    own = alone.groupBy("key").agg(F.count(F.lit(1)).alias("own"))
-    sets = known.where("key is not null").groupBy("key").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"))
-    may = F.lit(OF) * (F.col("n") - F.coalesce("own", F.lit(0))) >= F.lit(NUMBER) * F.col("n")
-    return sets.join(own, "key", "left").where(may).select("key", "doc_id")
+    full = known.where("key is not null")
+    sets = full.groupBy("key").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"))
+    return sets.join(_own(full.select("key", "part")), "key", "left").where(_may_link()).select("key", "doc_id")
+
+
+def _with_slack(sets: DataFrame) -> DataFrame:
+    """Of ``sets`` (key, n, shingles) those that can link among themselves, with their slack."""
+    counted = sets.select("key", "n").join(_own(sets.select("key", "shingles")), "key", "left").where(_may_link())
+    slack = (OF - NUMBER) * F.col("n") - (OF + NUMBER) * F.coalesce("own", F.lit(0))
+    return counted.select("key", slack.alias("slack"))
 
 
 def _stars(sets: DataFrame) -> DataFrame:
@@ -133,11 +164,27 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.where(OF * F.col("common") >= NUMBER * (F.col("na") + F.col("nb") - F.col("common"))).select(*pairs.columns)
 
 
+def _by_sketch(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The staged pairs whose sketches, where of one length, do not differ by more than similar sets may."""
+
+    def sketched(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it, 1024):
+            each = [wide_sketch(np.array(s, np.int64).view(np.uint64)) for s in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(each, pa.int64())], ["key", "n", "sketch"])
+
+    named = _of_pairs(pairs, sets).select("key", "n", "shingles").mapInArrow(sketched, "key long, n long, sketch array<long>")
+    left = named.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
+    right = named.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
+    apart = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    may = (F.size("ka") != F.size("kb")) | (apart * (OF + NUMBER) <= (OF - NUMBER) * (F.col("na") + F.col("nb")))
+    return pairs.join(left, "a").join(right, "b").where(may).select(*pairs.columns)
+
+
 def _pairs_of_small(rows: DataFrame) -> DataFrame:
-    """All pairs of different components within signatures of ``SMALL`` sets at most, by size alone."""
+    """All pairs of different components within signatures of ``SMALL`` sets at most, by size and slack alone."""
 
     def pairs(block: np.ndarray) -> np.ndarray:
-        sig, comp, key, n = block
+        sig, comp, key, n, slack = block
         starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         sizes = np.diff(np.r_[starts, len(sig)])
         out = [np.zeros((4, 0), np.int64)]
@@ -145,104 +192,103 @@ def _pairs_of_small(rows: DataFrame) -> DataFrame:
             i, j = np.triu_indices(g, 1)
             s = starts[sizes == g]
             a, b = (s[:, None] + i).ravel(), (s[:, None] + j).ravel()
-            fit = (comp[a] != comp[b]) & (OF * np.minimum(n[a], n[b]) >= NUMBER * np.maximum(n[a], n[b]))
+            fit = (comp[a] != comp[b]) & (OF * np.minimum(n[a], n[b]) >= NUMBER * np.maximum(n[a], n[b])) & (slack[a] + slack[b] >= 0)
             a, b = a[fit], b[fit]
             out.append(np.array([np.minimum(key[a], key[b]), np.maximum(key[a], key[b]), np.where(key[a] < key[b], comp[a], comp[b]), np.where(key[a] < key[b], comp[b], comp[a])]))
         return np.unique(np.concatenate(out, axis=1), axis=1)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((4, 0), np.int64)
+        held = np.zeros((5, 0), np.int64)
         for batch in batches(it, 4096):
             block = np.concatenate([held, np.array([c.to_numpy() for c in batch.columns])], axis=1)
             last = int(np.searchsorted(block[0], block[0, -1])) if block.shape[1] else 0
             held = block[:, last:]
             yield pa.RecordBatch.from_arrays(list(map(pa.array, pairs(block[:, :last]))), ["a", "b", "ca", "cb"])
-        yield pa.RecordBatch.from_arrays(list(map(pa.array, pairs(held) if held.shape[1] else held)), ["a", "b", "ca", "cb"])
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, pairs(held) if held.shape[1] else held[:4])), ["a", "b", "ca", "cb"])
 
-    sorted_rows = rows.select("sig", "comp", "key", "n").repartition("sig").sortWithinPartitions("sig", "comp", "key")
+    sorted_rows = rows.select("sig", "comp", "key", "n", "slack").repartition("sig").sortWithinPartitions("sig", "comp", "key")
     return sorted_rows.mapInArrow(run, "a long, b long, ca long, cb long")
 
 
-def _by_sketch(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The staged pairs whose wide sketches, where of one length, do not differ by more than similar sets may."""
-    sets = _of_pairs(pairs, sets)
-    left = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("wide").alias("ka"))
-    right = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("kb"))
-    apart = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    met = pairs.join(left, "a").join(right, "b")
-    may = (F.size("ka") != F.size("kb")) | (apart * (OF + NUMBER) <= (OF - NUMBER) * (F.col("na") + F.col("nb")))
-    return met.where(may).select(*pairs.columns)
-
-
-def _compare_tile(key, table: pa.Table, nearest: bool) -> pa.Table:
-    """Pairs of different components in one pair of blocks whose sizes and sketches allow a link.
-
-    With ``nearest`` only the nearest by sketch of each row of the left block.
-    """
-    side, keys, comps, n = (table.column(c).to_numpy() for c in ("side", "key", "comp", "n"))
-    sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)
+def _compare_blocks(key, table: pa.Table) -> pa.Table:
+    """(a, b): pairs of components that links between two blocks of sets join, no more than join them all."""
+    side, comps, n, slack = (table.column(c).to_numpy() for c in ("side", "comp", "n", "slack"))
+    lists = table.column("shingles").combine_chunks()
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+    universe, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
     left = np.flatnonzero(side == 0)
     right = np.flatnonzero(side == 1) if key[1].as_py() != key[2].as_py() else left
-    out = [np.zeros((4, 0), np.int64)]
-    for s in range(0, len(left), 64):
-        a = left[s : s + 64]
-        apart = np.bitwise_count(sketch[a][:, None, :] ^ sketch[right][None, :, :]).sum(axis=2, dtype=np.int64)
-        na, nb = n[a][:, None], n[right][None, :]
-        fit = (comps[a][:, None] != comps[right][None, :]) & (apart * (OF + NUMBER) <= (OF - NUMBER) * (na + nb)) & (OF * np.minimum(na, nb) >= NUMBER * np.maximum(na, nb))
-        if nearest:
-            j = np.where(fit, apart, BITS + 1).argmin(axis=1)
-            i = np.flatnonzero(fit[np.arange(len(a)), j])
-            j = j[i]
-        else:
-            i, j = np.nonzero(fit)
-        x, y = a[i], right[j]
-        x, y = np.where(keys[x] < keys[y], x, y), np.where(keys[x] < keys[y], y, x)
-        out.append(np.array([keys[x], keys[y], comps[x], comps[y]]))
-    found = np.unique(np.concatenate(out, axis=1), axis=1)
-    return pa.table(dict(zip(("a", "b", "ca", "cb"), found, strict=True)))
-
-
-def _pairs_of_large(rows: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
-    """Like :func:`_pairs_of_small`, for groups of any size: blocks of ``TILE`` sets meet pairwise."""
-    blocks = F.ceil(F.col("g") / TILE).cast("int")
-    own = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    own = own.join(sets.select("key", "sketch"), "key").select("sig", "blocks", "own", "key", "comp", "n", "sketch")
-    lefts = own.select("sig", F.col("own").alias("i"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("j"), F.lit(0).alias("side"), "key", "comp", "n", "sketch")
-    rights = own.where("own > 0").select("sig", F.explode(F.expr("sequence(0, own - 1)")).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "key", "comp", "n", "sketch")
-    return lefts.union(rights).groupBy("sig", "i", "j").applyInArrow(lambda key, t: _compare_tile(key, t, nearest), "a long, b long, ca long, cb long")
-
-
-def _unresolved(rows: DataFrame) -> DataFrame:
-    """The rows (sig, key, n, comp) of signatures that hold several components, with g, the number of their sets."""
-    by_sig = Window.partitionBy("sig")
-    spans = rows.select("sig", "key", "n", "comp", F.count(F.lit(1)).over(by_sig).alias("g"), F.min("comp").over(by_sig).alias("lo"), F.max("comp").over(by_sig).alias("hi"))
-    return spans.where("lo < hi").drop("lo", "hi")
-
-
-def _components(sets: DataFrame) -> DataFrame:
-    """(node, component) of the sets that link with others."""
-    shared = stage(_stars(sets))
+    names, at = np.unique(comps, return_inverse=True)
+    parent = list(range(len(names)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    found: list[tuple[int, int]] = []
+    mine = np.concatenate([flat[ends[r] : ends[r + 1]] for r in right]) if len(right) else flat[:0]
+    starts = np.concatenate([[0], np.cumsum(np.diff(ends)[right])[:-1]]) if len(right) else np.zeros(0, np.int64)
+    held = np.zeros(len(universe), bool)
+    for a in left if len(right) else []:
+        may = (at[right] != at[a]) & (slack[right] + slack[a] >= 0) & (OF * np.minimum(n[right], n[a]) >= NUMBER * np.maximum(n[right], n[a]))
+        if not may.any():
+            continue
+        held[flat[ends[a] : ends[a + 1]]] = True
+        common = np.add.reduceat(held[mine], starts, dtype=np.int64)
+        held[flat[ends[a] : ends[a + 1]]] = False
+        for c in np.unique(at[right[may & (OF * common >= NUMBER * (n[right] + n[a] - common))]]).tolist():
+            x, y = root(int(at[a])), root(c)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                found.append((int(names[at[a]]), int(names[c])))
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+
+def _links_of_crowds(rows: DataFrame, hubs: DataFrame, sets: DataFrame, kept: Stages) -> DataFrame:
+    """(a, b) components that links within signatures of many sets join; ``hubs``: (key, hub) of these signatures."""
+    crowd = kept.stage(connected_components(hubs.select(F.col("key").alias("a"), F.col("hub").alias("b"))))
+    one = rows.select("key", "comp", "n", "slack").distinct().join(crowd.select(F.col("node").alias("key"), F.col("component").alias("crowd")), "key")
+    one = kept.stage(one)
+    sizes = one.groupBy("crowd").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
+    own = one.join(sizes, "crowd").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    own = kept.stage(own.join(sets.select("key", "shingles"), "key"))
+    row = ["comp", "n", "slack", "shingles"]
+    lefts = own.select("crowd", F.col("own").alias("i"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("j"), F.lit(0).alias("side"), *row)
+    rights = own.where("own > 0").select("crowd", F.explode(F.expr("sequence(0, own - 1)")).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), *row)
+    return lefts.union(rights).groupBy("crowd", "i", "j").applyInArrow(lambda key, t: _compare_blocks(key, t), "a long, b long")
+
+
+def _unresolved(rows: DataFrame, kept: Stages) -> DataFrame:
+    """The rows (sig, key, hub, n, slack, comp) of signatures that hold several components, with g, the number of their sets.
+
+    A row goes too if its slack is too little for any other of its signature. Counts are taken in part before the
+    exchange, so a signature that many sets share is not gathered.
+    """
+    sums = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("slack").alias("most"))
+    open_ = kept.stage(sums.where("lo < hi").select("sig", "g", "most"))
+    return rows.join(_of_known_size(open_), "sig").where("slack + most >= 0").drop("most")
+
+
+def _components(sets: DataFrame, kept: Stages) -> DataFrame:
+    """(node, component) of the sets (key, n, slack, shingles) that link with others."""
+    shared = kept.stage(_stars(sets))
     met = shared.where("key <> hub").groupBy("key", "hub").agg(F.count(F.lit(1)).alias("c"))
     best = met.groupBy("key").agg(F.max(F.struct("c", "hub"))["hub"].alias("most"), F.min("hub").alias("least"))
-    hubs = best.select(F.col("key").alias("a"), F.explode(F.array_distinct(F.array("most", "least"))).alias("b"))
-    first = stage(connected_components(_alike(stage(hubs), sets)))
+    hubs = kept.stage(best.select(F.col("key").alias("a"), F.explode(F.array_distinct(F.array("most", "least"))).alias("b")))
+    first = kept.stage(connected_components(_alike(kept.stage(_by_sketch(hubs, sets)), sets)))
 
     comp = F.coalesce("component", "key")
-    known = sets.select("key", "n").join(first.withColumnRenamed("node", "key"), "key", "left").select("key", "n", comp.alias("comp"))
-    open_ = stage(_unresolved(shared.select("sig", "key").join(known, "key")))
-    large = stage(open_.where(F.col("g") > SMALL))
-    links: list[DataFrame] = []
-    while not large.isEmpty():  # as in Boruvka's rounds, each row offers its nearest of another component
-        found = stage(_alike(stage(_pairs_of_large(large, sets, nearest=True).distinct()), sets).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-        if found.isEmpty():
-            break
-        links.append(found)
-        moved = stage(connected_components(found)).select(F.col("node").alias("comp"), F.col("component").alias("to"))
-        large = large.join(_of_known_size(moved), "comp", "left").select("sig", "key", "n", F.coalesce("to", "comp").alias("comp"))
-        large = stage(_unresolved(large))
-    pairs = _pairs_of_small(open_.where(F.col("g") <= SMALL)).union(_pairs_of_large(large, sets, nearest=False)).distinct()
-    links.append(_alike(stage(_by_sketch(stage(pairs), sets)), sets).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    second = stage(connected_components(reduce(DataFrame.union, links)))
+    known = sets.select("key", "n", "slack").join(first.withColumnRenamed("node", "key"), "key", "left")
+    known = kept.stage(known.select("key", "n", "slack", comp.alias("comp")))
+    open_ = kept.stage(_unresolved(shared.join(_of_known_size(known), "key"), kept))
+    kept.drop(shared)
+    large = kept.stage(open_.where(F.col("g") > SMALL))
+    crowds = _links_of_crowds(large, large.select("key", "hub").distinct(), sets, kept)
+    pairs = kept.stage(_pairs_of_small(open_.where(F.col("g") <= SMALL)).distinct())
+    small = _alike(kept.stage(_by_sketch(pairs, sets)), sets).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    second = kept.stage(connected_components(small.union(crowds)))
     joined = second.select(F.col("node").alias("component"), F.col("component").alias("upper"))
     inner = first.join(joined, "component", "left").select("node", F.coalesce("upper", "component").alias("component"))
     outer = second.join(first.select("node"), "node", "left_anti").select("node", "component")
@@ -251,11 +297,15 @@ def _components(sets: DataFrame) -> DataFrame:
 
 def _groups(rows: DataFrame) -> DataFrame:
     """doc_id, key, n, component (a set's key) and component_id of every row of (doc_id, text); key null: no words."""
-    known = stage(_summaries(rows))
-    candidates = _of_known_size(stage(_candidates(known)))
-    picked = rows.join(candidates.select("doc_id"), "doc_id", "left_semi").union(rows.where("doc_id is null"))
-    sets = stage(_whole_sets(picked).join(candidates.select("key"), "key", "left_semi").dropDuplicates(["key"]))
-    parts = _components(sets)
+    with Stages(rows.sparkSession) as kept:
+        known = kept.stage(_summaries(rows))
+        candidates = _of_known_size(kept.stage(_candidates(known)))
+        picked = rows.join(candidates.select("doc_id"), "doc_id", "left_semi").union(rows.where("doc_id is null"))
+        every = kept.stage(_whole_sets(picked).join(candidates.select("key"), "key", "left_semi").dropDuplicates(["key"]))
+        sets = kept.stage(every.join(_of_known_size(kept.stage(_with_slack(every))), "key"))
+        kept.drop(every)
+        known = stage(known.select("doc_id", "key", "n"))
+        parts = stage(_components(sets, kept))
     keyed = known.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
     named = keyed.join(parts.withColumnRenamed("node", "key"), "key")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
