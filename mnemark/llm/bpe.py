@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from tokenizers import models
 
 from .common import only_first
-from .encoding import Encoder, texts_of
+from .encoding import KEPT_FRAGMENTS, ROWS, Encoder, texts_of
 from .sampling import batches
 
 END = "</w>"
@@ -36,19 +36,14 @@ class BoundaryEncoder(Encoder):
         #: Merges a fragment that does not end its word.
         self.inner = models.BPE(vocab=model["vocab"], merges=merges)
         self.told: dict[str, tuple[int, str, str]] = {}
+        self.room_told = KEPT_FRAGMENTS
 
-    def piece(self, text: str) -> list[int]:
-        found = self.pieces.get(text)
-        if found is not None:
-            return found
+    def merged(self, text: str) -> list[int]:
         signs = text if self.words and text.isascii() else text.encode().decode("latin-1").translate(self.signs)
         cuts = [i + 1 for i in range(len(signs) - 1) if signs[i : i + 2] not in self.joined]
         edges = [0, *cuts, len(signs)]
         found = [t.id for s, e in zip(edges[:-2], edges[1:-1], strict=True) for t in self.inner.tokenize(signs[s:e])]
-        found += [t.id for t in self.model.tokenize(signs[edges[-2] :])]
-        if len(self.pieces) < 200_000:
-            self.pieces[text] = found
-        return found
+        return found + [t.id for t in self.model.tokenize(signs[edges[-2] :])]
 
     def tell(self, fragment: str) -> tuple[int, str, str]:
         """Of a fragment: number of ids, ids in decimals, and tokens, both parted by spaces."""
@@ -56,7 +51,9 @@ class BoundaryEncoder(Encoder):
         if found is None:
             ids = self.fragment(fragment)
             found = (len(ids), " ".join(map(str, ids)), " ".join(map(self.library.id_to_token, ids)))
-            if len(self.told) < 200_000:
+            size = 330 + 2 * len(fragment) + len(found[1]) + len(found[2])
+            if size <= self.room_told:
+                self.room_told -= size
                 self.told[fragment] = found
         return found
 
@@ -97,7 +94,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
 
     def run(it):
         tool = _encoder(path)
-        for batch in batches(it, 512):
+        for batch in batches(it, ROWS):
             ids, offsets = tool.encode(texts_of(batch.column(1)))
             each = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
             said = [tool.library.decode(x, skip_special_tokens=False) for x in each.to_pylist()]
@@ -111,7 +108,7 @@ def encode_digests(docs: DataFrame, path: str, text: str = "text", doc_id: str =
 
     def run(it):
         tool = _encoder(path)
-        for batch in batches(it, 1024):
+        for batch in batches(it, ROWS):
             told = list(tool.digests(texts_of(batch.column(1))))
             columns = [pa.array([t[k] for t in told], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

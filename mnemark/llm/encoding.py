@@ -11,6 +11,7 @@ from __future__ import annotations
 import itertools
 import json
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,12 @@ import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
-#: Fragments, and pieces of them, that a worker keeps.
-KEPT = 500_000
+#: Bytes, about, that a worker's memory of fragments and that of pieces may take; what is met beyond them is encoded anew.
+KEPT_FRAGMENTS, KEPT_PIECES = 64 << 20, 24 << 20
+#: Bytes, about, that one text and one id take there.
+PER_TEXT, PER_ID = 170, 4
+#: Texts of a batch, which bounds what encoding it takes besides.
+ROWS = 384
 PLAIN = regex.compile(r"[!-;=-~À-ÖØ-öø-įıĴ-ňŊ-ž\n\t]+")
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 BYTES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -45,19 +50,26 @@ class Encoder:
         self.words = json.loads(self.library.to_str())["normalizer"] is not None
         self.model = self.library.model
         self.signs = str.maketrans({chr(b): s for b, s in byte_signs().items()})
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, array] = {}
         self.slots: dict[str, int] = {}
+        self.room_fragments, self.room_pieces = KEPT_FRAGMENTS, KEPT_PIECES
         self.begin, self.length, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.int32)
         self.used = self.filled = 0
 
-    def piece(self, text: str) -> list[int]:
+    def merged(self, text: str) -> list[int]:
         """Ids of what the pre-tokenizer leaves as one piece."""
+        signs = text if self.words and text.isascii() else text.encode().decode("latin-1").translate(self.signs)
+        return [t.id for t in self.model.tokenize(signs)]
+
+    def piece(self, text: str) -> array | list[int]:
+        """The same, kept for later if there is room."""
         found = self.pieces.get(text)
         if found is None:
-            signs = text if self.words and text.isascii() else text.encode().decode("latin-1").translate(self.signs)
-            found = [t.id for t in self.model.tokenize(signs)]
-            if len(self.pieces) < KEPT:
-                self.pieces[text] = found
+            found = self.merged(text)
+            size = PER_TEXT + len(text) + PER_ID * len(found)
+            if size <= self.room_pieces:
+                self.room_pieces -= size
+                self.pieces[text] = array("i", found)
         return found
 
     def fragment(self, text: str) -> list[int]:
@@ -65,7 +77,8 @@ class Encoder:
         if len(bare) > 400 or not PLAIN.fullmatch(bare):
             return self.library.encode(text, add_special_tokens=False).ids if text else []
         found = WORDS.findall(text.lower()) if self.words else BYTES.findall(text)
-        return self.piece(found[0]) if len(found) == 1 else [i for p in found for i in self.piece(p)]
+        # a fragment of one piece is kept as a fragment, its piece need not be
+        return self.merged(found[0]) if len(found) == 1 else [i for p in found for i in self.piece(p)]
 
     def learn(self, fragments: list[str]) -> np.ndarray:
         """Slots of new fragments; those beyond the bound are forgotten by the next call of :meth:`encode`."""
@@ -111,16 +124,22 @@ class Encoder:
             renamed = np.cumsum(seen) - 1
             distinct = [d for d, s in zip(distinct, seen[: len(distinct)], strict=True) if s] + [" " + d for d, s in zip(distinct, seen[len(distinct) :], strict=True) if s]
             at = renamed[at]
-        kept_used, kept_filled = self.used, self.filled
         get = self.slots.get
         slot = np.fromiter((get(d, -1) for d in distinct), np.int64, len(distinct))
         new = np.flatnonzero(slot < 0)
         fresh = [distinct[i] for i in new]
+        before, used, filled = len(self.slots), self.used, self.filled
         slot[new] = self.learn(fresh)
-        if len(self.slots) + len(fresh) <= KEPT:
-            self.slots.update(zip(fresh, slot[new].tolist(), strict=True))
-        else:
-            self.used, self.filled = kept_used, kept_filled
+        for text, at_slot in zip(fresh, slot[new].tolist(), strict=True):
+            size = PER_TEXT + len(text) + PER_ID * int(self.length[at_slot])
+            if size > self.room_fragments:
+                break
+            self.room_fragments -= size
+            self.slots[text] = at_slot
+        kept = len(self.slots) - before  # the first of the fresh ones; the others' places are used again
+        if kept < len(fresh):
+            self.used = used + kept
+            self.filled = filled + int(self.length[used : used + kept].sum())
         each = slot[at]
         lengths = self.length[each]
         ends = np.cumsum(lengths, dtype=np.int64)

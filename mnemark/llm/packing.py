@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import number_within, only_first, stage
-from .encoding import encoder, texts_of
+from .encoding import ROWS, encoder, texts_of
 from .sampling import batches
 
 
@@ -85,7 +85,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, text: str
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path)
-        for batch in batches(it, 1024):
+        for batch in batches(it, ROWS):
             ids, offsets = tool.encode(texts_of(batch.column(2)))
             raw, end = ids.astype("<u4").tobytes(), int(end_id).to_bytes(4, "little")
             out: list[tuple] = []

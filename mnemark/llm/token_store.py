@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import drop_stage, only_first, stage, work_dir
-from .encoding import encoder, texts_of
+from .encoding import ROWS, encoder, texts_of
 from .sampling import batches
 
 #: Chunk lengths in ids: least, most, and bits of the rolling hash that must be 0 at a cut.
@@ -93,7 +93,7 @@ def _chunked(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, press = encoder(path), zstandard.ZstdCompressor(level=1, write_content_size=True, write_checksum=False)
-        for batch in batches(it, 1024):
+        for batch in batches(it, ROWS):
             ids, offsets = tool.encode(texts_of(batch.column(2)))
             ids = np.insert(ids, offsets[1:], end_id)
             offsets = offsets + np.arange(len(offsets))
