@@ -36,6 +36,7 @@ COUNTED = 5
 BROADCAST = 1_000_000
 #: Groups up to this size are compared pair by pair, larger ones in blocks of so many sets.
 SMALL, TILE = 64, 256
+NO_CROWD = -(1 << 63)
 
 
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -181,10 +182,13 @@ def _by_sketch(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _pairs_of_small(rows: DataFrame) -> DataFrame:
-    """All pairs of different components within signatures of ``SMALL`` sets at most, by size and slack alone."""
+    """All pairs of different components within signatures of ``SMALL`` sets at most, by size and slack alone.
+
+    Two sets of one crowd are left out: they meet there.
+    """
 
     def pairs(block: np.ndarray) -> np.ndarray:
-        sig, comp, key, n, slack = block
+        sig, comp, key, n, slack, crowd = block
         starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         sizes = np.diff(np.r_[starts, len(sig)])
         out = [np.zeros((4, 0), np.int64)]
@@ -192,13 +196,13 @@ def _pairs_of_small(rows: DataFrame) -> DataFrame:
             i, j = np.triu_indices(g, 1)
             s = starts[sizes == g]
             a, b = (s[:, None] + i).ravel(), (s[:, None] + j).ravel()
-            fit = (comp[a] != comp[b]) & (OF * np.minimum(n[a], n[b]) >= NUMBER * np.maximum(n[a], n[b])) & (slack[a] + slack[b] >= 0)
+            fit = (comp[a] != comp[b]) & (OF * np.minimum(n[a], n[b]) >= NUMBER * np.maximum(n[a], n[b])) & (slack[a] + slack[b] >= 0) & ((crowd[a] != crowd[b]) | (crowd[a] == NO_CROWD))
             a, b = a[fit], b[fit]
             out.append(np.array([np.minimum(key[a], key[b]), np.maximum(key[a], key[b]), np.where(key[a] < key[b], comp[a], comp[b]), np.where(key[a] < key[b], comp[b], comp[a])]))
         return np.unique(np.concatenate(out, axis=1), axis=1)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((5, 0), np.int64)
+        held = np.zeros((6, 0), np.int64)
         for batch in batches(it, 4096):
             block = np.concatenate([held, np.array([c.to_numpy() for c in batch.columns])], axis=1)
             last = int(np.searchsorted(block[0], block[0, -1])) if block.shape[1] else 0
@@ -206,7 +210,7 @@ def _pairs_of_small(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(list(map(pa.array, pairs(block[:, :last]))), ["a", "b", "ca", "cb"])
         yield pa.RecordBatch.from_arrays(list(map(pa.array, pairs(held) if held.shape[1] else held[:4])), ["a", "b", "ca", "cb"])
 
-    sorted_rows = rows.select("sig", "comp", "key", "n", "slack").repartition("sig").sortWithinPartitions("sig", "comp", "key")
+    sorted_rows = rows.select("sig", "comp", "key", "n", "slack", "crowd").repartition("sig").sortWithinPartitions("sig", "comp", "key")
     return sorted_rows.mapInArrow(run, "a long, b long, ca long, cb long")
 
 
@@ -246,11 +250,9 @@ def _compare_blocks(key, table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
-def _links_of_crowds(rows: DataFrame, hubs: DataFrame, sets: DataFrame, kept: Stages) -> DataFrame:
-    """(a, b) components that links within signatures of many sets join; ``hubs``: (key, hub) of these signatures."""
-    crowd = kept.stage(connected_components(hubs.select(F.col("key").alias("a"), F.col("hub").alias("b"))))
-    one = rows.select("key", "comp", "n", "slack").distinct().join(crowd.select(F.col("node").alias("key"), F.col("component").alias("crowd")), "key")
-    one = kept.stage(one)
+def _links_of_crowds(rows: DataFrame, crowds: DataFrame, sets: DataFrame, kept: Stages) -> DataFrame:
+    """(a, b): components that links within ``crowds`` (key, crowd) join."""
+    one = kept.stage(rows.select("key", "comp", "n", "slack").distinct().join(crowds, "key"))
     sizes = one.groupBy("crowd").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
     own = one.join(sizes, "crowd").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     own = kept.stage(own.join(sets.select("key", "shingles"), "key"))
@@ -284,11 +286,15 @@ def _components(sets: DataFrame, kept: Stages) -> DataFrame:
     known = kept.stage(known.select("key", "n", "slack", comp.alias("comp")))
     open_ = kept.stage(_unresolved(shared.join(_of_known_size(known), "key"), kept))
     kept.drop(shared)
-    large = kept.stage(open_.where(F.col("g") > SMALL))
-    crowds = _links_of_crowds(large, large.select("key", "hub").distinct(), sets, kept)
-    pairs = kept.stage(_pairs_of_small(open_.where(F.col("g") <= SMALL)).distinct())
+    large = open_.where(F.col("g") > SMALL).select("key", "hub", "comp", "n", "slack").distinct()
+    large = kept.stage(large)
+    joined = connected_components(large.select(F.col("key").alias("a"), F.col("hub").alias("b")))
+    crowds = kept.stage(joined.select(F.col("node").alias("key"), F.col("component").alias("crowd")))
+    many = _links_of_crowds(large, crowds, sets, kept)
+    few = open_.where(F.col("g") <= SMALL).join(_of_known_size(crowds), "key", "left").fillna(NO_CROWD, ["crowd"])
+    pairs = kept.stage(_pairs_of_small(few).distinct())
     small = _alike(kept.stage(_by_sketch(pairs, sets)), sets).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    second = kept.stage(connected_components(small.union(crowds)))
+    second = kept.stage(connected_components(small.union(many)))
     joined = second.select(F.col("node").alias("component"), F.col("component").alias("upper"))
     inner = first.join(joined, "component", "left").select("node", F.coalesce("upper", "component").alias("component"))
     outer = second.join(first.select("node"), "node", "left_anti").select("node", "component")
