@@ -1,6 +1,6 @@
 """Shards of near-equal bytes by histogram sort.
 
-Rows are ordered by (hash of the text, hash of the row). Candidate boundaries of that key are probed: each
+Rows are ordered by (hash of the text, hash of the row's number). Candidate boundaries of that key are probed: each
 round counts, exactly and over all partitions, the bytes below every probe, and narrows each splitter's
 interval until its bytes are within the tolerance of its share. Only then are rows exchanged, once.
 
@@ -102,13 +102,13 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, tolerance: float = 0.01, te
             (F.octet_length(body) + 1).cast("long").alias("size"),
             F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
             F.xxhash64(body).alias("text_key"),
-            F.xxhash64(F.lit("row"), "doc_id").alias("row_key"),
+            F.monotonically_increasing_id().alias("row"),
         )
-    )
+    ).withColumn("row_key", F.xxhash64("row"))  # of the staged number: rows alike in all columns are told apart, and stay so
     at_or_right: list[Column] = [
         ((F.col("text_key") > k) | ((F.col("text_key") == k) & (F.col("row_key") >= r))).cast("int")
         for k, r in splitters_of(keyed, shards, tolerance)
     ]
     placed = keyed.withColumn("shard", sum(at_or_right, F.lit(0)).cast("int"))
-    slotted = number_within(placed, ["shard"], [F.col("text_key"), F.col("row_key"), F.col("doc_id")], [F.col("row_key")], "slot")
+    slotted = number_within(placed, ["shard"], [F.col("text_key"), F.col("row_key")], [F.col("row_key")], "slot")
     return slotted.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -7,9 +7,11 @@ stand. A store is a folder of three Parquet tables:
   ``width`` bytes, compressed; the digest is BLAKE2b over the ids as little-endian 32-bit numbers.
 - ``recipes``: in ascending doc_id order, start (ids of all documents before), n_tokens, the chunks' digests, and the
   Merkle root over these.
-- ``manifest``: the Merkle tree over the recipes in that order, nodes of ``FAN`` children, up to one root.
+- ``manifest``: the Merkle tree over the recipes in that order, nodes of ``FAN`` children, up to one root. A leaf is
+  the hash of a recipe's id, start, length and root.
 
-Reading verifies every chunk against its digest, and every recipe against its root and its length.
+Reading verifies every chunk against its digest, every recipe against its root and its length, and every node of the
+manifest, built anew from the recipes read back, against the one that was written.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from .sampling import batches
 
 #: Chunk lengths in ids: least, most, and bits of the rolling hash that must be 0 at a cut.
 LEAST, MOST, BITS = 128, 2048, 9
-FAN, PARTS = 1024, 64
+FAN = 1024
 
 
 def rolling(ids: np.ndarray) -> np.ndarray:
@@ -112,22 +114,61 @@ def _chunked(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
 
 
 def _ranked(recipes: DataFrame) -> DataFrame:
-    """Adds start and rank in (doc_id, row) order: ranges of ids are summed first, then run through each apart."""
-    edges = recipes.agg(F.percentile_approx("doc_id", [i / PARTS for i in range(1, PARTS)], 10000)).first()[0] or []
-    part = F.size(F.filter(F.array(*[F.lit(e) for e in sorted(set(edges))]), lambda e: e < F.col("doc_id"))) if edges else F.lit(0)
-    dealt = recipes.withColumn("part", F.when(F.col("doc_id").isNull(), -1).otherwise(part))
+    """Adds start and rank in (doc_id, row) order: ranges of it are summed first, then run through each apart.
+
+    Spark draws the ranges over both columns, so rows of one id, or without one, are dealt over several too.
+    """
+    dealt = stage(recipes.repartitionByRange(F.col("doc_id").asc_nulls_first(), "row").withColumn("part", F.spark_partition_id()))
     before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = dealt.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("c"))
     offsets = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c0"))
-    within = Window.partitionBy("part").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "row").rowsBetween(Window.unboundedPreceding, -1)
     return (
         dealt.withColumn("n1", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
         .withColumn("c1", F.count(F.lit(1)).over(within))
-        .join(F.broadcast(offsets), "part")  # one row for each range
+        .join(F.broadcast(offsets), "part")  # one row for each of Spark's shuffle partitions
         .select("doc_id", "row", (F.col("n0") + F.col("n1")).alias("start"), (F.col("c0") + F.col("c1")).alias("rank"), "n_tokens", "digests", "root")
     )
 
 
+def _leaves(recipes: DataFrame) -> DataFrame:
+    """Level 0 of the manifest: node and hash of every recipe."""
+    said = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("doc_id", "start", "n_tokens")], F.hex("root"))
+    return recipes.select(F.col("rank").alias("node"), F.unhex(F.sha2(said, 256)).alias("root"))
+
+
+def _above(level: DataFrame) -> DataFrame:
+    """The next level: each node is the hash of its children's, ``FAN`` at most, in order."""
+    children = F.array_sort(F.collect_list(F.struct("node", "root")))
+    joined = F.aggregate(children, F.lit(b""), lambda s, c: F.concat(s, c["root"]))
+    return level.groupBy(F.floor(F.col("node") / FAN).alias("up")).agg(F.unhex(F.sha2(joined, 256)).alias("root")).select(F.col("up").alias("node"), "root")
+
+
+def _levels(count: int) -> int:
+    """Levels above the leaves of so many recipes."""
+    height = 1
+    while count > FAN:
+        count, height = -(-count // FAN), height + 1
+    return height
+
+
+def _check_manifest(spark: SparkSession, where: str) -> None:
+    """Builds every level anew from the recipes and compares it with the manifest as written; any difference raises."""
+    recipes = spark.read.parquet(f"{where}/recipes")
+    written = spark.read.parquet(f"{where}/manifest")
+    facts = recipes.agg(F.count(F.lit(1)).alias("c"), F.max("rank").alias("last"), F.count_distinct("rank").alias("ranks")).first()
+    tallest = written.agg(F.max("level")).first()[0] or 0
+    fits = (facts.last is None or facts.last + 1 == facts.c) and facts.ranks == facts.c and tallest == (_levels(facts.c) if facts.c else 0)
+    level = _leaves(recipes)
+    for height in range(1, tallest + 1):
+        level = stage(_above(level))
+        mine = level.withColumnRenamed("root", "mine")
+        told = written.where(F.col("level") == height).select("node", "root")
+        fits = fits and told.join(mine, "node", "full").where(~F.col("root").eqNullSafe(F.col("mine"))).isEmpty()
+    if not fits:
+        raise ValueError("the recipes do not fit the manifest")
+
+
 def write_store(docs: DataFrame, where: str, path: str, end_id: int = 2, width: int = 2, text: str = "text", doc_id: str = "doc_id") -> None:
     """Encode every row and write the store's three tables; a null text counts as empty.
 
@@ -149,15 +190,11 @@ def write_store(docs: DataFrame, where: str, path: str, end_id: int = 2, width:
     kept = stage(recipes.mapInArrow(rooted, "doc_id long, row long, n_tokens long, digests array<binary>, root binary"))
     drop_stage(spark, at)
     _ranked(kept).repartitionByRange("rank").sortWithinPartitions("rank").write.mode("overwrite").parquet(f"{where}/recipes")
-    level = spark.read.parquet(f"{where}/recipes").select(F.lit(0).alias("level"), F.col("rank").alias("node"), "root")
-    for height in range(1, 8):
-        children = F.array_sort(F.collect_list(F.struct("node", "root")))  # FAN at most
-        joined = F.aggregate(children, F.lit(b""), lambda s, c: F.concat(s, c["root"]))
-        above = level.groupBy(F.floor(F.col("node") / FAN).alias("up")).agg(F.unhex(F.sha2(joined, 256)).alias("root"))
-        above.select(F.lit(height).alias("level"), F.col("up").alias("node"), "root").write.mode("overwrite" if height == 1 else "append").parquet(f"{where}/manifest")
-        level = spark.read.parquet(f"{where}/manifest").where(F.col("level") == height)
-        if level.count() <= 1:
-            break
+    recipes = spark.read.parquet(f"{where}/recipes")
+    level, count = _leaves(recipes), recipes.count()
+    for height in range(1, _levels(count) + 1):
+        _above(level).select(F.lit(height).alias("level"), "node", "root").write.mode("overwrite" if height == 1 else "append").parquet(f"{where}/manifest")
+        level = spark.read.parquet(f"{where}/manifest").where(F.col("level") == height).select("node", "root")
 
 
 def _chunk_facts(spark: SparkSession, where: str, width: int) -> DataFrame:
@@ -178,11 +215,12 @@ def _chunk_facts(spark: SparkSession, where: str, width: int) -> DataFrame:
 
 
 def verify_store(spark: SparkSession, where: str, width: int = 2) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files.
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files, once these fit the manifest.
 
     Chunks are read once each and checked; a document's crc32 is joined from its chunks', so ids need not meet in
     one place. A recipe whose root or length does not fit its chunks raises.
     """
+    _check_manifest(spark, where)
     recipes = spark.read.parquet(f"{where}/recipes")
     parts = recipes.select("row", F.posexplode("digests").alias("place", "digest")).join(_chunk_facts(spark, where, width), "digest")
     listed = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "n", "crc", "digest"))).alias("parts"))
@@ -191,7 +229,7 @@ def verify_store(spark: SparkSession, where: str, width: int = 2) -> DataFrame:
         for batch in it:
             crcs = []
             for doc, n, root, chunks in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
-                if sum(c["n"] for c in chunks) != n or merkle([c["digest"] for c in chunks]) != root:
+                if chunks is None or sum(c["n"] for c in chunks) != n or merkle([c["digest"] for c in chunks]) != root:
                     raise ValueError(f"the recipe of document {doc} does not fit its chunks")
                 crc = chunks[0]["crc"]
                 for c in chunks[1:]:

@@ -3,6 +3,8 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pytest
 from tokenizers import Tokenizer
 
 from mnemark.llm.bpe import encode_digests, encode_texts
@@ -100,3 +102,60 @@ def test_shards_are_even_and_slots_gapless(spark):
         sizes[r.shard] = sizes.get(r.shard, 0) + r.size
     assert len(rows) == len(TEXTS) + 1200
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert {r.law for r in rows} == {"bytes"}
+    share = sum(sizes.values()) / 8
+    widest = max(r.size for r in rows)
+    assert all(abs(sizes.get(k, 0) - share) <= widest + 0.05 * share for k in range(8)), sizes
+
+
+def test_rows_alike_in_all_columns_are_dealt_too(spark):
+    rows = [(1, "one text")] * 500 + [(None, "one text")] * 500
+    got = shard_by_bytes(frame(spark, rows), 8).groupBy("shard").count().collect()
+    assert sorted(r.shard for r in got) == list(range(8))
+    assert all(abs(r["count"] - 125) <= 2 for r in got), got
+    assert shard_by_bytes(frame(spark, []), 8).count() == 0
+
+
+@pytest.mark.parametrize("table", ["manifest", "recipes", "chunks"])
+def test_a_store_that_was_tampered_with_is_refused(spark, tmp_path, table):
+    where = f"file://{tmp_path}/store"
+    write_store(frame(spark), where, WORDS, end_id=2)
+    rows = spark.read.parquet(f"{where}/{table}").toArrow()
+    if table == "manifest":  # another root
+        rows = rows.set_column(rows.schema.get_field_index("root"), "root", pa.array([bytes(32)] * len(rows), pa.binary()))
+    elif table == "recipes":  # one is lost
+        rows = rows.slice(1)
+    else:  # a chunk is lost with all that its recipe has
+        rows = rows.slice(1)
+    spark.createDataFrame(rows).write.mode("overwrite").parquet(f"{where}/{table}")
+    with pytest.raises(Exception, match="manifest" if table != "chunks" else "does not fit its chunks"):
+        verify_store(spark, where).collect()
+
+
+def test_an_empty_store(spark, tmp_path):
+    where = f"file://{tmp_path}/store"
+    write_store(frame(spark, []), where, WORDS, end_id=2)
+    assert verify_store(spark, where).count() == 0
+
+
+def best_fit_count(lengths, capacity):
+    """Sequences that best-fit decreasing over documents opens."""
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fits = [r for r in rooms if r >= n]
+        if fits:
+            rooms.remove(min(fits))
+            rooms.append(min(fits) - n)
+        else:
+            rooms.append(capacity - n)
+    return len(rooms)
+
+
+def test_plan_opens_as_many_sequences_as_best_fit_over_documents():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        lengths = rng.integers(1, 2049, int(rng.integers(1, 400))).tolist() + [int(rng.integers(1, 64))] * int(rng.integers(0, 300))
+        counts = {n: lengths.count(n) for n in set(lengths)}
+        opened = max(s.sequence + -(-(s.last - s.first) // s.per) for s in plan(counts, 2048))
+        assert opened <= best_fit_count(lengths, 2048) + 1
+        assert opened >= -(-sum(lengths) // 2048)
