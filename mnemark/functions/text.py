@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = r"[ \t\r\n\f]+"
+SPACE = r"[ \t\n\x0B\f\r\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+"
 #: Headings of sections that the engine itself puts before a prompt.
 HEADINGS = (
     "Relevant Day Summary", "Relevant Prior Work", "Relevant Commitments, Preferences, And Identity", "Cross-Repo Examples", "Cross-Repo Hints",

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions import lexicon as L
+from ..functions.terms import assistant_name, java, matches, mentions
+from ..functions.text import normalize, words
 from .ranking import first_of
 
 # How much each part of a capability's description counts.
@@ -13,17 +15,22 @@ NAME_WEIGHT, DESCRIPTION_WEIGHT = 4, 3
 
 
 def memory_scope(type_: Column, text: Column, repository: Column, given: Column) -> Column:
-    """The first rule that holds: a given scope, then the type's own, then what the text speaks of."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    local = low.rlike("this repo|this repository|this project|in here")
-    moves = low.rlike("pattern|playbook|template|reus|across repos")
-    general = low.rlike("always|never|every project|all repos")
+    """The first rule that holds: a given scope, then the type's own, then what the text speaks of.
+
+    ``text`` is all that is said of the memory: type, content, tags, reason and note.
+    """
+    local, moves, general = matches(text, L.REPO_SPECIFIC), matches(text, L.TRANSFERABLE), matches(text, L.GLOBAL_PREFERENCE)
+    asked = F.lower(F.trim(given))
     return (
-        F.when(given.isin("global", "transferable", "repo"), given)
-        .when(type_.isin("interaction_style", "assistant_identity", "user_identity", "directive", "recurring_mistake"), "global")
+        F.when(asked.isin("global", "transferable", "repo"), asked)
+        .when(type_ == "interaction_style", "global")
+        .when((type_ == "assistant_identity") | assistant_name(text).isNotNull(), "global")
+        .when(type_ == "user_identity", "global")
         .when(type_.isin("open_loop", "blocker", "commitment"), "repo")
+        .when(type_ == "directive", "global")
         .when(type_ == "workstream_overlay", F.when(repository.isNotNull(), "repo").otherwise("global"))
         .when(type_.isin("user_preference", "rejected_approach"), F.when(local, "repo").when(moves & ~general, "transferable").otherwise("global"))
+        .when(type_ == "recurring_mistake", "global")
         .when(type_ == "assistant_goal", F.when(local, "repo").when(moves, "transferable").otherwise("global"))
         .when(moves, "transferable")
         .when(repository.isNull(), "global")
@@ -31,8 +38,66 @@ def memory_scope(type_: Column, text: Column, repository: Column, given: Column)
     )
 
 
+def episode_scope(open_items: Column, text: Column, given: Column) -> Column:
+    """A given scope; the repository's own while items are open; what can move; else the repository's own."""
+    asked = F.lower(F.trim(given))
+    return F.when(asked.isin("global", "transferable", "repo"), asked).when(F.size(open_items) > 0, "repo").when(matches(text, L.TRANSFERABLE), "transferable").otherwise("repo")
+
+
+def effective_repository(scope: Column, repository: Column, origin: Column, fallback: Column) -> Column:
+    return F.when(scope != "global", F.coalesce(repository, origin, fallback))
+
+
+def task_terms(prompt: Column) -> Column:
+    """What is left of a prompt to look up once address, style and manners are taken out: long words, without stop words."""
+    text = normalize(prompt)
+    for p in (r"^([a-z][a-z0-9_-]{2,20})[,:]\s+", r"^(?:hi|hello|hey)\s+[a-z][a-z0-9_-]{2,20}(?:[!?,.]\s*|\s+)", r"^(?:hi|hello|hey)[!?,.\s]+"):
+        text = F.regexp_replace(text, java(p), "")
+    for p in (*L.TONE, *L.COLLEAGUE_STYLE, *L.COLLABORATIVE_STYLE, *L.LIGHT_HUMOUR, *L.NO_JOKES, *L.ADDRESSING):
+        text = F.regexp_replace(text, java(p), " ")
+    name = F.lower(F.coalesce(assistant_name(text), F.lit("")))
+    words_ = F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s./_-]", " "), r"\s+")
+    return F.array_distinct(F.filter(words_, lambda w: (F.length(w) > 3) & ~w.isin(*L.TASK_STOP_WORDS, *L.PHATIC_TERMS) & (w != name)))
+
+
+def prompt_need(prompts: DataFrame, text: str) -> DataFrame:
+    """``prompts`` with what each asks for: memories of a time, continuity, examples, style, or only a greeting."""
+    t = F.trim(F.coalesce(F.col(text), F.lit("")))
+    colleague, together = matches(t, L.COLLEAGUE_STYLE), matches(t, L.COLLABORATIVE_STYLE)
+    humour, no_jokes = matches(t, L.LIGHT_HUMOUR), matches(t, L.NO_JOKES)
+    style = matches(t, (*L.TONE, *L.COLLEAGUE_STYLE, *L.COLLABORATIVE_STYLE, *L.LIGHT_HUMOUR, *L.NO_JOKES, *L.ADDRESSING))
+    called = lambda p: F.nullif(F.lower(F.regexp_extract(t, java(p), 1)), F.lit(""))
+    direct = called(r"^([a-z][a-z0-9_-]{2,20})[,:]\s")
+    greeted = called(r"^(?:hi|hello|hey)\s+([a-z][a-z0-9_-]{2,20})(?:[!?,.]|\s|$)")
+    named = lambda c: c.isNotNull() & ~F.coalesce(c, F.lit("")).isin(*L.NO_ADDRESS)
+    facts = prompts.withColumns({
+        "addressed": named(direct) | named(greeted) | assistant_name(t).isNotNull(),
+        "continuity": mentions(t, L.CONSISTENCY_SIGNALS), "examples": mentions(t, L.TRANSFER_SIGNALS), "time": mentions(t, L.TEMPORAL_SIGNALS),
+        "style": style, "explicit_style": colleague | together | humour | no_jokes, "has_task": F.size(task_terms(t)) > 0,
+        "serious": matches(t, L.SERIOUS), "no_humour": no_jokes | (~humour & matches(t, L.SERIOUS)), "local_only": matches(t, L.LOCAL_SCOPE),
+    })
+    c = F.col
+    timed = facts.withColumn("temporal", c("time") & (~c("addressed") | c("continuity") | c("examples") | c("has_task")))
+    only = timed.withColumn("identity_only", c("addressed") & ~c("temporal") & ~c("continuity") & ~c("examples") & ~c("style") & ~c("has_task"))
+    return only.withColumns({
+        "needs_lookup": c("temporal") | c("addressed") | c("continuity") | c("style") | c("examples"),
+        "local_context": ~c("identity_only") & (c("temporal") | c("continuity") | c("has_task")),
+        "cross_repository": c("examples") | (c("temporal") & ~c("local_only")),
+    }).drop("time", "has_task", "local_only")
+
+
+def risk(actions: DataFrame) -> DataFrame:
+    """Risk score and tier of planned actions by mutability, reversibility, reach and trust; what is unknown counts as such."""
+    def part(column: str, table: dict[str, int], unknown: str) -> Column:
+        at = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))])
+        return F.coalesce(F.try_element_at(at, F.trim(column)), F.lit(table[unknown]))
+
+    score = part("mutability", L.MUTABILITY, "read-only") + part("reversibility", L.REVERSIBILITY, "reversible") + part("reach", L.REACH, "isolated") + part("trust", L.TRUST, "unknown")
+    return actions.withColumn("score", score).withColumn("tier", risk_tier(F.col("score")))
+
+
 def risk_tier(score: Column) -> Column:
-    return F.when(score >= 12, "critical").when(score >= 8, "high").when(score >= 4, "medium").otherwise("low")
+    return F.when(score >= 12, "critical").when(score >= 8, "high").when(score >= 4, "moderate").otherwise("low")
 
 
 def due(last_completed: Column, last_started: Column, cadence_minutes: Column, now: Column, force: Column) -> Column:

@@ -46,7 +46,7 @@ memory AS (SELECT d.doc_id AS id, d.text AS content, CASE WHEN d.doc_id % 5 <> 0
   FROM documents d LEFT JOIN lab USING (doc_id))
 """
 EPISODE = """
-episode AS (SELECT doc_id AS session_id, substring(text, 1, 160) AS summary, doc_id % 10 AS significance,
+episode AS (SELECT doc_id AS session_id, text AS summary, doc_id % 10 AS significance,
   CASE WHEN doc_id % 5 <> 0 THEN source END AS repository, (['global','transferable','repo'])[1 + doc_id % 3] AS scope,
   CAST(DATE '2024-01-01' + CAST(doc_id % 30 AS INT) AS DATE) AS date_key, doc_id AS updated FROM documents)
 """
@@ -75,7 +75,7 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PROMPTS = f"""
 plain AS (SELECT item_id AS query_id, list_filter({WORDS.format('text')}, lambda w: length(w) > 3) AS w FROM benchmark),
-asked AS (SELECT DISTINCT query_id, unnest(list_slice(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda p: list_position(w, p[1]) = p[2]), lambda p: p[1]), 1, 2)) AS term FROM plain),
+asked AS (SELECT DISTINCT query_id, unnest(w) AS term FROM plain),
 sizes AS (SELECT query_id, count(*) AS terms FROM asked GROUP BY 1)
 """
 
@@ -241,8 +241,8 @@ def queue_view(spark, sf_dir):
 SELECT id, hook, repository FROM k ORDER BY recorded_at DESC, id DESC LIMIT 240""")
 def retained_traces(spark, sf_dir):
     rows = S.trace(spark, sf_dir)
-    since = rows.agg(F.max("recorded_at") - F.expr("interval 14 days")).first()[0]
-    return R.retained(rows, "repository", "recorded_at", "id", F.lit(since), 120, 240).select("id", "hook", "repository")
+    newest = rows.agg((F.max("recorded_at") - F.expr("interval 14 days")).alias("since"))  # one row
+    return R.retained(rows.crossJoin(F.broadcast(newest)), "repository", "recorded_at", "id", F.col("since"), 120, 240).select("id", "hook", "repository")
 
 
 @registered("R21_rotating_window", "SELECT p_partkey, p_name FROM part WHERE ((p_partkey - 17) % 97 + 97) % 97 < 14")
@@ -279,7 +279,7 @@ def resolved_approvals(spark, sf_dir):
 
 
 @registered("J15_capability_match", f"""WITH w AS (SELECT p_partkey, p_name AS name, unnest({WORDS.format('p_name')}) AS token, 4 AS weight FROM part UNION ALL SELECT p_partkey, p_name, unnest({WORDS.format("p_brand || ' ' || p_type")}), 3 FROM part),
-s AS (SELECT name, token, sum(weight) AS weight FROM w GROUP BY 1, 2), q AS (SELECT DISTINCT c_custkey AS prompt_id, unnest({WORDS.format("c_mktsegment || ' small brass ' || c_name")}) AS token FROM customer WHERE c_custkey <= 50)
+s AS (SELECT name, token, sum(weight) AS weight FROM w GROUP BY 1, 2), q AS (SELECT DISTINCT c_custkey AS prompt_id, unnest({WORDS.format("c_mktsegment || ' small brass ' || c_name")}) AS token FROM customer)
 SELECT prompt_id, name, CAST(sum(weight) AS BIGINT) AS score FROM s JOIN q USING (token) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY sum(weight) DESC, name) <= 3""")
 def capability_match(spark, sf_dir):
     parts = S.table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.concat_ws(" ", "p_brand", "p_type").alias("description"))
@@ -287,18 +287,6 @@ def capability_match(spark, sf_dir):
     return C.best_capabilities(parts, asked, 3)
 
 
-@registered("C2_memory_scope", f"""WITH {MEMORY}, t AS (SELECT id, type, repository, (['use this pattern ', 'always do it ', 'in this repo ', ''])[1 + id % 4] || left(content, 80) AS txt FROM memory)
-SELECT id, CASE WHEN type IN ('interaction_style', 'directive', 'recurring_mistake') THEN 'global' WHEN type IN ('open_loop', 'blocker', 'commitment') THEN 'repo'
- WHEN type IN ('user_preference', 'rejected_approach') THEN CASE WHEN local THEN 'repo' WHEN moves AND NOT general THEN 'transferable' ELSE 'global' END
- WHEN type = 'assistant_goal' THEN CASE WHEN local THEN 'repo' WHEN moves THEN 'transferable' ELSE 'global' END
- WHEN moves THEN 'transferable' WHEN repository IS NULL THEN 'global' ELSE 'repo' END AS scope
-FROM (SELECT *, coalesce(regexp_matches(lower(txt), 'this repo|this repository|this project|in here'), false) AS local, coalesce(regexp_matches(lower(txt), 'pattern|playbook|template|reus|across repos'), false) AS moves,
- coalesce(regexp_matches(lower(txt), 'always|never|every project|all repos'), false) AS general FROM t)""")
-def memory_scope(spark, sf_dir):
-    lead = F.array(*map(F.lit, ("use this pattern ", "always do it ", "in this repo ", "")))[(F.col("id") % 4).cast("int")]
-    return S.memory(spark, sf_dir).select("id", C.memory_scope(F.col("type"), F.concat(lead, "content"), F.col("repository"), F.lit(None).cast("string")).alias("scope"))
-
-
 @registered("C16_due_tasks", f"""SELECT o_orderkey AS task, CASE WHEN o_orderkey % 13 = 0 THEN 'forced' WHEN o_orderkey % 5 = 0 THEN 'never_run' WHEN o_orderkey % 7 = 0 THEN 'always_due'
  WHEN floor((epoch(TIMESTAMP '{NOW}') - epoch(o_orderdate)) / 60) >= CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE (o_orderkey % 7) * 500000 END THEN 'due' ELSE 'within_cadence' END AS reason FROM orders""")
 def due_tasks(spark, sf_dir):
@@ -356,7 +344,7 @@ def latest_activity(spark, sf_dir):
 
 
 @registered("X_text_functions", rf"""SELECT doc_id, md5({NORMAL.format('text')}) AS normal, CAST(ceil(length(text) / 4.0) AS BIGINT) AS cost, CASE WHEN length(text) > 72 THEN rtrim(left(text, 71)) || '…' ELSE text END AS short,
- left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) AS slug, array_to_string(list_transform(list_slice({WORDS.format('text')}, 1, 12), lambda w: {STEM.format('w')}), ' ') AS stems FROM documents""")
+ left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) AS slug, array_to_string(list_transform({WORDS.format('text')}, lambda w: {STEM.format('w')}), ' ') AS stems FROM documents""")
 def text_functions(spark, sf_dir):
     t = F.col("text")
     return S.table(spark, sf_dir, "documents").select(
