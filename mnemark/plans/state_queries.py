@@ -1,0 +1,146 @@
+"""Registered queries on state: merges, queues, overrides, approvals, and what is told of them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import diagnostics as D
+from ..operators import snapshots as P
+from ..sources import bindings as S
+from .memory_queries import EPISODE, MEMORY, NORMAL, NOW, QUEUE, STEM, TRACE, WORDS, now, registered
+
+def number():
+    return F.col("id")
+
+
+@registered("M1_insert_memories", f"""WITH {MEMORY}, m AS (SELECT type, md5(content) AS key, scope, coalesce(repository, '') AS r, id % 8 = 0 AS manual, id % 6 = 0 AS saved, confidence, reinforcement, id AS last_seen, tags FROM memory),
+cur AS (SELECT type, key, scope, r, bool_or(manual) AS manual, bool_or(saved) AS saved, max(confidence) AS confidence, CAST(sum(reinforcement) AS BIGINT) AS reinforcement, max(last_seen) AS last_seen, min(tags) AS tags FROM m WHERE last_seen % 3 <> 0 GROUP BY ALL),
+pins AS (SELECT type, key, max((last_seen, scope, r)) AS p FROM cur WHERE manual GROUP BY ALL),
+inc AS (SELECT m.type, m.key, CASE WHEN p IS NOT NULL THEN p[2] ELSE m.scope END AS scope, CASE WHEN p IS NOT NULL THEN p[3] ELSE m.r END AS r, p IS NOT NULL AS pinned, saved, confidence, reinforcement, last_seen, tags FROM m LEFT JOIN pins ON m.type = pins.type AND m.key = pins.key WHERE last_seen % 2 = 0),
+f AS (SELECT type, key, scope, r, bool_or(pinned) AS pinned, bool_or(saved) AS s, max(confidence) AS most, arg_max(confidence, (last_seen, confidence)) AS lastc, CAST(sum(reinforcement) AS BIGINT) AS n, max(last_seen) AS seen, list(DISTINCT tags) FILTER (tags IS NOT NULL) AS t FROM inc GROUP BY ALL)
+SELECT type, key, scope, nullif(r, '') AS repository, coalesce(manual, false) AS manual, coalesce(saved, false) OR coalesce(s, false) AS saved,
+ CASE WHEN n IS NULL THEN confidence WHEN manual IS NULL THEN lastc WHEN coalesce(pinned, false) OR ((manual OR saved) AND NOT s) THEN greatest(confidence, most) ELSE lastc END AS confidence,
+ coalesce(reinforcement, 0) + coalesce(n, 0) AS reinforcement, greatest(last_seen, seen) AS last_seen,
+ array_to_string(list_concat(CASE WHEN tags IS NULL THEN [] ELSE [tags] END, list_filter(list_sort(coalesce(t, [])), lambda x: tags IS NULL OR x <> tags)), ' ') AS tags FROM cur FULL JOIN f USING (type, key, scope, r)""")
+def insert_memories(spark, sf_dir):
+    m = S.memory(spark, sf_dir).select("type", F.md5("content").alias("key"), "scope", "repository", (number() % 8 == 0).alias("manual"), (number() % 6 == 0).alias("saved"), "confidence", "reinforcement", number().alias("last_seen"), "tags")
+    current = m.where("last_seen % 3 <> 0").groupBy("type", "key", "scope", "repository").agg(
+        F.bool_or("manual").alias("manual"), F.bool_or("saved").alias("saved"), F.max("confidence").alias("confidence"), F.sum("reinforcement").alias("reinforcement"), F.max("last_seen").alias("last_seen"), F.min("tags").alias("tags")
+    )
+    return P.insert_memories(current, m.where("last_seen % 2 = 0"))
+
+
+@registered("M2_upsert_episodes", f"""WITH {EPISODE}, cur AS (SELECT session_id, summary, scope, repository, session_id % 7 = 0 AS manual, updated AS created_at, updated AS updated_at FROM episode WHERE session_id % 3 <> 0),
+b AS (SELECT session_id, md5(summary) AS summary, 'repo' AS scope, 'moved' AS repository, updated + 5 AS updated_at FROM episode WHERE session_id % 2 = 0)
+SELECT session_id, md5(CASE WHEN b.updated_at IS NOT NULL THEN b.summary ELSE cur.summary END) AS summary, CASE WHEN b.updated_at IS NOT NULL AND NOT coalesce(manual, false) THEN b.scope ELSE cur.scope END AS scope,
+ CASE WHEN b.updated_at IS NOT NULL AND NOT coalesce(manual, false) THEN b.repository ELSE cur.repository END AS repository, coalesce(manual, false) AS manual, coalesce(created_at, b.updated_at) AS created_at,
+ coalesce(b.updated_at, cur.updated_at) AS updated_at FROM cur FULL JOIN b USING (session_id)""")
+def upsert_episodes(spark, sf_dir):
+    e = S.episode(spark, sf_dir)
+    current = e.where("session_id % 3 <> 0").select("session_id", "summary", "scope", "repository", (F.col("session_id") % 7 == 0).alias("manual"), F.col("updated").alias("created_at"), F.col("updated").alias("updated_at"))
+    batch = e.where("session_id % 2 = 0").select("session_id", F.md5("summary").alias("summary"), F.lit("repo").alias("scope"), F.lit("moved").alias("repository"), (F.col("updated") + 5).alias("updated_at"))
+    return P.upsert_episodes(current, batch).withColumn("summary", F.md5("summary"))
+
+
+@registered("M4_upsert_domains", """WITH t AS (SELECT lower(c_mktsegment) || (c_custkey % 40) AS domain_key, arg_max(c_name, c_custkey) AS title, max(c_custkey) AS updated_at FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1),
+b AS (SELECT lower(trim(CASE WHEN c_custkey % 9 = 0 THEN ' ' ELSE ' ' || c_mktsegment || (c_custkey % 50) END)) AS domain_key, arg_max(CASE WHEN c_custkey % 4 > 0 THEN c_name END, c_custkey) AS title, max(c_custkey) AS updated_at FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1),
+c AS (SELECT lower(trim(' ' || c_mktsegment || (c_custkey % 50))) AS domain_key, max((c_custkey, CASE WHEN c_custkey % 4 > 0 THEN c_name END)) AS x FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 9 <> 0 GROUP BY 1)
+SELECT domain_key, coalesce(x[2], title) AS title, coalesce(x[1], updated_at) AS updated_at FROM t FULL JOIN c USING (domain_key)""")
+def upsert_domains(spark, sf_dir):
+    c, k = S.table(spark, sf_dir, "customer"), F.col("c_custkey")
+    held = c.where(k % 2 == 0).groupBy(F.concat(F.lower("c_mktsegment"), (k % 40).cast("string")).alias("domain_key")).agg(F.max_by("c_name", k).alias("title"), F.max(k).alias("updated_at"))
+    key = F.when(k % 9 == 0, " ").otherwise(F.concat(F.lit(" "), "c_mktsegment", (k % 50).cast("string")))
+    batch = c.where(k % 3 == 0).select(key.alias("domain_key"), F.when(k % 4 > 0, F.col("c_name")).alias("title"), k.alias("updated_at"))
+    return P.upsert_keyed(held, batch, "domain_key", ["title"], "updated_at")
+
+
+@registered("M5_advanced_queue", f"""WITH {QUEUE}, e AS (SELECT l_orderkey AS session_id, CASE l_returnflag WHEN 'A' THEN 'completed' WHEN 'R' THEN 'failed' ELSE 'started' END AS event, CAST(l_shipdate AS TIMESTAMP) AS happened, l_linestatus AS error, l_linenumber AS n FROM lineitem),
+x AS (SELECT session_id, max((happened, event)) AS last, count(*) FILTER (event = 'started') AS starts, max((happened, event, error)) AS e FROM e GROUP BY 1)
+SELECT session_id, CASE e[2] WHEN 'started' THEN 'running' WHEN 'completed' THEN 'completed' WHEN 'failed' THEN 'failed' ELSE status END AS status, coalesce(starts, 0) AS attempts,
+ CASE WHEN e[2] = 'failed' THEN e[1] + INTERVAL 15 MINUTE ELSE CAST(available_at AS TIMESTAMP) END AS available_at FROM queue LEFT JOIN x USING (session_id)""")
+def advanced_queue(spark, sf_dir):
+    queue = S.work_queue(spark, sf_dir).select("session_id", "status", F.lit(0).cast("long").alias("attempts"), F.col("available_at").cast("timestamp").alias("available_at"), F.lit(None).cast("string").alias("last_error"))
+    flag = F.col("l_returnflag")
+    events = S.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("session_id"), F.when(flag == "A", "completed").when(flag == "R", "failed").otherwise("started").alias("event"), F.col("l_shipdate").cast("timestamp").alias("at"), F.col("l_linestatus").alias("error")
+    )
+    return P.advance_queue(queue, events, F.expr("interval 15 minutes")).drop("last_error")
+
+
+@registered("M7_activity", f"""WITH {QUEUE}, s AS (SELECT repository, available_at AS happened, CASE WHEN priority > 2 THEN session_id END AS extraction, CASE WHEN priority < 4 THEN session_id END AS maintenance FROM queue),
+n AS (SELECT 'repo:' || repository AS scope_key, * FROM s UNION ALL SELECT 'global', * FROM s)
+SELECT scope_key, (max((happened, extraction)) FILTER (extraction IS NOT NULL))[2] AS extraction, (max((happened, maintenance)) FILTER (maintenance IS NOT NULL))[2] AS maintenance FROM n GROUP BY 1""")
+def activity(spark, sf_dir):
+    s = S.work_queue(spark, sf_dir).select(F.col("repository").cast("string").alias("repository"), F.col("available_at").alias("at"), F.when(F.col("priority") > 2, F.col("session_id")).alias("extraction"), F.when(F.col("priority") < 4, F.col("session_id")).alias("maintenance"))
+    none = s.limit(0).select(F.lit("").alias("scope_key"), "extraction", "maintenance")
+    return P.activity(none, s, ["extraction", "maintenance"], "at")
+
+
+@registered("M8_task_results", """WITH r AS (SELECT l_linestatus || (l_suppkey % 9) AS task, CASE l_returnflag WHEN 'A' THEN 'completed' WHEN 'R' THEN 'failed' ELSE 'skipped' END AS status, l_shipdate AS happened FROM lineitem)
+SELECT task, count(*) AS runs, count(*) FILTER (status = 'failed') AS failures, arg_max(status, (happened, status)) AS last_status, max(happened) FILTER (status = 'completed') AS last_completed FROM r GROUP BY 1""")
+def task_results(spark, sf_dir):
+    flag = F.col("l_returnflag")
+    r = S.table(spark, sf_dir, "lineitem").select(F.concat("l_linestatus", (F.col("l_suppkey") % 9).cast("string")).alias("task"), F.when(flag == "A", "completed").when(flag == "R", "failed").otherwise("skipped").alias("status"), F.col("l_shipdate").alias("at"))
+    none = r.limit(0).select("task", F.lit(0).cast("long").alias("runs"), F.lit(0).cast("long").alias("failures"), F.col("status").alias("last_status"), F.col("at").alias("last_completed"))
+    return P.task_results(none, r)
+
+
+SOURCED = "src AS (SELECT *, id % 97 AS session_id, (['rule_extractor', 'memory_save', NULL, 'onboarding'])[1 + id % 4] AS origin, id % 10 = 3 AS by_hand FROM memory)"
+
+
+def sourced(spark, sf_dir):
+    return S.memory(spark, sf_dir).withColumns({"session_id": number() % 97, "source": F.array(F.lit("rule_extractor"), F.lit("memory_save"), F.lit(None), F.lit("onboarding"))[(number() % 4).cast("int")], "manual": number() % 10 == 3})
+
+
+@registered("M11_without_generated", f"WITH {MEMORY}, {SOURCED} SELECT id, session_id FROM src WHERE session_id NOT IN (SELECT DISTINCT c_nationkey FROM customer) OR coalesce(origin, '') IN ('memory_save', 'onboarding') OR by_hand")
+def without_generated(spark, sf_dir):
+    return P.without_generated(sourced(spark, sf_dir), S.table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("session_id"))).select("id", "session_id")
+
+
+@registered("G6_generated_counts", f"WITH {MEMORY}, {SOURCED} SELECT session_id, count(*) AS generated FROM src WHERE coalesce(origin, '') NOT IN ('memory_save', 'onboarding') GROUP BY 1")
+def generated_counts(spark, sf_dir):
+    return P.generated_counts(sourced(spark, sf_dir))
+
+
+OVERRIDES = f"""WITH {MEMORY}, m AS (SELECT id, type, scope, CASE WHEN scope <> 'global' THEN repository END AS repository, (['repo', 'global'])[1 + id % 2] AS auto_scope, id % 5 = 0 AS manual FROM memory),
+r AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'clear' ELSE 'set' END AS action, (['global', 'transferable', 'repo'])[1 + c_nationkey % 3] AS new, CASE WHEN c_nationkey % 2 = 0 THEN 'src1' END AS repo FROM customer),
+n AS (SELECT *, CASE action WHEN 'set' THEN new WHEN 'clear' THEN auto_scope ELSE scope END AS new_scope, CASE WHEN action = 'set' THEN coalesce(repo, repository) ELSE repository END AS place FROM m FULL JOIN r USING (id)),
+e AS (SELECT *, CASE WHEN new_scope <> 'global' THEN place END AS new_repository, type IS NOT NULL AS found FROM n)"""
+
+
+def overrides(spark, sf_dir):
+    memory = S.memory(spark, sf_dir).select("id", "type", "scope", F.when(F.col("scope") != "global", F.col("repository")).alias("repository"), F.array(F.lit("repo"), F.lit("global"))[(number() % 2).cast("int")].alias("auto_scope"), (number() % 5 == 0).alias("manual"))
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    requests = S.table(spark, sf_dir, "customer").select(
+        k.alias("id"), F.when(k % 3 == 0, "clear").otherwise("set").alias("action"), F.array(*map(F.lit, S.SCOPES))[(n % 3).cast("int")].alias("scope"), F.when(n % 2 == 0, "src1").alias("repository"), k.alias("at")
+    )
+    return P.scope_overrides(memory, requests)
+
+
+@registered("M12_override_preview", OVERRIDES + """ SELECT id, found, coalesce(found AND NOT (new_scope IS NOT DISTINCT FROM scope AND new_repository IS NOT DISTINCT FROM repository), false) AS changed, scope, new_scope, repository, new_repository FROM e WHERE action IS NOT NULL""")
+def override_preview(spark, sf_dir):
+    return overrides(spark, sf_dir)[0]
+
+
+@registered("M12_overridden", OVERRIDES + """ SELECT id, CASE WHEN action IS NOT NULL THEN new_scope ELSE scope END AS scope, CASE WHEN action IS NOT NULL THEN new_repository ELSE repository END AS repository,
+ CASE action WHEN 'set' THEN true WHEN 'clear' THEN false ELSE manual END AS manual FROM e WHERE found""")
+def overridden(spark, sf_dir):
+    return overrides(spark, sf_dir)[1]
+
+
+@registered("M13_recorded_approvals", f"""WITH a AS (SELECT CAST(s_suppkey % 3 AS INT) AS family, CASE WHEN s_suppkey % 4 <> 0 THEN CAST(s_suppkey % 6 AS INT) END AS repository, s_suppkey AS target, CASE WHEN s_acctbal > 2000 THEN 'allow' ELSE 'deny' END AS decision, s_suppkey % 5 = 0 AS durable,
+ CASE WHEN s_suppkey % 7 = 0 THEN TIMESTAMP '1997-01-01 00:00:00' END AS expires_at, s_suppkey AS updated_at FROM supplier),
+live AS (SELECT * FROM a WHERE expires_at IS NULL OR expires_at >= TIMESTAMP '{NOW}'),
+q AS (SELECT CAST(c_custkey % 3 AS INT) AS family, CASE WHEN c_custkey % 4 <> 0 THEN CAST(c_custkey % 6 AS INT) END AS repository, c_custkey AS target, arg_max(CASE WHEN c_acctbal > 0 THEN 'allow' ELSE 'deny' END, c_custkey) AS d, max(c_custkey) AS asked_at FROM customer GROUP BY ALL),
+j AS (SELECT coalesce(l.family, q.family) AS family, coalesce(l.repository, q.repository) AS repository, coalesce(l.target, q.target) AS target, coalesce(d, decision) AS decision, false AS durable, expires_at, coalesce(asked_at, updated_at) AS updated_at
+ FROM (SELECT * FROM live WHERE NOT durable) l FULL JOIN q ON l.family = q.family AND l.repository IS NOT DISTINCT FROM q.repository AND l.target = q.target)
+SELECT * FROM j UNION ALL SELECT family, repository, target, decision, durable, expires_at, updated_at FROM live WHERE durable""")
+def recorded_approvals(spark, sf_dir):
+    k, c = F.col("s_suppkey"), F.col("c_custkey")
+    family, repository = lambda x: (x % 3).cast("int").alias("family"), lambda x: F.when(x % 4 != 0, (x % 6).cast("int")).alias("repository")
+    held = S.table(spark, sf_dir, "supplier").select(
+        family(k), repository(k), k.alias("target"), F.when(F.col("s_acctbal") > 2000, "allow").otherwise("deny").alias("decision"), (k % 5 == 0).alias("durable"),
+        F.when(k % 7 == 0, F.lit("1997-01-01").cast("timestamp")).alias("expires_at"), k.alias("updated_at"),
+    )
+    asked = S.table(spark, sf_dir, "customer").select(family(c), repository(c), c.alias("target"), F.when(F.col("c_acctbal") > 0, "allow").otherwise("deny").alias("decision"), c.alias("at"))
+    return P.record_approvals(held, asked, now())
