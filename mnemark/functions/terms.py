@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
-from .text import SPACE, normalize, stem, words
+from .text import SPACE, normalize, stem, stem_word, words
 
 WORD = "[A-Za-z0-9_]"
 EDGE = f"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))"
@@ -71,7 +71,7 @@ def search_terms(query: Column) -> Column:
 
 def direct_terms(query: Column) -> Column:
     """Stemmed terms of a query, repeats kept, without aliases and generic ones."""
-    stems = F.transform(words(_without_operators(query)), stem)
+    stems = F.transform(words(_without_operators(query)), stem_word)
     return F.filter(stems, lambda t: (F.length(t) > 2) & ~t.isin(*L.GENERIC_TERMS))
 
 

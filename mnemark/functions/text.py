@@ -20,8 +20,12 @@ def normalize(text: Column) -> Column:
 
 
 def stem(term: Column) -> Column:
-    """The first of: -ies to -y, no -ing, no -ed, no -s, where enough letters remain."""
-    t = F.regexp_replace(F.lower(term), "[^a-z0-9]+", "")
+    """The stem of any term: cleaned to a word once, then :func:`stem_word`."""
+    return F.transform(F.array(F.regexp_replace(F.lower(term), "[^a-z0-9]+", "")), stem_word)[0]
+
+
+def stem_word(t: Column) -> Column:
+    """The first of: -ies to -y, no -ing, no -ed, no -s, where enough letters remain, of a word of a-z and 0-9."""
     n = F.length(t)
     return (
         F.when((n > 4) & t.endswith("ies"), F.concat(F.substring(t, 1, n - 3), F.lit("y")))
@@ -39,7 +43,7 @@ def words(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Distinct stemmed words of more than two letters, in order."""
-    return F.array_distinct(F.filter(F.transform(words(text), stem), lambda w: F.length(w) > 2))
+    return F.array_distinct(F.filter(F.transform(words(text), stem_word), lambda w: F.length(w) > 2))
 
 
 def estimated_tokens(text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import tokens
+from .ranking import newest
 
 
 def store_stats(memory: DataFrame) -> DataFrame:
@@ -55,28 +56,37 @@ def day_summaries(episodes: DataFrame, most: int = 8) -> DataFrame:
     return kept.groupBy(*by).agg(F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- "), x["summary"])), "\n").alias("summary"), F.count(F.lit(1)).alias("episodes"))
 
 
-def latency_summary(trace: DataFrame, by: str, target_ms: float, least: int) -> DataFrame:
+def latency_summary(trace: DataFrame, by: str, target_ms: float, least: int, bins: int = 1024) -> DataFrame:
     """n, mean, p50, p95, max and latest of each group, by the floor rule: the value at place floor((n - 1) p).
 
-    Ranks come from a sorted window over value groups, so no group is gathered in one row.
+    Equal values are counted first. Bins between a group's least and largest value then tell in which bin a place lies,
+    and only that bin is sorted, so a group that holds most rows is never sorted whole.
     """
     rows = trace.where(F.col("latency_ms").isNotNull())
-    counts = rows.groupBy(by, "latency_ms").agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(by).orderBy("latency_ms"))
-    n = F.sum("c").over(Window.partitionBy(by))
-    placed = counts.withColumn("upto", upto).withColumn("n", n)
-    at = lambda p: F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1) * p), F.col("latency_ms")))
-    ranks = placed.groupBy(by).agg(F.max("n").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("latency_ms").alias("most"))
-    rest = rows.groupBy(by).agg(F.round(F.avg("latency_ms"), 6).alias("mean"), F.max_by("latency_ms", F.struct("recorded_at", "id")).alias("latest"))
+    facts = rows.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.min("latency_ms").alias("_lo"), F.max("latency_ms").alias("most"), F.round(F.avg("latency_ms"), 6).alias("mean"), F.max_by("latency_ms", F.struct("recorded_at", "id")).alias("latest")
+    )
+    width = F.col("most") - F.col("_lo")
+    at_bin = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("latency_ms") - F.col("_lo")) / width * bins))).otherwise(0).cast("int")
+    counts = rows.groupBy(by, "latency_ms").agg(F.count(F.lit(1)).alias("c")).join(facts.select(by, "_lo", "most", "n"), by).withColumn("bin", at_bin)
+    sums = counts.groupBy(by, "bin").agg(F.sum("c").alias("s"), F.max("n").alias("n"))
+    before = F.coalesce(F.sum("s").over(Window.partitionBy(by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = {"p50": F.floor((F.col("n") - 1) * 0.5), "p95": F.floor((F.col("n") - 1) * 0.95)}
+    holds = lambda t: (F.col("before") <= t) & (t < F.col("before") + F.col("s"))
+    wanted = sums.withColumn("before", before).where(holds(place["p50"]) | holds(place["p95"])).select(by, "bin", "before", "s")
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy(by, "bin").orderBy("latency_ms"))
+    placed = counts.join(wanted, [by, "bin"]).withColumn("upto", upto)
+    value = lambda t: F.min(F.when(holds(t) & (F.col("upto") > t), F.col("latency_ms")))
+    ranks = placed.groupBy(by).agg(*[value(t).alias(name) for name, t in place.items()])
     ready = F.when(F.col("n") < least, "warming").when(F.col("p95") <= target_ms, "met").otherwise("missed")
-    return ranks.join(rest, by).withColumn("target", ready)
+    return facts.drop("_lo").join(ranks, by).withColumn("target", ready)
 
 
 def latency_trend(trace: DataFrame, by: str, flat_ms: float = 5.0) -> DataFrame:
     """Mean of the newest samples against that of those before: w = max(1, min(10, n div 2)) of each."""
+    last = newest(trace.select(by, "latency_ms", "recorded_at", "id"), [by], [F.desc("recorded_at"), F.desc("id")], 20)
     order = Window.partitionBy(by).orderBy(F.desc("recorded_at"), F.desc("id"))
-    n = F.count(F.lit(1)).over(Window.partitionBy(by))
-    rows = trace.select(by, "latency_ms", F.row_number().over(order).alias("at"), n.alias("n")).where("at <= 20")
+    rows = last.withColumn("at", F.row_number().over(order)).join(trace.groupBy(by).agg(F.count(F.lit(1)).alias("n")), by)
     w = F.greatest(F.lit(1), F.least(F.lit(10), F.floor(F.col("n") / 2)))
     means = rows.withColumn("w", w).groupBy(by).agg(
         F.round(F.avg(F.when(F.col("at") <= F.col("w"), F.col("latency_ms"))), 6).alias("recent"),

@@ -16,6 +16,12 @@ def first_of(df: DataFrame, by: list[str], order: list[Column], count: int = 1)
     return df.withColumn("_at", at).where(F.col("_at") <= count).drop("_at")
 
 
+def newest(rows: DataFrame, by: list[str], order: list[Column], count: int, salts: int = 32) -> DataFrame:
+    """The first ``count`` rows of each group: of each of its salted parts first, then of these."""
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts))
+    return first_of(first_of(rows.withColumn("_salt", salt), [*by, "_salt"], order, count).drop("_salt"), by, order, count)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, doc: str, text: str, query: str) -> DataFrame:
     """query, doc, score of the documents that hold all of a query's terms; the larger score the better.
 
@@ -80,9 +86,13 @@ def relevant_episodes(episodes: DataFrame, queries: DataFrame, limit: int = 5) -
 
 
 def packed(items: DataFrame, group: str, order: list[Column], text: str, budget: int) -> DataFrame:
-    """The items of each group, in order, until the first that would exceed the budget; empty ones cost nothing."""
+    """The items of each group, in order, until the first that would exceed the budget; empty ones cost nothing.
+
+    An item costs one at least, so no group can take more than its first ``budget`` items: only these are summed.
+    """
     spent = F.sum("cost").over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return items.where(F.length(F.trim(text)) > 0).withColumn("cost", estimated_tokens(F.col(text))).withColumn("spent", spent).where(F.col("spent") <= budget)
+    costed = items.where(F.length(F.trim(text)) > 0).withColumn("cost", estimated_tokens(F.col(text)))
+    return newest(costed, [group], order, budget).withColumn("spent", spent).where(F.col("spent") <= budget)
 
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:

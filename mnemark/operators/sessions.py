@@ -15,18 +15,12 @@ from pyspark.sql.window import Window
 from ..functions import lexicon as L
 from ..functions.terms import captured, matches, uncorrected
 from ..functions.text import before_headings, normalize, truncated, without_blocks
-from .ranking import first_of
+from .ranking import first_of, newest
 
 #: Blocks that the engine itself adds to a message.
 BLOCKS = ("system_notification", "memory", "context")
 
 
-def newest(rows: DataFrame, by: list[str], order: list[Column], count: int, salts: int = 32) -> DataFrame:
-    """The first ``count`` rows of each group: of each of its salted parts first, then of these."""
-    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts))
-    return first_of(first_of(rows.withColumn("_salt", salt), [*by, "_salt"], order, count).drop("_salt"), by, order, count)
-
-
 def numbered(rows: DataFrame, by: str, place: str, out: str = "position", width: int = 4096) -> DataFrame:
     """Gapless positions from 0 by a whole-number column within each group; ranges of it are counted first, so none is gathered."""
     dealt = rows.withColumn("_part", F.floor(F.col(place) / width))

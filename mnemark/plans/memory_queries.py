@@ -349,7 +349,7 @@ def text_functions(spark, sf_dir):
     t = F.col("text")
     return S.table(spark, sf_dir, "documents").select(
         "doc_id", F.md5(X.normalize(t)).alias("normal"), X.estimated_tokens(t).alias("cost"), X.truncated(t, 72).alias("short"), X.slug(t).alias("slug"),
-        F.array_join(F.transform(X.words(t), X.stem), " ").alias("stems"),
+        F.array_join(F.transform(X.words(t), X.stem_word), " ").alias("stems"),
     )
 
 

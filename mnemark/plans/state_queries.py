@@ -144,3 +144,165 @@ def recorded_approvals(spark, sf_dir):
     )
     asked = S.table(spark, sf_dir, "customer").select(family(c), repository(c), c.alias("target"), F.when(F.col("c_acctbal") > 0, "allow").otherwise("deny").alias("decision"), c.alias("at"))
     return P.record_approvals(held, asked, now())
+
+
+@registered("G3_cluster_summaries", f"WITH {MEMORY} SELECT md5(lower({NORMAL.format('content')})) AS canonical, count(*) AS n, count(*) FILTER (superseded_by IS NULL) AS active, CAST(sum(reinforcement) AS BIGINT) AS reinforcement FROM memory GROUP BY 1")
+def cluster_summaries(spark, sf_dir):
+    return D.cluster_summaries(keyed_memory(spark, sf_dir), "canonical")
+
+
+def keyed_memory(spark, sf_dir):
+    from ..functions.text import normalize
+
+    return S.memory(spark, sf_dir).withColumn("canonical", F.md5(F.lower(normalize(F.col("content")))))
+
+
+@registered("G11_hit_rates", """WITH l AS (SELECT l_returnflag || l_linestatus || (l_suppkey % 7) AS name, l_linenumber % 4 AS matched, l_linenumber % 3 AS included, CAST(l_quantity AS BIGINT) AS dropped FROM lineitem),
+s AS (SELECT name, count(*) AS seen, count(*) FILTER (matched > 0) AS hits, count(*) FILTER (included > 0) AS used, CAST(sum(dropped) AS BIGINT) AS dropped FROM l GROUP BY 1)
+SELECT *, round(hits / seen, 4) AS hit_rate, round(used / seen, 4) AS use_rate FROM s ORDER BY seen DESC, name LIMIT 8""")
+def hit_rates(spark, sf_dir):
+    rows = S.table(spark, sf_dir, "lineitem").select(
+        F.concat("l_returnflag", "l_linestatus", (F.col("l_suppkey") % 7).cast("string")).alias("name"), (F.col("l_linenumber") % 4).alias("matched"), (F.col("l_linenumber") % 3).alias("included"), F.col("l_quantity").cast("long").alias("dropped")
+    )
+    return D.hit_rates(rows)
+
+
+def routed(spark, sf_dir):
+    return S.trace(spark, sf_dir).withColumns({"route": F.concat(F.lit("r"), (F.col("repository") % 4).cast("string")), "injected": F.col("latency_ms") > 50, "reason": F.concat(F.lit("k"), (F.col("k") % 5).cast("string"))})
+
+
+@registered("G13_routes", f"WITH {TRACE} SELECT hook, 'r' || (repository % 4) AS route, count(*) AS n, count(*) FILTER (latency_ms > 50) AS with_context FROM trace GROUP BY 1, 2")
+def route_counts(spark, sf_dir):
+    return D.routes(routed(spark, sf_dir))
+
+
+@registered("G21_reasons", f"""WITH {TRACE}, c AS (SELECT hook, 'k' || (k % 5) AS reason, count(*) AS n FROM trace WHERE k IS NOT NULL GROUP BY 1, 2) SELECT hook, string_agg(reason || ' x' || n, ', ' ORDER BY n DESC, reason) AS reasons FROM c GROUP BY 1""")
+def left_out(spark, sf_dir):
+    return D.reasons(routed(spark, sf_dir).where("reason is not null"), ["hook"])
+
+
+@registered("G18_themes", "SELECT p_brand AS kind, CAST(p_size % 6 AS INT) AS theme, count(*) AS n, max(p_partkey) AS updated_at FROM part GROUP BY 1, 2 HAVING count(*) >= 2 ORDER BY n DESC, updated_at DESC, kind, theme LIMIT 5")
+def improvement_themes(spark, sf_dir):
+    return D.themes_of(S.table(spark, sf_dir, "part").select(F.col("p_brand").alias("kind"), (F.col("p_size") % 6).cast("int").alias("theme"), F.col("p_partkey").alias("updated_at")))
+
+
+@registered("G19_newest_kinds", f"WITH {TRACE} SELECT hook, count(*) AS n FROM (SELECT hook FROM trace ORDER BY recorded_at DESC, id DESC LIMIT 200) GROUP BY 1")
+def newest_kinds(spark, sf_dir):
+    return D.newest_kinds(S.trace(spark, sf_dir), [F.desc("recorded_at"), F.desc("id")], 200, "hook")
+
+
+@registered("G26_progress", """WITH r AS (SELECT l_orderkey AS run_id, count(*) AS total, count(*) FILTER (l_returnflag NOT IN ('A', 'R') AND l_linenumber % 2 = 0) AS pending, count(*) FILTER (l_returnflag NOT IN ('A', 'R') AND l_linenumber % 2 = 1) AS running, count(*) FILTER (l_returnflag = 'R') AS failed FROM lineitem GROUP BY 1)
+SELECT *, CAST(floor(100.0 * (total - pending - running) / total + 0.5) AS BIGINT) AS percent, CASE WHEN pending + running = 0 THEN CASE WHEN failed > 0 THEN 'failed' ELSE 'completed' END WHEN total = pending + running THEN 'queued' ELSE 'running' END AS phase FROM r""")
+def progress(spark, sf_dir):
+    flag, open_ = F.col("l_returnflag"), ~F.col("l_returnflag").isin("A", "R")
+    even = F.col("l_linenumber") % 2 == 0
+    runs = S.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.count(F.lit(1)).alias("total"), F.count_if(open_ & even).alias("pending"), F.count_if(open_ & ~even).alias("running"), F.count_if(flag == "R").alias("failed"))
+    return D.progress(runs)
+
+
+PARTS = f"w AS (SELECT p_name AS name, unnest({WORDS.format('p_name')}) AS token, 4 AS weight FROM part UNION ALL SELECT p_name, unnest({WORDS.format('p_type')}), 3 FROM part)"
+
+
+@registered("G29_keyword_weights", f"WITH {PARTS}, s AS (SELECT name, token, CAST(sum(weight) AS BIGINT) AS weight FROM w GROUP BY 1, 2) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY name ORDER BY weight DESC, token) <= 3")
+def keyword_weights(spark, sf_dir):
+    from ..functions.text import words
+
+    p = S.table(spark, sf_dir, "part")
+    each = [p.select(F.col("p_name").alias("name"), F.explode(words(F.col(c))).alias("token"), F.lit(w).alias("weight")) for c, w in (("p_name", 4), ("p_type", 3))]
+    return D.keyword_weights(each[0].union(each[1]), 3)
+
+
+EXPECTED = """x AS (SELECT c_custkey % 500 AS case_id, c_custkey AS item, lower(left(c_mktsegment, 4)) AS snippet, CASE WHEN c_custkey % 3 = 0 THEN [] WHEN c_custkey % 3 = 1 THEN ['F', 'O'] ELSE ['P'] END AS kinds FROM customer),
+r AS (SELECT o_orderkey % 500 AS case_id, o_orderstatus AS kind, o_orderpriority || CASE WHEN o_orderkey % 3 = 0 THEN ' building' WHEN o_orderkey % 7 = 0 THEN ' MACHINERY  x' ELSE '' END AS text, o_orderkey AS rank, o_orderkey % 4 = 0 AS included FROM orders),
+h AS (SELECT x.case_id, item, min(rank) FILTER (hit) AS best_rank, count(*) FILTER (hit AND included) AS a, count(*) FILTER (hit) AS b FROM (SELECT x.case_id, item, rank, included, coalesce(contains(lower(text), snippet) AND (len(kinds) = 0 OR list_contains(kinds, kind)), false) AS hit FROM x LEFT JOIN r USING (case_id)) x GROUP BY 1, 2),
+o AS (SELECT case_id, item, best_rank, CASE WHEN a > 0 THEN 'included' WHEN b > 0 THEN 'ranked_only' ELSE 'missing' END AS outcome FROM h)"""
+
+
+def expected(spark, sf_dir):
+    k, o = F.col("c_custkey"), F.col("o_orderkey")
+    none = F.array().cast("array<string>")
+    items = S.table(spark, sf_dir, "customer").select(
+        (k % 500).alias("case_id"), k.alias("item"), F.substring("c_mktsegment", 1, 4).alias("snippet"), F.when(k % 3 == 0, none).when(k % 3 == 1, F.array(F.lit("F"), F.lit("O"))).otherwise(F.array(F.lit("P"))).alias("kinds")
+    )
+    text = F.concat("o_orderpriority", F.when(o % 3 == 0, " building").when(o % 7 == 0, " MACHINERY  x").otherwise(""))
+    shown = S.table(spark, sf_dir, "orders").select((o % 500).alias("case_id"), F.col("o_orderstatus").alias("kind"), text.alias("text"), o.alias("rank"), (o % 4 == 0).alias("included"))
+    return D.evidence(items, shown)
+
+
+@registered("C17_backfill_decisions", f"""WITH {QUEUE}, r AS (SELECT repository, count(*) FILTER (status = 'running') AS running, count(*) FILTER (status IN ('pending', 'failed')) AS waiting FROM queue GROUP BY 1)
+SELECT repository, CASE WHEN running > 0 THEN 'resume' WHEN waiting = 0 THEN 'skip' ELSE 'start' END AS decision FROM r""")
+def backfill_decisions(spark, sf_dir):
+    return D.backfill_decisions(S.work_queue(spark, sf_dir))
+
+
+@registered("P10_upkeep_plan", f"""WITH t AS (SELECT n_name AS task, n_nationkey AS place, (n_nationkey % 4) * 500000 AS cadence, n_nationkey % 6 <> 5 AS enabled FROM nation),
+s AS (SELECT n_name AS task, max(CAST(o_orderdate AS TIMESTAMP)) AS last FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey WHERE n_nationkey % 5 <> 2 GROUP BY 1),
+w AS (SELECT t.*, CASE WHEN last IS NULL THEN 'never_run' WHEN cadence = 0 THEN 'always_due' WHEN floor((epoch(TIMESTAMP '{NOW}') - epoch(last)) / 60) >= cadence THEN 'due' ELSE 'within_cadence' END AS reason FROM t LEFT JOIN s USING (task)),
+p AS (SELECT *, reason <> 'within_cadence' AND enabled AS wanted FROM w)
+SELECT task, reason, wanted AND sum(CASE WHEN wanted THEN 1 ELSE 0 END) OVER (ORDER BY place, task ROWS UNBOUNDED PRECEDING) <= 4 AS selected FROM p""")
+def upkeep_plan(spark, sf_dir):
+    n = S.table(spark, sf_dir, "nation")
+    tasks = n.select(F.col("n_name").alias("task"), F.col("n_nationkey").alias("place"), (F.col("n_nationkey") % 4 * 500000).alias("cadence"), (F.col("n_nationkey") % 6 != 5).alias("enabled"))
+    ran = n.join(S.table(spark, sf_dir, "customer"), F.col("c_nationkey") == F.col("n_nationkey")).join(S.table(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"))
+    state = ran.groupBy(F.col("n_name").alias("task")).agg(F.max(F.when(F.col("n_nationkey") % 5 != 2, F.col("o_orderdate").cast("timestamp"))).alias("last_completed")).withColumn("last_started", F.col("last_completed"))
+    return D.upkeep_plan(tasks, state, now(), 4)
+
+
+@registered("C9_incidents", f"""WITH {TRACE}, r AS (SELECT hook, latency_ms, row_number() OVER (PARTITION BY hook ORDER BY latency_ms, id) - 1 AS pos, count(*) OVER (PARTITION BY hook) AS c FROM trace WHERE latency_ms IS NOT NULL),
+l AS (SELECT hook, max(latency_ms) FILTER (pos = floor((c - 1) * 0.95)) AS p95 FROM r GROUP BY 1 HAVING count(*) >= 50),
+t AS (SELECT l_linestatus || (l_suppkey % 9) AS task, arg_max(CASE l_returnflag WHEN 'A' THEN 'completed' WHEN 'R' THEN 'failed' ELSE 'needs_attention' END, (l_shipdate, l_returnflag, l_orderkey, l_linenumber)) AS s FROM lineitem GROUP BY 1)
+SELECT 'latency' AS kind, 'warning' AS severity, hook AS subject FROM l WHERE p95 > 20 UNION ALL SELECT 'maintenance', CASE s WHEN 'failed' THEN 'critical' ELSE 'info' END, task FROM t WHERE s <> 'completed'
+UNION ALL SELECT 'backlog', 'info', p_brand FROM part GROUP BY p_brand HAVING count(*) > 20""")
+def incidents(spark, sf_dir):
+    from ..operators.aggregates import latency_summary
+
+    flag = F.col("l_returnflag")
+    tasks = S.table(spark, sf_dir, "lineitem").groupBy(F.concat("l_linestatus", (F.col("l_suppkey") % 9).cast("string")).alias("task")).agg(
+        F.max_by(F.when(flag == "A", "completed").when(flag == "R", "failed").otherwise("needs_attention"), F.struct("l_shipdate", "l_returnflag", "l_orderkey", "l_linenumber")).alias("last_status")
+    )
+    found = D.incidents(
+        D.latency_incidents(latency_summary(S.trace(spark, sf_dir), "hook", 20.0, 50)), D.task_incidents(tasks), D.backlog_incidents(S.table(spark, sf_dir, "part").select(F.col("p_brand").alias("kind")))
+    )
+    return found.select("kind", "severity", "subject")
+
+
+@registered("J13_evidence", f"WITH {EXPECTED} SELECT case_id, item, best_rank, outcome FROM o")
+def evidence(spark, sf_dir):
+    return expected(spark, sf_dir)
+
+
+@registered("G17_case_outcomes", f"WITH {EXPECTED}, n AS (SELECT case_id, count(*) FILTER (outcome = 'missing') AS missing, count(*) FILTER (outcome <> 'missing') AS found FROM o GROUP BY 1) SELECT *, CASE WHEN missing = 0 AND found > 0 THEN 'included' WHEN found > 0 THEN 'partial' ELSE 'missing' END AS outcome FROM n")
+def case_outcomes(spark, sf_dir):
+    return D.case_outcomes(expected(spark, sf_dir))
+
+
+@registered("P15_drill_down", f"""WITH {MEMORY}, {EPISODE}, m AS (SELECT id, id % 300 AS session_id, superseded_by + 3 AS above, md5(lower({NORMAL.format('content')})) AS canonical FROM memory),
+f AS (SELECT * FROM m WHERE id IN (SELECT item_id FROM benchmark)), days AS (SELECT DISTINCT date_key, CASE WHEN session_id % 3 = 0 THEN '' ELSE coalesce(repository, '') END AS r FROM episode),
+own AS (SELECT f.id, e.session_id, date_key, coalesce(repository, '') AS r FROM f JOIN episode e USING (session_id))
+SELECT 'from_session' AS kind, CAST(id AS VARCHAR) AS from_id, CAST(session_id AS VARCHAR) AS to_id FROM own
+UNION ALL SELECT 'on_day', CAST(id AS VARCHAR), d FROM (SELECT id, own.date_key || '/' || days.r AS d, row_number() OVER (PARTITION BY id ORDER BY days.r = own.r DESC) AS k FROM own JOIN days ON own.date_key = days.date_key AND (days.r = own.r OR days.r = '')) WHERE k = 1
+UNION ALL SELECT DISTINCT 'superseded_by', CAST(id AS VARCHAR), CAST(above AS VARCHAR) FROM m WHERE above IS NOT NULL AND (id IN (SELECT id FROM f) OR above IN (SELECT id FROM f))
+UNION ALL SELECT 'same_meaning', CAST(f.id AS VARCHAR), CAST(m.id AS VARCHAR) FROM f JOIN m ON f.canonical = m.canonical AND f.id <> m.id
+UNION ALL SELECT 'same_day', CAST(o.session_id AS VARCHAR), CAST(e.session_id AS VARCHAR) FROM (SELECT DISTINCT session_id, date_key, r FROM own) o JOIN episode e ON o.date_key = e.date_key AND o.r = coalesce(e.repository, '') AND o.session_id <> e.session_id""")
+def drill_down(spark, sf_dir):
+    memory = keyed_memory(spark, sf_dir).withColumns({"session_id": number() % 300, "superseded_by": F.col("superseded_by") + 3})
+    e = S.episode(spark, sf_dir)
+    days = e.select("date_key", F.when(F.col("session_id") % 3 == 0, "").otherwise(F.coalesce("repository", F.lit(""))).alias("repository")).distinct()
+    return D.drill_down(S.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")), memory, e, days)
+
+
+@registered("R11_episodes_of_day", f"""WITH {EPISODE}, a AS (SELECT item_id AS prompt_id, CAST(DATE '2024-01-01' + CAST(item_id % 40 AS INT) AS DATE) AS date_key, 'src' || (item_id % 6) AS own FROM benchmark),
+m AS (SELECT prompt_id, e.*, CASE WHEN repository = own THEN 0 WHEN scope = 'global' THEN 1 ELSE 2 END AS place FROM a JOIN episode e USING (date_key) WHERE NOT regexp_matches(coalesce(summary, ''), '(?i)^\\s*(session [0-9a-f-]{{8,}}$|call the tool\\b|using only local repo files\\b)|\\breturn only the tool output\\b')),
+p AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY place, significance DESC, updated DESC, session_id DESC) <= 15),
+o AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY prompt_id, lower({NORMAL.format('summary')}) ORDER BY place, significance DESC, updated DESC, session_id DESC) = 1)
+SELECT prompt_id, session_id, place FROM o QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY place, significance DESC, updated DESC, session_id DESC) <= 5""")
+def episodes_of_day(spark, sf_dir):
+    i = F.col("item_id")
+    asked = S.table(spark, sf_dir, "benchmark").select(i.alias("prompt_id"), F.date_add(F.lit("2024-01-01").cast("date"), (i % 40).cast("int")).alias("date_key"), F.concat(F.lit("src"), (i % 6).cast("string")).alias("repository"))
+    return D.episodes_of_day(asked, S.episode(spark, sf_dir), 5)
+
+
+@registered("R10_without_generic", f"WITH {EPISODE}, g AS (SELECT date_key, repository, session_id, significance < 8 AS generic FROM episode) SELECT date_key, session_id FROM g QUALIFY generic = false OR NOT bool_or(NOT generic) OVER (PARTITION BY date_key, repository)")
+def without_generic(spark, sf_dir):
+    rows = S.episode(spark, sf_dir).withColumn("repository", F.coalesce("repository", F.lit("")))
+    return D.without_generic(rows, ["date_key", "repository"], F.col("significance") < 8).select("date_key", "session_id")
