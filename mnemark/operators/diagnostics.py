@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import normalize
-from .ranking import first_of
+from .ranking import excluded, first_of
 from .rules import due
 
 #: Most severe first.
@@ -152,13 +152,6 @@ def drill_down(focus: DataFrame, memory: DataFrame, episodes: DataFrame, days: D
     return reduce(DataFrame.unionByName, parts)
 
 
-def exclusion(summary: Column) -> Column:
-    """Why an episode is no candidate, or null."""
-    text = normalize(summary)
-    tool = text.rlike(r"(?i)^call the tool(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])return only the tool output(?![A-Za-z0-9_])|^using only local repo files(?![A-Za-z0-9_])")
-    return F.when(text.rlike(r"(?i)^session [0-9a-f-]{8,}$"), "placeholder_summary").when(tool, "tool_invocation_summary")
-
-
 def without_generic(rows: DataFrame, by: list[str], generic: Column) -> DataFrame:
     """Rows of each group less the generic ones, if there is any other."""
     some = rows.groupBy(*by).agg(F.bool_or(~generic).alias("_some"))
@@ -167,7 +160,7 @@ def without_generic(rows: DataFrame, by: list[str], generic: Column) -> DataFram
 
 def episodes_of_day(asked: DataFrame, episodes: DataFrame, limit: int) -> DataFrame:
     """Episodes of each asked day (prompt_id, date_key, repository): the prompt's own repository, then all's, then others'; each summary once."""
-    met = asked.withColumnRenamed("repository", "_own").join(episodes, "date_key").withColumn("excluded", exclusion(F.col("summary"))).where("excluded is null")
+    met = asked.withColumnRenamed("repository", "_own").join(episodes, "date_key").withColumn("excluded", excluded(F.col("summary"))).where("excluded is null")
     place = F.when(F.col("repository") == F.col("_own"), 0).when(F.col("scope") == "global", 1).otherwise(2)
     ranked = met.withColumn("place", place)
     order = [F.col("place"), F.desc("significance"), F.desc("updated"), F.desc("session_id")]

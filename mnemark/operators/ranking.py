@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import lexicon as L
+from ..functions.terms import matches
 from ..functions.text import estimated_tokens, normalize, tokens, words
 
 K1, B = 1.2, 0.75
@@ -59,30 +61,47 @@ def search_memory(memory: DataFrame, queries: DataFrame, limit: int = 8, reposit
     return kept.select("query_id", "id", "score", "confidence")
 
 
+def excluded(summary: Column) -> Column:
+    """Why an episode is no candidate, or null."""
+    text = normalize(summary)
+    return F.when(matches(text, L.NOISE_SUMMARIES[:1]), "placeholder_summary").when(matches(text, L.NOISE_SUMMARIES[2:]), "tool_invocation_summary")
+
+
 def relevant_episodes(episodes: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
-    """Hybrid ranking: a lexical and a recency pool, terms weighed by their rarity in the pool, ranks fused."""
+    """query_id, session_id, score, matched: hybrid ranking over a lexical and a recency pool, ranks fused.
+
+    ``queries`` has query_id, lexical (terms that a lexical hit holds, all of them), terms and primary (terms that count,
+    and those that count more). A candidate needs a primary term or two of any. Terms weigh by their rarity in the pool;
+    summaries that are equal but for case and white space count once, lexical hits first; generic ones give way to others.
+    """
     most_exact, most_recent = max(2 * limit, 8), max(8 * limit, 24)
-    exact = first_of(bm25(episodes, queries, "session_id", "summary", "query_id"), ["query_id"], [F.desc("score"), F.col("session_id")], most_exact)
-    ranked = exact.select("query_id", "session_id", (F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "session_id")) - 1).alias("lexical"))
-    newest = episodes.orderBy(F.desc("updated"), "session_id").limit(most_recent).select("session_id", F.col("updated").alias("_u"))
-    # a fixed number of rows
-    recent = queries.select("query_id").crossJoin(F.broadcast(newest)).select(
-        "query_id", "session_id", (F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_u"), "session_id")) - 1).alias("recency")
-    )
-    sizes = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_exact"))
-    pool = ranked.join(recent, ["query_id", "session_id"], "full").join(sizes, "query_id", "left").join(episodes, "session_id")
-    pool = pool.withColumn("toks", tokens(F.col("summary")))
-    n = pool.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_pool"), F.count("recency").alias("n_recent"))
-    asked = queries.select("query_id", F.explode(F.array_distinct("stems")).alias("term"))
-    held = pool.select("query_id", "session_id", F.explode("toks").alias("term")).join(asked, ["query_id", "term"])
-    df = held.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df")).join(n, "query_id")
-    weight = 1 + (F.col("n_pool") - F.col("df")) / F.col("n_pool")
-    term = held.join(df, ["query_id", "term"]).groupBy("query_id", "session_id").agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("matched"))
-    rrf = 1 / (60 + F.coalesce("lexical", "n_exact", F.lit(0))) + 1 / (60 + F.coalesce("recency", "n_recent"))
-    term_score = F.col("w") + 0.35 * F.col("matched") + F.when(F.col("lexical").isNotNull(), 2.0).otherwise(0.0) + F.least(F.col("significance") / 10, F.lit(1.0))
-    scored = pool.join(term, ["query_id", "session_id"]).join(n, "query_id").withColumn("score", F.round(term_score + 30 * rrf, 6))
-    unique = first_of(scored, ["query_id", "summary"], [F.desc("score"), F.desc("significance"), F.desc("updated")])
-    return first_of(unique, ["query_id"], [F.desc("score"), F.desc("significance"), F.desc("updated")], limit).select("query_id", "session_id", "score", "matched")
+    asked_for = queries.select("query_id", F.col("lexical").alias("terms"))
+    light = episodes.select("session_id", "significance", "updated")
+    hits = bm25(episodes, asked_for, "session_id", "summary", "query_id").join(light, "session_id")
+    order = [F.desc("score"), F.desc("significance"), F.desc("updated"), F.col("session_id")]
+    exact = first_of(hits, ["query_id"], order, most_exact)
+    ranked = exact.select("query_id", "session_id", (F.row_number().over(Window.partitionBy("query_id").orderBy(*order)) - 1).alias("lexical"))
+    newest_ = episodes.orderBy(F.desc("updated"), F.desc("significance"), "session_id").limit(most_recent).select(F.struct("updated", "significance", (-F.col("session_id")).alias("s"), "session_id").alias("e"))
+    # a fixed number of rows, numbered once and given to every query
+    listed = newest_.agg(F.reverse(F.array_sort(F.collect_list("e"))).alias("l")).select(F.posexplode("l").alias("recency", "e")).select("recency", F.col("e.session_id").alias("session_id"))
+    recent = queries.select("query_id").crossJoin(F.broadcast(listed))
+    of_query = Window.partitionBy("query_id")  # a pool has 10 rows a result at most
+    pool = ranked.join(recent, ["query_id", "session_id"], "full").withColumn("n_exact", F.count("lexical").over(of_query)).withColumn("n_recent", F.count("recency").over(of_query))
+    texts = episodes.join(pool.select("session_id").distinct(), "session_id", "left_semi").withColumn("_why", excluded(F.col("summary"))).where("_why is null")
+    key = F.coalesce(F.nullif(F.md5(F.lower(normalize(F.col("summary")))), F.md5(F.lit(""))), F.col("session_id").cast("string"))
+    asked = queries.select("query_id", F.explode(F.array_union("terms", "primary")).alias("term"), "primary").select("query_id", "term", F.array_contains("primary", F.col("term")).alias("first"))
+    # every text of the pools is cut to terms once, however many queries look at it
+    facts = texts.select("session_id", "significance", "updated", key.alias("_s"), matches(normalize(F.col("summary")), L.NOISE_SUMMARIES[1:2]).alias("generic"), tokens(F.col("summary")).alias("tokens"))
+    kept = first_of(pool.join(facts, "session_id"), ["query_id", "_s"], [F.col("lexical").asc_nulls_last(), F.col("recency"), F.col("session_id")])
+    each = kept.withColumn("n_pool", F.count(F.lit(1)).over(of_query)).select("*", F.explode("tokens").alias("term")).drop("tokens", "_s").join(asked, ["query_id", "term"])
+    weight = 1 + (F.col("n_pool") - F.count(F.lit(1)).over(Window.partitionBy("query_id", "term"))) / F.col("n_pool")
+    own = ["query_id", "session_id", "lexical", "recency", "n_exact", "n_recent", "significance", "updated", "generic"]
+    sums = each.withColumn("weight", weight).groupBy(*own).agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("matched"), F.count_if("first").alias("primary"))
+    rrf = 1 / (60 + F.coalesce("lexical", "n_exact")) + 1 / (60 + F.coalesce("recency", "n_recent"))
+    term_score = F.col("w") + 0.35 * F.col("matched") + 1.25 * F.col("primary") + F.when(F.col("lexical").isNotNull(), 2.0).otherwise(0.0) + F.when(F.col("generic"), 0.0).otherwise(0.5) + F.least(F.col("significance") / 10, F.lit(1.0))
+    scored = sums.where("primary > 0 or matched > 1").withColumn("score", F.round(term_score + 30 * rrf, 6))
+    preferred = scored.withColumn("_some", F.bool_or(~F.col("generic")).over(of_query)).where(~F.col("_some") | ~F.col("generic"))
+    return first_of(preferred, ["query_id"], [F.desc("score"), F.desc("significance"), F.desc("updated"), F.col("session_id")], limit).select("query_id", "session_id", "score", "matched")
 
 
 def packed(items: DataFrame, group: str, order: list[Column], text: str, budget: int) -> DataFrame:

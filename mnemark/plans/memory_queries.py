@@ -92,15 +92,6 @@ hits AS (SELECT query_id, doc, score FROM scored JOIN sizes USING (query_id) WHE
 """
 
 
-@registered("R3_memory_search", f"""WITH {MEMORY}, {PROMPTS}, {bm25_sql('memory', 'id', 'content')},
-best AS (SELECT * FROM (SELECT query_id, m.*, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, confidence DESC, updated_at DESC, id) AS pos
-  FROM hits JOIN memory m ON doc = id WHERE superseded_by IS NULL AND (scope = 'global' OR repository = 'src3')) WHERE pos <= 8),
-kept AS (SELECT *, row_number() OVER (PARTITION BY query_id, type, lower({NORMAL.format('content')}), scope, coalesce(repository, '') ORDER BY score DESC, confidence DESC, updated_at DESC, id) AS k FROM best)
-SELECT query_id, id, score, confidence FROM kept WHERE k = 1""")
-def memory_search(spark, sf_dir):
-    return R.search_memory(S.memory(spark, sf_dir), prompts(spark, sf_dir), limit=8, repository="src3")
-
-
 @registered("R4_episode_search", f"""WITH {EPISODE}, {PROMPTS}, {bm25_sql('episode', 'session_id', 'summary')}
 SELECT query_id, session_id, score, significance FROM (SELECT query_id, session_id, score, significance, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, significance DESC, updated DESC) AS pos
   FROM hits JOIN episode ON doc = session_id) WHERE pos <= 5""")
@@ -110,29 +101,6 @@ def episode_search(spark, sf_dir):
     return R.first_of(hits, ["query_id"], [F.desc("score"), F.desc("significance"), F.desc("updated")], 5).select("query_id", "session_id", "score", "significance")
 
 
-STEMS = f"""stems AS (SELECT DISTINCT query_id, {STEM.format('t')} AS term FROM (SELECT item_id AS query_id, unnest({WORDS.format('text')}) AS t FROM benchmark) WHERE length({STEM.format('t')}) > 2)"""
-
-
-@registered("R9_relevant_episodes", f"""WITH {EPISODE}, {PROMPTS}, {STEMS}, {bm25_sql('episode', 'session_id', 'summary')},
-lexical AS (SELECT query_id, doc AS session_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) - 1 AS lexical FROM hits QUALIFY lexical < 10),
-newest AS (SELECT session_id, row_number() OVER (ORDER BY updated DESC, session_id) - 1 AS recency FROM episode QUALIFY recency < 40),
-recent AS (SELECT item_id AS query_id, session_id, recency FROM benchmark, newest),
-n1 AS (SELECT query_id, count(*) AS n_exact FROM lexical GROUP BY 1),
-pool AS (SELECT coalesce(l.query_id, r.query_id) AS query_id, coalesce(l.session_id, r.session_id) AS session_id, lexical, recency FROM lexical l FULL JOIN recent r ON l.query_id = r.query_id AND l.session_id = r.session_id),
-n2 AS (SELECT query_id, count(*) AS n_pool, count(recency) AS n_recent FROM pool GROUP BY 1),
-toks AS (SELECT DISTINCT session_id, {STEM.format('t')} AS term FROM (SELECT session_id, unnest({WORDS.format('summary')}) AS t FROM episode)),
-held AS (SELECT p.query_id, p.session_id, t.term FROM pool p JOIN toks t USING (session_id) JOIN stems s ON s.query_id = p.query_id AND s.term = t.term),
-pdf AS (SELECT query_id, term, count(*) AS df FROM held GROUP BY 1, 2),
-term AS (SELECT query_id, session_id, sum(1 + (n_pool - df) / CAST(n_pool AS DOUBLE)) AS w, count(*) AS matched FROM held JOIN pdf USING (query_id, term) JOIN n2 USING (query_id) GROUP BY 1, 2),
-ranked AS (SELECT p.query_id, p.session_id, matched, summary, significance, updated, round(w + 0.35 * matched + CASE WHEN lexical IS NOT NULL THEN 2.0 ELSE 0.0 END + least(significance / 10.0, 1.0)
-  + 30 * (1.0 / (60 + coalesce(lexical, n_exact, 0)) + 1.0 / (60 + coalesce(recency, n_recent))), 6) AS score
-  FROM pool p JOIN term USING (query_id, session_id) JOIN n2 USING (query_id) LEFT JOIN n1 USING (query_id) JOIN episode USING (session_id)),
-once AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY query_id, summary ORDER BY score DESC, significance DESC, updated DESC) = 1)
-SELECT query_id, session_id, score, matched FROM once QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, significance DESC, updated DESC) <= 5""")
-def relevant_episodes(spark, sf_dir):
-    return R.relevant_episodes(S.episode(spark, sf_dir), prompts(spark, sf_dir), limit=5)
-
-
 @registered("R13_budget_packing", f"""WITH {EPISODE}, costed AS (SELECT *, CAST(ceil(length(summary) / 4.0) AS BIGINT) AS cost FROM episode WHERE length(trim(summary)) > 0),
 run AS (SELECT *, CAST(sum(cost) OVER (PARTITION BY date_key ORDER BY updated DESC, session_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent FROM costed)
 SELECT date_key, session_id, cost, spent FROM run WHERE spent <= 320""")

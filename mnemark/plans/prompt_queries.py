@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import terms as X
 from ..functions import text as T
+from ..operators import ranking as R
 from ..operators import rules as C
 from ..sources import bindings as S
-from .memory_queries import MEMORY, NORMAL, STEM, WORDS, registered
+from .memory_queries import EPISODE, MEMORY, NORMAL, STEM, WORDS, bm25_sql, registered
 
 #: Openings that make invented prose speak as prompts and memories do; each text has one, by its number.
 LEADS = (
@@ -173,3 +174,62 @@ def session_labels(spark, sf_dir):
         X.significance(k % 5, k % 4, k % 2 == 0, T.normalize(s) != "").cast("long").alias("significance"), X.clamped(F.col("n_chars") / 3.0, 5, 900, 7).alias("bounded"),
         F.md5(X.comparison_text(T.normalize(s))).alias("comparable"), F.round(value, 2).alias("confidence"), X.listed(items).alias("listed"), X.is_noise(s).alias("noise"),
     )
+
+
+def noise_sql(column: str, patterns) -> str:
+    return any_of(NORMAL.format(column), patterns)
+
+
+ASKED = f"""
+texts AS (SELECT item_id AS query_id, text AS txt FROM benchmark),
+raw_direct AS (SELECT query_id, unnest(list_distinct({DIRECT.format('txt')})) AS term FROM texts),
+raw_wide AS (SELECT query_id, unnest(list_filter({BARE.format('txt')}, lambda w: {KEPT.format('w')})) AS w FROM texts),
+wide AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, w AS term FROM raw_wide UNION ALL SELECT query_id, unnest({ALIAS_MAP}[w]) FROM raw_wide) WHERE {KEPT.format('term')}),
+camel AS (SELECT query_id, unnest(regexp_extract_all(txt, '\\b([A-Za-z][a-z]+(?:[A-Z][a-z]+)+)\\b', 1)) AS w FROM texts),
+named AS (SELECT query_id, lower(regexp_replace(regexp_replace(w, '\\.[a-zA-Z]+$', ''), '[^A-Za-z0-9]', '', 'g')) AS w FROM (SELECT query_id, unnest(regexp_extract_all(txt, '`([^`]+)`', 1)) AS w FROM texts)
+ UNION ALL SELECT query_id, lower(regexp_replace(w, '[^A-Za-z0-9]', '', 'g')) FROM (SELECT query_id, unnest(regexp_extract_all(txt, '(?i)\\b([\\w-]+)\\.(?:mjs|cjs|js|ts|tsx|json|md|yaml|yml)\\b', 1)) AS w FROM texts)
+ UNION ALL SELECT query_id, lower(w) FROM camel UNION ALL SELECT query_id, unnest(string_split(lower(trim(regexp_replace(w, '([A-Z])', ' \\1', 'g'))), ' ')) FROM camel),
+entity AS (SELECT DISTINCT query_id, {STEM.format('w')} AS term FROM named WHERE length(w) > 2 AND length({STEM.format('w')}) > 2 AND NOT list_contains({GENERIC}, {STEM.format('w')})),
+primaries AS (SELECT * FROM raw_direct UNION SELECT * FROM entity),
+counting AS (SELECT * FROM wide UNION SELECT * FROM primaries),
+asked AS (SELECT * FROM raw_direct UNION SELECT * FROM wide WHERE query_id NOT IN (SELECT query_id FROM raw_direct)),
+sizes AS (SELECT query_id, count(*) AS terms FROM asked GROUP BY 1)
+"""
+
+
+def asked(spark, sf_dir):
+    t = F.col("text")
+    rows = S.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), X.direct_terms(t).alias("direct"), X.search_terms(t).alias("wide"), X.entity_terms(t).alias("entity"))
+    lexical = F.when(F.size("direct") > 0, F.array_distinct("direct")).otherwise(F.col("wide"))
+    return rows.select("query_id", lexical.alias("lexical"), F.array_union("wide", "entity").alias("terms"), F.array_union("direct", "entity").alias("primary"))
+
+
+@registered("R9_relevant_episodes", f"""WITH {EPISODE}, {ASKED}, {bm25_sql('episode', 'session_id', 'summary')},
+lexical AS (SELECT query_id, doc AS session_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, significance DESC, updated DESC, doc) - 1 AS lexical FROM hits JOIN episode ON doc = session_id QUALIFY lexical < 10),
+newest AS (SELECT session_id, row_number() OVER (ORDER BY updated DESC, significance DESC, session_id) - 1 AS recency FROM episode QUALIFY recency < 40),
+raw AS (SELECT query_id, count(*) AS n_exact FROM lexical GROUP BY 1),
+pool AS (SELECT coalesce(l.query_id, r.query_id) AS query_id, coalesce(l.session_id, r.session_id) AS session_id, lexical, recency FROM lexical l FULL JOIN (SELECT item_id AS query_id, session_id, recency FROM benchmark, newest) r ON l.query_id = r.query_id AND l.session_id = r.session_id),
+facts AS (SELECT session_id, summary, significance, updated, {noise_sql('summary', L.NOISE_SUMMARIES[1:2])} AS generic, CASE WHEN {NORMAL.format('summary')} = '' THEN CAST(session_id AS VARCHAR) ELSE lower({NORMAL.format('summary')}) END AS s FROM episode
+ WHERE session_id IN (SELECT session_id FROM pool) AND NOT {noise_sql('summary', (*L.NOISE_SUMMARIES[:1], *L.NOISE_SUMMARIES[2:]))}),
+kept AS (SELECT query_id, session_id, lexical, recency, significance, updated, generic FROM pool JOIN facts USING (session_id) QUALIFY row_number() OVER (PARTITION BY query_id, s ORDER BY lexical NULLS LAST, recency, session_id) = 1),
+size AS (SELECT query_id, count(*) AS n_pool FROM kept GROUP BY 1),
+toks AS (SELECT DISTINCT session_id, {STEM.format('t')} AS term FROM (SELECT session_id, unnest({WORDS.format('summary')}) AS t FROM facts)),
+held AS (SELECT query_id, session_id, t.term, (query_id, t.term) IN (SELECT (query_id, term) FROM primaries) AS first FROM kept k JOIN toks t USING (session_id) JOIN counting c USING (query_id, term) WHERE length(t.term) > 2),
+pdf AS (SELECT query_id, term, count(*) AS df FROM held GROUP BY 1, 2),
+sums AS (SELECT query_id, session_id, sum(1 + (n_pool - df) / CAST(n_pool AS DOUBLE)) AS w, count(*) AS matched, count(*) FILTER (first) AS p FROM held JOIN pdf USING (query_id, term) JOIN size USING (query_id) GROUP BY 1, 2),
+fused AS (SELECT k.*, matched, round(w + 0.35 * matched + 1.25 * p + CASE WHEN lexical IS NOT NULL THEN 2.0 ELSE 0.0 END + CASE WHEN generic THEN 0.0 ELSE 0.5 END + least(significance / 10.0, 1.0)
+  + 30 * (1.0 / (60 + coalesce(lexical, n_exact, 0)) + 1.0 / (60 + coalesce(recency, (SELECT count(*) FROM newest)))), 6) AS score FROM kept k JOIN sums USING (query_id, session_id) LEFT JOIN raw USING (query_id) WHERE p > 0 OR matched > 1),
+preferred AS (SELECT * FROM fused QUALIFY NOT generic OR NOT bool_or(NOT generic) OVER (PARTITION BY query_id))
+SELECT query_id, session_id, score, matched FROM preferred QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, significance DESC, updated DESC, session_id) <= 5""")
+def relevant_episodes(spark, sf_dir):
+    return R.relevant_episodes(S.episode(spark, sf_dir), asked(spark, sf_dir), limit=5)
+
+
+@registered("R3_memory_search", f"""WITH {MEMORY}, {ASKED.replace('asked AS (SELECT * FROM raw_direct UNION SELECT * FROM wide WHERE query_id NOT IN (SELECT query_id FROM raw_direct))', 'asked AS (SELECT * FROM wide)')}, {bm25_sql('memory', 'id', 'content')},
+best AS (SELECT * FROM (SELECT query_id, m.*, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, confidence DESC, updated_at DESC, id) AS pos
+  FROM hits JOIN memory m ON doc = id WHERE superseded_by IS NULL AND (scope = 'global' OR repository = 'src3')) WHERE pos <= 8),
+kept AS (SELECT *, row_number() OVER (PARTITION BY query_id, type, lower({NORMAL.format('content')}), scope, coalesce(repository, '') ORDER BY score DESC, confidence DESC, updated_at DESC, id) AS k FROM best)
+SELECT query_id, id, score, confidence FROM kept WHERE k = 1""")
+def memory_search(spark, sf_dir):
+    wide = S.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), X.search_terms(F.col("text")).alias("terms"))
+    return R.search_memory(S.memory(spark, sf_dir), wide, limit=8, repository="src3")
