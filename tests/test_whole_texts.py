@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from mnemark.plans import prompt_queries, session_queries, state_queries  # noqa: F401
 from mnemark.plans.memory_queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
