@@ -190,3 +190,11 @@ BY_NAME = (
 )
 OFTEN_HUMOUR = (r"\b(?:often|frequently|regularly)\b.{0,20}\b(?:humou?r|jokes?)\b",)
 PREFERENCE, REJECTION = r"\b(?:always|prefer)\b", r"\b(?:never|do not|don't)\b"
+# Beginnings of items that say little, and words of the engine's own subject.
+LOW_SIGNAL_ITEMS = (
+    "files created", "files modified", "remaining work", "immediate next steps", "diagnostics/validation",
+    r"phase \d+ implementation so far intentionally stayed within the approved boundary", "the user asked to start implementing", "the conversation covered",
+)
+DOMAIN_WORDS = (
+    r"\b(?:prompt|shaping|scope|override|audit|backfill|restore|rollback|snapshot|deferred|identity|cross-repo|memory|trace|schema|replay)\b"
+)

@@ -69,6 +69,14 @@ def search_terms(query: Column) -> Column:
     return F.array_distinct(F.filter(wide, kept))
 
 
+def raw_search_terms(query: Column) -> Column:
+    """Terms for a search of raw sessions: distinct stems, each followed by its stemmed aliases; generic ones are left out."""
+    table = F.create_map(*[x for k, v in L.ALIASES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    none = F.array().cast("array<string>")
+    wide = F.flatten(F.transform(direct_terms(query), lambda t: F.concat(F.array(t), F.transform(F.coalesce(F.try_element_at(table, t), none), stem))))
+    return F.array_distinct(F.filter(wide, lambda t: (F.length(t) > 2) & ~t.isin(*L.GENERIC_TERMS)))
+
+
 def direct_terms(query: Column) -> Column:
     """Stemmed terms of a query, repeats kept, without aliases and generic ones."""
     stems = F.transform(words(_without_operators(query)), stem_word)

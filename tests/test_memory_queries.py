@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mnemark.functions import text as X
 from mnemark.operators import aggregates, ranking, state
-from mnemark.plans import prompt_queries, session_queries, state_queries  # noqa: F401
+from mnemark.plans import listing_queries, prompt_queries, session_queries, state_queries  # noqa: F401
 from mnemark.plans.memory_queries import QUERIES, SQL
 from mnemark.sources import bindings
 from mnemark.streaming.latency import latency_windows, run_once
