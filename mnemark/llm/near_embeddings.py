@@ -11,6 +11,7 @@ No pairs leave a task: each tells, for every row, how many rows it links with an
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,11 @@ from .vectors import distinct_vectors, matrix, sample_matrix, valid_vectors
 
 #: Vectors sampled to find the directions and the tree; results do not depend on the sample.
 SAMPLE = 8192
-LEAD, BOX, TILE, DEPTH = 16, 8, 1536, 9
+LEAD, BOX, DEPTH = 16, 8, 9
+#: Rows of a tile or block: each row is sent to about as many tasks as there are blocks, so fewer, larger ones send less.
+TILE = 6144
+#: Rows of a block compared at once with the other block, which bounds what a task holds: STRIP x TILE products.
+STRIP = 512
 CHUNK = 1 << 15
 
 
@@ -57,33 +62,33 @@ def leaf_of(lead: np.ndarray, nodes: list[tuple[int, float]]) -> np.ndarray:
     return at - len(nodes)
 
 
-def links(a: np.ndarray, b: np.ndarray, turn: np.ndarray, least: float, upper: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows of ``a`` and ``b`` whose cosine is ``least`` or more; with ``upper`` only i < j."""
+def links(a: np.ndarray, b: np.ndarray, turn: np.ndarray, least: float, upper: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows of ``a`` and ``b`` whose cosine is ``least`` or more, strip by strip of ``a``; with ``upper`` only i < j."""
     na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
     ya, yb = (a / na[:, None]) @ turn, (b / nb[:, None]) @ turn
     lead = min(LEAD, ya.shape[1])
+    mid = min(2 * lead, ya.shape[1])
 
     def rest(y: np.ndarray, k: int) -> np.ndarray:
         return np.sqrt(np.maximum(0.0, 1.0 - (y[:, :k] ** 2).sum(axis=1)))
 
-    sa, sb = rest(ya, lead), rest(yb, lead)
     # the suffix norms ride along as one more dimension: one product gives the bound
-    bound = np.column_stack([ya[:, :lead], sa]).astype(np.float32) @ np.column_stack([yb[:, :lead], sb]).astype(np.float32).T
-    i, j = np.nonzero(bound >= np.float32(least - 1e-4))
-    del bound
-    if upper:
-        i, j = i[i < j], j[i < j]
-    mid = min(2 * lead, ya.shape[1])
+    fronts = [np.column_stack([y[:, :lead], rest(y, lead)]).astype(np.float32) for y in (ya, yb)]
     ra, rb = rest(ya, mid), rest(yb, mid)
-    keep_i, keep_j = [i[:0]], [j[:0]]
-    for s in range(0, len(i), CHUNK):
-        x, y = i[s : s + CHUNK], j[s : s + CHUNK]
-        part = np.einsum("ij,ij->i", ya[x, :mid], yb[y, :mid]) + ra[x] * rb[y] >= least - 1e-9
-        x, y = x[part], y[part]
-        cosine = (a[x] * b[y]).sum(axis=1) / (na[x] * nb[y])
-        keep_i.append(x[cosine >= least])
-        keep_j.append(y[cosine >= least])
-    return np.concatenate(keep_i), np.concatenate(keep_j)
+    for start in range(0, len(a), STRIP):
+        i, j = np.nonzero(fronts[0][start : start + STRIP] @ fronts[1].T >= np.float32(least - 1e-4))
+        i += start
+        if upper:
+            i, j = i[i < j], j[i < j]
+        keep_i, keep_j = [i[:0]], [j[:0]]
+        for s in range(0, len(i), CHUNK):
+            x, y = i[s : s + CHUNK], j[s : s + CHUNK]
+            part = np.einsum("ij,ij->i", ya[x, :mid], yb[y, :mid]) + ra[x] * rb[y] >= least - 1e-9
+            x, y = x[part], y[part]
+            cosine = (a[x] * b[y]).sum(axis=1) / (na[x] * nb[y])
+            keep_i.append(x[cosine >= least])
+            keep_j.append(y[cosine >= least])
+        yield np.concatenate(keep_i), np.concatenate(keep_j)
 
 
 def least_linked(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -113,16 +118,20 @@ def compare(key, table: pa.Table, turn: np.ndarray, least: float) -> pa.Table:
     copies = [t.column("copies").to_numpy() for t in (left, right)]
     a = matrix(left.column("vec"))
     if same:
-        i, j = links(a, a, turn, least, True)
-        every, weight = ids[0], copies[0]
+        b, every, weight, shift = a, ids[0], copies[0], 0
     else:
-        b = matrix(right.column("vec"))
-        i, j = links(a, b, turn, least, False) if len(a) and len(b) else (np.zeros(0, int), np.zeros(0, int))
-        j = j + len(ids[0])
-        every, weight = np.concatenate(ids), np.concatenate(copies)
-    n = np.bincount(i, weight[j], len(every)) + np.bincount(j, weight[i], len(every))
+        b, every, weight, shift = matrix(right.column("vec")), np.concatenate(ids), np.concatenate(copies), len(ids[0])
+    n, root = np.zeros(len(every)), np.arange(len(every))
+    for i, j in links(a, b, turn, least, same) if len(a) and len(b) else ():
+        if len(i):
+            j = j + shift
+            n += np.bincount(i, weight[j], len(every)) + np.bincount(j, weight[i], len(every))
+            before = np.flatnonzero(root != np.arange(len(every)))  # what earlier strips joined stands for their pairs
+            root = least_linked(len(every), np.concatenate([i, before]), np.concatenate([j, root[before]]), np.arange(len(every)))
     seen = np.flatnonzero(n)
-    low = least_linked(len(every), i, j, every)
+    low = np.full(len(every), np.iinfo(np.int64).max)
+    np.minimum.at(low, root, every)
+    low = low[root]
     return pa.table({"a": every[seen].astype(np.int64), "b": low[seen].astype(np.int64), "n": n[seen].astype(np.int64)})
 
 
