@@ -62,6 +62,10 @@ class Stages:
         self.held.append(out)  # so that no id is used twice
         return out
 
+    def result(self, df: DataFrame) -> DataFrame:
+        """``df`` staged where it outlasts the block, so that what it was made from may go."""
+        return stage(df, work_dir(self.spark))
+
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
             drop_stage(self.spark, self.paths.pop(id(df)))
@@ -72,6 +76,26 @@ def only_first(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+#: A key is hot beyond this share of all rows, so there are fewer hot keys than this.
+HOT_SHARE = 1000
+
+
+def join_counted(rows: DataFrame, found: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Left join of ``rows`` with ``found`` (one row a key, no null keys), whose column ``count`` tells how many rows have the key.
+
+    Hot keys, those of more than one in ``HOT_SHARE`` of all counted rows, are broadcast: there cannot be more than
+    ``HOT_SHARE`` of them. The other rows are shuffled to theirs. The column ``count`` is not kept.
+    """
+    total = found.agg(F.sum(count)).first()[0] or 0
+    hot = found.where(F.col(count) * HOT_SHARE > total).drop(count)
+    rest = found.where(F.col(count) * HOT_SHARE <= total).drop(count)
+    names = [c for c in hot.columns if c not in keys]
+    with_hot = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+    is_hot = with_hot.where("_hot").drop("_hot")
+    others = with_hot.where("_hot is null").drop("_hot", *names).join(rest, keys, "left")
+    return is_hot.unionByName(others)
+
+
 def number_within(df: DataFrame, groups: list[str], order: list[Column], salt_of: list[Column], out: str, salts: int = 64) -> DataFrame:
     """Gapless numbers from 0 within each group, none of which is gathered in one task.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -11,14 +12,17 @@ from pyspark.sql import functions as F
 from . import langid, toxicity
 from .ann import nearest
 from .bpe import encode_digests
+from .centroids import cluster
 from .common import table, work_dir
 from .license_scan import license_digest, scan_licenses
 from .near_embeddings import near_embeddings
 from .near_text import near_texts
+from .oracles import TRIE_SQL, centroid_sql
 from .packing import pack
 from .sampling import fold_of
 from .sharding import shard_by_bytes
 from .token_store import verify_store, write_store
+from .trie import prefix_trie
 
 
 def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +76,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, centroids = cluster(table(spark, sf_dir, "embeddings"))
+    digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids.tolist()]
+    names = F.array(*[F.lit(d) for d in digests]).cast("array<string>")
+    return rows.withColumn("centroid_sha256", F.get(names, F.col("cluster")))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations")).drop("k1", "k2", "p1", "p2")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scans": op1_license_scans,
@@ -84,8 +99,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_language_id": op10_language_id,
+        "op11_centroid_clustering": op11_centroid_clustering,
+        "op13_conversation_trie": op13_conversation_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_centroid_clustering": centroid_sql(), "op13_conversation_trie": TRIE_SQL}
