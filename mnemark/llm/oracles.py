@@ -68,3 +68,24 @@ lasts as (select arg_max(key, d) key, conv_id from prefixes group by conv_id),
 ends as (select key, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) ends_sha256 from lasts group by 1)
 select f.conv_id, f.depth, f.parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, coalesce(e.ends_sha256, sha256('')) ends_sha256
 from full_nodes f join sums s using (key) left join ends e using (key)"""
+
+
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+WINDOW_SQL = f"""
+with docs as (select row_number() over () r, doc_id, {WORDS} w from documents),
+items as (select item_id, {WORDS} w from benchmark where len({WORDS}) > 0),
+windows as (
+  select distinct item_id, least(len(w), 10) n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') s
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) i from items)),
+lengths as (select distinct n from windows),
+met as (
+  select distinct d.r, d.i, d.n, d.s from (
+    select r, n, i, array_to_string(w[i : i + n - 1], ' ') s from (select r, w, n, unnest(range(1, len(w) - n + 2)) i from docs, lengths)) d
+  where exists (select 1 from windows x where x.n = d.n and x.s = d.s)),
+hits as (select r, count(distinct p) n_hit from (select r, unnest(range(i, i + n)) p from met) group by 1),
+listed as (select distinct m.r, x.item_id::varchar item from met m join windows x using (n, s) where x.item_id is not null),
+named as (select r, count(*) n_items, sha256(string_agg(item, ',' order by item)) items_sha256 from listed group by 1)
+select d.doc_id, len(d.w)::bigint n_words, coalesce(h.n_hit, 0)::bigint n_hit, coalesce(n.n_items, 0)::bigint n_items,
+  coalesce(n.items_sha256, sha256('')) items_sha256, h.n_hit is not null contaminated
+from docs d left join hits h using (r) left join named n using (r)"""

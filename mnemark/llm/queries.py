@@ -17,12 +17,13 @@ from .common import table, work_dir
 from .license_scan import license_digest, scan_licenses
 from .near_embeddings import near_embeddings
 from .near_text import near_texts
-from .oracles import TRIE_SQL, centroid_sql
+from .oracles import TRIE_SQL, WINDOW_SQL, centroid_sql
 from .packing import pack
 from .sampling import fold_of
 from .sharding import shard_by_bytes
 from .token_store import verify_store, write_store
 from .trie import prefix_trie
+from .winnow import decontaminate
 
 
 def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +84,10 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("centroid_sha256", F.get(names, F.col("cluster")))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations")).drop("k1", "k2", "p1", "p2")
 
@@ -100,9 +105,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_jaccard_join": op9_jaccard_join,
         "op10_language_id": op10_language_id,
         "op11_centroid_clustering": op11_centroid_clustering,
+        "op12_decontamination": op12_decontamination,
         "op13_conversation_trie": op13_conversation_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_centroid_clustering": centroid_sql(), "op13_conversation_trie": TRIE_SQL}
+    return {"op11_centroid_clustering": centroid_sql(), "op12_decontamination": WINDOW_SQL, "op13_conversation_trie": TRIE_SQL}
