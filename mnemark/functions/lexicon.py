@@ -198,3 +198,31 @@ LOW_SIGNAL_ITEMS = (
 DOMAIN_WORDS = (
     r"\b(?:prompt|shaping|scope|override|audit|backfill|restore|rollback|snapshot|deferred|identity|cross-repo|memory|trace|schema|replay)\b"
 )
+
+# What raises and lowers the worth of an outline's line.
+OUTLINE_WORDS = (
+    r"\b(added|updated|extended|refined|implemented|captured|validated|scope|override|audit|backfill|restore|rollback|snapshot|prompt|identity|cross-repo|schema|trace|replay|deferred|memory|lore)\b"
+)
+OUTLINE_ACTORS = r"\b(the user|the conversation)\b"
+OUTLINE_TITLES = r"^(files created|files modified|remaining work|immediate next steps|diagnostics\/validation|files in scope|implementation order)$"
+
+# How users name themselves, greetings before it, and words that are no names.
+USER_NAMES = (r"^i(?:['’]m| am)\s+(.+?)[.!?]*$", r"^my name is\s+(.+?)[.!?]*$", r"^call me\s+(.+?)[.!?]*$")
+GREETINGS = (r"^(?:hi|hello|hey)\s+[a-z][a-z0-9_-]{2,20}(?:[!?,.\s-]+|$)", r"^(?:hi|hello|hey)(?:[!?,.\s-]+|$)")
+NO_USER_NAMES = ("back", "done", "good", "here", "ok", "okay", "ready", "stuck")
+
+# Terms that a term of a search of raw sessions stands for too.
+RAW_ALIASES = {
+    "chat": ("conversation", "session"),
+    "lore": ("memory", "history", "session"),
+    "conversation": ("chat", "session", "history"),
+    "conversations": ("chat", "session", "history"),
+    "memory": ("remember", "history", "lore"),
+    "past": ("history", "prior"),
+    "previous": ("history", "prior"),
+    "recall": ("memory", "history", "remember"),
+    "remember": ("memory", "history", "lore"),
+    "remembering": ("memory", "history", "lore"),
+    "retrieval": ("memory", "history", "lore"),
+    "session": ("conversation", "history"),
+}

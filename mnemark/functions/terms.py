@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -71,7 +71,7 @@ def search_terms(query: Column) -> Column:
 
 def raw_search_terms(query: Column) -> Column:
     """Terms for a search of raw sessions: distinct stems, each followed by its stemmed aliases; generic ones are left out."""
-    table = F.create_map(*[x for k, v in L.ALIASES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    table = F.create_map(*[x for k, v in L.RAW_ALIASES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     none = F.array().cast("array<string>")
     wide = F.flatten(F.transform(direct_terms(query), lambda t: F.concat(F.array(t), F.transform(F.coalesce(F.try_element_at(table, t), none), stem))))
     return F.array_distinct(F.filter(wide, lambda t: (F.length(t) > 2) & ~t.isin(*L.GENERIC_TERMS)))
@@ -100,15 +100,40 @@ def entity_terms(query: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(long, stem), lambda t: (F.length(t) > 2) & ~t.isin(*L.GENERIC_TERMS)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def assistant_name(text: Column) -> Column:
     """The name that a text gives the assistant, its first letter large; null where there is none."""
-    said = normalize(text)
-    found = []
-    for p in L.ASSISTANT_NAMES:
-        name = F.regexp_replace(F.regexp_extract(said, java(p), 1), "[^A-Za-z0-9_-]", "")
-        fine = (name != "") & ~F.lower(name).isin(*L.NO_NAMES)
-        found.append(F.when(fine, F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 64))))
-    return F.coalesce(*found)
+
+    def named(said: Column) -> Column:
+        found = F.transform(F.array(*[F.regexp_extract(said, java(p), 1) for p in L.ASSISTANT_NAMES]), lambda n: F.regexp_replace(n, "[^A-Za-z0-9_-]", ""))
+        fine = F.filter(found, lambda n: (n != "") & ~F.lower(n).isin(*L.NO_NAMES))
+        return F.get(F.transform(fine, lambda n: F.concat(F.upper(F.substring(n, 1, 1)), F.substring(n, 2, 64))), F.lit(0))
+
+    return let(normalize(text), named)
+
+
+def user_name(text: Column) -> Column:
+    """The one capitalised word that a short message gives as its writer's name; null where there is none."""
+
+    def named(said: Column) -> Column:
+        without = normalize(F.regexp_replace(F.regexp_replace(said, java(L.GREETINGS[0]), ""), java(L.GREETINGS[1]), ""))
+        found = F.flatten(F.transform(F.array(said, without), lambda v: F.array(*[normalize(F.regexp_extract(v, java(p), 1)) for p in L.USER_NAMES])))
+        fine = F.filter(found, lambda n: n.rlike(r"^\p{Lu}[\p{L}'’-]*$") & ~F.lower(n).isin(*L.NO_USER_NAMES))
+        return F.when(F.length(said) <= 80, F.get(fine, F.lit(0)))
+
+    return let(normalize(text), named)
+
+
+def meaningful(text: Column) -> Column:
+    """A summary less what only opens it; null where it says nothing of the work."""
+    plain = normalize(text)
+    plain = F.regexp_replace(plain, java(r"^(researching|planning|implementing)\s*:\s*"), "")
+    plain = F.regexp_replace(plain, java(r"^(please|ok(?:ay)?|hey)\s+"), "")
+    return F.when((plain != "") & ~matches(plain, (L.NOISE_SUMMARIES[0], *L.NOISE_SUMMARIES[2:])), plain)
 
 
 def canonical_text(text: Column) -> Column:

@@ -82,6 +82,19 @@ def before_headings(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?ms)^## (?:{'|'.join(HEADINGS)})(?=[\n\r\u2028\u2029]|\z).*\z", "")
 
 
+#: Blocks of recalled context that the engine itself puts into a message. Fixed values.
+INJECTED_BLOCKS = ("hindsight_memories", "relevant_memories", "lore_context")
+
+
+def without_injected(text: Column) -> Column:
+    """The text less what the engine itself added: a line's end for each block, nothing from the first injected heading on."""
+    text = F.coalesce(text, F.lit(""))
+    for tag in INJECTED_BLOCKS:
+        text = F.regexp_replace(text, rf"(?is)<{tag}(?![A-Za-z0-9_])[^>]*>.*?</{tag}>", "\n")
+    short = F.regexp_replace(before_headings(text), r"\n{3,}", "\n\n")
+    return F.regexp_replace(short, rf"\A{SPACE}|{SPACE}\z", "")
+
+
 def inferred_date(text: Column, today: Column) -> Column:
     """The day a prompt speaks of: an ISO date, today, yesterday, a month and day, or a weekday; else null."""
     low = F.lower(F.coalesce(text, F.lit("")))

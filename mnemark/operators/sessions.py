@@ -14,12 +14,9 @@ from pyspark.sql.window import Window
 
 from ..functions import lexicon as L
 from ..functions.terms import captured, matches, uncorrected
-from ..functions.text import before_headings, normalize, truncated, without_blocks
+from ..functions.text import normalize, truncated, without_injected
 from .ranking import first_of, newest
 
-#: Blocks that the engine itself adds to a message.
-BLOCKS = ("system_notification", "memory", "context")
-
 
 def numbered(rows: DataFrame, by: str, place: str, out: str = "position", width: int = 4096) -> DataFrame:
     """Gapless positions from 0 by a whole-number column within each group; ranges of it are counted first, so none is gathered."""
@@ -31,7 +28,7 @@ def numbered(rows: DataFrame, by: str, place: str, out: str = "position", width:
 
 
 def clean(message: Column) -> Column:
-    return normalize(before_headings(without_blocks(message, BLOCKS)))
+    return normalize(without_injected(message))
 
 
 def interaction_style(message: Column) -> Column:
@@ -50,7 +47,7 @@ def interaction_style(message: Column) -> Column:
     return F.when(matches(message, L.STYLE_REQUESTS) & any_sign, profile)
 
 
-def _memories(rows: DataFrame, kind: Column | str, content: Column, confidence: float | Column) -> DataFrame:
+def memories(rows: DataFrame, kind: Column | str, content: Column, confidence: float | Column) -> DataFrame:
     value = confidence if isinstance(confidence, Column) else F.lit(confidence)
     return rows.select("session_id", "turn_index", (kind if isinstance(kind, Column) else F.lit(kind)).alias("type"), content.alias("content"), value.alias("confidence"))
 
@@ -62,21 +59,25 @@ def stated_preferences(turns: DataFrame) -> DataFrame:
     rows = rows.withColumn("style", interaction_style(m))
     kind = F.when(style, "interaction_style").when(matches(m, [L.PREFERENCE]), "user_preference").when(matches(m, [L.REJECTION]), "rejected_approach")
     content = F.when(style, F.concat(F.lit("Interaction style preference: "), m)).otherwise(m)
-    return _memories(rows.withColumn("kind", kind).where("kind is not null"), F.col("kind"), content, F.when(style, 0.92).otherwise(0.95))
+    return memories(rows.withColumn("kind", kind).where("kind is not null"), F.col("kind"), content, F.when(style, 0.92).otherwise(0.95))
 
 
-def _short(turns: DataFrame, count: int, most: int) -> DataFrame:
-    """session_id, turn_index and message of the newest ``count`` turns of each session whose cleaned message is not longer than ``most``."""
+def latest_messages(turns: DataFrame, count: int) -> DataFrame:
+    """session_id, turn_index and cleaned message of the newest ``count`` turns of each session."""
     last = newest(turns.select("session_id", "turn_index", "user_message"), ["session_id"], [F.desc("turn_index"), F.col("user_message")], count)
-    rows = last.withColumn("message", clean(F.col("user_message"))).drop("user_message")
-    return rows.where((F.col("message") != "") & (F.length("message") <= most))
+    return last.withColumn("message", clean(F.col("user_message"))).drop("user_message")
+
+
+def _short(turns: DataFrame, count: int, most: int) -> DataFrame:
+    """Of the newest turns those whose cleaned message is not longer than ``most``."""
+    return latest_messages(turns, count).where((F.col("message") != "") & (F.length("message") <= most))
 
 
 def captured_memories(turns: DataFrame, kind: str, pattern: str, lead: str, count: int, most: int, least: int, confidence: float) -> DataFrame:
     """What a pattern captures in the newest turns, each wording once in a session, at its first turn."""
     rows = _short(turns, count, most).withColumn("found", captured(F.col("message"), pattern)).where(F.length("found") >= least)
     once = rows.withColumn("low", F.lower("found")).groupBy("session_id", "low").agg(F.min(F.struct("turn_index", "found")).alias("f")).select("session_id", "f.*")
-    return _memories(once, kind, F.concat(F.lit(lead), "found"), confidence)
+    return memories(once, kind, F.concat(F.lit(lead), "found"), confidence)
 
 
 def stated_goals(turns: DataFrame) -> DataFrame:
@@ -91,22 +92,24 @@ def implied_mistakes(turns: DataFrame) -> DataFrame:
     """One memory for each session whose newest twenty turns correct the assistant twice or more."""
     rows = _short(turns, 20, 280).where(matches(F.col("message"), L.CORRECTIONS)).where(F.length(uncorrected(F.col("message"))) >= 12)
     several = rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.max("turn_index").alias("turn_index")).where("n >= 2")
-    return _memories(several, "recurring_mistake", F.lit(f"Recurring mistake to avoid: {L.IMPLICIT_MISTAKE}."), 0.93)
+    return memories(several, "recurring_mistake", F.lit(f"Recurring mistake to avoid: {L.IMPLICIT_MISTAKE}."), 0.93)
+
 
+def implied_goals(turns: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """One memory for each session with two different failures that stay unresolved, by what the first four speak of.
 
-def implied_goals(turns: DataFrame) -> DataFrame:
-    """One memory for each session in whose newest sixteen turns two different failures stay unresolved, by what they speak of."""
+    They are sought in the newest sixteen turns, then in the actions, decisions and open items of ``items``.
+    """
     last = newest(turns.select("session_id", "turn_index", "user_message", "assistant_response"), ["session_id"], [F.desc("turn_index"), F.col("user_message")], 16)
-    each = last.select("session_id", "turn_index", F.posexplode(F.array("user_message", "assistant_response")).alias("side", "text")).withColumn("text", clean(F.col("text")))
+    sides = last.select("session_id", F.lit(0).alias("list"), F.col("turn_index").cast("long").alias("turn_index"), F.posexplode(F.array("user_message", "assistant_response")).alias("side", "text"))
+    each = sides.withColumn("text", clean(F.col("text")))
+    for k, name in enumerate(("actions", "decisions", "open_items") if items else (), 1):
+        more = items.select("session_id", F.lit(k).alias("list"), F.lit(None).cast("long").alias("turn_index"), F.posexplode(name).alias("side", "text"))
+        each = each.unionByName(more.withColumn("text", normalize(F.col("text"))))
     failing = each.where((F.col("text") != "") & (F.length("text") <= 280)).where(matches(F.col("text"), L.FAILURES) & ~matches(F.col("text"), L.RESOLUTIONS))
-    once = failing.withColumn("text", truncated(F.col("text"), 140)).groupBy("session_id", "text").agg(F.min(F.struct("turn_index", "side")).alias("at"))
+    once = failing.withColumn("text", truncated(F.col("text"), 140)).groupBy("session_id", "text").agg(F.min(F.struct("list", "turn_index", "side")).alias("at"))
     first = first_of(once, ["session_id"], [F.col("at"), F.col("text")], 4)
     lists = first.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("found")).where(F.size("found") >= 2)  # four at most
     corpus = F.array_join(F.transform("found", lambda x: x["text"]), " ")
     goal = reduce(lambda other, rule: F.when(matches(corpus, [rule[0]]), rule[1]).otherwise(other), reversed(L.FAILURE_GOALS), F.lit(L.OTHER_FAILURE_GOAL))
-    return _memories(lists.withColumn("turn_index", F.element_at("found", -1)["at"]["turn_index"]), "assistant_goal", F.concat(F.lit("Current assistant goal: "), goal), 0.82)
-
-
-def session_memories(turns: DataFrame) -> DataFrame:
-    """session_id, turn_index, type, content, confidence of all memories that rules take from the sessions."""
-    return reduce(DataFrame.unionByName, [f(turns) for f in (stated_preferences, stated_goals, stated_mistakes, implied_mistakes, implied_goals)])
+    return memories(lists.withColumn("turn_index", F.element_at("found", -1)["at"]["turn_index"]), "assistant_goal", F.concat(F.lit("Current assistant goal: "), goal), 0.82)

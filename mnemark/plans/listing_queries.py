@@ -10,7 +10,7 @@ from ..operators import listing as O
 from ..operators import rules as C
 from ..sources import bindings as S
 from .memory_queries import EPISODE, MEMORY, QUEUE, STEM, WORDS, registered
-from .prompt_queries import ALIAS_MAP, DIRECT, GENERIC, any_of
+from .prompt_queries import DIRECT, GENERIC, any_of, list_of
 
 
 @registered("F2_listed_memory", f"WITH {MEMORY} SELECT id, type, scope FROM memory WHERE type IN ('fact', 'directive', 'blocker') AND tags = 'en' AND superseded_by IS NULL AND updated_at <= TIMESTAMP '2024-01-01 02:00:00'")
@@ -179,8 +179,11 @@ def upserted_improvements(spark, sf_dir):
     return O.upsert_improvements(held, batch)
 
 
+RAW_ALIAS_MAP = "MAP {" + ", ".join(f"'{k}': {list_of(v)}" for k, v in L.RAW_ALIASES.items()) + "}"
+
+
 @registered("X7_raw_terms", f"""WITH t AS (SELECT item_id, unnest({DIRECT.format("coalesce(text, '') || ' tests CI rollback plans'")}) AS w FROM benchmark),
-a AS (SELECT item_id, w AS term FROM t UNION ALL SELECT item_id, {STEM.format('x')} FROM (SELECT item_id, regexp_replace(lower(unnest({ALIAS_MAP}[w])), '[^a-z0-9]+', '', 'g') AS x FROM t))
+a AS (SELECT item_id, w AS term FROM t UNION ALL SELECT item_id, {STEM.format('x')} FROM (SELECT item_id, regexp_replace(lower(unnest({RAW_ALIAS_MAP}[w])), '[^a-z0-9]+', '', 'g') AS x FROM t))
 SELECT item_id, string_agg(DISTINCT term, ' ' ORDER BY term) AS terms FROM a WHERE length(term) > 2 AND NOT list_contains({GENERIC}, term) GROUP BY 1""")
 def raw_terms(spark, sf_dir):
     text = F.concat(F.coalesce("text", F.lit("")), F.lit(" tests CI rollback plans"))

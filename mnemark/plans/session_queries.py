@@ -103,8 +103,3 @@ g AS (SELECT session_id, arg_max(spot[1], (spot, t)) AS turn_index, string_agg(t
 SELECT session_id, turn_index, 'assistant_goal' AS type, 'Current assistant goal: ' || CASE {' '.join(f"WHEN {any_of('c', [p])} THEN '{goal}'" for p, goal in L.FAILURE_GOALS)} ELSE '{L.OTHER_FAILURE_GOAL}' END AS content, 0.82 AS confidence FROM g""")
 def implied_goals(spark, sf_dir):
     return N.implied_goals(turns(spark, sf_dir))
-
-
-@registered("C4_session_memories")
-def session_memories(spark, sf_dir):
-    return N.session_memories(turns(spark, sf_dir))

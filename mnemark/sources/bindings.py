@@ -69,3 +69,48 @@ def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("id"), F.col("event_type").alias("hook"), F.col("user_id").alias("repository"),
         F.col("value").alias("latency_ms"), F.col("ts").alias("recorded_at"), F.get_json_object("props", "$.k").cast("long").alias("k"),
     )
+
+
+def outlined(text):
+    """Prose as an outline: clauses become headings and indented lines, sentences items of a list."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\. ", ".\n  - "), ", ", ":\n    ")
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("conv_id")
+    ids = table(spark, sf_dir, "conversations").where("conv_id is not null").select("conv_id").distinct()
+    return ids.select(
+        c.alias("session_id"),
+        F.when(c % 3 != 0, F.concat(F.lit("org/repo-"), (c % 7).cast("string"))).alias("repository"),
+        F.when(c % 2 == 0, F.concat(F.lit("/home/u"), (c % 4).cast("string"))).alias("cwd"),
+        F.when(c % 5 < 2, F.lit("main")).alias("branch"),
+        F.when(c % 4 == 0, F.concat(F.lit("Session "), F.lpad(c.cast("string"), 8, "0"))).when(c % 4 == 1, F.concat(F.lit("please review change "), c.cast("string"))).alias("summary"),
+        F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, cast(conv_id % 700 as int), 0, 0)").alias("updated_at"),
+    )
+
+
+def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten documents in a row are the checkpoints of one session."""
+    d, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    full = outlined(text)
+    title = F.when(d % 4 == 0, F.lit("Session 0a1b2c3d")).when(d % 4 == 2, F.concat(F.lit("Planning: "), F.substring(text, 1, 60)))
+    return table(spark, sf_dir, "documents").where("doc_id is not null").select(
+        F.floor(d / 10).alias("session_id"), (d % 10).alias("checkpoint_number"), title.alias("title"),
+        F.when(d % 7 < 3, text).alias("overview"), F.when(d % 3 == 0, full).alias("history"), F.when(d % 5 != 2, full).alias("work_done"),
+        F.when(d % 2 == 1, F.concat(F.lit("Prompt scope audit:\n  1. error in "), full)).alias("technical_details"),
+        F.when(d % 3 != 1, F.concat(F.lit("- build failed: "), full)).alias("next_steps"),
+    )
+
+
+def session_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages are the files of the sessions, four a session, with their paths from the site on."""
+    return table(spark, sf_dir, "pages").where("page_id is not null").select(
+        F.floor(F.col("page_id") / 4).alias("session_id"), F.regexp_replace("url", "^[a-z]+://", "").alias("file_path"), (F.col("page_id") % 97).alias("first_seen_at")
+    )
+
+
+def session_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        (e % 211).alias("session_id"), F.col("event_type").alias("ref_type"), F.col("user_id").cast("string").alias("ref_value"), F.col("ts").alias("created_at")
+    )
