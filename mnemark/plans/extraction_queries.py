@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from ..functions import terms as X
 from ..functions import text as T
 from ..operators import extraction as E
+from ..operators import raw_search as R
 from ..sources import bindings as S
-from .memory_queries import NORMAL, SQL, registered
-from .prompt_queries import any_of, list_of, q
+from .listing_queries import RAW_ALIAS_MAP
+from .memory_queries import NORMAL, SQL, STEM, WORDS, registered
+from .prompt_queries import DIRECT, GENERIC, any_of, list_of, q
 from .session_queries import TURNS, newest_sql, turns
 
 OUTLINED = "replace(replace(coalesce({0}, ''), '. ', '.' || chr(10) || '  - '), ', ', ':' || chr(10) || '    ')"
@@ -191,3 +194,41 @@ def injected_context(spark, sf_dir):
     pick = lambda values: F.array(*map(F.lit, values))[(F.col("doc_id") % len(values)).cast("int")]
     text = F.concat(pick(AROUND), F.coalesce("text", F.lit("")), pick(BEHIND))
     return S.table(spark, sf_dir, "documents").select("doc_id", F.md5(T.without_injected(text)).alias("body"))
+
+
+INDEX = """
+entries AS (SELECT conv_id * 1000 + turn AS entry_id, conv_id AS session_id, text AS content, 'turn' AS source_type FROM conversations
+ UNION ALL SELECT -1 - 2 * doc_id, doc_id // 10, text, 'checkpoint_overview' FROM documents UNION ALL SELECT -2 - 2 * page_id, page_id // 4, url, 'file' FROM pages)
+"""
+RAW_FOUND = f"""
+asking AS (SELECT conv_id * 1000 + turn AS query_id, text FROM conversations WHERE role = 'user' UNION ALL SELECT -1 - item_id, text FROM benchmark),
+rt AS (SELECT query_id, unnest({DIRECT.format("text")}) AS w FROM asking),
+ra AS (SELECT query_id, w AS term FROM rt UNION SELECT query_id, {STEM.format('x')} FROM (SELECT query_id, regexp_replace(lower(unnest({RAW_ALIAS_MAP}[w])), '[^a-z0-9]+', '', 'g') AS x FROM rt)),
+raw_terms AS (SELECT DISTINCT query_id, term FROM ra WHERE length(term) > 2 AND NOT list_contains({GENERIC}, term)),
+raw_sizes AS (SELECT query_id, count(*) AS n FROM raw_terms GROUP BY 1),
+raw_words AS (SELECT DISTINCT entry_id, term FROM (SELECT entry_id, unnest({WORDS.format('content')}) AS term FROM entries) WHERE term IN (SELECT term FROM raw_terms)),
+raw_stems AS (SELECT DISTINCT entry_id, {STEM.format('w')} AS term FROM (SELECT entry_id, unnest({WORDS.format('content')}) AS w FROM entries)),
+raw_met AS (SELECT t.query_id, w.entry_id FROM raw_terms t JOIN raw_words w USING (term) JOIN raw_sizes s USING (query_id) GROUP BY 1, 2, s.n HAVING count(*) = s.n),
+raw_found AS (SELECT m.query_id, m.entry_id, count(s.term) AS n_stems FROM raw_met m JOIN raw_terms t USING (query_id) LEFT JOIN raw_stems s ON s.entry_id = m.entry_id AND s.term = t.term AND length(s.term) > 2 GROUP BY 1, 2),
+raw_told AS (SELECT * FROM raw_found JOIN entries USING (entry_id) JOIN sessions USING (session_id))
+"""
+
+
+def raw_tables(spark, sf_dir):
+    queries = S.raw_prompts(spark, sf_dir).select("query_id", X.raw_search_terms(F.col("text")).alias("terms"))
+    return S.search_index(spark, sf_dir), S.sessions(spark, sf_dir), queries
+
+
+@registered("S9_raw_search", f"""WITH {ROWS}, {INDEX}, {RAW_FOUND} SELECT query_id, entry_id, session_id, source_type, repository, branch FROM raw_told
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY entry_id) <= 5""")
+def raw_search(spark, sf_dir):
+    return R.search_index(*raw_tables(spark, sf_dir))
+
+
+@registered("R14_relevant_sessions", f"""WITH {ROWS}, {INDEX}, {RAW_FOUND},
+scored AS (SELECT *, n_stems + CASE WHEN starts_with(source_type, 'checkpoint_') THEN 1.5 WHEN source_type = 'turn' THEN 0.5 ELSE 0 END AS score FROM raw_told WHERE n_stems > 0),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, session_id ORDER BY score DESC, entry_id) = 1)
+SELECT query_id, session_id, repository, branch, updated_at, score::double AS score, source_type, left({NORMAL.format('content')}, 220) AS excerpt FROM best
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, updated_at DESC, session_id) <= 5""")
+def relevant_sessions(spark, sf_dir):
+    return R.relevant_sessions(*raw_tables(spark, sf_dir))

@@ -114,3 +114,23 @@ def session_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         (e % 211).alias("session_id"), F.col("event_type").alias("ref_type"), F.col("user_id").cast("string").alias("ref_value"), F.col("ts").alias("created_at")
     )
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns and documents as entries of the raw log; documents are checkpoints' overviews, pages' addresses other entries."""
+    talk = table(spark, sf_dir, "conversations").where("conv_id is not null").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("entry_id"), F.col("conv_id").alias("session_id"), F.col("text").alias("content"), F.lit("turn").alias("source_type")
+    )
+    docs = table(spark, sf_dir, "documents").select(
+        (-1 - 2 * F.col("doc_id")).alias("entry_id"), F.floor(F.col("doc_id") / 10).alias("session_id"), F.col("text").alias("content"), F.lit("checkpoint_overview").alias("source_type")
+    )
+    pages = table(spark, sf_dir, "pages").select(
+        (-2 - 2 * F.col("page_id")).alias("entry_id"), F.floor(F.col("page_id") / 4).alias("session_id"), F.col("url").alias("content"), F.lit("file").alias("source_type")
+    )
+    return talk.unionByName(docs).unionByName(pages)
+
+
+def raw_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that users said, and all items of the benchmark, as questions to the raw log."""
+    said = table(spark, sf_dir, "conversations").where("role = 'user' and conv_id is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    return said.unionByName(table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("query_id"), "text"))
