@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import tokens
+from ..functions.terms import is_noise
+from ..functions.text import normalize, tokens
 from .ranking import newest
 
 
@@ -44,16 +45,29 @@ def facets(memory: DataFrame, columns: list[str], most: int = 200) -> DataFrame:
 
 
 def day_summaries(episodes: DataFrame, most: int = 8) -> DataFrame:
-    """The newest summaries of each day and repository as one text, without noise where anything else is there."""
+    """The newest ``most`` summaries of each day and repository as one text, without noise where anything else is there.
+
+    Days whose newest episodes have no summary are told to have none.
+    """
     by = ["date_key", "repository"]
     rows = episodes.withColumn("repository", F.coalesce("repository", F.lit("")))
-    at = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("updated"), F.desc("session_id")))
-    listed = rows.withColumn("at", at).where(F.col("at") <= most).where(F.trim("summary") != "")
-    noise = F.length("summary") < 40
-    some = F.max((~noise).cast("int")).over(Window.partitionBy(*by))
-    kept = listed.withColumn("noise", noise).withColumn("some", some).where((F.col("some") == 0) | ~F.col("noise"))
-    lines = F.array_sort(F.collect_list(F.struct("at", "summary")))  # ``most`` at most
-    return kept.groupBy(*by).agg(F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- "), x["summary"])), "\n").alias("summary"), F.count(F.lit(1)).alias("episodes"))
+    light = newest(rows.select(*by, "session_id", "updated"), by, [F.desc("updated"), F.desc("session_id")], most)
+    texts = light.join(rows.select(*by, "session_id", "updated", normalize(F.col("summary")).alias("summary")), [*by, "session_id", "updated"])
+    lines = F.array_sort(F.collect_list(F.struct("updated", "session_id", "summary")))  # ``most`` at most
+    listed = texts.groupBy(*by).agg(F.reverse(lines).alias("every"))
+    full = F.transform(F.filter("every", lambda x: x["summary"] != ""), lambda x: x["summary"])
+    real = F.filter(full, lambda s: ~is_noise(s))
+    told = listed.select(*by, F.when(F.size(real) > 0, real).otherwise(full).alias("kept"))
+    text = F.when(F.size("kept") == 0, "No remembered activity.").otherwise(F.array_join(F.transform("kept", lambda s: F.concat(F.lit("- "), s)), "\n"))
+    return told.select(*by, text.alias("summary"), F.size("kept").cast("long").alias("episodes"))
+
+
+def refreshed_days(held: DataFrame, episodes: DataFrame, changed: DataFrame) -> DataFrame:
+    """``held`` (:func:`day_summaries`) brought up to date: only the days and repositories of ``changed`` episodes are made anew."""
+    by = ["date_key", "repository"]
+    keys = changed.select("date_key", F.coalesce("repository", F.lit("")).alias("repository")).distinct()
+    touched = episodes.withColumn("repository", F.coalesce("repository", F.lit(""))).join(keys, by, "left_semi")
+    return held.join(keys, by, "left_anti").unionByName(day_summaries(touched))
 
 
 def latency_summary(trace: DataFrame, by: str, target_ms: float, least: int, bins: int = 1024) -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import lexicon as L
+from ..functions.terms import matches
 from ..functions.text import normalize
-from .ranking import excluded, first_of
+from .ranking import excluded, first_of, newest
 from .rules import due
 
 #: Most severe first.
@@ -27,12 +29,12 @@ def cluster_summaries(memory: DataFrame, key: str) -> DataFrame:
 
 
 def hit_rates(lookups: DataFrame, most: int = 8) -> DataFrame:
-    """Of each lookup (name, matched, included, dropped): times seen, matched and included, and the rates; the most used."""
+    """Of each lookup (name, matched, included, dropped): times seen, matched and included, and the rates; those included most often first, then those matched most often."""
     sums = lookups.groupBy("name").agg(
         F.count(F.lit(1)).alias("seen"), F.count_if(F.col("matched") > 0).alias("hits"), F.count_if(F.col("included") > 0).alias("used"), F.sum("dropped").alias("dropped")
     )
     rated = sums.withColumn("hit_rate", part_of(F.col("hits"), F.col("seen"))).withColumn("use_rate", part_of(F.col("used"), F.col("seen")))
-    return rated.orderBy(F.desc("seen"), "name").limit(most)
+    return rated.orderBy(F.desc(F.col("used") / F.col("seen")), F.desc(F.col("hits") / F.col("seen")), "name").limit(most)
 
 
 def routes(trace: DataFrame) -> DataFrame:
@@ -64,6 +66,18 @@ def progress(runs: DataFrame) -> DataFrame:
     return runs.withColumn("percent", F.when(F.col("total") > 0, F.floor(100 * done / F.col("total") + 0.5)).otherwise(0).cast("long")).withColumn("phase", phase)
 
 
+def run_progress(runs: DataFrame) -> DataFrame:
+    """Of runs (run_id, status, total, batch, processed) what waits, what is under way, the percent done, half up, and the phase; nothing to do is all done."""
+    waiting = F.greatest(F.lit(0), F.col("total") - F.col("processed"))
+    percent = F.least(F.lit(100), F.greatest(F.lit(0), F.floor(100 * F.col("processed") / F.col("total") + 0.5)))
+    phases = {"running": "processing", "failed": "failed", "completed": "complete", "preview": "planning"}
+    phase = F.coalesce(*[F.when(F.col("status") == s, p) for s, p in phases.items()], F.lit("idle"))
+    return runs.select(
+        "run_id", waiting.alias("waiting"), F.when(F.col("status") == "running", F.least(waiting, "batch")).otherwise(0).cast("long").alias("under_way"),
+        F.when(F.col("total") > 0, percent).otherwise(100).cast("long").alias("percent"), phase.alias("phase"),
+    )
+
+
 def backfill_decisions(queue: DataFrame) -> DataFrame:
     """What a backfill of each repository does: go on with what runs, skip where nothing waits, else start."""
     counts = queue.groupBy("repository").agg(F.count_if(F.col("status") == "running").alias("running"), F.count_if(F.col("status").isin("pending", "failed")).alias("waiting"))
@@ -158,15 +172,28 @@ def without_generic(rows: DataFrame, by: list[str], generic: Column) -> DataFram
     return rows.join(some, by).where(~F.col("_some") | ~generic).drop("_some")
 
 
-def episodes_of_day(asked: DataFrame, episodes: DataFrame, limit: int) -> DataFrame:
-    """Episodes of each asked day (prompt_id, date_key, repository): the prompt's own repository, then all's, then others'; each summary once."""
-    met = asked.withColumnRenamed("repository", "_own").join(episodes, "date_key").withColumn("excluded", excluded(F.col("summary"))).where("excluded is null")
+def episodes_of_day(asked: DataFrame, episodes: DataFrame, limit: int, include_other: bool = False) -> DataFrame:
+    """Episodes of each asked day (prompt_id, date_key, repository): the prompt's own repository, then all's, then others' if asked.
+
+    The best ``max(3 * limit, 12)`` are looked at; of these placeholders and tool calls go, then repeated sessions and
+    summaries, then generic work where there is any other. Ids alone are ranked, and only the chosen ones' texts are fetched.
+    """
     place = F.when(F.col("repository") == F.col("_own"), 0).when(F.col("scope") == "global", 1).otherwise(2)
-    ranked = met.withColumn("place", place)
+    light = episodes.select("date_key", "session_id", "repository", "scope", "significance", "updated")
+    met = asked.withColumnRenamed("repository", "_own").join(light, "date_key").withColumn("place", place)
+    seen = met if include_other else met.where("place < 2")
     order = [F.col("place"), F.desc("significance"), F.desc("updated"), F.desc("session_id")]
-    pool = first_of(ranked, ["prompt_id"], order, max(3 * limit, 12))
-    once = first_of(pool.withColumn("_s", F.md5(F.lower(normalize(F.col("summary"))))), ["prompt_id", "_s"], order)
-    return first_of(once, ["prompt_id"], order, limit).select("prompt_id", "session_id", "place")
+    pool = newest(seen.select("prompt_id", "session_id", "date_key", "place", "significance", "updated"), ["prompt_id"], order, max(3 * limit, 12))
+    texts = episodes.join(pool.select("session_id").distinct(), "session_id", "left_semi").select("session_id", "date_key", "updated", normalize(F.col("summary")).alias("_t"))
+    told = pool.join(texts, ["session_id", "date_key", "updated"]).where(excluded(F.col("_t")).isNull())
+    facts = told.select("prompt_id", "session_id", "place", "significance", "updated", F.md5(F.lower("_t")).alias("same"), (F.col("_t") == "").alias("empty"), matches(F.col("_t"), L.NOISE_SUMMARIES[1:2]).alias("generic"))
+    item = F.struct("place", (-F.col("significance")).alias("s"), (-F.col("updated")).alias("u"), (-F.col("session_id")).alias("i"), "session_id", "same", "empty", "generic")
+    lists = facts.groupBy("prompt_id").agg(F.array_sort(F.collect_list(item)).alias("pool"))  # as many as are looked at
+    repeated = lambda kept, x: F.exists(kept, lambda k: (k["session_id"] == x["session_id"]) | (~x["empty"] & (k["same"] == x["same"])))
+    once = F.aggregate("pool", F.slice("pool", 1, 0), lambda kept, x: F.when(repeated(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
+    preferred = lists.withColumn("once", once).withColumn("real", F.filter("once", lambda x: ~x["generic"]))
+    chosen = preferred.select("prompt_id", F.explode(F.slice(F.when(F.size("real") > 0, F.col("real")).otherwise(F.col("once")), 1, limit)).alias("e"))
+    return chosen.select("prompt_id", "e.session_id", "e.place")
 
 
 def sampled(rows: DataFrame, key: str, part: float) -> DataFrame:

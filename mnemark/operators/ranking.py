@@ -67,17 +67,19 @@ def excluded(summary: Column) -> Column:
     return F.when(matches(text, L.NOISE_SUMMARIES[:1]), "placeholder_summary").when(matches(text, L.NOISE_SUMMARIES[2:]), "tool_invocation_summary")
 
 
-def relevant_episodes(episodes: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
+def relevant_episodes(episodes: DataFrame, queries: DataFrame, limit: int = 5, repository: str | None = None) -> DataFrame:
     """query_id, session_id, score, matched: hybrid ranking over a lexical and a recency pool, ranks fused.
 
-    ``queries`` has query_id, lexical (terms that a lexical hit holds, all of them), terms and primary (terms that count,
-    and those that count more). A candidate needs a primary term or two of any. Terms weigh by their rarity in the pool;
+    ``queries`` has query_id, lexical (terms that a lexical hit holds, all of them), terms (those that count) and primary
+    (those of ``terms`` that count more). Only what is global or of ``repository`` is looked at, where one is named. A
+    candidate needs a primary term or two of any. Terms weigh by their rarity in the pool;
     summaries that are equal but for case and white space count once, lexical hits first; generic ones give way to others.
     """
     most_exact, most_recent = max(2 * limit, 8), max(8 * limit, 24)
+    everywhere, episodes = episodes, episodes.where(eligible(repository, repository is None))
     asked_for = queries.select("query_id", F.col("lexical").alias("terms"))
     light = episodes.select("session_id", "significance", "updated")
-    hits = bm25(episodes, asked_for, "session_id", "summary", "query_id").join(light, "session_id")
+    hits = bm25(everywhere, asked_for, "session_id", "summary", "query_id").join(light, "session_id")
     order = [F.desc("score"), F.desc("significance"), F.desc("updated"), F.col("session_id")]
     exact = first_of(hits, ["query_id"], order, most_exact)
     ranked = exact.select("query_id", "session_id", (F.row_number().over(Window.partitionBy("query_id").orderBy(*order)) - 1).alias("lexical"))
@@ -89,7 +91,7 @@ def relevant_episodes(episodes: DataFrame, queries: DataFrame, limit: int = 5) -
     pool = ranked.join(recent, ["query_id", "session_id"], "full").withColumn("n_exact", F.count("lexical").over(of_query)).withColumn("n_recent", F.count("recency").over(of_query))
     texts = episodes.join(pool.select("session_id").distinct(), "session_id", "left_semi").withColumn("_why", excluded(F.col("summary"))).where("_why is null")
     key = F.coalesce(F.nullif(F.md5(F.lower(normalize(F.col("summary")))), F.md5(F.lit(""))), F.col("session_id").cast("string"))
-    asked = queries.select("query_id", F.explode(F.array_union("terms", "primary")).alias("term"), "primary").select("query_id", "term", F.array_contains("primary", F.col("term")).alias("first"))
+    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"), "primary").select("query_id", "term", F.array_contains("primary", F.col("term")).alias("first"))
     # every text of the pools is cut to terms once, however many queries look at it
     facts = texts.select("session_id", "significance", "updated", key.alias("_s"), matches(normalize(F.col("summary")), L.NOISE_SUMMARIES[1:2]).alias("generic"), tokens(F.col("summary")).alias("tokens"))
     kept = first_of(pool.join(facts, "session_id"), ["query_id", "_s"], [F.col("lexical").asc_nulls_last(), F.col("recency"), F.col("session_id")])

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.terms import merged_tags
 
@@ -72,21 +73,6 @@ def upsert_keyed(table: DataFrame, batch: DataFrame, key: str, columns: list[str
     return joined.select(key, *[F.coalesce(f"new_{c}", c).alias(c) for c in (*columns, stamp)])
 
 
-def advance_queue(queue: DataFrame, events: DataFrame, retry: Column) -> DataFrame:
-    """(session_id, status, attempts, available_at, last_error) after started, completed and failed events, each session's in order of time.
-
-    A start adds an attempt and clears the error; a failure waits for ``retry``; the last event gives the status.
-    """
-    last = events.groupBy("session_id").agg(F.max_by(F.struct("event", "at", "error"), F.struct("at", "event")).alias("e"), F.count_if(F.col("event") == "started").alias("starts"))
-    joined = queue.join(last, "session_id", "left")
-    event = F.col("e.event")
-    return joined.select(
-        "session_id", F.when(event == "started", "running").when(event == "completed", "completed").when(event == "failed", "failed").otherwise(F.col("status")).alias("status"),
-        (F.col("attempts") + F.coalesce("starts", F.lit(0))).alias("attempts"), F.when(event == "failed", F.col("e.at") + retry).otherwise(F.col("available_at")).alias("available_at"),
-        F.when(event.isNull(), F.col("last_error")).when(event == "failed", F.col("e.error")).alias("last_error"),
-    )
-
-
 def activity(state: DataFrame, successes: DataFrame, columns: list[str], stamp: str) -> DataFrame:
     """Latest marks of each scope: every success counts for its repository and for all; a later one wins field by field."""
     both = F.explode(F.array_distinct(F.array(F.concat(F.lit("repo:"), F.coalesce("repository", F.lit(""))), F.lit("global")))).alias("scope_key")
@@ -97,14 +83,21 @@ def activity(state: DataFrame, successes: DataFrame, columns: list[str], stamp:
 
 
 def task_results(state: DataFrame, results: DataFrame) -> DataFrame:
-    """(task, runs, failures, last_status, last_completed): counters add up; the last result's status stands; only completions move the time."""
+    """(task, runs, failures, attention, last_status, last_started, last_completed) after results (task, status, started, at).
+
+    Counters add up; the last result gives the status and the time of completion, whatever its status; the last start that
+    a result names stands.
+    """
+    order = F.struct("at", "status")
     done = results.groupBy("task").agg(
-        F.count(F.lit(1)).alias("r"), F.count_if(F.col("status") == "failed").alias("f"), F.max_by("status", F.struct("at", "status")).alias("s"), F.max(F.when(F.col("status") == "completed", F.col("at"))).alias("c")
-    )
-    zero = lambda c: F.coalesce(c, F.lit(0))
+        F.count(F.lit(1)).alias("r"), F.count_if(F.col("status") == "failed").alias("f"), F.count_if(F.col("status") == "needs_attention").alias("a"),
+        F.max_by(F.struct("status", "at"), order).alias("last"), F.max_by("started", F.when(F.col("started").isNotNull(), order)).alias("began"),
+    )
+    total = lambda old, new: (F.coalesce(old, F.lit(0)) + F.coalesce(new, F.lit(0))).alias(old)
     return state.join(done, "task", "full").select(
-        "task", (zero("runs") + zero("r")).alias("runs"), (zero("failures") + zero("f")).alias("failures"), F.coalesce("s", "last_status").alias("last_status"), F.coalesce("c", "last_completed").alias("last_completed")
-    )
+        "task", total("runs", "r"), total("failures", "f"), total("attention", "a"), F.coalesce("last.status", "last_status").alias("last_status"),
+        F.coalesce("began", "last_started").alias("last_started"), F.when(F.col("last").isNotNull(), F.col("last.at")).otherwise(F.col("last_completed")).alias("last_completed"),
+    )
 
 
 def without_generated(memory: DataFrame, sessions: DataFrame, kept_sources: tuple[str, ...] = ("memory_save", "onboarding")) -> DataFrame:
@@ -141,15 +134,33 @@ def scope_overrides(memory: DataFrame, requests: DataFrame) -> tuple[DataFrame,
     return preview, applied
 
 
+APPROVAL = ("decision", "durable", "expires_at")
+
+
 def record_approvals(approvals: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
-    """(family, repository, target, decision, durable, expires_at, updated_at): a live, not durable row takes the new decision; else one is added; expired rows go."""
-    keys = ["family", "_r", "_t"]
-    keyed = lambda df: df.withColumn("_r", F.coalesce("repository", F.lit(-1))).withColumn("_t", F.coalesce("target", F.lit(-1)))
-    live = keyed(approvals.where(F.col("expires_at").isNull() | (F.col("expires_at") >= now)))
-    new = keyed(requests).groupBy(*keys).agg(F.max_by("decision", "at").alias("new_decision"), F.max("at").alias("new_at"))
-    loose = live.where("not durable").join(new, keys, "full")
-    merged = loose.select(
-        "family", F.nullif("_r", F.lit(-1)).alias("repository"), F.nullif("_t", F.lit(-1)).alias("target"), F.coalesce("new_decision", "decision").alias("decision"), F.lit(False).alias("durable"), "expires_at",
-        F.coalesce("new_at", "updated_at").alias("updated_at"),
-    )
-    return merged.unionByName(live.where("durable").drop("_r", "_t").select(*merged.columns))
+    """Approvals (family, repository, target, ``APPROVAL``, created_at, updated_at) after requests (the same, and at), in order of time.
+
+    Of a target's rows the first counts: while it is neither durable nor expired a request renews it, decision, durability
+    and expiry alike; from then on, and where it never was so, each request adds a row. Nulls are equal to each other as keys. Expired
+    rows stay until they are purged. Requests of one time come in the order of their decisions.
+    """
+    keys = ["family", "repository", "target"]
+    whose = F.struct(*keys)
+    fixed = lambda: F.coalesce("durable", F.lit(False)) | F.coalesce(F.col("expires_at") < now, F.lit(False))
+    place = F.struct("at", *APPROVAL)
+    held = approvals.withColumn("_key", whose)
+    rank = F.struct("created_at", "updated_at", *APPROVAL)
+    first = held.groupBy("_key").agg(F.min(rank).alias("_first")).join(held.withColumn("_rank", rank), "_key").where("_first = _rank").dropDuplicates(["_key"])
+    locked = first.select("_key", fixed().alias("_locked"), F.col("created_at").alias("_since"))
+    asked = requests.withColumn("_key", whose).withColumn("_place", place).join(locked, "_key", "left")
+    until = asked.where(fixed()).groupBy("_key").agg(F.min("_place").alias("_until"))
+    dealt = asked.join(until, "_key", "left").withColumn("_renews", ~F.coalesce("_locked", F.lit(False)) & (F.col("_until").isNull() | (F.col("_place") <= F.col("_until"))))
+    renewed = dealt.where("_renews").groupBy("_key").agg(F.max("_place").alias("n"), F.coalesce(F.min("_since"), F.min("at")).alias("_since"))
+    columns = [*keys, *APPROVAL, "created_at", "updated_at"]
+    fresh = renewed.select("_key.*", *[f"n.{c}" for c in APPROVAL], F.col("_since").alias("created_at"), F.col("n.at").alias("updated_at"))
+    added = dealt.where("not _renews").select(*keys, *APPROVAL, F.col("at").alias("created_at"), F.col("at").alias("updated_at"))
+    # the renewed row goes once, equal rows of the same key stay
+    ranked = held.withColumn("_rank", rank).withColumn("_nth", F.row_number().over(Window.partitionBy("_key", "_rank").orderBy(F.lit(1))))
+    gone = first.join(renewed.select("_key"), "_key", "left_semi").select("_key", F.col("_first").alias("_rank"), F.lit(1).alias("_nth"))
+    kept = ranked.join(gone, ["_key", "_rank", "_nth"], "left_anti")
+    return kept.select(*columns).unionByName(fresh).unionByName(added)

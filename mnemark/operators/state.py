@@ -32,20 +32,6 @@ def upsert_memory(current: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
-def upsert_queue(queue: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
-    """Enqueue: a running job keeps its status and time; any other is pending from ``now``; the larger priority counts."""
-    asked = requests.groupBy("session_id").agg(F.max("priority").alias("asked"), F.max("repository").alias("asked_by"))
-    running = F.col("status") == "running"
-    new = F.col("asked").isNotNull() & ~F.coalesce(running, F.lit(False))
-    return queue.join(asked, "session_id", "full").select(
-        "session_id",
-        F.coalesce("repository", "asked_by").alias("repository"),
-        F.when(new, "pending").otherwise(F.col("status")).alias("status"),
-        F.greatest("priority", "asked").alias("priority"),
-        F.when(new, now).otherwise(F.col("available_at")).alias("available_at"),
-    )
-
-
 def available(queue: DataFrame, now: Column, limit: int) -> DataFrame:
     """Jobs that may run, most urgent first."""
     return queue.where(F.col("status").isin("pending", "failed") & (F.col("available_at") <= now)).orderBy(F.desc("priority"), "available_at", "session_id").limit(limit)
@@ -79,10 +65,15 @@ def resolved(requests: DataFrame, approvals: DataFrame, now: Column) -> DataFram
     return joined.withColumn("decision", F.coalesce("d1", "d2", "d3", F.lit("ask"))).withColumn("source", source).drop("d1", "d2", "d3")
 
 
-def soft_deleted(memory: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows named in ``ids`` (id, by) that live are superseded by what is named there."""
-    named = ids.groupBy("id").agg(F.min("by").alias("by"))
-    return memory.join(named, "id", "left").withColumn("superseded_by", F.coalesce("superseded_by", "by")).drop("by")
+def soft_deleted(memory: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
+    """Rows named in ``ids`` (id, by) are superseded by what is named there, whatever they were before, and are updated ``now``.
+
+    Where nothing is named it is ``manual:`` and the time; of several names for an id the least counts. superseded_by is text.
+    """
+    named = ids.groupBy("id").agg(F.min(F.col("by").cast("string")).alias("by")).withColumn("_named", F.lit(True))
+    by = F.coalesce("by", F.concat(F.lit("manual:"), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'.000Z'")))
+    out = memory.join(named, "id", "left").withColumn("superseded_by", F.when(F.col("_named"), by).otherwise(F.col("superseded_by").cast("string")))
+    return out.withColumn("updated_at", F.when(F.col("_named"), now).otherwise(F.col("updated_at"))).drop("by", "_named")
 
 
 def latest_activity(*sources: tuple[str, DataFrame, str]) -> DataFrame:

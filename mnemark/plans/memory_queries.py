@@ -50,6 +50,7 @@ episode AS (SELECT doc_id AS session_id, text AS summary, doc_id % 10 AS signifi
   CASE WHEN doc_id % 5 <> 0 THEN source END AS repository, (['global','transferable','repo'])[1 + doc_id % 3] AS scope,
   CAST(DATE '2024-01-01' + CAST(doc_id % 30 AS INT) AS DATE) AS date_key, doc_id AS updated FROM documents)
 """
+TOLD = EPISODE.replace("text AS summary", "CASE WHEN doc_id % 9 < 6 THEN (['Session 0a1b2c3d', 'Worked in src  (0a1b2c3d-99)', ' ', 'Call the tool now', 'Using only local repo files: x', 'Worked in src'])[1 + doc_id % 9] ELSE text END AS summary")
 QUEUE = """
 queue AS (SELECT o_orderkey AS session_id, o_custkey AS repository, CASE WHEN o_orderkey % 11 = 0 THEN 'failed'
   WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'running' END AS status,
@@ -160,13 +161,6 @@ def merged_duplicates(spark, sf_dir):
     return G.merged_duplicates(S.memory(spark, sf_dir).withColumn("content_key", F.md5(F.lower(X.normalize(F.col("content"))))), ["type", "content_key"])
 
 
-@registered("G7_day_summaries", f"""WITH {EPISODE}, l AS (SELECT date_key, coalesce(repository, '') AS repository, summary, row_number() OVER (PARTITION BY date_key, coalesce(repository, '') ORDER BY updated DESC, session_id DESC) AS pos FROM episode),
-k AS (SELECT *, length(summary) < 40 AS noise, max(CASE WHEN length(summary) < 40 THEN 0 ELSE 1 END) OVER (PARTITION BY date_key, repository) AS any_real FROM l WHERE pos <= 8 AND trim(summary) <> '')
-SELECT date_key, repository, string_agg('- ' || summary, chr(10) ORDER BY pos) AS summary, count(*) AS episodes FROM k WHERE any_real = 0 OR NOT noise GROUP BY 1, 2""")
-def day_summaries(spark, sf_dir):
-    return G.day_summaries(S.episode(spark, sf_dir))
-
-
 @registered("G8_latency_summary", f"""WITH {TRACE}, r AS (SELECT *, row_number() OVER (PARTITION BY hook ORDER BY latency_ms, id) - 1 AS pos, count(*) OVER (PARTITION BY hook) AS c FROM trace WHERE latency_ms IS NOT NULL),
 s AS (SELECT hook, count(*) AS n, max(latency_ms) FILTER (pos = floor((c - 1) * 0.5)) AS p50, max(latency_ms) FILTER (pos = floor((c - 1) * 0.95)) AS p95, max(latency_ms) AS most, round(avg(latency_ms), 6) AS mean,
   arg_max(latency_ms, (recorded_at, id)) AS latest FROM r GROUP BY 1)
@@ -291,19 +285,11 @@ def upsert_memory(spark, sf_dir):
     return M.upsert_memory(current, rows.where("id % 2 = 0").withColumn("last_seen", F.col("id") + 7))
 
 
-@registered("M5_enqueue", f"""WITH {QUEUE}, a AS (SELECT c_custkey AS session_id, max(CAST(c_nationkey % 9 AS INT)) AS asked, max(c_custkey) AS asked_by FROM customer GROUP BY 1)
-SELECT session_id, coalesce(repository, asked_by) AS repository, CASE WHEN asked IS NOT NULL AND coalesce(status, '') <> 'running' THEN 'pending' ELSE status END AS status, greatest(priority, asked) AS priority,
- CASE WHEN asked IS NOT NULL AND coalesce(status, '') <> 'running' THEN TIMESTAMP '{NOW}' ELSE available_at END AS available_at FROM queue FULL JOIN a USING (session_id)""")
-def enqueue(spark, sf_dir):
-    asked = S.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_id"), (F.col("c_nationkey") % 9).cast("int").alias("priority"), F.col("c_custkey").alias("repository"))
-    queue = S.work_queue(spark, sf_dir)
-    return M.upsert_queue(queue, asked, now().cast(queue.schema["available_at"].dataType))
-
-
-@registered("M10_soft_delete", f"WITH {MEMORY} SELECT id, CASE WHEN superseded_by IS NULL AND id % 6 = 1 THEN id + 1 ELSE superseded_by END AS superseded_by FROM memory")
+@registered("M10_soft_delete", f"WITH {MEMORY} SELECT id, CASE WHEN id % 6 = 1 THEN CASE WHEN id % 4 = 3 THEN 'manual:1998-01-01T00:00:00.000Z' ELSE CAST(id + 1 AS VARCHAR) END ELSE CAST(superseded_by AS VARCHAR) END AS superseded_by, id % 6 = 1 AS moved FROM memory")
 def soft_delete(spark, sf_dir):
     rows = S.memory(spark, sf_dir)
-    return M.soft_deleted(rows, rows.where("id % 6 = 1").select("id", (F.col("id") + 1).alias("by"))).select("id", "superseded_by")
+    named = rows.where("id % 6 = 1").select("id", F.when(F.col("id") % 4 != 3, F.col("id") + 1).alias("by"))
+    return M.soft_deleted(rows, named, now()).select("id", "superseded_by", (F.col("updated_at") == now()).alias("moved"))
 
 
 @registered("U1_latest_activity", "SELECT * FROM (SELECT 'events' AS source, CAST(max(ts) AS TIMESTAMP) AS happened_at FROM events UNION ALL SELECT 'orders', max(o_orderdate) FROM orders UNION ALL SELECT 'lineitem', max(l_shipdate) FROM lineitem) ORDER BY happened_at DESC, source LIMIT 1")

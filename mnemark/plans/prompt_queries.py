@@ -191,7 +191,7 @@ named AS (SELECT query_id, lower(regexp_replace(regexp_replace(w, '\\.[a-zA-Z]+$
  UNION ALL SELECT query_id, lower(w) FROM camel UNION ALL SELECT query_id, unnest(string_split(lower(trim(regexp_replace(w, '([A-Z])', ' \\1', 'g'))), ' ')) FROM camel),
 entity AS (SELECT DISTINCT query_id, {STEM.format('w')} AS term FROM named WHERE length(w) > 2 AND length({STEM.format('w')}) > 2 AND NOT list_contains({GENERIC}, {STEM.format('w')})),
 primaries AS (SELECT * FROM raw_direct UNION SELECT * FROM entity),
-counting AS (SELECT * FROM wide UNION SELECT * FROM primaries),
+counting AS (SELECT * FROM wide UNION SELECT * FROM entity),
 asked AS (SELECT * FROM raw_direct UNION SELECT * FROM wide WHERE query_id NOT IN (SELECT query_id FROM raw_direct)),
 sizes AS (SELECT query_id, count(*) AS terms FROM asked GROUP BY 1)
 """

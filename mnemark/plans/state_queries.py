@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as L
 from ..operators import diagnostics as D
 from ..operators import snapshots as P
 from ..sources import bindings as S
-from .memory_queries import EPISODE, MEMORY, NORMAL, NOW, QUEUE, STEM, TRACE, WORDS, now, registered
+from .memory_queries import EPISODE, MEMORY, NORMAL, NOW, QUEUE, STEM, TOLD, TRACE, WORDS, now, registered
+from .prompt_queries import any_of
 
 def number():
     return F.col("id")
@@ -54,35 +56,34 @@ def upsert_domains(spark, sf_dir):
     return P.upsert_keyed(held, batch, "domain_key", ["title"], "updated_at")
 
 
-@registered("M5_advanced_queue", f"""WITH {QUEUE}, e AS (SELECT l_orderkey AS session_id, CASE l_returnflag WHEN 'A' THEN 'completed' WHEN 'R' THEN 'failed' ELSE 'started' END AS event, CAST(l_shipdate AS TIMESTAMP) AS happened, l_linestatus AS error, l_linenumber AS n FROM lineitem),
-x AS (SELECT session_id, max((happened, event)) AS last, count(*) FILTER (event = 'started') AS starts, max((happened, event, error)) AS e FROM e GROUP BY 1)
-SELECT session_id, CASE e[2] WHEN 'started' THEN 'running' WHEN 'completed' THEN 'completed' WHEN 'failed' THEN 'failed' ELSE status END AS status, coalesce(starts, 0) AS attempts,
- CASE WHEN e[2] = 'failed' THEN e[1] + INTERVAL 15 MINUTE ELSE CAST(available_at AS TIMESTAMP) END AS available_at FROM queue LEFT JOIN x USING (session_id)""")
-def advanced_queue(spark, sf_dir):
-    queue = S.work_queue(spark, sf_dir).select("session_id", "status", F.lit(0).cast("long").alias("attempts"), F.col("available_at").cast("timestamp").alias("available_at"), F.lit(None).cast("string").alias("last_error"))
-    flag = F.col("l_returnflag")
-    events = S.table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("session_id"), F.when(flag == "A", "completed").when(flag == "R", "failed").otherwise("started").alias("event"), F.col("l_shipdate").cast("timestamp").alias("at"), F.col("l_linestatus").alias("error")
-    )
-    return P.advance_queue(queue, events, F.expr("interval 15 minutes")).drop("last_error")
-
-
 @registered("M7_activity", f"""WITH {QUEUE}, s AS (SELECT repository, available_at AS happened, CASE WHEN priority > 2 THEN session_id END AS extraction, CASE WHEN priority < 4 THEN session_id END AS maintenance FROM queue),
-n AS (SELECT 'repo:' || repository AS scope_key, * FROM s UNION ALL SELECT 'global', * FROM s)
-SELECT scope_key, (max((happened, extraction)) FILTER (extraction IS NOT NULL))[2] AS extraction, (max((happened, maintenance)) FILTER (maintenance IS NOT NULL))[2] AS maintenance FROM n GROUP BY 1""")
+n AS (SELECT 'repo:' || repository AS scope_key, * FROM s UNION ALL SELECT 'global', * FROM s),
+x AS (SELECT scope_key, (max((happened, extraction)) FILTER (extraction IS NOT NULL))[2] AS extraction, (max((happened, maintenance)) FILTER (maintenance IS NOT NULL))[2] AS maintenance FROM n GROUP BY 1),
+held AS (SELECT 'repo:' || c_custkey AS scope_key, -c_custkey AS extraction, CASE WHEN c_custkey % 2 = 0 THEN -c_nationkey END AS maintenance FROM customer)
+SELECT coalesce(x.scope_key, held.scope_key) AS scope_key, coalesce(x.extraction, held.extraction) AS extraction, coalesce(x.maintenance, held.maintenance) AS maintenance FROM x FULL JOIN held ON x.scope_key = held.scope_key""")
 def activity(spark, sf_dir):
     s = S.work_queue(spark, sf_dir).select(F.col("repository").cast("string").alias("repository"), F.col("available_at").alias("at"), F.when(F.col("priority") > 2, F.col("session_id")).alias("extraction"), F.when(F.col("priority") < 4, F.col("session_id")).alias("maintenance"))
-    none = s.limit(0).select(F.lit("").alias("scope_key"), "extraction", "maintenance")
-    return P.activity(none, s, ["extraction", "maintenance"], "at")
+    c = F.col("c_custkey")
+    held = S.table(spark, sf_dir, "customer").select(F.concat(F.lit("repo:"), c.cast("string")).alias("scope_key"), (-c).alias("extraction"), F.when(c % 2 == 0, -F.col("c_nationkey")).cast("long").alias("maintenance"))
+    return P.activity(held, s, ["extraction", "maintenance"], "at")
 
 
-@registered("M8_task_results", """WITH r AS (SELECT l_linestatus || (l_suppkey % 9) AS task, CASE l_returnflag WHEN 'A' THEN 'completed' WHEN 'R' THEN 'failed' ELSE 'skipped' END AS status, l_shipdate AS happened FROM lineitem)
-SELECT task, count(*) AS runs, count(*) FILTER (status = 'failed') AS failures, arg_max(status, (happened, status)) AS last_status, max(happened) FILTER (status = 'completed') AS last_completed FROM r GROUP BY 1""")
+@registered("M8_task_results", """WITH r AS (SELECT l_linestatus || (l_suppkey % 9) AS task, CASE l_returnflag WHEN 'A' THEN 'completed' WHEN 'R' THEN 'failed' ELSE CASE WHEN l_quantity > 25 THEN 'needs_attention' ELSE 'skipped' END END AS status,
+ CASE WHEN l_linenumber % 2 = 0 THEN l_shipdate - INTERVAL 1 DAY END AS started, l_shipdate AS happened FROM lineitem),
+x AS (SELECT task, count(*) AS r, count(*) FILTER (status = 'failed') AS f, count(*) FILTER (status = 'needs_attention') AS a, max((happened, status)) AS last, (max((happened, status, started)) FILTER (started IS NOT NULL))[3] AS began FROM r GROUP BY 1),
+held AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'F' ELSE 'Z' END || n_nationkey AS task, n_nationkey AS runs, n_nationkey // 2 AS failures, CAST(1 AS BIGINT) AS attention, 'running' AS last_status, TIMESTAMP '1990-01-01' AS last_started, CAST(NULL AS TIMESTAMP) AS last_completed FROM nation)
+SELECT coalesce(x.task, h.task) AS task, CAST(coalesce(runs, 0) + coalesce(r, 0) AS BIGINT) AS runs, CAST(coalesce(failures, 0) + coalesce(f, 0) AS BIGINT) AS failures, coalesce(attention, 0) + coalesce(a, 0) AS attention, coalesce(last[2], last_status) AS last_status,
+ coalesce(began, last_started) AS last_started, CASE WHEN x.task IS NULL THEN last_completed ELSE last[1] END AS last_completed FROM x FULL JOIN held h ON x.task = h.task""")
 def task_results(spark, sf_dir):
-    flag = F.col("l_returnflag")
-    r = S.table(spark, sf_dir, "lineitem").select(F.concat("l_linestatus", (F.col("l_suppkey") % 9).cast("string")).alias("task"), F.when(flag == "A", "completed").when(flag == "R", "failed").otherwise("skipped").alias("status"), F.col("l_shipdate").alias("at"))
-    none = r.limit(0).select("task", F.lit(0).cast("long").alias("runs"), F.lit(0).cast("long").alias("failures"), F.col("status").alias("last_status"), F.col("at").alias("last_completed"))
-    return P.task_results(none, r)
+    flag, n = F.col("l_returnflag"), F.col("n_nationkey")
+    status = F.when(flag == "A", "completed").when(flag == "R", "failed").when(F.col("l_quantity") > 25, "needs_attention").otherwise("skipped")
+    at = F.col("l_shipdate").cast("timestamp")
+    r = S.table(spark, sf_dir, "lineitem").select(F.concat("l_linestatus", (F.col("l_suppkey") % 9).cast("string")).alias("task"), status.alias("status"), F.when(F.col("l_linenumber") % 2 == 0, at - F.expr("interval 1 day")).alias("started"), at.alias("at"))
+    held = S.table(spark, sf_dir, "nation").select(
+        F.concat(F.when(n % 2 == 0, "F").otherwise("Z"), n.cast("string")).alias("task"), n.cast("long").alias("runs"), F.floor(n / 2).alias("failures"), F.lit(1).cast("long").alias("attention"),
+        F.lit("running").alias("last_status"), F.lit("1990-01-01").cast("timestamp").alias("last_started"), F.lit(None).cast("timestamp").alias("last_completed"),
+    )
+    return P.task_results(held, r)
 
 
 SOURCED = "src AS (SELECT *, id % 97 AS session_id, (['rule_extractor', 'memory_save', NULL, 'onboarding'])[1 + id % 4] AS origin, id % 10 = 3 AS by_hand FROM memory)"
@@ -128,21 +129,35 @@ def overridden(spark, sf_dir):
     return overrides(spark, sf_dir)[1]
 
 
-@registered("M13_recorded_approvals", f"""WITH a AS (SELECT CAST(s_suppkey % 3 AS INT) AS family, CASE WHEN s_suppkey % 4 <> 0 THEN CAST(s_suppkey % 6 AS INT) END AS repository, s_suppkey AS target, CASE WHEN s_acctbal > 2000 THEN 'allow' ELSE 'deny' END AS decision, s_suppkey % 5 = 0 AS durable,
- CASE WHEN s_suppkey % 7 = 0 THEN TIMESTAMP '1997-01-01 00:00:00' END AS expires_at, s_suppkey AS updated_at FROM supplier),
-live AS (SELECT * FROM a WHERE expires_at IS NULL OR expires_at >= TIMESTAMP '{NOW}'),
-q AS (SELECT CAST(c_custkey % 3 AS INT) AS family, CASE WHEN c_custkey % 4 <> 0 THEN CAST(c_custkey % 6 AS INT) END AS repository, c_custkey AS target, arg_max(CASE WHEN c_acctbal > 0 THEN 'allow' ELSE 'deny' END, c_custkey) AS d, max(c_custkey) AS asked_at FROM customer GROUP BY ALL),
-j AS (SELECT coalesce(l.family, q.family) AS family, coalesce(l.repository, q.repository) AS repository, coalesce(l.target, q.target) AS target, coalesce(d, decision) AS decision, false AS durable, expires_at, coalesce(asked_at, updated_at) AS updated_at
- FROM (SELECT * FROM live WHERE NOT durable) l FULL JOIN q ON l.family = q.family AND l.repository IS NOT DISTINCT FROM q.repository AND l.target = q.target)
-SELECT * FROM j UNION ALL SELECT family, repository, target, decision, durable, expires_at, updated_at FROM live WHERE durable""")
+APPROVING = """a AS (SELECT s_suppkey % 3 AS family, CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey % 5 - 1 END AS repository, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 7 END AS target, CASE WHEN s_acctbal > 2000 THEN 'allow' ELSE 'deny' END AS decision, s_suppkey % 5 = 0 AS durable,
+ CASE WHEN s_suppkey % 7 = 0 THEN TIMESTAMP '1997-01-01 00:00:00' END AS expires_at, s_suppkey AS created_at, s_suppkey AS updated_at FROM supplier),
+q AS (SELECT c_custkey % 3 AS family, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 5 - 1 END AS repository, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 11 END AS target, CASE WHEN c_acctbal > 0 THEN 'allow' ELSE 'deny' END AS decision, c_nationkey = 3 AS durable,
+ CASE WHEN c_nationkey = 7 THEN TIMESTAMP '1996-01-01 00:00:00' WHEN c_nationkey = 8 THEN TIMESTAMP '1999-01-01 00:00:00' END AS expires_at, 100000 + c_custkey AS happened FROM customer)"""
+
+
+@registered("M13_recorded_approvals", f"""WITH RECURSIVE {APPROVING},
+ids AS (SELECT row_number() OVER (ORDER BY family, repository, target) AS k, * FROM (SELECT DISTINCT family, repository, target FROM (SELECT family, repository, target FROM a UNION ALL SELECT family, repository, target FROM q))),
+keyed AS (SELECT k, a.*, row_number() OVER (PARTITION BY k ORDER BY created_at) AS nth FROM a JOIN ids i ON a.family = i.family AND a.repository IS NOT DISTINCT FROM i.repository AND a.target IS NOT DISTINCT FROM i.target),
+asks AS (SELECT k, q.*, row_number() OVER (PARTITION BY k ORDER BY happened) AS n FROM q JOIN ids i ON q.family = i.family AND q.repository IS NOT DISTINCT FROM i.repository AND q.target IS NOT DISTINCT FROM i.target),
+walk AS (SELECT i.k, 0::bigint AS n, f.k IS NOT NULL AS there, f.decision, f.durable, f.expires_at, f.created_at, f.updated_at, false AS adds FROM ids i LEFT JOIN keyed f ON f.k = i.k AND f.nth = 1
+ UNION ALL SELECT w.k, s.n, true, CASE WHEN l.free THEN s.decision ELSE w.decision END, CASE WHEN l.free THEN s.durable ELSE w.durable END, CASE WHEN l.free THEN s.expires_at ELSE w.expires_at END, CASE WHEN w.there THEN w.created_at ELSE s.happened END,
+  CASE WHEN l.free THEN s.happened ELSE w.updated_at END, NOT l.free FROM walk w JOIN asks s ON s.k = w.k AND s.n = w.n + 1, LATERAL (SELECT NOT w.there OR (NOT w.durable AND coalesce(w.expires_at >= TIMESTAMP '{NOW}', true)) AS free) l),
+firsts AS (SELECT * FROM walk WHERE there QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC) = 1)
+SELECT family, repository, target, f.decision, f.durable, f.expires_at, f.created_at, f.updated_at FROM firsts f JOIN ids USING (k)
+UNION ALL SELECT family, repository, target, decision, durable, expires_at, created_at, updated_at FROM keyed WHERE nth > 1
+UNION ALL SELECT s.family, s.repository, s.target, s.decision, s.durable, s.expires_at, s.happened, s.happened FROM asks s JOIN walk w ON w.k = s.k AND w.n = s.n WHERE w.adds""")
 def recorded_approvals(spark, sf_dir):
-    k, c = F.col("s_suppkey"), F.col("c_custkey")
-    family, repository = lambda x: (x % 3).cast("int").alias("family"), lambda x: F.when(x % 4 != 0, (x % 6).cast("int")).alias("repository")
+    k, c, nation = F.col("s_suppkey"), F.col("c_custkey"), F.col("c_nationkey")
+    place = lambda x, m: (
+        (x % 3).alias("family"), F.when(x % 4 != 0, x % 5 - 1).alias("repository"), F.when(x % 2 == 0, x % m).alias("target"))
+    day = lambda d: F.lit(d).cast("timestamp")
     held = S.table(spark, sf_dir, "supplier").select(
-        family(k), repository(k), k.alias("target"), F.when(F.col("s_acctbal") > 2000, "allow").otherwise("deny").alias("decision"), (k % 5 == 0).alias("durable"),
-        F.when(k % 7 == 0, F.lit("1997-01-01").cast("timestamp")).alias("expires_at"), k.alias("updated_at"),
+        *place(k, 7), F.when(F.col("s_acctbal") > 2000, "allow").otherwise("deny").alias("decision"), (k % 5 == 0).alias("durable"), F.when(k % 7 == 0, day("1997-01-01")).alias("expires_at"), k.alias("created_at"), k.alias("updated_at"),
+    )
+    asked = S.table(spark, sf_dir, "customer").select(
+        *place(c, 11), F.when(F.col("c_acctbal") > 0, "allow").otherwise("deny").alias("decision"), (nation == 3).alias("durable"),
+        F.when(nation == 7, day("1996-01-01")).when(nation == 8, day("1999-01-01")).alias("expires_at"), (c + 100000).alias("at"),
     )
-    asked = S.table(spark, sf_dir, "customer").select(family(c), repository(c), c.alias("target"), F.when(F.col("c_acctbal") > 0, "allow").otherwise("deny").alias("decision"), c.alias("at"))
     return P.record_approvals(held, asked, now())
 
 
@@ -159,7 +174,7 @@ def keyed_memory(spark, sf_dir):
 
 @registered("G11_hit_rates", """WITH l AS (SELECT l_returnflag || l_linestatus || (l_suppkey % 7) AS name, l_linenumber % 4 AS matched, l_linenumber % 3 AS included, CAST(l_quantity AS BIGINT) AS dropped FROM lineitem),
 s AS (SELECT name, count(*) AS seen, count(*) FILTER (matched > 0) AS hits, count(*) FILTER (included > 0) AS used, CAST(sum(dropped) AS BIGINT) AS dropped FROM l GROUP BY 1)
-SELECT *, round(hits / seen, 4) AS hit_rate, round(used / seen, 4) AS use_rate FROM s ORDER BY seen DESC, name LIMIT 8""")
+SELECT *, round(hits / seen, 4) AS hit_rate, round(used / seen, 4) AS use_rate FROM s ORDER BY used / seen DESC, hits / seen DESC, name LIMIT 8""")
 def hit_rates(spark, sf_dir):
     rows = S.table(spark, sf_dir, "lineitem").select(
         F.concat("l_returnflag", "l_linestatus", (F.col("l_suppkey") % 7).cast("string")).alias("name"), (F.col("l_linenumber") % 4).alias("matched"), (F.col("l_linenumber") % 3).alias("included"), F.col("l_quantity").cast("long").alias("dropped")
@@ -191,15 +206,6 @@ def newest_kinds(spark, sf_dir):
     return D.newest_kinds(S.trace(spark, sf_dir), [F.desc("recorded_at"), F.desc("id")], 200, "hook")
 
 
-@registered("G26_progress", """WITH r AS (SELECT l_orderkey AS run_id, count(*) AS total, count(*) FILTER (l_returnflag NOT IN ('A', 'R') AND l_linenumber % 2 = 0) AS pending, count(*) FILTER (l_returnflag NOT IN ('A', 'R') AND l_linenumber % 2 = 1) AS running, count(*) FILTER (l_returnflag = 'R') AS failed FROM lineitem GROUP BY 1)
-SELECT *, CAST(floor(100.0 * (total - pending - running) / total + 0.5) AS BIGINT) AS percent, CASE WHEN pending + running = 0 THEN CASE WHEN failed > 0 THEN 'failed' ELSE 'completed' END WHEN total = pending + running THEN 'queued' ELSE 'running' END AS phase FROM r""")
-def progress(spark, sf_dir):
-    flag, open_ = F.col("l_returnflag"), ~F.col("l_returnflag").isin("A", "R")
-    even = F.col("l_linenumber") % 2 == 0
-    runs = S.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.count(F.lit(1)).alias("total"), F.count_if(open_ & even).alias("pending"), F.count_if(open_ & ~even).alias("running"), F.count_if(flag == "R").alias("failed"))
-    return D.progress(runs)
-
-
 PARTS = f"w AS (SELECT p_name AS name, unnest({WORDS.format('p_name')}) AS token, 4 AS weight FROM part UNION ALL SELECT p_name, unnest({WORDS.format('p_type')}), 3 FROM part)"
 
 
@@ -291,15 +297,17 @@ def drill_down(spark, sf_dir):
     return D.drill_down(S.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")), memory, e, days)
 
 
-@registered("R11_episodes_of_day", f"""WITH {EPISODE}, a AS (SELECT item_id AS prompt_id, CAST(DATE '2024-01-01' + CAST(item_id % 40 AS INT) AS DATE) AS date_key, 'src' || (item_id % 6) AS own FROM benchmark),
-m AS (SELECT prompt_id, e.*, CASE WHEN repository = own THEN 0 WHEN scope = 'global' THEN 1 ELSE 2 END AS place FROM a JOIN episode e USING (date_key) WHERE NOT regexp_matches(coalesce(summary, ''), '(?i)^\\s*(session [0-9a-f-]{{8,}}$|call the tool\\b|using only local repo files\\b)|\\breturn only the tool output\\b')),
+@registered("R11_episodes_of_day", f"""WITH {TOLD}, a AS (SELECT item_id AS prompt_id, CAST(DATE '2024-01-01' + CAST(item_id % 40 AS INT) AS DATE) AS date_key, 'src' || (item_id % 6) AS own FROM benchmark),
+m AS (SELECT prompt_id, e.*, {NORMAL.format('summary')} AS t, CASE WHEN repository = own THEN 0 WHEN scope = 'global' THEN 1 ELSE 2 END AS place FROM a JOIN episode e USING (date_key) WHERE repository = own OR scope = 'global'),
 p AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY place, significance DESC, updated DESC, session_id DESC) <= 15),
-o AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY prompt_id, lower({NORMAL.format('summary')}) ORDER BY place, significance DESC, updated DESC, session_id DESC) = 1)
-SELECT prompt_id, session_id, place FROM o QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY place, significance DESC, updated DESC, session_id DESC) <= 5""")
+x AS (SELECT *, {any_of('t', L.NOISE_SUMMARIES[1:2])} AS generic FROM p WHERE NOT {any_of('t', (L.NOISE_SUMMARIES[0], *L.NOISE_SUMMARIES[2:]))}),
+o AS (SELECT * FROM x QUALIFY t = '' OR row_number() OVER (PARTITION BY prompt_id, lower(t) ORDER BY place, significance DESC, updated DESC, session_id DESC) = 1),
+g AS (SELECT * FROM o QUALIFY NOT generic OR NOT bool_or(NOT generic) OVER (PARTITION BY prompt_id))
+SELECT prompt_id, session_id, place FROM g QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY place, significance DESC, updated DESC, session_id DESC) <= 5""")
 def episodes_of_day(spark, sf_dir):
     i = F.col("item_id")
     asked = S.table(spark, sf_dir, "benchmark").select(i.alias("prompt_id"), F.date_add(F.lit("2024-01-01").cast("date"), (i % 40).cast("int")).alias("date_key"), F.concat(F.lit("src"), (i % 6).cast("string")).alias("repository"))
-    return D.episodes_of_day(asked, S.episode(spark, sf_dir), 5)
+    return D.episodes_of_day(asked, S.told_episodes(spark, sf_dir), 5)
 
 
 @registered("R10_without_generic", f"WITH {EPISODE}, g AS (SELECT date_key, repository, session_id, significance < 8 AS generic FROM episode) SELECT date_key, session_id FROM g QUALIFY generic = false OR NOT bool_or(NOT generic) OVER (PARTITION BY date_key, repository)")

@@ -134,3 +134,54 @@ def raw_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything that users said, and all items of the benchmark, as questions to the raw log."""
     said = table(spark, sf_dir, "conversations").where("role = 'user' and conv_id is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
     return said.unionByName(table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("query_id"), "text"))
+
+
+def told_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes of which two thirds have summaries that say nothing, or nearly."""
+    said = ("Session 0a1b2c3d", "Worked in src  (0a1b2c3d-99)", " ", "Call the tool now", "Using only local repo files: x", "Worked in src")
+    place = (F.col("session_id") % 9).cast("int")
+    return episode(spark, sf_dir).withColumn("summary", F.when(place < len(said), F.get(F.array(*map(F.lit, said)), place)).otherwise(F.col("summary")))
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, none = F.col("o_orderkey"), F.lit(None).cast("timestamp")
+    status = F.when(k % 11 == 0, "failed").when(F.col("o_orderstatus") == "F", "completed").when(k % 3 == 0, "pending").otherwise("running")
+    return table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(
+        k.alias("session_id"), F.concat(F.lit("r"), (F.col("o_custkey") % 50).cast("string")).alias("repository"), status.alias("status"),
+        F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), F.col("o_orderpriority").alias("reason"), F.col("o_orderdate").cast("timestamp").alias("queued_at"),
+        F.col("o_orderdate").cast("timestamp").alias("available_at"), F.lit(1).cast("long").alias("attempts"), none.alias("started_at"), none.alias("completed_at"), F.lit("old").alias("last_error"),
+    )
+
+
+def line_place():
+    """The place of a line among those of one day."""
+    return F.expr("l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey")
+
+
+def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flag, n, s = F.col("l_returnflag"), F.col("l_quantity").cast("int"), F.col("l_suppkey") % 5
+    event = F.when(flag == "A", "completed").when((flag == "R") & (F.col("l_quantity") > 25), "failed").when((F.col("l_partkey") + F.col("l_linenumber")) % 2 == 0, "started").otherwise("enqueued")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("session_id"), event.alias("event"), F.col("l_shipdate").cast("timestamp").alias("at"), line_place().alias("seq"),
+        F.when(s > 0, F.concat(F.lit("n"), s.cast("string"))).alias("repository"), (n % 9).alias("priority"), F.col("l_linestatus").alias("reason"), n.alias("delay_minutes"),
+        F.concat(F.lit("e"), (F.col("l_partkey") % 7).cast("string")).alias("error"),
+    )
+
+
+def backfill(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Runs, their items, updates of the items, and refreshes: a customer is a run, its orders the items, their lines the updates."""
+    orders, k, c = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("c_custkey")
+    runs = table(spark, sf_dir, "customer").select(c.alias("run_id"), F.lit("running").alias("status"), (c % 30).cast("long").alias("total"), F.lit(10).cast("long").alias("batch"), F.when(c % 2 == 0, "before").alias("last_error"))
+    items = orders.select(F.col("o_custkey").alias("run_id"), k.alias("session_id"), F.when(k % 3 == 0, "create").otherwise("refresh").alias("planned"))
+    flag = F.col("l_returnflag")
+    status = (
+        F.when(flag == "A", "completed").when((flag == "R") & (F.col("l_quantity") > 40), "failed").when(flag == "R", "completed")
+        .when((F.col("l_linestatus") == "F") | (F.col("l_linenumber") > 1), "skipped").otherwise("pending")
+    )
+    lines = table(spark, sf_dir, "lineitem").join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    updates = lines.select(
+        F.col("o_custkey").alias("run_id"), F.col("l_orderkey").alias("session_id"), status.alias("status"), F.col("l_shipdate").cast("timestamp").alias("at"),
+        line_place().alias("seq"), F.concat(F.lit("e"), (F.col("l_partkey") % 7).cast("string")).alias("error"),
+    )
+    refreshes = orders.select(F.col("o_custkey").alias("run_id"), (F.col("o_orderdate").cast("timestamp") + F.expr("interval 60 days")).alias("at"), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("x"), "o_orderpriority")).alias("error"))
+    return runs, items, updates, refreshes

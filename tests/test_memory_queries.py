@@ -76,13 +76,6 @@ def test_packing_stops_at_the_first_overflow(spark):
     assert [r.o for r in ranking.packed(rows, "g", [F.col("o")], "t", 25).orderBy("o").collect()] == [1]
 
 
-def test_queue_keeps_running_jobs(spark):
-    queue = spark.createDataFrame([(1, 5, "running", 2, 10), (2, 5, "failed", 3, 10)], "session_id int, repository int, status string, priority int, available_at int")
-    asked = spark.createDataFrame([(1, 9, 7), (2, 1, 7), (3, 4, 7)], "session_id int, priority int, repository int")
-    got = {r.session_id: tuple(r)[1:] for r in state.upsert_queue(queue, asked, F.lit(99)).collect()}
-    assert got == {1: (5, "running", 9, 10), 2: (5, "pending", 3, 99), 3: (7, "pending", 4, 99)}
-
-
 def test_stream_gives_what_the_table_gives(spark, tmp_path):
     rows = bindings.trace(spark, SF).orderBy("recorded_at")
     rows.write.parquet(str(tmp_path / "in"))
