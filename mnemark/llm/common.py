@@ -84,16 +84,19 @@ def join_counted(rows: DataFrame, found: DataFrame, keys: list[str], count: str)
     """Left join of ``rows`` with ``found`` (one row a key, no null keys), whose column ``count`` tells how many rows have the key.
 
     Hot keys, those of more than one in ``HOT_SHARE`` of all counted rows, are broadcast: there cannot be more than
-    ``HOT_SHARE`` of them. The other rows are shuffled to theirs. The column ``count`` is not kept.
+    ``HOT_SHARE`` of them. The other rows are shuffled to theirs; those with a null key meet nothing and are not shuffled.
+    The column ``count`` is not kept.
     """
     total = found.agg(F.sum(count)).first()[0] or 0
     hot = found.where(F.col(count) * HOT_SHARE > total).drop(count)
     rest = found.where(F.col(count) * HOT_SHARE <= total).drop(count)
     names = [c for c in hot.columns if c not in keys]
-    with_hot = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+    keyed = " and ".join(f"{k} is not null" for k in keys)
+    with_hot = rows.where(keyed).join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
     is_hot = with_hot.where("_hot").drop("_hot")
     others = with_hot.where("_hot is null").drop("_hot", *names).join(rest, keys, "left")
-    return is_hot.unionByName(others)
+    # rows without a key would all be dealt to one task
+    return is_hot.unionByName(others).unionByName(rows.where(f"not ({keyed})"), allowMissingColumns=True)
 
 
 def number_within(df: DataFrame, groups: list[str], order: list[Column], salt_of: list[Column], out: str, salts: int = 64) -> DataFrame:
