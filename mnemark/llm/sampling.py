@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRAIN = 1 << 30
-#: Most characters of a training text: longer ones are cut into pieces for languages, and left out for toxicity.
+#: Most characters of a training text: longer ones are cut into pieces.
 LONGEST = 40_000
 
 
@@ -25,10 +25,9 @@ def hashed_share(rows: DataFrame, label: str, doc_id: str, counts: dict, most: i
 
 
 def collect_texts(rows: DataFrame, label: str, doc_id: str, text: str, labels) -> dict[object, list[str]]:
-    """Texts of each label on the driver, in the order of their ids; only for bounded samples."""
+    """Texts of each label on the driver, in the order of their ids; only for bounded samples of pieces."""
     out: dict[object, list[str]] = {k: [] for k in labels}
-    short = rows.where(F.length(text) <= LONGEST).select(label, doc_id, text)
-    for r in sorted(short.collect(), key=lambda r: (str(r[1]), r[2])):
+    for r in sorted(rows.select(label, doc_id, text).collect(), key=lambda r: (str(r[1]), r[2])):
         out[r[0]].append(r[2])
     return out
 

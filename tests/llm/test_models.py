@@ -82,3 +82,23 @@ def test_language_of_held_out_rows(spark, labelled):
     odd = spark.createDataFrame([(1, None), (2, "123 !!"), (3, "the")], "doc_id long, text string")
     said = {r.doc_id: r.lang_pred for r in langid.identify(odd, langid.learn(docs)).collect()}
     assert said[1] == said[2] == "und" and said[3] != "und"
+
+
+def test_long_labelled_texts_teach_and_windows_are_bounded(spark):
+    """Every labelled text is longer than a piece: the model is made of pieces, and tells them apart."""
+    words = " ".join(f"word{k % 97}" for k in range(9000))
+    docs = [(i, words + (" vilething" * 40 if i % 3 == 0 else "") + f" w{i} " + words) for i in range(40)] + [(90, None), (91, ""), (91, ""), (None, "x")]
+    frame = spark.createDataFrame([(*d, "clash", 1) for d in docs], "doc_id long, text string, score string, mark int")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(40)] + [(77, 1, 1), (2, 0, None)], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(frame, labels)
+    assert model is not None
+    got = sorted((str(r.doc_id), r.score) for r in toxicity.score_toxicity(frame, model).collect())
+    assert len(got) == len(docs) and all(0 <= s <= 1 for _, s in got)
+    score = dict(got)
+    assert min(score[str(i)] for i in range(0, 40, 3)) > max(score[str(i)] for i in range(40) if i % 3)
+    assert toxicity.score_toxicity(frame.limit(0), model).count() == 0
+    assert toxicity.learn(frame, labels.limit(0)) is None and toxicity.keep_ordinary(frame, None).count() == len(docs)
+    kept = toxicity.keep_ordinary(frame, model)
+    assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} >= {90, 91, None}
+    body = ("毒" * 4000).encode()
+    assert b"".join(toxicity.windows(body, 64)) == body and max(map(len, toxicity.windows(body, 64))) <= 64 + toxicity.NO_BLANK
