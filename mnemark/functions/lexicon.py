@@ -164,6 +164,9 @@ TASK_STOP_WORDS = (
 PHATIC_TERMS = ("help", "today", "there", "morning", "afternoon", "evening", "thanks", "thank")
 NO_ADDRESS = ("hey", "hi", "ok", "okay", "please", "researching", "planning", "implementing", "continue", "update")
 
+# Openings that address somebody before the task is told.
+FRAMES = (r"^([a-z][a-z0-9_-]{2,20})[,:]\s+", r"^(?:hi|hello|hey)\s+[a-z][a-z0-9_-]{2,20}(?:[!?,.]\s*|\s+)", r"^(?:hi|hello|hey)[!?,.\s]+")
+
 # How much each property of a planned action adds to its risk.
 MUTABILITY = {"read-only": 0, "append-only": 1, "metadata-update": 2, "destructive-write": 4}
 REVERSIBILITY = {"reversible": 0, "operator-reversible": 1, "difficult": 2, "irreversible": 4}

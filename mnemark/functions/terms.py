@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
@@ -16,6 +17,15 @@ EDGE = f"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))"
 BLANK = SPACE[:-1]
 
 
+def edge(before: str, after: str) -> str:
+    """A boundary; where a letter or digit stands next to it for certain, only the other side is looked at."""
+    if re.match(r"[A-Za-z0-9_](?![?*{])", after):
+        return f"(?<!{WORD})"
+    if re.search(r"(?:^|[^\\])[A-Za-z0-9_]$", before):
+        return f"(?!{WORD})"
+    return EDGE
+
+
 def java(pattern: str) -> str:
     """A pattern of the lexicon for Spark's engine: boundaries of ASCII words, any case."""
     inside = BLANK[1:-1]
@@ -23,7 +33,7 @@ def java(pattern: str) -> str:
     while i < len(pattern):
         two = pattern[i : i + 2]
         if two == r"\b":
-            out, i = out + EDGE, i + 2
+            out, i = out + edge(pattern[:i], pattern[i + 2 :]), i + 2
         elif two == r"\s":
             out, i = out + (inside if in_class else BLANK), i + 2
         elif two[0] == "\\":

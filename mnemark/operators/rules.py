@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.terms import assistant_name, java, matches, mentions
+from ..functions.terms import assistant_name, java, let, matches, mentions
 from ..functions.text import normalize, words
 from .ranking import first_of
 
@@ -14,17 +14,19 @@ from .ranking import first_of
 NAME_WEIGHT, DESCRIPTION_WEIGHT = 4, 3
 
 
-def memory_scope(type_: Column, text: Column, repository: Column, given: Column) -> Column:
+def memory_scope(type_: Column, text: Column, repository: Column, given: Column, name: Column | None = None) -> Column:
     """The first rule that holds: a given scope, then the type's own, then what the text speaks of.
 
-    ``text`` is all that is said of the memory: type, content, tags, reason and note.
+    ``text`` is all that is said of the memory: type, content, tags, reason and note; ``name`` is its
+    :func:`assistant_name`, where that is known already.
     """
+    name = assistant_name(text) if name is None else name
     local, moves, general = matches(text, L.REPO_SPECIFIC), matches(text, L.TRANSFERABLE), matches(text, L.GLOBAL_PREFERENCE)
     asked = F.lower(F.trim(given))
     return (
         F.when(asked.isin("global", "transferable", "repo"), asked)
         .when(type_ == "interaction_style", "global")
-        .when((type_ == "assistant_identity") | assistant_name(text).isNotNull(), "global")
+        .when((type_ == "assistant_identity") | name.isNotNull(), "global")
         .when(type_ == "user_identity", "global")
         .when(type_.isin("open_loop", "blocker", "commitment"), "repo")
         .when(type_ == "directive", "global")
@@ -51,18 +53,22 @@ def effective_repository(scope: Column, repository: Column, origin: Column, fall
 def task_terms(prompt: Column) -> Column:
     """What is left of a prompt to look up once address, style and manners are taken out: long words, without stop words."""
     text = normalize(prompt)
-    for p in (r"^([a-z][a-z0-9_-]{2,20})[,:]\s+", r"^(?:hi|hello|hey)\s+[a-z][a-z0-9_-]{2,20}(?:[!?,.]\s*|\s+)", r"^(?:hi|hello|hey)[!?,.\s]+"):
+    for p in L.FRAMES:
         text = F.regexp_replace(text, java(p), "")
     for p in (*L.TONE, *L.COLLEAGUE_STYLE, *L.COLLABORATIVE_STYLE, *L.LIGHT_HUMOUR, *L.NO_JOKES, *L.ADDRESSING):
         text = F.regexp_replace(text, java(p), " ")
-    name = F.lower(F.coalesce(assistant_name(text), F.lit("")))
-    words_ = F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s./_-]", " "), r"\s+")
-    return F.array_distinct(F.filter(words_, lambda w: (F.length(w) > 3) & ~w.isin(*L.TASK_STOP_WORDS, *L.PHATIC_TERMS) & (w != name)))
+
+    def long_words(left: Column) -> Column:
+        name = F.array(F.lower(F.coalesce(assistant_name(left), F.lit(""))))
+        every = F.filter(F.split(F.regexp_replace(F.lower(left), r"[^a-z0-9\s./_-]", " "), r"\s+"), lambda w: F.length(w) > 3)
+        return F.array_except(every, F.concat(F.array(*map(F.lit, (*L.TASK_STOP_WORDS, *L.PHATIC_TERMS))), name))
+
+    return let(text, long_words)
 
 
 def prompt_need(prompts: DataFrame, text: str) -> DataFrame:
     """``prompts`` with what each asks for: memories of a time, continuity, examples, style, or only a greeting."""
-    t = F.trim(F.coalesce(F.col(text), F.lit("")))
+    prompts, t = prompts.withColumn("_t", F.trim(F.coalesce(F.col(text), F.lit("")))), F.col("_t")
     colleague, together = matches(t, L.COLLEAGUE_STYLE), matches(t, L.COLLABORATIVE_STYLE)
     humour, no_jokes = matches(t, L.LIGHT_HUMOUR), matches(t, L.NO_JOKES)
     style = matches(t, (*L.TONE, *L.COLLEAGUE_STYLE, *L.COLLABORATIVE_STYLE, *L.LIGHT_HUMOUR, *L.NO_JOKES, *L.ADDRESSING))
@@ -83,7 +89,7 @@ def prompt_need(prompts: DataFrame, text: str) -> DataFrame:
         "needs_lookup": c("temporal") | c("addressed") | c("continuity") | c("style") | c("examples"),
         "local_context": ~c("identity_only") & (c("temporal") | c("continuity") | c("has_task")),
         "cross_repository": c("examples") | (c("temporal") & ~c("local_only")),
-    }).drop("time", "has_task", "local_only")
+    }).drop("time", "has_task", "local_only", "_t")
 
 
 def risk(actions: DataFrame) -> DataFrame:

@@ -164,3 +164,35 @@ def record_approvals(approvals: DataFrame, requests: DataFrame, now: Column) ->
     gone = first.join(renewed.select("_key"), "_key", "left_semi").select("_key", F.col("_first").alias("_rank"), F.lit(1).alias("_nth"))
     kept = ranked.join(gone, ["_key", "_rank", "_nth"], "left_anti")
     return kept.select(*columns).unionByName(fresh).unionByName(added)
+
+
+def superseded_duplicates(memory: DataFrame, kind: str, now: Column) -> DataFrame:
+    """Live memories of a type that share a canonical key become one: the winner takes what all have, the others are superseded by it.
+
+    Rows set by hand win, then the surest, the most often seen, the newest, the least id. The winner gets the largest
+    confidence, the sum of reinforcements, the latest time seen, and all tags in the order of their rows.
+    """
+    columns = memory.columns
+    same = F.col("superseded_by").isNull() & (F.col("type") == kind) & F.col("canonical_key").isNotNull()
+    by_hand = F.coalesce("scope_source", F.lit("auto")) == "manual"
+    sure, count = F.coalesce("confidence", F.lit(1)), F.coalesce("reinforcement_count", F.lit(1))
+    rank = F.struct((~by_hand).alias("a"), (-sure).alias("b"), (-count).alias("c"), (-F.unix_micros("updated_at")).alias("d"), "id")
+    live = memory.where(same).withColumn("_rank", rank)
+    groups = live.groupBy("canonical_key").agg(
+        F.min("_rank").alias("w"), F.count(F.lit(1)).alias("n"), F.max(sure).alias("n_confidence"), F.sum(count).cast("int").alias("n_count"), F.max("last_seen_at").alias("n_seen"),
+    ).where("n > 1")
+    tag = F.posexplode(F.filter(F.split(F.coalesce("tags", F.lit("")), r"\s+"), lambda t: t != "")).alias("at", "tag")
+    first = live.select("canonical_key", "_rank", tag).groupBy("canonical_key", "tag").agg(F.min(F.struct("_rank", "at")).alias("r"))
+    tags = first.groupBy("canonical_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "tag"))), lambda x: x["tag"]), " ").alias("n_tags"))  # distinct tags
+    told = groups.join(tags, "canonical_key", "left").select("canonical_key", F.col("w.id").alias("_winner"), "n_confidence", "n_count", "n_seen", "n_tags")
+    joined = memory.join(told, "canonical_key", "left")
+    wins, loses = same & (F.col("id") == F.col("_winner")), same & (F.col("id") != F.col("_winner"))
+    taken = {"confidence": "n_confidence", "reinforcement_count": "n_count", "last_seen_at": "n_seen", "tags": "n_tags"}
+    return joined.select(
+        *[
+            (F.when(wins, F.col(taken[c]).cast(memory.schema[c].dataType)).otherwise(F.col(c)) if c in taken
+             else F.when(loses, F.col("_winner").cast(memory.schema[c].dataType)).otherwise(F.col(c)) if c == "superseded_by"
+             else F.when(F.col("_winner").isNotNull() & same, now.cast(memory.schema[c].dataType)).otherwise(F.col(c)) if c == "updated_at" else F.col(c)).alias(c)
+            for c in columns
+        ]
+    )

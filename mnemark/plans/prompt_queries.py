@@ -96,9 +96,10 @@ SELECT id, CASE WHEN type = 'interaction_style' OR name IS NOT NULL THEN 'global
  WHEN type = 'recurring_mistake' THEN 'global' WHEN type = 'assistant_goal' THEN CASE WHEN local THEN 'repo' WHEN moves THEN 'transferable' ELSE 'global' END
  WHEN moves THEN 'transferable' WHEN repository IS NULL THEN 'global' ELSE 'repo' END AS scope, name FROM f""")
 def memory_scope(spark, sf_dir):
-    rows = S.memory(spark, sf_dir)
     text = F.concat_ws(" ", "type", led(F.col("id"), F.col("content")), F.coalesce("tags", F.lit("")))
-    return rows.select("id", C.memory_scope(F.col("type"), text, F.col("repository"), F.lit(None).cast("string")).alias("scope"), X.assistant_name(text).alias("name"))
+    rows = S.memory(spark, sf_dir).select("id", "type", "repository", text.alias("text")).withColumn("name", X.assistant_name(F.col("text")))
+    scope = C.memory_scope(F.col("type"), F.col("text"), F.col("repository"), F.lit(None).cast("string"), F.col("name"))
+    return rows.select("id", scope.alias("scope"), "name")
 
 
 @registered("C3_episode_scope", f"""SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'global' WHEN doc_id % 4 = 0 THEN 'repo' WHEN {any_of(leads('doc_id') + " || coalesce(text, '')", L.TRANSFERABLE)} THEN 'transferable' ELSE 'repo' END AS scope,
@@ -121,7 +122,7 @@ STYLES = (*L.TONE, *L.COLLEAGUE_STYLE, *L.COLLABORATIVE_STYLE, *L.LIGHT_HUMOUR,
 
 def stripped_sql(text: str) -> str:
     out = NORMAL.format(text)
-    for p in (r"^([a-z][a-z0-9_-]{2,20})[,:]\s+", r"^(?:hi|hello|hey)\s+[a-z][a-z0-9_-]{2,20}(?:[!?,.]\s*|\s+)", r"^(?:hi|hello|hey)[!?,.\s]+"):
+    for p in L.FRAMES:
         out = f"regexp_replace({out}, '{p}', '', 'i')"
     for p in STYLES:
         out = f"regexp_replace({out}, '{q(p)}', ' ', 'gi')"

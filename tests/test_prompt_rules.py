@@ -1,10 +1,13 @@
 """Rules on prompts, sessions and state in small cases with known answers."""
 
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from mnemark.functions import terms as X
-from mnemark.operators import aggregates, diagnostics, ranking, rules, sessions, snapshots
+from mnemark.operators import aggregates, diagnostics, extraction, ranking, rules, sessions, snapshots
 
 
 def one(spark, text, f):
@@ -50,11 +53,13 @@ def test_corrections_and_failures_of_sessions(spark):
         (2, 0, "no, that should be the left one", None), (3, 0, None, None),
     ]
     turns = spark.createDataFrame(talk, "session_id int, turn_index int, user_message string, assistant_response string")
-    got = {(r.session_id, r.type): (r.turn_index, r.content) for r in sessions.session_memories(turns).collect()}
+    points = "session_id int, checkpoint_number int, title string, overview string, history string, work_done string, technical_details string, next_steps string"
+    none = extraction.checkpoint_items(spark.createDataFrame([], points), spark.createDataFrame([], "session_id int, file_path string, first_seen_at int"))
+    got = {(r.session_id, r.type): (r.turn_index, r.content) for r in extraction.session_memories(turns, none).collect()}
     assert got[1, "recurring_mistake"][0] == 1
     assert got[1, "assistant_goal"] == (2, "Current assistant goal: stabilize failing execution paths before continuing implementation")
     assert {k for k, _ in got} == {1}
-    assert sessions.session_memories(turns.limit(0)).count() == 0
+    assert extraction.session_memories(turns.limit(0), none).count() == 0
 
 
 def test_turns_are_numbered_over_ranges(spark):
@@ -99,3 +104,19 @@ def test_evidence_without_rows_is_missing(spark):
 def test_newest_rows_of_a_group_that_has_most(spark):
     rows = spark.createDataFrame([(1, i) for i in range(500)] + [(2, 1)], "g int, at int")
     assert sorted((r.g, r.at) for r in ranking.newest(rows, ["g"], [F.desc("at")], 3).collect()) == [(1, 497), (1, 498), (1, 499), (2, 1)]
+
+
+def test_a_prompt_of_twenty_thousand_words_takes_seconds(spark):
+    text = "Hey Juno, " + " ".join(f"word{k} please keep" for k in range(7000)) + " needle"
+    frame = spark.createDataFrame([(text,)], "t string")
+    began = time.perf_counter()
+    got = frame.select(rules.task_terms(F.col("t")).alias("w")).first().w
+    assert rules.prompt_need(frame, "t").count() == 1
+    assert time.perf_counter() - began < 30
+    assert got[0] == "word0" and got[-1] == "needle" and len(got) == 7001 and "please" not in got and "juno" not in got
+
+
+@pytest.mark.parametrize(("pattern", "text"), [(r"\bcat\b", "a Cat."), (r"\bcat\b", "concat"), (r"\bs?cat\b", "xcat"), (r"\b(?:x|cat)\b", "cats"), (r"cat\s+\b", "cat  dog"), (r"\d\b", "a1é"), (r"\bcafé", "un café")])
+def test_boundaries_are_those_of_ascii_words(spark, pattern, text):
+    want = re.search(pattern, text, re.IGNORECASE | re.ASCII) is not None
+    assert spark.range(1).select(F.lit(text).rlike(X.java(pattern))).first()[0] == want
