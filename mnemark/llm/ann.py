@@ -13,6 +13,7 @@ Every row is indexed; queries meet the blocks in blocks of their own.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from .common import only_first, stage
 from .vectors import distinct_vectors, matrix, sample_matrix, valid_vectors
 
 #: Pivots, pivots in a list, the part of a block that is ranked anew, and its least size.
-PIVOTS, LISTED, ANEW, LEAST = 512, 96, 0.05, 400
+PIVOTS, LISTED, ANEW, LEAST = 512, 96, 0.08, 400
 #: Sampled vectors that pivots are chosen from, and the cosine from which two pivots are too much alike.
 POOL, APART = 4096, 0.7
 #: Vectors with this part of the greatest possible sum of shared weights are ranked anew too, however many there are.
@@ -87,11 +88,18 @@ def search(key, table: pa.Table, pivots: np.ndarray, listed: int, longest: float
 def nearest(rows: DataFrame, every: int = 20, top: int = 20, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest found of each row whose id is divisible by ``every``.
 
-    Vectors that are null, zero, hold null or non-finite components or are not of the usual length take no part;
-    so an empty table, or a query alone, gives no rows. Equal vectors are searched once and listed each, smaller
+    Vectors that are null, zero, or hold null or non-finite components take no part, and a query meets vectors of its
+    own length; so an empty table, or a query alone, gives no rows. Equal vectors are searched once and listed each, smaller
     ids first; repeated rows of an id count once; other columns are ignored.
     """
-    reps, member = distinct_vectors(valid_vectors(rows, vec_id, embedding))
+    found = [_nearest(valid, every, top) for valid in valid_vectors(rows, vec_id, embedding)]
+    schema = "query_id long, rank int, vec_id long, score double"
+    return reduce(DataFrame.unionByName, found) if found else rows.sparkSession.createDataFrame([], schema)
+
+
+def _nearest(valid: DataFrame, every: int, top: int) -> DataFrame:
+    """The same over valid vectors of one length."""
+    reps, member = distinct_vectors(valid)
     queries = member.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query"))
     asked = queries.select(F.col("query").alias("rep")).distinct().join(reps, "rep")
     count, asks = reps.count(), asked.count()

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -138,16 +139,24 @@ def compare(key, table: pa.Table, turn: np.ndarray, least: float) -> pa.Table:
 def near_embeddings(rows: DataFrame, least: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``rows``.
 
-    Vectors that are null, zero, hold null or non-finite components, or are not of the usual length, and rows
-    without an id, link with nothing. Repeated rows of an id count as one vector. An empty table gives no rows;
+    Vectors that are null, zero, or hold null or non-finite components, and rows without an id, link with nothing;
+    vectors of different lengths do not link. Repeated rows of an id count as one vector. An empty table gives no rows;
     other columns are ignored.
     """
-    spark = rows.sparkSession
-    reps, member = distinct_vectors(valid_vectors(rows, vec_id, embedding))
-    count = reps.count()
     out = only_first(rows, vec_id).toDF("vec_id")
-    if not count:
+    joined = [_linked(valid, least) for valid in valid_vectors(rows, vec_id, embedding)]
+    if not joined:
         return out.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    each = reduce(DataFrame.unionByName, joined).groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    whole = out.join(each, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return whole.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+def _linked(valid: DataFrame, least: float) -> DataFrame:
+    """vec_id, n_links and component_id of valid vectors of one length."""
+    spark = valid.sparkSession
+    reps, member = distinct_vectors(valid)
+    count = reps.count()
     sample = sample_matrix(reps, SAMPLE)
     turn = directions(sample)
     box = min(BOX, sample.shape[1])
@@ -196,14 +205,5 @@ def near_embeddings(rows: DataFrame, least: float = 0.9, vec_id: str = "vec_id",
     found = stage(dealt.applyInArrow(lambda key, t: compare(key, t, turn, least), "a long, b long, n long"))
     parts = connected_components(found.select("a", "b"))
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    joined = (
-        member.join(counts, "rep", "left")
-        .join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-        .groupBy("vec_id")
-        .agg(
-            F.max(F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.min(F.coalesce("component", "rep")).alias("component_id"),
-        )
-    )
-    whole = out.join(joined, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return whole.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    told = member.join(counts, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    return told.select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

@@ -1,4 +1,4 @@
-"""Rows of vectors made ready: only valid ones, equal vectors as one, numbers as numpy matrices in tasks."""
+"""Rows of vectors made ready: only valid ones, each length apart, equal vectors as one, numbers as numpy matrices in tasks."""
 
 from __future__ import annotations
 
@@ -10,18 +10,18 @@ from pyspark.sql import functions as F
 from .common import only_first, stage
 
 
-def valid_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """vec_id and vec (array of double) of the rows with an id and a finite, non-zero vector of the usual length.
+def valid_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> list[DataFrame]:
+    """vec_id and vec (array of double) of the rows with an id and a finite, non-zero vector: a table for each length of vectors.
 
-    The usual length is the most frequent one, the smaller of equally frequent ones. Repeated rows count once.
+    Only vectors of one length have a product. Repeated rows count once. The lengths, of which there are few, come to the driver.
     """
     named = only_first(rows, vec_id, embedding).toDF("vec_id", "vec").select("vec_id", F.col("vec").cast("array<double>").alias("vec"))
     limit = F.lit(float("inf"))
     fine = named.where(
         "vec_id is not null and size(vec) > 0"
     ).where(F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < limit)) & F.exists("vec", lambda v: v != 0))
-    sizes = fine.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return fine.where(F.size("vec") == (sizes[0][0] if sizes else 0)).dropDuplicates(["vec_id", "vec"])
+    sizes = sorted(r.d for r in fine.select(F.size("vec").alias("d")).distinct().collect())
+    return [fine.where(F.size("vec") == d).dropDuplicates(["vec_id", "vec"]) for d in sizes]
 
 
 def distinct_vectors(valid: DataFrame) -> tuple[DataFrame, DataFrame]:

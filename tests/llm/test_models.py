@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from mnemark.llm import langid, toxicity
+from mnemark.llm import ann, langid, toxicity
 from mnemark.llm.ann import nearest
 from mnemark.llm.near_embeddings import near_embeddings
 from mnemark.llm.queries import op7_toxicity, op10_language_id
@@ -39,6 +39,42 @@ def test_embedding_links_equal_brute_force(spark):
     assert near_embeddings(frame.limit(0)).count() == 0
 
 
+def test_vectors_of_every_length_are_compared(spark):
+    rng = np.random.default_rng(3)
+    rows = [(20 * i, (np.ones(d) + 0.01 * rng.normal(size=d)).tolist()) for i, d in enumerate([2] * 5 + [3] * 6 + [1])]
+    frame = spark.createDataFrame([(i, v, "clash") for i, v in rows], "vec_id long, embedding array<double>, rep string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_embeddings(frame).collect()}
+    assert got == {20 * i: (4, 0) if i < 5 else (5, 100) if i < 11 else (0, 220) for i in range(12)}
+    found = {}
+    for r in nearest(frame, 20, 20).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert found == {20 * i: {20 * j for j in (range(5) if i < 5 else range(5, 11)) if j != i} for i in range(11)}
+
+
+@pytest.mark.parametrize("block", [16384, 3000])
+def test_recall_beyond_the_least_that_is_ranked_anew(spark, monkeypatch, block):
+    """Rows point evenly in all directions, the hardest case, in one block, which ranks a part anew that is above the least, and in several."""
+    monkeypatch.setattr(ann, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(9000, 64))
+    assert ann.ANEW * len(x) > ann.LEAST
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in nearest(frame, 20, 20).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    hits = 0
+    for q in range(0, len(x), 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        want = np.lexsort((np.arange(len(x)), -score))[:20]
+        mine = sorted(found[q])
+        assert [m[0] for m in mine] == list(range(1, 21)) and q not in {m[1] for m in mine}
+        hits += len({m[1] for m in mine} & set(want.tolist()))
+    recall = hits / (20 * len(found))
+    print(f"recall {recall:.3f} in blocks of {block}")
+    assert recall >= 0.9
+
+
 def test_nearest_recall(spark):
     rows, frame = vectors(spark, 2)
     good = usable(rows)
