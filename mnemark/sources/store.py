@@ -39,7 +39,7 @@ class Store:
         return sorted(int(n.removesuffix(".json")) for n in self._names("versions") if n.endswith(".json"))
 
     def manifest(self, version: int | None = None) -> dict:
-        """{"schema": number, "tables": {name: folder}} of a version, by default the last; without any version, no tables."""
+        """{"schema": number, "tables": {name: folders}} of a version, by default the last; without any version, no tables."""
         known = self.versions()
         if version is None and not known:
             return {"schema": SCHEMA, "tables": {}}
@@ -63,6 +63,16 @@ class Store:
             return False
         return True
 
+    def kept(self, name: str, rows: DataFrame) -> DataFrame:
+        """``rows`` written beside the versions and read back, so that what is done on them does not make them again."""
+        at = f"{self.root}/work/{name}-{uuid.uuid4().hex}"
+        rows.write.parquet(at)
+        return self.spark.read.schema(rows.schema).parquet(at)
+
+    def clear_work(self) -> None:
+        """Remove what :meth:`kept` wrote; call it when nothing reads that any more."""
+        self._fs.delete(self._path(f"{self.root}/work"), True)
+
     def tables(self, version: int | None = None) -> list[str]:
         return sorted(self.manifest(version)["tables"])
 
@@ -70,25 +80,29 @@ class Store:
         told = self.manifest(version)["tables"]
         if table not in told:
             raise KeyError(f"no table {table} in this version")
-        return self.spark.read.parquet(f"{self.root}/{told[table]}")
+        return self._read(told[table])
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.root}/{at}" for at in folders])
 
-    def _written(self, tables: dict[str, DataFrame], below: str) -> dict[str, str]:
+    def _written(self, tables: dict[str, DataFrame], below: str) -> dict[str, list[str]]:
         out = {}
         for name, rows in tables.items():
-            out[name] = f"{below}/{name}/{uuid.uuid4().hex}"
-            rows.write.parquet(f"{self.root}/{out[name]}")
+            out[name] = [f"{below}/{name}/{uuid.uuid4().hex}"]
+            rows.write.parquet(f"{self.root}/{out[name][0]}")
         return out
 
-    def commit(self, tables: dict[str, DataFrame], schema: int = SCHEMA, base: int | None = None) -> int:
+    def commit(self, tables: dict[str, DataFrame], schema: int = SCHEMA, base: int | None = None, append: dict[str, DataFrame] | None = None) -> int:
         """A new version: the given tables, and all others as they were in ``base`` (the last version, where none is named).
 
-        The frames may read the store itself. A version that another writer has committed since is not overwritten: the
+        Rows of ``append`` are added to a table's folders, which are not written again. The frames may read the store itself. A version that another writer has committed since is not overwritten: the
         call fails, and may be made again upon the newer one.
         """
         known = self.versions()
         base = base if base is not None else (known[-1] if known else None)
         before = self.manifest(base)["tables"] if base is not None else {}
         folders = self._written(tables, "data")
+        folders |= {name: [*before.get(name, []), *at] for name, at in self._written(append or {}, "data").items()}
         version = (base or 0) + 1 if base is None or base == known[-1] else None
         if version is None or not self._tell(f"versions/{version:09d}.json", {"schema": schema, "tables": before | folders}):
             raise RuntimeError(f"version {base} is not the last one any more")
@@ -108,7 +122,7 @@ class Store:
     def restore(self, name: str, migrate: Callable[[dict[str, DataFrame], int], dict[str, DataFrame]] | None = None) -> int:
         """A new version that holds the tables of a backup alone, brought up to the schema where the backup is older."""
         told = self._told(f"backups/{name}.json")
-        tables = {t: self.spark.read.parquet(f"{self.root}/{at}") for t, at in told["tables"].items()}
+        tables = {t: self._read(at) for t, at in told["tables"].items()}
         known = self.versions()
         folders = self._written((migrate or migrated)(tables, told["schema"]), "data")
         version = (known[-1] if known else 0) + 1
@@ -120,7 +134,7 @@ class Store:
         """Remove all but the last ``keep`` versions (one at least), and the folders that none of these names; the number of folders that went."""
         known = self.versions()
         held = known[-max(keep, 1) :]
-        used = {at for v in held for at in self.manifest(v)["tables"].values()}
+        used = {at for v in held for folders in self.manifest(v)["tables"].values() for at in folders}
         for v in known[: len(known) - len(held)]:
             self._fs.delete(self._path(f"{self.root}/versions/{v:09d}.json"), False)
         stale = [at for t in self._names("data") for n in self._names(f"data/{t}") if (at := f"data/{t}/{n}") not in used]
