@@ -42,7 +42,7 @@ def byte_signs() -> dict[int, str]:
 class Encoder:
     """Ids of texts under one tokenizers file, as its library gives them without added special tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: tuple[int, int] = (KEPT_FRAGMENTS, KEPT_PIECES)):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
@@ -52,7 +52,7 @@ class Encoder:
         self.signs = str.maketrans({chr(b): s for b, s in byte_signs().items()})
         self.pieces: dict[str, array] = {}
         self.slots: dict[str, int] = {}
-        self.room_fragments, self.room_pieces = KEPT_FRAGMENTS, KEPT_PIECES
+        self.room_fragments, self.room_pieces = kept
         self.begin, self.length, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.int32)
         self.used = self.filled = 0
 
@@ -151,10 +151,10 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each file and Python worker."""
+def encoder(path: str, kept: tuple[int, int] = (KEPT_FRAGMENTS, KEPT_PIECES)) -> Encoder:
+    """One encoder for each file and Python worker, with the bounds of the first call."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, kept)
     return _encoders[path]
 
 
