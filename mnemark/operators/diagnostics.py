@@ -93,11 +93,20 @@ def keyword_weights(parts: DataFrame, most: int) -> DataFrame:
 def evidence(expected: DataFrame, shown: DataFrame) -> DataFrame:
     """Of each expected item (case_id, item, snippet, kinds) its best rank and outcome among the case's rows (case_id, kind, text, rank, included).
 
-    Rows meet by case; a snippet matches where the row's plain text holds it and its kind is among the item's.
+    Rows meet by case; a snippet matches where the row's plain text holds it and its kind is among the item's. What a case asks
+    and what it shows are compared once for each distinct (snippet, kinds) and (kind, text), however many items and rows are alike.
     """
-    met = expected.join(shown, "case_id", "left")
-    hit = F.col("text").isNotNull() & F.contains(F.lower(normalize(F.col("text"))), F.lower(normalize(F.col("snippet")))) & ((F.size("kinds") == 0) | F.array_contains("kinds", F.col("kind")))
-    found = met.groupBy("case_id", "item").agg(F.min(F.when(hit, F.col("rank"))).alias("best_rank"), F.count_if(hit & F.col("included")).alias("_in"), F.count_if(hit).alias("_any"))
+    plain = lambda c: F.lower(normalize(F.col(c)))
+    wanted = expected.select("case_id", "item", plain("snippet").alias("snippet"), "kinds")
+    texts = shown.where("text is not null").select("case_id", "kind", plain("text").alias("text"), "rank", "included").groupBy("case_id", "kind", "text").agg(
+        F.min("rank").alias("rank"), F.coalesce(F.bool_or("included"), F.lit(False)).alias("included")
+    )
+    hit = F.contains("text", "snippet") & ((F.size("kinds") == 0) | F.array_contains("kinds", F.col("kind")))
+    asked = wanted.select("case_id", "snippet", "kinds").distinct().join(texts, "case_id").where(hit)
+    told = asked.groupBy("case_id", "snippet", "kinds").agg(F.min("rank").alias("rank"), F.bool_or("included").alias("included"))
+    found = wanted.join(told, ["case_id", "snippet", "kinds"], "left").groupBy("case_id", "item").agg(
+        F.min("rank").alias("best_rank"), F.count_if("included").alias("_in"), F.count("included").alias("_any")
+    )
     outcome = F.when(F.col("_in") > 0, "included").when(F.col("_any") > 0, "ranked_only").otherwise("missing")
     return found.withColumn("outcome", outcome).drop("_in", "_any")
 

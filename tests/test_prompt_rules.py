@@ -101,6 +101,17 @@ def test_evidence_without_rows_is_missing(spark):
     assert {(r.case_id, r.outcome) for r in diagnostics.case_outcomes(found).collect()} == {(1, "included"), (2, "missing")}
 
 
+def test_evidence_of_a_case_that_has_most_rows(spark):
+    n = 30_000  # 900 million pairs of rows, and 20 of distinct texts
+    k = F.col("id")
+    items = spark.range(n).select(F.lit(1).alias("case_id"), k.alias("item"), F.concat(F.lit("Box "), (k % 4).cast("string")).alias("snippet"), F.when(k % 2 == 0, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>")).alias("kinds"))
+    shown = spark.range(n).select(F.lit(1).alias("case_id"), F.when(k % 3 > 0, "a").alias("kind"), F.concat(F.lit("a  box "), (k % 3).cast("string")).alias("text"), (k + 7).alias("rank"), (k % 3 == 1).alias("included"))
+    began = time.perf_counter()
+    told = diagnostics.evidence(items, shown).groupBy(F.col("item") % 4, "best_rank", "outcome").count().collect()
+    assert time.perf_counter() - began < 60
+    assert sorted(map(tuple, told), key=str) == [(0, None, "missing", n // 4), (1, 8, "included", n // 4), (2, 9, "ranked_only", n // 4), (3, None, "missing", n // 4)]
+
+
 def test_newest_rows_of_a_group_that_has_most(spark):
     rows = spark.createDataFrame([(1, i) for i in range(500)] + [(2, 1)], "g int, at int")
     assert sorted((r.g, r.at) for r in ranking.newest(rows, ["g"], [F.desc("at")], 3).collect()) == [(1, 497), (1, 498), (1, 499), (2, 1)]
