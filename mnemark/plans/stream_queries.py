@@ -18,11 +18,11 @@ def records(rows, key):
 
 
 def streamed(spark, sf_dir, key):
-    """The records of ``trace`` as a stream of several batches: eight files, of which a batch reads two."""
+    """The records of ``trace`` as a stream of four batches: 64 files, of which a batch reads sixteen, side by side."""
     where = shared_folder(spark, "stream")
     table = records(S.trace(spark, sf_dir), key)
-    table.repartition(8, "id").write.parquet(f"{where}/in")
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 2).parquet(f"{where}/in"), where
+    table.repartition(64, "id").write.parquet(f"{where}/in")
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 16).parquet(f"{where}/in"), where
 
 
 METRICS = f"""WITH {TRACE}, ring AS (SELECT hook AS key, latency_ms AS value, recorded_at, id FROM trace WHERE hook IS NOT NULL QUALIFY row_number() OVER (PARTITION BY hook ORDER BY recorded_at DESC, id DESC) <= 200),

@@ -20,14 +20,19 @@ from ..operators.ranking import newest
 from ..operators.sessions import numbered
 
 FIELDS = "key string, at timestamp, id long, value double"
+RING = ["key", "at", "id", "value"]
+#: Rows that a task gathers, beyond those that it keeps, before it thins them.
+THIN = 50_000
 
 
-def _ring(rows: pd.DataFrame, most: int, age: float | None) -> pd.DataFrame:
-    """The newest rows of one key; rows alike count once, as a batch that is tried again may bring them twice."""
-    rows = rows.drop_duplicates(["at", "id"]).sort_values(["at", "id"], ascending=False)
-    if age is not None and len(rows):
-        rows = rows[rows["at"] >= rows["at"].iloc[0] - pd.Timedelta(seconds=age)]
-    return rows.head(most)
+def _rings(rows: pd.DataFrame, most: int, age: float | None) -> pd.DataFrame:
+    """The newest rows of each key; rows alike count once, as a batch that is tried again may bring them twice."""
+    rows = rows.drop_duplicates(["key", "at", "id"]).sort_values(["at", "id"], ascending=False)
+    of_key = rows.groupby("key", sort=False)
+    keep = of_key.cumcount() < most
+    if age is not None:
+        keep &= rows["at"] >= of_key["at"].transform("max") - pd.Timedelta(seconds=age)
+    return rows[keep]
 
 
 def ring_of_table(records: DataFrame, most: int, age: float | None = None) -> DataFrame:
@@ -40,30 +45,38 @@ def ring_of_table(records: DataFrame, most: int, age: float | None = None) -> Da
     return kept.withColumn("_last", last).where(F.col("at") >= F.col("_last") - F.make_dt_interval(secs=F.lit(float(age)))).drop("_last")
 
 
-def ring_of_stream(records: DataFrame, most: int, age: float | None = None) -> DataFrame:
-    """The rings of the keys that a batch touches, as rows (key, at, id, value); a later batch's ring takes an earlier one's place."""
+def ring_of_stream(records: DataFrame, most: int, age: float | None = None, buckets: int = 512) -> DataFrame:
+    """The rings of the keys that a batch touches, as rows (key, at, id, value); a later batch's ring takes an earlier one's place.
+
+    The state holds the rings of a bucket of keys together, so that a batch calls Python once for each bucket and not for each key.
+    """
 
     def thinned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        parts, rows, held = [], 0, 0
         for b in batches:
-            both = b if held is None else pd.concat([held, b])
-            held = both.groupby("key", group_keys=False)[list(both.columns)].apply(lambda g: _ring(g, most, age))
-        if held is not None and len(held):
-            yield held
-
-    def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        parts = list(batches)  # thinned: at most ``most`` rows a task
+            parts.append(b)
+            rows += len(b)
+            if rows > 2 * held + THIN:  # each time after as many new rows as were kept, so that a row is looked at a few times
+                parts = [_rings(pd.concat(parts), most, age)]
+                rows = held = len(parts[0])
+        if rows:
+            yield _rings(pd.concat(parts), most, age)
+
+    def keep(bucket: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        parts = [b[RING] for b in batches]  # thinned: at most ``most`` rows of a key and task
+        touched = pd.concat([b["key"] for b in parts]).unique()
         if state.exists:
-            at, ids, values = state.get
-            parts.append(pd.DataFrame({"key": key[0], "at": pd.to_datetime(pd.Series(at, dtype="int64"), unit="us"), "id": ids, "value": values}))
-        ring = _ring(pd.concat(parts), most, age)
-        micros = ring["at"].astype("datetime64[us]").astype("int64")
-        state.update((micros.tolist(), ring["id"].tolist(), ring["value"].tolist()))
-        yield ring[["key", "at", "id", "value"]]
-
-    fine = records.where("key is not null and at is not null").select("key", "at", "id", "value")
-    return fine.mapInPandas(thinned, FIELDS).groupBy("key").applyInPandasWithState(
-        keep, FIELDS, "at array<long>, id array<long>, value array<double>", "update", GroupStateTimeout.NoTimeout
+            keys, at, ids, values = state.get
+            parts.append(pd.DataFrame({"key": keys, "at": pd.to_datetime(pd.Series(at, dtype="int64"), unit="us"), "id": ids, "value": values}))
+        rings = _rings(pd.concat(parts), most, age)
+        micros = rings["at"].astype("datetime64[us]").astype("int64")
+        state.update((rings["key"].tolist(), micros.tolist(), rings["id"].tolist(), rings["value"].tolist()))
+        yield rings[rings["key"].isin(touched)]
+
+    fine = records.where("key is not null and at is not null").select(*RING)
+    spread = fine.mapInPandas(thinned, FIELDS).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    return spread.groupBy("bucket").applyInPandasWithState(
+        keep, FIELDS, "key array<string>, at array<long>, id array<long>, value array<double>", "update", GroupStateTimeout.NoTimeout
     )
 
 

@@ -2,8 +2,10 @@
 
 import datetime as dt
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from mnemark.streaming import rings
 
@@ -63,6 +65,17 @@ def test_a_stream_that_is_stopped_ends_where_a_table_does(spark, tmp_path, monke
     assert sorted(map(tuple, run().collect())) == reader(records, 7, age)  # nothing new
 
 
+def test_a_stream_of_many_keys_takes_seconds(spark, tmp_path):
+    where, keys, n = str(tmp_path), 60_000, 180_000
+    i = F.col("id")
+    spark.range(n).select((i % keys).cast("string").alias("key"), F.timestamp_seconds(i).alias("at"), "id", F.lit(0.5).alias("value")).repartition(4, "id").write.parquet(f"{where}/in")
+    stream = spark.readStream.schema(rings.FIELDS).option("maxFilesPerTrigger", 2).parquet(f"{where}/in")
+    began = time.perf_counter()
+    got = rings.run_rings(spark, rings.ring_of_stream(stream, 2), f"{where}/out", f"{where}/state")
+    assert got.select(F.count("key"), F.min("id"), F.sum("id")).first() == (2 * keys, keys, sum(range(keys, n)))
+    assert time.perf_counter() - began < 60
+
+
 def test_stats_equal_a_reader(spark):
     records = rows(3)
     want = {}
