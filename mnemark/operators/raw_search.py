@@ -2,45 +2,46 @@
 
 ``index`` has entry_id (unique), session_id, content and source_type; ``sessions`` has session_id, repository, branch and
 updated_at; ``queries`` has query_id and terms (stems, see ``terms.raw_search_terms``). A query meets only the
-entries that hold its rarest term; whether they hold the others is told from the entry's own list of asked terms.
+entries that hold its rarest term; whether they hold the others is told from the entry's own words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize, tokens, words
+from ..functions.text import normalize, stem_word, words
 from .ranking import first_of
 
-#: Distinct asked terms (of about 10 bytes) that go into the plan at most; beyond it each entry's terms are joined with them.
-IN_PLAN = 20_000
+#: Queries whose rarest terms (of about 10 bytes) are sent to all tasks at most; beyond it entries' words are joined with them by a shuffle.
+IN_PLAN = 200_000
+#: Terms, beside the rarest, by which a candidate is judged before all of a query's terms are looked at.
+PROBES = 4
 EXCERPT = 220
 
 
-def asked_terms(rows: DataFrame, key: str, terms: Column, wanted: DataFrame, out: str) -> DataFrame:
-    """key and, of ``terms``, those that are asked for; rows without any are left out."""
-    if wanted.limit(IN_PLAN + 1).count() <= IN_PLAN:
-        known = F.split(F.lit(" ".join(sorted(r.term for r in wanted.collect()))), " ")  # terms are of a-z and 0-9
-        return rows.select(key, F.array_intersect(terms, known).alias(out)).where(F.size(out) > 0)
-    each = rows.select(key, F.explode(F.array_distinct(terms)).alias("term")).join(wanted, "term", "left_semi")
-    return each.groupBy(key).agg(F.collect_list("term").alias(out))  # distinct terms of one entry
-
-
 def matches(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, entry_id, n_stems: entries whose words hold all terms, with the number of terms among their stems."""
+    """query_id, entry_id, n_stems: entries whose words hold all terms, with the number of terms among their stems.
+
+    What is shuffled are each entry's distinct words, once, and rows of ids with at most ``PROBES`` terms for each entry that holds a
+    query's rarest term; all terms of a query go along only with entries that hold its rarest ones.
+    """
     asked = queries.where(F.size("terms") > 0)
-    wanted = asked.select(F.explode("terms").alias("term")).distinct()
-    held = asked_terms(index, "entry_id", words(F.col("content")), wanted, "held")
-    stems = asked_terms(index, "entry_id", tokens(F.col("content")), wanted, "stems")
-    df = held.select(F.explode("held").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    entries = index.select("entry_id", F.array_distinct(words(F.col("content"))).alias("held"))
+    postings = entries.select("entry_id", F.explode("held").alias("term"))
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     each = asked.select("query_id", F.explode("terms").alias("term")).join(df, "term", "left")
+    known = each.groupBy("query_id").agg(F.array_sort(F.collect_list(F.when(F.col("df").isNotNull(), F.struct("df", "term")))).alias("by_df"), F.count(F.lit(1)).alias("n"))  # terms of one query
     # a query with a term that nobody holds finds nothing
-    rarest = each.groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("rare"), F.count("df").alias("known"), F.count(F.lit(1)).alias("n")).where("known = n")
-    led = asked.join(rarest.select("query_id", "rare"), "query_id")
-    posted = held.select("entry_id", "held", F.explode("held").alias("rare")).join(led.select("rare").distinct(), "rare", "left_semi")
-    met = posted.join(led, "rare").where(F.size(F.array_except("terms", "held")) == 0).select("query_id", "entry_id", "terms")
-    return met.join(stems, "entry_id", "left").select("query_id", "entry_id", F.size(F.array_intersect("terms", F.coalesce("stems", F.expr("cast(array() as array<string>)")))).alias("n_stems"))
+    led = known.where(F.size("by_df") == F.col("n")).select("query_id", F.col("by_df")[0]["term"].alias("rare"), F.transform(F.slice("by_df", 2, PROBES), lambda x: x["term"]).alias("probes"))
+    rare = led.select(F.col("rare").alias("term")).distinct()
+    few = asked.limit(IN_PLAN + 1).count() <= IN_PLAN
+    posted = postings.join(F.broadcast(rare) if few else rare, "term", "left_semi")
+    pairs = posted.join(led, F.col("term") == F.col("rare")).select("entry_id", "query_id", "probes")
+    likely = pairs.join(entries, "entry_id").where(F.forall("probes", lambda t: F.array_contains("held", t))).select("query_id", "entry_id")
+    met = likely.join(asked.select("query_id", "terms"), "query_id").join(entries, "entry_id").where(F.size(F.array_except("terms", "held")) == 0)
+    stems = F.filter(F.transform("held", stem_word), lambda w: F.length(w) > 2)
+    return met.select("query_id", "entry_id", F.size(F.array_intersect("terms", stems)).alias("n_stems"))
 
 
 def _told(found: DataFrame, index: DataFrame, sessions: DataFrame, repository: str | None) -> DataFrame:
@@ -57,12 +58,12 @@ def search_index(index: DataFrame, sessions: DataFrame, queries: DataFrame, limi
 def relevant_sessions(index: DataFrame, sessions: DataFrame, queries: DataFrame, limit: int = 5, repository: str | None = None) -> DataFrame:
     """The best ``limit`` sessions of a query, each by its best entry; scores count stems, and checkpoints before turns count more.
 
-    Of a session's entries of one score the first is taken. Only ids and scores are ranked; excerpts are fetched for the chosen.
+    Of a session's entries of one score the first is taken. Only ids and scores are ranked; the chosen meet excerpts, never whole texts.
     """
     boost = F.when(F.col("source_type").startswith("checkpoint_"), 1.5).when(F.col("source_type") == "turn", 0.5).otherwise(0.0)
     scored = _told(matches(index, queries).where("n_stems > 0"), index, sessions, repository).withColumn("score", F.col("n_stems") + boost)
     entry = F.struct("score", (-F.col("entry_id")).alias("early"), "entry_id", "source_type", "repository", "branch", "updated_at")
     best = scored.groupBy("query_id", "session_id").agg(F.max(entry).alias("e")).select("query_id", "session_id", "e.*")
     chosen = first_of(best, ["query_id"], [F.desc("score"), F.desc("updated_at"), F.col("session_id")], limit)
-    texts = index.join(chosen.select("entry_id").distinct(), "entry_id", "left_semi").select("entry_id", F.substring(normalize(F.col("content")), 1, EXCERPT).alias("excerpt"))
+    texts = index.select("entry_id", F.substring(normalize(F.col("content")), 1, EXCERPT).alias("excerpt"))
     return chosen.join(texts, "entry_id").select("query_id", "session_id", "repository", "branch", "updated_at", "score", "source_type", "excerpt")

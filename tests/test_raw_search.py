@@ -59,3 +59,21 @@ def test_entries_come_in_order_and_only_of_known_sessions(spark):
     assert got == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3)]
     assert sorted(r.entry_id for r in R.search_index(index, sessions, asked.where("query_id = 1"), 9, "b").collect()) == [4]
     assert R.search_index(index.limit(0), sessions, asked).count() == R.relevant_sessions(index, sessions, asked.limit(0)).count() == 0
+
+
+def shuffled(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_an_entry_goes_once_however_many_queries_it_holds_terms_of(spark):
+    n, common = 400, "a0 b0 c0 d0 e0 f0"
+    contents = [(k, 1, f"{common} " + " ".join(f"w{i}x{i * 7919 % 1009}" for i in range(n) if (i + k) % 20 or i % 3) + (" g0" if k % 2 else ""), "turn") for k in range(40)]
+    queries = [(i, [f"w{i}x{i * 7919 % 1009}", *common.split(), "g0"]) for i in range(n)]  # more terms than are looked at first
+    index = spark.createDataFrame(contents, "entry_id long, session_id long, content string, source_type string")
+    asked = spark.createDataFrame(queries, "query_id long, terms array<string>")
+    before = shuffled(spark)
+    got = sorted((r.query_id, r.entry_id) for r in R.matches(index, asked).collect())
+    assert got == sorted((i, k) for k, _, text, _ in contents for i, terms in queries if set(terms) <= set(text.split()))
+    assert shuffled(spark) - before < 2_000_000  # the contents are of 160,000 bytes
