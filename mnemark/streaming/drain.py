@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.events import fold_items, fold_queue, fold_runs
+from ..operators.sessions import numbered
 from ..operators.state import available, planned
 from ..sources.store import Store
 
@@ -79,7 +80,9 @@ def run_batch(store: Store, run_id: int, work: Work, now: Column) -> int:
     waiting = store.read("items").where(mine)
     if "outcomes" in store.tables():
         waiting = waiting.join(store.read("outcomes").where(mine).select("session_id"), "session_id", "left_anti")
-    taken = store.kept("taken", waiting.orderBy("session_id").limit(batch).select("session_id", "planned"))
+    # a batch may be large: it is told by places, which are counted over ranges of ids, and gathered by no task
+    first = numbered(waiting.select("run_id", "session_id", "planned"), "run_id", "session_id").where(F.col("position") < batch)
+    taken = store.kept("taken", first.select("session_id", "planned"))
     count = taken.count()
     if not count:
         return 0

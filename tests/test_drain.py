@@ -94,3 +94,24 @@ def test_a_stream_goes_on_with_the_batch_it_was_at(spark, tmp_path):
     got = drain.drain_stream(spark, stream(), fails_once, f"{where}/out", f"{where}/state")
     assert sorted((r.session_id, r.double) for r in got.collect()) == sorted((s, 2 * s) for k in range(4) for s in (k, 10 + k))
     assert len(seen) == 5
+
+
+def test_no_task_gathers_a_large_batch(spark, tmp_path):
+    store, n = Store(spark, str(tmp_path)), 20_000
+    at = F.lit("2024-01-01").cast("timestamp")
+    ids = spark.range(n).select(F.col("id").alias("session_id"), at.alias("updated_at"))
+    store.commit({"episode": ids.limit(0)})
+    sc = spark.sparkContext
+    stages = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        drain.begin_run(store, 1, ids, at, n // 2)
+        known = {stages().apply(i).stageId() for i in range(stages().size())}
+        took = drain.run_batch(store, 1, lambda rows: rows.select("session_id", F.lit(None).cast("string").alias("error")), at)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = stages()
+    assert took == n // 2
+    assert store.read("results").agg(F.min("session_id"), F.max("session_id"), F.count_distinct("session_id")).first() == (0, n // 2 - 1, n // 2)
+    new = [found.apply(i) for i in range(found.size()) if found.apply(i).stageId() not in known]
+    assert max(s.shuffleReadRecords() for s in new if s.numTasks() == 1) < n // 4
