@@ -8,61 +8,79 @@ lists that a digest keeps are bounded, and of longer ones only the first entries
 
 from __future__ import annotations
 
+import bisect
+import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.terms import assistant_name, java, matches, meaningful, significance, themes, unique, user_name
-from ..functions.text import SPACE, last_segments, normalize, truncated
+from ..functions.terms import assistant_name, meaningful, significance, themes, unique, user_name
+from ..functions.text import BLANKS, SPACE, UNEVEN, last_segments, normalize, truncated
 from . import sessions as N
 from .ranking import newest
 
-NO_OUTLINE = "named_struct('stack', cast(array() as array<struct<level:int,text:string>>), 'best', cast(array() as array<struct<worth:int,place:int,text:string,same:string>>), 'seen', 0)"
+CODE_SIGNS = re.compile("[`_/]")
+UNEVEN_RUNS, MAYBE_UNEVEN = re.compile(UNEVEN), re.compile("[^!-~ ]|  ")
+MARKERS = re.compile(rf"(?:[-*](?:{SPACE})?|[0-9]+[.)](?:{SPACE})?)+")
+SUBJECTS, ACTORS, TITLES = (re.compile(p, re.IGNORECASE | re.ASCII) for p in (L.OUTLINE_WORDS, L.OUTLINE_ACTORS, L.OUTLINE_TITLES))
+SUBJECT_WORDS = re.findall("[a-z-]{3,}", L.OUTLINE_WORDS)
 
 
-def outline_worth(text: Column) -> Column:
-    """How much an outline's line is worth: code-like signs and subject words raise it, framing words lower it."""
-    plain = F.regexp_replace(normalize(text), rf":(?:{SPACE})?$", "")
-    return (
-        F.when(plain.rlike("[`_/]"), 2).otherwise(0)
-        + F.when(F.length(plain).between(24, 220), 1).otherwise(0)
-        + F.when(matches(plain, [L.OUTLINE_WORDS]), 3).otherwise(0)
-        - F.when(matches(plain, [L.OUTLINE_ACTORS]), 2).otherwise(0)
-        - F.when(matches(plain, [L.OUTLINE_TITLES]), 3).otherwise(0)
-    )
+def best_lines(text: str, most: int) -> list[str]:
+    """One pass over a text's lines with a stack of headings; holds the ``most`` best lines alone, however long the text.
+
+    What raises or lowers a line's worth is looked for once in each line, not again in all lines below a heading: nothing
+    that is sought holds the ``: `` between the parts of a line.
+    """
+    low = text.lower()
+    coded, subjects, actors = CODE_SIGNS.search(text), any(w in low for w in SUBJECT_WORDS), "user" in low or "conversation" in low
+    above: list[tuple] = []
+    best: list[tuple] = []
+    held: set[str] = set()
+    for place, line in enumerate(text.split("\n")):
+        marked = MARKERS.match(line)  # markers count only where a line begins with one
+        bare = line[marked.end() :] if marked else line
+        bare = (UNEVEN_RUNS.sub(" ", bare) if MAYBE_UNEVEN.search(bare) else bare).strip(" ")
+        if not bare:
+            continue
+        level = (len(line) - len(line.lstrip(BLANKS))) // 2
+        while above and above[-1][0] >= level:
+            above.pop()
+        signs = [bool(coded and CODE_SIGNS.search(bare)), bool(subjects and SUBJECTS.search(bare)), bool(actors and ACTORS.search(bare))]
+        if above:
+            signs = [a or b for a, b in zip(signs, above[-1][2])]
+        if bare.endswith(":"):
+            above.append((level, bare[:-1] if not above else f"{above[-1][1]}: {bare[:-1]}", signs))
+            continue
+        full = f"{above[-1][1]}: {bare}" if above else bare
+        same = full.lower()
+        if same in held:
+            continue
+        code, subject, actor = signs
+        worth = 2 * code + (24 <= len(full) <= 220) + 3 * subject - 2 * actor - (3 if not above and TITLES.search(full) else 0)
+        if best and len(best) == most and -worth >= best[-1][0]:  # a later line enters a full list only by more worth
+            continue
+        bisect.insort(best, (-worth, place, full, same))
+        held.add(same)
+        if len(best) > most:
+            held.remove(best.pop()[3])
+    return [b[2] for b in best]
 
 
 def outline(text: Column, most: int = 12) -> Column:
     """The worthiest distinct lines of a text, each behind the headings that it stands below; of equal worth the earlier first.
 
     Every two blanks of indent are a level; a line that ends in a colon is a heading until a line of its level or above.
-    One pass folds the lines over a stack of headings, and holds the ``most`` best lines alone, however long the text.
     """
-    indent = lambda line: F.length(line) - F.length(F.regexp_replace(line, rf"^{SPACE}", ""))
-    # markers count only where a line begins with one
-    bare = lambda line: normalize(F.regexp_replace(line, rf"^(?:[-*](?:{SPACE})?|\d+[.)](?:{SPACE})?)+", ""))
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.struct(F.floor(indent(x) / 2).cast("int").alias("level"), bare(x).alias("text")))
-
-    def step(state: Column, line: Column) -> Column:
-        return F.transform(F.array(F.filter(state["stack"], lambda h: h["level"] < line["level"])), lambda above: taken(state, line, above))[0]
-
-    def taken(state: Column, line: Column, above: Column) -> Column:
-        heading = F.concat(above, F.array(F.struct(line["level"].alias("level"), F.regexp_replace(line["text"], ":$", "").alias("text"))))
-        full = F.array_join(F.concat(F.transform(above, lambda h: h["text"]), F.array(line["text"])), ": ")
-        best = F.transform(F.array(full), lambda t: held(state, t))[0]
-        ends = line["text"].endswith(":")
-        return F.struct(F.when(ends, heading).otherwise(above).alias("stack"), F.when(ends, state["best"]).otherwise(best).alias("best"), (state["seen"] + 1).alias("seen"))
 
-    def held(state: Column, text: Column) -> Column:
-        same = F.lower(normalize(text))
-        item = F.struct((-outline_worth(text)).alias("worth"), state["seen"].alias("place"), text.alias("text"), same.alias("same"))
-        every = F.slice(F.array_sort(F.concat(state["best"], F.array(item))), 1, most)
-        return F.when(F.exists(state["best"], lambda b: b["same"] == same), state["best"]).otherwise(every)
+    @F.arrow_udf("array<string>")
+    def lines(texts: pa.Array) -> pa.Array:
+        return pa.array([best_lines(t.as_py() or "", most) for t in texts], pa.list_(pa.string()))
 
-    full = F.filter(lines, lambda x: x["text"] != "")
-    return F.aggregate(full, F.expr(NO_OUTLINE), step, lambda s: F.transform(s["best"], lambda b: b["text"]))
+    return lines(text)
 
 
 def latest_checkpoints(checkpoints: DataFrame) -> DataFrame:
@@ -83,10 +101,11 @@ def checkpoint_items(checkpoints: DataFrame, files: DataFrame) -> DataFrame:
     """session_id, actions (12 at most), decisions (14) and open_items (10) of every session with a checkpoint or a file."""
     latest = latest_checkpoints(checkpoints)
     paths = first_distinct(files, F.col("file_path"), "first_seen_at", 12, "paths")
-    done = latest.select(
+    worked = latest.withColumn("worked", outline(F.col("work_done"), 10))  # the best eight of these are an outline's of eight
+    done = worked.select(
         "session_id", F.lit(True).alias("has_checkpoint"), "title", "overview", "work_done",
-        F.concat(outline(F.col("work_done"), 10), outline(F.col("history"), 6)).alias("acts"),
-        F.concat(outline(F.col("technical_details"), 12), outline(F.col("work_done"), 8), outline(F.col("overview"), 6)).alias("decided"),
+        F.concat("worked", outline(F.col("history"), 6)).alias("acts"),
+        F.concat(outline(F.col("technical_details"), 12), F.slice("worked", 1, 8), outline(F.col("overview"), 6)).alias("decided"),
         outline(F.col("next_steps"), 10).alias("open"),
     )
     none = F.expr("cast(array() as array<string>)")

@@ -1,6 +1,7 @@
 """Outlines, digests and session memories in small cases, each after the rule it shows."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,3 +128,13 @@ def test_digests(spark):
 @pytest.mark.parametrize("name", ["C4c_identities", "C4_session_memories", "C4g_digests"])
 def test_queries_find_rows(spark, name):
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_outline_of_many_lines_below_headings_takes_seconds():
+    """A heading's signs count for the lines below it, and 200,000 lines cost a few seconds in one pass."""
+    text = "Scope of `x`:\n" + "\n".join(f"  the user said {k % 5000} of it" for k in range(200_000)) + "\nplain words that end this text here"
+    began = time.process_time()
+    best = E.best_lines(text, 3)
+    assert time.process_time() - began < 20
+    assert best == [f"Scope of `x`: the user said {k} of it" for k in range(3)]
+    assert E.best_lines("files created\nThe User:\n  added a_b\n  ADDED A_B\n", 4) == ["The User: added a_b", "files created"]
