@@ -131,3 +131,22 @@ def test_a_prompt_of_twenty_thousand_words_takes_seconds(spark):
 def test_boundaries_are_those_of_ascii_words(spark, pattern, text):
     want = re.search(pattern, text, re.IGNORECASE | re.ASCII) is not None
     assert spark.range(1).select(F.lit(text).rlike(X.java(pattern))).first()[0] == want
+
+
+def test_patterns_are_tried_only_where_their_openings_stand(spark):
+    from mnemark.functions import lexicon as L
+    from mnemark.functions import terms as X
+
+    assert [X.opening(p) for p in (r"\bthis repo\b", r"\blight(?:-|\s)?humou?r\b", r"\bhumou?r\b", r"^session [0-9a-f-]{8,}$", r"\b(?:a|b)\b", "yes|no")] == ["this repo", "light", "humo", "session", "", ""]
+    texts = ["We use CI here", "ancient", "a LIGHT-humour voice", "humor", "Reuse", "reused", "on this\nbranch", "", None, "Package.JSON of x"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = rows.select("i", *[X.matches(F.col("t"), p).alias(f"m{k}") for k, p in enumerate((L.TRANSFERABLE, L.GLOBAL_PREFERENCE, L.REPO_SPECIFIC))]).orderBy("i").collect()
+    assert [[k for k in range(3) if r[k + 1]] for r in got] == [[0], [], [1], [1], [0], [], [], [], [], [2]]
+
+
+def test_themes_look_at_the_whole_text_where_its_beginning_has_too_few_words(spark):
+    from mnemark.functions import terms as X
+
+    texts = ["a " * 400 + "alpha bravo! gamma-delta", "x" * 498 + "yz wordy later", "first second third fourth fifth sixth " + "pad " * 300]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.themes(F.col("t"), F.lit("org/x")).alias("w")).orderBy("i").collect()
+    assert [r.w[2:] for r in got] == [["alpha", "bravo", "gamma-delta"], ["x" * 498 + "yz", "wordy", "later"], ["first", "second", "third", "fourth", "fifth"]]
