@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import comparison_text, let, matches
-from ..functions.text import SPACE, normalize
+from ..functions.text import BLANKS, SPACE, normalize
 
 # The heading of learned rules, and which prompts speak of which file of instructions.
 LEARNED_RULES = "## Learned Rules"
@@ -28,7 +28,7 @@ def read_notes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}|{SPACE}$", "")
+    return F.trim(text, F.lit(BLANKS))
 
 
 def lines_of(text: Column) -> Column:
@@ -53,9 +53,8 @@ def stretch(lines: Column, begins, ends, skip: int = 1) -> Column:
 
 def keyed_value(lines: Column, key: str) -> Column:
     """What the last line ``key: value`` says, cut at its first colon and trimmed; null where there is none."""
-    found = F.filter(lines, lambda x: trimmed(F.substring_index(x, ":", 1)) == key)
-    with_colon = F.filter(found, lambda x: x.contains(":"))
-    return F.get(F.transform(F.slice(with_colon, F.greatest(F.size(with_colon), F.lit(1)), F.lit(1)), lambda x: trimmed(F.regexp_replace(x, r"^[^:]*:", ""))), F.lit(0))
+    found = F.filter(lines, lambda x: x.contains(":") & x.contains(key) & (trimmed(F.substring_index(x, ":", 1)) == key))
+    return let(found, lambda f: F.get(F.transform(F.slice(f, F.greatest(F.size(f), F.lit(1)), F.lit(1)), lambda x: trimmed(F.regexp_replace(x, r"^[^:]*:", ""))), F.lit(0)))
 
 
 def workspace(text: Column) -> Column:
@@ -114,7 +113,7 @@ def bullets(body: Column, heading: str) -> Column:
     item = rf"^(?:{SPACE})?-{SPACE}"
 
     def told(lines: Column) -> Column:
-        at = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(item), i)), lambda i: i.isNotNull())
+        at = F.filter(F.transform(lines, lambda x, i: F.when(x.contains("-") & x.rlike(item), i)), lambda i: i.isNotNull())
 
         def whole(first: Column, end: Column) -> Column:
             rest = F.filter(between(lines, first + 1, end), lambda x: x.rlike(rf"^{SPACE[:-1]}{{2,}}[^ \t]"))
@@ -123,7 +122,7 @@ def bullets(body: Column, heading: str) -> Column:
         return let(at, lambda a: F.transform(a, lambda first, k: whole(first, F.get(a, k + 1))))
 
     def of(lines: Column) -> Column:
-        is_heading = lambda x: trimmed(x).rlike(rf"^##{SPACE[:-1]}")
+        is_heading = lambda x: x.contains("##") & trimmed(x).rlike(rf"^##{SPACE[:-1]}")
         named = lambda x: is_heading(x) & (comparison_text(F.regexp_replace(trimmed(x), r"^#+\s*", "")) == F.lit(heading.lower()))
         return let(stretch(lines, named, is_heading), told)
 
@@ -132,7 +131,7 @@ def bullets(body: Column, heading: str) -> Column:
 
 def lead_paragraph(body: Column) -> Column:
     """The first lines that are neither blank nor heading nor item, up to one that is, white space collapsed."""
-    stops = lambda x: (x == "") | x.startswith("#") | x.rlike(rf"^[-*]{SPACE[:-1]}")
+    stops = lambda x: (x == "") | x.startswith("#") | ((x.startswith("-") | x.startswith("*")) & x.rlike(rf"^[-*]{SPACE[:-1]}"))
 
     def of(lines: Column) -> Column:
         first = lambda x: ~stops(x)

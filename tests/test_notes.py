@@ -70,3 +70,11 @@ def test_files_are_read_whole_and_long_texts_cost_their_lines(spark, tmp_path):
     (tmp_path / "b.md").write_text("x: y\n")
     got = {r.path.rsplit("/", 1)[1]: r for r in T.read_notes(spark, f"file://{tmp_path}/*.md").select("path", F.length("text").alias("n"), T.learned_rules(F.col("text"), 2).alias("rules")).collect()}
     assert got["a.md"].n == len(long) and got["a.md"].rules == ["29998. rule", "29999. rule"] and got["b.md"].rules == []
+
+
+def test_a_long_note_is_read_by_few_lines(spark):
+    """Lines without the key, a colon or a heading's signs cost a look alone: 300,000 lines take seconds."""
+    text = "branch: a\n" + "word of prose that goes on and on \n" * 300_000 + " branch : b:c \n"
+    rows = spark.createDataFrame([(text,)], "t string")
+    assert rows.select(T.keyed_value(T.lines_of(F.col("t")), "branch").alias("b")).first().b == "b:c"
+    assert rows.select(T.trimmed(F.lit("　x\u0085  ")).alias("x")).first().x == "x\u0085"
