@@ -103,8 +103,10 @@ def implied_goals(turns: DataFrame, items: DataFrame | None = None) -> DataFrame
     last = newest(turns.select("session_id", "turn_index", "user_message", "assistant_response"), ["session_id"], [F.desc("turn_index"), F.col("user_message")], 16)
     sides = last.select("session_id", F.lit(0).alias("list"), F.col("turn_index").cast("long").alias("turn_index"), F.posexplode(F.array("user_message", "assistant_response")).alias("side", "text"))
     each = sides.withColumn("text", clean(F.col("text")))
-    for k, name in enumerate(("actions", "decisions", "open_items") if items else (), 1):
-        more = items.select("session_id", F.lit(k).alias("list"), F.lit(None).cast("long").alias("turn_index"), F.posexplode(name).alias("side", "text"))
+    if items is not None:
+        placed = lambda k, name: F.transform(name, lambda t, i: F.struct(F.lit(k).alias("list"), i.alias("side"), t.alias("text")))
+        lists = [placed(k, name) for k, name in enumerate(("actions", "decisions", "open_items"), 1)]
+        more = items.select("session_id", F.explode(F.concat(*lists)).alias("i")).select("session_id", F.lit(None).cast("long").alias("turn_index"), "i.*")  # one reading for all lists
         each = each.unionByName(more.withColumn("text", normalize(F.col("text"))))
     failing = each.where((F.col("text") != "") & (F.length("text") <= 280)).where(matches(F.col("text"), L.FAILURES) & ~matches(F.col("text"), L.RESOLUTIONS))
     once = failing.withColumn("text", truncated(F.col("text"), 140)).groupBy("session_id", "text").agg(F.min(F.struct("list", "turn_index", "side")).alias("at"))

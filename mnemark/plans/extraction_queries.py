@@ -178,7 +178,8 @@ UNION ALL SELECT session_id, turn_index, 'assistant_goal', {GOAL_OF}, 0.82 FROM
 UNION ALL SELECT * FROM implied WHERE session_id NOT IN (SELECT session_id FROM mistakes)
 UNION ALL SELECT session_id, NULL, 'open_loop', item, 0.8 FROM placed WHERE list = 'open_items'""")
 def session_memories(spark, sf_dir):
-    return E.session_memories(turns(spark, sf_dir), checkpoint_items_of(spark, sf_dir))
+    rows = E.session_memories(turns(spark, sf_dir), checkpoint_items_of(spark, sf_dir))
+    return rows.withColumn("confidence", F.col("confidence").cast("decimal(3,2)"))  # the SQL's type
 
 
 #: Blocks and headings put around texts, by their number.
