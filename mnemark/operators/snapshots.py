@@ -185,7 +185,10 @@ def superseded_duplicates(memory: DataFrame, kind: str, now: Column) -> DataFram
     first = live.select("canonical_key", "_rank", tag).groupBy("canonical_key", "tag").agg(F.min(F.struct("_rank", "at")).alias("r"))
     tags = first.groupBy("canonical_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "tag"))), lambda x: x["tag"]), " ").alias("n_tags"))  # distinct tags
     told = groups.join(tags, "canonical_key", "left").select("canonical_key", F.col("w.id").alias("_winner"), "n_confidence", "n_count", "n_seen", "n_tags")
-    joined = memory.join(told, "canonical_key", "left")
+    # rows that no group can change are spread by their hashes, a group's rows over 32 parts: no task reads a crowd of one key
+    spread = F.xxhash64("id")
+    told = told.withColumnRenamed("canonical_key", "_key").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long"))))
+    joined = memory.withColumns({"_key": F.when(same, F.col("canonical_key")), "_salt": F.when(same, F.pmod(spread, F.lit(32))).otherwise(spread)}).join(told, ["_key", "_salt"], "left")
     wins, loses = same & (F.col("id") == F.col("_winner")), same & (F.col("id") != F.col("_winner"))
     taken = {"confidence": "n_confidence", "reinforcement_count": "n_count", "last_seen_at": "n_seen", "tags": "n_tags"}
     return joined.select(

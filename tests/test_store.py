@@ -101,3 +101,17 @@ def test_rows_set_by_hand_win(spark):
     rows = [(1, "t", "k", None, "auto", 0.9, 3, T0, late, "b a"), (2, "t", "k", None, "manual", 0.1, 1, T0, None, "a"), (3, "t", "z", None, None, 0.9, None, T0, None, None), (4, "u", "k", None, None, 1.0, 1, T0, None, None)]
     got = {r.id: tuple(r) for r in superseded_duplicates(spark.createDataFrame(rows, schema), "t", F.lit(late)).collect()}
     assert got[2] == (2, "t", "k", None, "manual", 0.9, 4, late, late, "a b") and got[1][3] == 2 and got[3] == rows[2] and got[4] == rows[3]
+
+
+def test_duplicates_join_by_key_and_part(spark):
+    """Rows that no group can change do not meet in one task, where their key is null or not."""
+    from mnemark.operators.snapshots import superseded_duplicates
+
+    rows = [(k, "user_identity" if k < 40 else "fact", "user_identity:ana" if k < 40 else None) for k in range(400)]
+    memory = spark.createDataFrame(rows, "id long, type string, canonical_key string").selectExpr(
+        "*", "cast(null as long) superseded_by", "'auto' scope_source", "1L confidence", "1 reinforcement_count", "timestamp'2024-01-01' updated_at", "timestamp'2024-01-01' last_seen_at", "'t' tags"
+    )
+    out = superseded_duplicates(memory, "user_identity", F.lit("2024-02-01").cast("timestamp"))
+    got = {r.id: r for r in out.collect()}
+    assert len(got) == 400 and got[0].reinforcement_count == 40 and sum(r.superseded_by == 0 for r in got.values()) == 39
+    assert "_salt" in out._jdf.queryExecution().optimizedPlan().toString()
