@@ -77,3 +77,19 @@ def test_an_entry_goes_once_however_many_queries_it_holds_terms_of(spark):
     got = sorted((r.query_id, r.entry_id) for r in R.matches(index, asked).collect())
     assert got == sorted((i, k) for k, _, text, _ in contents for i, terms in queries if set(terms) <= set(text.split()))
     assert shuffled(spark) - before < 2_000_000  # the contents are of 160,000 bytes
+
+
+def test_memory_search_shuffles_keys_in_place_of_texts(spark):
+    """The join of hits with memories carries a text's key alone; ties and equal contents come out as before."""
+    from pyspark.sql import functions as F
+
+    from mnemark.operators import ranking
+
+    rows = [(1, "fact", "alpha  beta", "global", None, 2, None), (2, "fact", "Alpha beta", "global", None, 3, None), (3, "fact", "alpha beta", "repo", "r", 3, None), (4, "fact", "alpha beta", "global", None, 9, 7)]
+    memory = spark.createDataFrame(rows, "id long, type string, content string, scope string, repository string, confidence long, superseded_by long").withColumn("updated_at", F.lit("2024-01-01").cast("timestamp"))
+    queries = spark.createDataFrame([(1, ["alpha", "beta"])], "query_id long, terms array<string>")
+    found = ranking.search_memory(memory, queries, repository="r")
+    assert sorted(r.id for r in found.collect()) == [2, 3]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join" in line]
+    assert joins and "_key" in plan and not any("content" in line for line in joins)
