@@ -84,3 +84,34 @@ def test_stream_gives_what_the_table_gives(spark, tmp_path):
     got = run_once(spark, stream, str(tmp_path / "out"), str(tmp_path / "state"))
     closed = latency_windows(table).where(F.col("began") + F.expr("interval 1 hour") <= F.lit(table.agg(F.max("recorded_at")).first()[0]) - F.expr("interval 10 minutes"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, closed.collect()))
+
+
+def shuffled_rows(spark):
+    """Rows that all stages of the session have written to shuffles so far."""
+    gateway, sc = spark.sparkContext._gateway, spark._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_search_follows_the_rarest_term(spark):
+    docs = [(k, "common usual " * (1 + k % 3) + (f"rare{k}" if k < 40 else "")) for k in range(400)] + [(None, "common rare1"), (None, "rare1"), (7, "rare1 common usual")]
+    asked = [(q, ["common", "usual", f"rare{q}"]) for q in range(40)] + [(90, ["common", "absent"]), (91, [])]
+    tables = spark.createDataFrame(docs, "doc long, text string").repartition(4), spark.createDataFrame(asked, "q long, terms array<string>")
+    before = shuffled_rows(spark)
+    found = {(r.q, r.doc): r.score for r in ranking.bm25(*tables, "doc", "text", "q").collect()}
+    assert shuffled_rows(spark) - before < 6000  # 40 queries beside the 400 documents of a common term would be 16,000
+    counts = {}
+    for d, t in docs:
+        for w in t.split():
+            counts.setdefault((d, w), []).append(len(t.split()))
+    # a document's repeated rows count as one, and so do rows without an id
+    tf = {k: (sum(w == k[1] for d, t in docs if d == k[0] for w in t.split()), max(v)) for k, v in counts.items()}
+    mean, want = sum(len(t.split()) for _, t in docs) / len(docs), {}
+    for q, terms in asked:
+        for d in {d for d, _ in docs if d is not None}:
+            if terms and all((d, w) in tf for w in terms):
+                df = {w: sum(k[1] == w for k in tf) for w in terms}
+                idf = {w: max(math.log((len(docs) - df[w] + 0.5) / (df[w] + 0.5)), 1e-6) for w in terms}
+                want[q, d] = round(sum(idf[w] * tf[d, w][0] * 2.2 / (tf[d, w][0] + 1.2 * (0.25 + 0.75 * tf[d, w][1] / mean)) for w in terms), 6)
+    assert found == pytest.approx(want, abs=2e-6) and len(found) == 41
