@@ -90,12 +90,17 @@ COUNTERS = {
 }
 
 
+def same_place() -> Column:
+    """The order of an item's updates of one (at, seq)."""
+    return F.xxhash64("status", "error")
+
+
 def fold_items(items: DataFrame, updates: DataFrame) -> DataFrame:
     """Items (run_id, session_id, planned) with the status, error and time of their last update; ``pending`` without any.
 
     Updates of what is no item do nothing.
     """
-    last = updates.groupBy("run_id", "session_id").agg(F.max_by(F.struct("status", "error", "at"), F.struct("at", "seq", F.xxhash64(*updates.columns))).alias("u"))
+    last = updates.groupBy("run_id", "session_id").agg(F.max_by(F.struct("status", "error", "at"), F.struct("at", "seq", same_place().alias("_tie"))).alias("u"))
     joined = items.join(last, ["run_id", "session_id"], "left")
     return joined.select("run_id", "session_id", "planned", F.coalesce("u.status", F.lit("pending")).alias("status"), F.col("u.error").alias("error"), F.col("u.at").alias("processed_at"))
 
@@ -105,26 +110,37 @@ def fold_runs(runs: DataFrame, items: DataFrame, updates: DataFrame, refreshes:
 
     A refresh counts a run's items as they are then: it is running while any is pending, else failed if any failed, else
     completed; its error, if it has one, is kept. completed_at is the time of the last refresh that found none pending. A run that is never
-    refreshed stays as it is, with zero counters. Of a time's events updates come before refreshes.
+    refreshed stays as it is, with zero counters. Of a time's events updates come before refreshes. Counters are those of
+    the last refresh; earlier ones matter only to completed_at, and only in runs that items pending anew keep from being done.
     """
-    mine = updates.join(items.select("run_id", "session_id", "planned").distinct(), ["run_id", "session_id"])
-    prior = carried(mine, ["run_id", "session_id"], day_of("at"), ["at", "seq"], last={"_prior": F.col("status")})
-    held = lambda rule, status: F.expr(rule.replace("s ", f"{status} ", 1) if rule.startswith("s ") else rule.replace(" s ", f" {status} "))
-    deltas = prior.withColumn("_prior", F.coalesce("_prior", F.lit("pending"))).select(
-        "run_id", "at", F.lit(0).alias("kind"), "seq", F.lit(None).cast("string").alias("error"),
-        *[(F.coalesce(held(rule, "status").cast("int"), F.lit(0)) - F.coalesce(held(rule, "_prior").cast("int"), F.lit(0))).alias(f"d_{k}") for k, rule in COUNTERS.items()],
-    )
-    asks = refreshes.select("run_id", "at", F.lit(1).alias("kind"), F.lit(0).cast(deltas.schema["seq"].dataType).alias("seq"), "error", *[F.lit(0).alias(f"d_{k}") for k in COUNTERS])
-    size = items.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_items"))
-    summed = carried(deltas.unionByName(asks), ["run_id"], day_of("at"), ["at", "kind", "seq"], sums={k: F.col(f"d_{k}") for k in COUNTERS}).where("kind = 1")
-    counted = summed.join(size, "run_id", "left").withColumn("pending", F.col("pending") + F.coalesce("n_items", F.lit(0)))
-    order = F.struct("at", F.coalesce("error", F.lit("")))
-    last = counted.groupBy("run_id").agg(
-        F.max_by(F.struct(*COUNTERS), order).alias("c"), F.max(F.when(F.col("pending") == 0, F.col("at"))).alias("completed_at"),
-        F.max_by("error", F.when(F.col("error").isNotNull(), order)).alias("n_error"), F.max("at").alias("updated_at"),
-    )
-    status = F.when(F.col("c").isNull(), F.col("status")).when(F.col("c.pending") > 0, "running").when(F.col("c.failed") > 0, "failed").otherwise("completed")
-    zero = lambda k: F.coalesce(f"c.{k}", F.lit(0)).cast("long").alias(k)
-    return runs.join(last, "run_id", "left").select(
-        "run_id", status.alias("status"), "total", "batch", *[zero(k) for k in COUNTERS if k != "pending"], "completed_at", "updated_at", F.coalesce("n_error", "last_error").alias("last_error")
+    latest = refreshes.groupBy("run_id").agg(
+        F.max("at").alias("updated_at"), F.max_by("error", F.when(F.col("error").isNotNull(), F.struct("at", "error"))).alias("n_error"), F.lit(True).alias("asked")
     )
+    named = items.where("session_id is not null")
+    # what comes after a run's last refresh is seen by none
+    mine = named.join(latest.select("run_id", "updated_at"), "run_id").groupBy("run_id", "session_id", "updated_at").agg(F.min("planned").alias("planned"))
+    known = updates.select("run_id", "session_id", "status", "at", "seq", same_place().alias("_tie")).join(mine, ["run_id", "session_id"]).where("at <= updated_at and status is not null")
+    of_item = Window.partitionBy("run_id", "session_id").orderBy("at", "seq", "_tie")
+    prior = known.withColumns({"_prior": F.coalesce(F.lag("status").over(of_item), F.lit("pending")), "_last": F.lead("at").over(of_item).isNull()})
+    moved = prior.withColumn("_d", (F.col("status") == "pending").cast("int") - (F.col("_prior") == "pending").cast("int")).where("_last or _d <> 0").withColumnRenamed("status", "s")
+    rest = [k for k in COUNTERS if k != "pending"]
+    # an item counts where its last update stands, but is pending, or no more, wherever that changes
+    spans = moved.groupBy("run_id", "at").agg(F.sum("_d").alias("_d"), F.count_if(F.col("_d") > 0).alias("_again"), *[F.count_if(F.col("_last") & F.expr(COUNTERS[k])).alias(k) for k in rest])
+    # true of every row: all uses look at the same columns, so that items are folded and shuffled once
+    spans = spans.where(" and ".join(f"{k} >= 0" for k in ["_again", *rest]))
+    size = named.groupBy("run_id").agg(F.count_distinct("session_id").alias("n_items"))
+    summed = spans.groupBy("run_id").agg(*[F.sum(k).alias(k) for k in ["_d", "_again", *rest]])
+    counted = size.join(summed, "run_id", "left").withColumn("pending", F.col("n_items") + F.coalesce("_d", F.lit(0)))
+    # where items are pending at the end, all may have been done before, but only if as many became pending anew
+    unsettled = counted.where("pending > 0 and pending <= _again").select("run_id", "n_items")
+    asks = refreshes.select("run_id", "at", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("_d")).distinct().join(unsettled, "run_id")
+    deltas = spans.select("run_id", "at", F.lit(0).alias("kind"), "_d").join(unsettled, "run_id")
+    told = carried(deltas.unionByName(asks), ["run_id"], day_of("at"), ["at", "kind"], sums={"_moved": F.col("_d")}).where("kind = 1 and n_items + _moved = 0")
+    before = told.groupBy("run_id").agg(F.max("at").alias("_before"))
+    pending = F.coalesce("pending", F.lit(0))
+    status = F.when(F.col("asked").isNull(), F.col("status")).when(pending > 0, "running").when(F.col("failed") > 0, "failed").otherwise("completed")
+    zero = lambda k: F.when(F.col("asked"), F.coalesce(k, F.lit(0))).otherwise(F.lit(0)).cast("long").alias(k)
+    return runs.join(latest, "run_id", "left").join(counted, "run_id", "left").join(before, "run_id", "left").select(
+        "run_id", status.alias("status"), "total", "batch", *map(zero, rest),
+        F.when(pending == 0, F.col("updated_at")).otherwise(F.col("_before")).alias("completed_at"), "updated_at", F.coalesce("n_error", "last_error").alias("last_error"),
+    )

@@ -20,3 +20,16 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture
+def shuffled_rows(spark):
+    """Tells how many rows all stages of the session have written to shuffles so far."""
+
+    def count():
+        gateway, sc = spark.sparkContext._gateway, spark._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    return count

@@ -86,6 +86,36 @@ def test_runs_equal_a_reader(spark, seed):
     assert states == now
 
 
+def run_tables(spark, items, happened, refreshes):
+    runs = [(r, "running", 9, 3, None) for r in sorted({i[0] for i in items})]
+    return (
+        spark.createDataFrame(runs, "run_id long, status string, total long, batch long, last_error string"), spark.createDataFrame(items, "run_id long, session_id long, planned string"),
+        spark.createDataFrame(happened, "run_id long, session_id long, status string, at timestamp, seq long, error string"), spark.createDataFrame(refreshes, "run_id long, at timestamp, error string"),
+    )
+
+
+def test_runs_shuffle_their_updates_once(spark, shuffled_rows):
+    items = [(r, s, "create") for r in range(20) for s in range(10)]
+    happened = [(r, s, "completed", T0 + dt.timedelta(days=k), k, "e") for r, s, _ in items for k in range(30)]
+    tables = run_tables(spark, items, happened, [(r, T0 + dt.timedelta(days=40), None) for r in range(20)])
+    before = shuffled_rows()
+    got = events.fold_runs(*tables).collect()
+    assert shuffled_rows() - before < 1.5 * len(happened)
+    assert {(r.run_id, r.status, r.created, r.completed_at) for r in got} == {(r, "completed", 10, T0 + dt.timedelta(days=40)) for r in range(20)}
+
+
+def test_items_named_twice_or_pending_anew(spark):
+    day = lambda k: T0 + dt.timedelta(days=k)
+    items = [(1, 1, "create"), (1, 1, "create"), (1, None, "create"), (2, 1, "create"), (2, 2, "refresh"), (3, 1, "create"), (3, 2, "create")]
+    happened = [
+        (1, 1, "completed", day(1), 1, None), (1, 1, None, day(2), 2, None), (2, 1, "failed", day(1), 1, None), (2, 2, "completed", day(2), 1, None), (2, 2, "pending", day(4), 2, None),
+        (2, 2, "completed", day(9), 3, None), (3, 1, "completed", day(1), 1, None), (3, 1, "pending", day(2), 2, None),
+    ]
+    tables = run_tables(spark, items, happened, [(r, day(k), None) for r in (1, 2, 3) for k in (1, 3, 5)])
+    got = {r.run_id: (r.status, r.processed, r.created, r.failed, r.completed_at, r.updated_at) for r in events.fold_runs(*tables).collect()}
+    assert got == {1: ("completed", 1, 1, 0, day(5), day(5)), 2: ("running", 1, 0, 1, day(3), day(5)), 3: ("running", 0, 0, 0, None, day(5))}
+
+
 def test_progress(spark):
     rows = [(1, "running", 0, 5, 0), (2, "running", 8, 5, 1), (3, "failed", 3, 5, 2), (4, "completed", 2, 5, 9), (5, "preview", 4, 5, 0), (6, "other", 1, 5, 0)]
     got = {r.run_id: tuple(r)[1:] for r in run_progress(spark.createDataFrame(rows, "run_id int, status string, total long, batch long, processed long")).collect()}

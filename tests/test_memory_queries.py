@@ -86,21 +86,13 @@ def test_stream_gives_what_the_table_gives(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, closed.collect()))
 
 
-def shuffled_rows(spark):
-    """Rows that all stages of the session have written to shuffles so far."""
-    gateway, sc = spark.sparkContext._gateway, spark._jsc.sc()
-    sc.listenerBus().waitUntilEmpty()
-    stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
-    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
-
-
-def test_search_follows_the_rarest_term(spark):
+def test_search_follows_the_rarest_term(spark, shuffled_rows):
     docs = [(k, "common usual " * (1 + k % 3) + (f"rare{k}" if k < 40 else "")) for k in range(400)] + [(None, "common rare1"), (None, "rare1"), (7, "rare1 common usual")]
     asked = [(q, ["common", "usual", f"rare{q}"]) for q in range(40)] + [(90, ["common", "absent"]), (91, [])]
     tables = spark.createDataFrame(docs, "doc long, text string").repartition(4), spark.createDataFrame(asked, "q long, terms array<string>")
-    before = shuffled_rows(spark)
+    before = shuffled_rows()
     found = {(r.q, r.doc): r.score for r in ranking.bm25(*tables, "doc", "text", "q").collect()}
-    assert shuffled_rows(spark) - before < 6000  # 40 queries beside the 400 documents of a common term would be 16,000
+    assert shuffled_rows() - before < 6000  # 40 queries beside the 400 documents of a common term would be 16,000
     counts = {}
     for d, t in docs:
         for w in t.split():
