@@ -28,6 +28,8 @@ ROWS = 384
 PLAIN = regex.compile(r"[!-;=-~À-ÖØ-öø-įıĴ-ňŊ-ž\n\t]+")
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 BYTES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: ASCII signs that may follow a word in a fragment: with no letter or digit after them they are one piece.
+SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "<")
 #: White space beside more of it, or of a kind that is not a space, tab or line end.
 JOINING = r"[ \t\n\r]{2}|[\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -58,12 +60,17 @@ class Encoder:
 
     def merged(self, text: str) -> list[int]:
         """Ids of what the pre-tokenizer leaves as one piece."""
-        signs = text if self.words and text.isascii() else text.encode().decode("latin-1").translate(self.signs)
+        if text.isascii():  # of its signs only white space is written otherwise
+            signs = text if self.words else "Ġ" + text[1:] if text[:1] == " " and text[1:].isalpha() else text.translate(self.signs)
+        else:
+            signs = text.encode().decode("latin-1").translate(self.signs)
         return [t.id for t in self.model.tokenize(signs)]
 
     def piece(self, text: str) -> array | list[int]:
-        """The same, kept for later if there is room."""
+        """The same, kept for later if there is room; one that is known as a fragment is not made anew."""
         found = self.pieces.get(text)
+        if found is None and (at := self.slots.get(text)) is not None:
+            return self.flat[self.begin[at] : self.begin[at] + self.length[at]].tolist()
         if found is None:
             found = self.merged(text)
             size = PER_TEXT + len(text) + PER_ID * len(found)
@@ -74,6 +81,12 @@ class Encoder:
 
     def fragment(self, text: str) -> list[int]:
         bare = text[1:] if text[:1] == " " else text
+        word = bare.rstrip(SIGNS)
+        # most fragments are letters, maybe with signs after them; normalizers leave those of ASCII alone but for case
+        if len(bare) <= 400 and word.isalpha() and (word.isascii() or (not self.words and max(word) <= "ž")):
+            tail = bare[len(word) :]
+            head = word.lower() if self.words else text[: len(text) - len(tail)]
+            return [*self.piece(head), *self.piece(tail)] if tail else self.merged(head)
         if len(bare) > 400 or not PLAIN.fullmatch(bare):
             return self.library.encode(text, add_special_tokens=False).ids if text else []
         found = WORDS.findall(text.lower()) if self.words else BYTES.findall(text)
@@ -112,7 +125,7 @@ class Encoder:
         at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         leads = np.ones(len(at), bool)
         leads[starts[:-1][np.diff(starts) > 0]] = False
-        return at, starts, coded.dictionary.to_pylist(), leads
+        return at, starts, coded.dictionary.to_numpy(zero_copy_only=False).tolist(), leads
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch of non-null texts, and where each text's begin (one more than texts)."""

@@ -8,6 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from mnemark.llm.bpe import encode_digests, encode_texts
+from mnemark.llm.encoding import Encoder
 from mnemark.llm.packing import pack, pieces_of, plan, sequences
 from mnemark.llm.sharding import shard_by_bytes
 from mnemark.llm.token_store import read_store, verify_store, write_store
@@ -159,3 +160,21 @@ def test_plan_opens_as_many_sequences_as_best_fit_over_documents():
         opened = max(s.sequence + -(-(s.last - s.first) // s.per) for s in plan(counts, 2048))
         assert opened <= best_fit_count(lengths, 2048) + 1
         assert opened >= -(-sum(lengths) // 2048)
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_words_with_signs_equal_the_library_and_are_not_made_anew(path):
+    tool, made = Encoder(path), []
+    merged = tool.merged
+    tool.merged = lambda text: made.append(text) or merged(text)
+    tool.encode(pa.array(["some words here", " here"]))
+    made.clear()
+    tool.encode(pa.array(["some, words. here!? some", "x here;"]))
+    # words known as fragments are looked up, in whatever company; only the signs and what is new are made
+    assert not {"here", " here", "words", " words"} & {t.replace("Ġ", " ") for t in made}
+    words = ["a", "Word", "ÉCOLE", "ŉx", "İn", "ĳs", "ªº", "µ", "straße", "it's", "I'm", "x'", "'s", "a_b", "_", "--", "<|endoftext|>", "<|endoftext|>,", "a<b", "e.\nB", "1a", "a1,", "ſ", "Ωmega", "é", "x" * 500]
+    texts = [w + s for w in words for s in ("", ",", "***", "'", "'s", "?!\"", "<", "$ ", "\n")]
+    texts += [f" {t}" for t in texts] + [f"so {t} on" for t in texts]
+    for _ in range(2):  # new, and remembered
+        ids, at = tool.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [e.ids for e in tool.library.encode_batch(texts, add_special_tokens=False)]
