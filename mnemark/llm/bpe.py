@@ -45,6 +45,10 @@ class BoundaryEncoder(Encoder):
         found = [t.id for s, e in zip(edges[:-2], edges[1:-1], strict=True) for t in self.inner.tokenize(signs[s:e])]
         return found + [t.id for t in self.model.tokenize(signs[edges[-2] :])]
 
+    def merged_after_spaces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [self.merged(p) for p in pieces]
+        return np.array([i for each in ids for i in each], np.int32), np.array([len(each) for each in ids], np.int32)
+
     def tell(self, fragment: str) -> tuple[int, str, str]:
         """Of a fragment: number of ids, ids in decimals, and tokens, both parted by spaces."""
         found = self.told.get(fragment)
@@ -59,8 +63,8 @@ class BoundaryEncoder(Encoder):
 
     def digests(self, texts: pa.Array) -> Iterator[tuple[int, str, str]]:
         """Of each text: number of ids, sha256 of the ids in decimals, sha256 of the decoded text."""
-        at, starts, distinct, leads = self.fragments(texts)
         if self.words:
+            at, starts, distinct = self.fragments(texts)
             told = [self.tell(d) for d in distinct]
             counts, ids, said = [[t[k] for t in told] for k in range(3)]
             totals = np.concatenate([[0], np.cumsum(np.array(counts, np.int64)[at])])

@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import number_within, only_first, stage
-from .encoding import ROWS, encoder, texts_of
-from .sampling import batches
+from .encoding import ROWS, encoder, portions, texts_of
 
 
-#: Bytes, about, of fragments and of pieces that a worker remembers: byte-level ids are as fast with this as with more.
-KEPT = (24 << 20, 12 << 20)
+#: Bytes, about, that a worker remembers of plain pieces and whole fragments, and of the pieces of fragments that are not plain.
+KEPT = (32 << 20, 4 << 20)
+#: Texts and their bytes at most that are encoded at once, which lists equal pieces once; their pieces with ids are held besides.
+AT_ONCE = (2 * ROWS, 4 << 20)
 
 
 @dataclass(frozen=True)
@@ -89,7 +90,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, text: str
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path, KEPT)
-        for batch in batches(it, ROWS // 2):  # pieces with their ids are held besides
+        for batch in portions(it, 2, *AT_ONCE):
             ids, offsets = tool.encode(texts_of(batch.column(2)))
             raw, end = ids.astype("<u4").tobytes(), int(end_id).to_bytes(4, "little")
             out: list[tuple] = []

@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from mnemark.llm.bpe import encode_digests, encode_texts
-from mnemark.llm.encoding import Encoder
+from mnemark.llm.encoding import Encoder, portions
 from mnemark.llm.packing import pack, pieces_of, plan, sequences
 from mnemark.llm.sharding import shard_by_bytes
 from mnemark.llm.token_store import read_store, verify_store, write_store
@@ -178,3 +178,41 @@ def test_words_with_signs_equal_the_library_and_are_not_made_anew(path):
     for _ in range(2):  # new, and remembered
         ids, at = tool.encode(pa.array(texts))
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [e.ids for e in tool.library.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_random_texts_equal_the_library(path):
+    rng = np.random.default_rng(11)
+    signs = list("aZ09 .,$'<_\n\t\r") + ["é", "×", "÷", "ß", "ſ", "ƀ", "Ā", "ª", "²", "日", "д", "🙂", "e\u0301", "\u00a0", "\u2028", "\x00", "  ", "<|endoftext|>", "'s", "'LL", " the", ".\nThe"]
+    plain = list("aZé9.,$_") + [" ", " ", " the", ".\nÉcole", "!\t"]
+    texts = ["".join(rng.choice(plain if i % 2 else signs, int(rng.integers(0, 40)))) for i in range(1500)] + ["", " ", "\n", "a ", " a", "×"]
+    tool = Encoder(path, (20_000, 2_000))  # most is forgotten
+    want = [e.ids for e in tool.library.encode_batch(texts, add_special_tokens=False)]
+    for rows in (1, 97, len(texts)):
+        got = []
+        for i in range(0, len(texts), rows):
+            ids, at = tool.encode(pa.array(texts)[i : i + rows])
+            got += [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+        assert got == want
+
+
+def test_plain_pieces_of_byte_level_texts_are_not_taken_one_by_one():
+    tool, taken = Encoder(BYTES), []
+    fragment, merged = tool.fragment, tool.merged
+    tool.fragment = lambda text: taken.append(text) or fragment(text)
+    tool.merged = lambda text: taken.append(text) or merged(text)
+    texts = [f"so naïve w{'xy' * n}, 12 w{'xy' * n}.\nNow w{'xy' * n}!? it's" for n in range(50)]
+    ids, at = tool.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [e.ids for e in tool.library.encode_batch(texts, add_special_tokens=False)]
+    # a fragment with an apostrophe, the text's begin and what follows no space; the 50 words, each with three signs, go together
+    assert len(taken) < 15 and not any("xy" in t for t in taken)
+
+
+def test_portions_are_bounded_by_rows_and_bytes():
+    texts = ["x" * 10, None, "é" * 5, "y" * 500, "", "z", "z" * 30, "z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    cut = list(portions(iter([batch, batch.slice(2, 3), batch.slice(0, 0)]), 1, 3, 20))
+    assert [t for b in cut for t in b.column(1).to_pylist()] == texts + texts[2:5]
+    for b in cut:
+        assert b.num_rows <= 3
+        assert b.num_rows == 1 or sum(len((t or "").encode()) for t in b.column(1).to_pylist()) <= 20
