@@ -199,7 +199,8 @@ class Encoder:
         get = self.slots.get
         slot = np.fromiter((get(d, -1) for d in distinct), np.int64, len(distinct))
         new = np.flatnonzero(slot < 0)
-        after = ~odd[new] & np.fromiter((distinct[i].startswith(" ") for i in new), bool, len(new))
+        after = ~odd[new]
+        after[after] = [distinct[i].startswith(" ") for i in new[after]]
         alone, new = new[~after], np.concatenate([new[~after], new[after]])
         fresh = [distinct[i] for i in new]
         ids = [self.fragment(d) if o else self.merged(d) for d, o in zip(fresh[: len(alone)], odd[alone].tolist(), strict=True)]
