@@ -4,6 +4,7 @@
 2. Part of the feature domain is counted: a set with so many shingles of its own that no other set can be similar to it
    is done. What is left is counted again among itself, over the whole domain. Two sets differ by all the shingles that
    only one set has, so ``slack``, a set's size less seven times its own shingles, must not add up to less than nothing.
+   Shingles are told apart by 48 bits there: those that fall together count as shared, which rules out less, never more.
 3. Every set gives its PartEnum signatures; sets that share one meet in a sorted stream, which needs no room for a
    group. Each links with the first of its group, if the exact sets agree. Most groups of copies become one that way.
 4. Signatures that still hold several components are compared in full, those of few sets as pairs. Signatures of many
@@ -32,6 +33,8 @@ from .shingles import set_key, shingle_sets, wide_sketch
 
 #: Sixteenths of the feature domain in which shingles of one set alone are counted.
 COUNTED = 5
+#: Bytes by which counted shingles are told apart, and binary digits of the rows' number that are counted together.
+HEAD, CHUNK = 6, 12
 #: Rows of (key, id) that are broadcast at most; beyond that both sides are shuffled.
 BROADCAST = 1_000_000
 #: Groups up to this size are compared pair by pair, larger ones in blocks of so many sets.
@@ -45,17 +48,38 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64) if len(flat) else [], kind))
 
 
+def _packed(numbers: np.ndarray, size: int) -> np.ndarray:
+    """The low ``size`` bytes of each number, one after another."""
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).ravel()
+
+
+def _unpacked(data: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros((len(data) // size, 8), np.uint8)
+    out[:, :size] = data.reshape(-1, size)
+    return out.view("<u8").ravel()
+
+
+def _cut(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """``data``, cut at ``ends`` (from 0 on), as binary values."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+
+def _joined(column: pa.Array | pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
 def _summaries(docs: DataFrame) -> DataFrame:
-    """doc_id, key (null for the empty set), n and the counted part of its shingles, of every row."""
+    """doc_id, key (null for the empty set), n, the counted part of its shingles (heads of ``HEAD`` bytes) and row, of every row; to be staged."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, 512):
             sets = list(shingle_sets(batch.column(1)))
             keys = pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())
-            part = _lists([s[s & np.uint64(15) < COUNTED] for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array(list(map(len, sets)), pa.int64()), part], ["doc_id", "key", "n", "part"])
+            part = [s[s & np.uint64(15) < COUNTED] >> np.uint64(16) for s in sets]
+            heads = _cut(_packed(np.concatenate([np.zeros(0, np.uint64), *part]), HEAD), HEAD * np.cumsum([0, *map(len, part)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array(list(map(len, sets)), pa.int64()), heads], ["doc_id", "key", "n", "part"])
 
-    return docs.mapInArrow(run, "doc_id long, key long, n long, part array<long>")
+    return docs.mapInArrow(run, "doc_id long, key long, n long, part binary").withColumn("row", F.monotonically_increasing_id())
 
 
 def _whole_sets(docs: DataFrame) -> DataFrame:
@@ -75,26 +99,55 @@ def _of_known_size(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
-def _own(sets: DataFrame) -> DataFrame:
-    """(key, own): how many of its features no other row of ``sets`` (key, features) has.
+def _own(sets: DataFrame, n: int) -> DataFrame:
+    """(row, own): how many of its features no other row of staged ``sets`` (row, features; ``n`` features in all at most) has.
 
-    A task tells a feature once for each batch, with the least and greatest of its keys, so a feature that most sets
-    share is a few rows of the exchange.
+    Heads are dealt to buckets. For each ``CHUNK`` of rows a bucket gets one value of heads and one of the rows' places in the chunk, and
+    gives back the places of those that came once, so what is shuffled is a few bytes for each feature, in few rows. A
+    head that rows of a chunk share is told twice, however many have it.
     """
+    bits = max(8, (n >> 20).bit_length())
+    low = np.uint64(8 * HEAD - bits)
 
     def told(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(it, 4096):
-            feature = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            key = np.repeat(batch.column(0).to_numpy(), pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
-            order = np.lexsort((key, feature))
-            feature, key = feature[order], key[order]
-            first = np.flatnonzero(np.r_[True, feature[1:] != feature[:-1]][: len(feature)])
-            last = np.r_[first[1:], len(feature)][: len(first)] - 1
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, (feature[first], key[first], key[last]))), ["feature", "lo", "hi"])
-
-    once = sets.mapInArrow(told, "feature long, lo long, hi long").repartition("feature")
-    alone = once.groupBy("feature").agg(F.min("lo").alias("key"), F.max("hi").alias("other")).where("key = other")
-    return alone.groupBy("key").agg(F.count(F.lit(1)).alias("own"))
+        for batch in batches(it, 1 << CHUNK):
+            row, column = batch.column(0).to_numpy(), batch.column(1)
+            if pa.types.is_binary(column.type):
+                heads, sizes = _unpacked(_joined(column, np.uint8), HEAD), pc.binary_length(column).to_numpy() // HEAD
+            else:
+                heads, sizes = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(16), pc.list_value_length(column).to_numpy()
+            at = np.repeat(row, sizes)
+            for chunk in np.unique(row >> CHUNK):
+                here = at >> CHUNK == chunk
+                head, place = heads[here], (at[here] & ((1 << CHUNK) - 1)).astype("<u2")
+                order = np.argsort(head)
+                head, place = head[order], place[order]
+                third = np.r_[np.zeros(2, bool), head[2:] == head[:-2]][: len(head)]
+                head, place = head[~third], place[~third]
+                bucket, first = np.unique(head >> low, return_index=True)
+                ends = np.r_[first, len(head)]
+                rest = _packed(head & ((np.uint64(1) << low) - np.uint64(1)), HEAD - 1)
+                columns = [pa.array(bucket.astype(np.int64)), pa.array(np.full(len(bucket), chunk)), _cut(rest, ends * (HEAD - 1)), _cut(place.view(np.uint8), ends * 2)]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "chunk", "heads", "places"])
+
+    def alone(table: pa.Table) -> pa.Table:
+        head, place = _unpacked(_joined(table.column("heads"), np.uint8), HEAD - 1), _joined(table.column("places"), "<u2")
+        chunk = np.repeat(table.column("chunk").to_numpy(), pc.binary_length(table.column("places")).to_numpy() // 2)
+        order = np.argsort(head)
+        new = np.r_[True, head[order][1:] != head[order][:-1], True]
+        once = order[new[:-1] & new[1:]]
+        once = once[np.argsort(chunk[once])]
+        chunks, first = np.unique(chunk[once], return_index=True)
+        return pa.table([pa.array(chunks), _cut(place[once].view(np.uint8), 2 * np.r_[first, len(once)])], ["chunk", "places"])
+
+    def counted(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        counts = np.bincount(_joined(table.column("places"), "<u2"))
+        place = np.flatnonzero(counts)
+        return pa.table([pa.array((key[0].as_py() << CHUNK) + place), pa.array(counts[place])], ["row", "own"])
+
+    dealt = sets.mapInArrow(told, "bucket long, chunk long, heads binary, places binary")
+    found = dealt.groupBy("bucket").applyInArrow(lambda table: alone(table), "chunk long, places binary")
+    return found.groupBy("chunk").applyInArrow(lambda key, table: counted(key, table), "row long, own long")
 
 
 def _may_link() -> Column:
@@ -102,16 +155,22 @@ def _may_link() -> Column:
     return F.lit(OF) * (F.col("n") - F.coalesce("own", F.lit(0))) >= F.lit(NUMBER) * F.col("n")
 
 
-def _candidates(known: DataFrame) -> DataFrame:
+def _candidates(known: DataFrame, kept: Stages) -> DataFrame:
     """(key, doc_id) of the sets that the counted shingles do not rule out; doc_id is the least of the set's."""
     full = known.where("key is not null")
-    sets = full.groupBy("key").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"))
-    return sets.join(_own(full.select("key", "part")), "key", "left").where(_may_link()).select("key", "doc_id")
+    sets = full.groupBy("key").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"))
+    # a set's copies would share all it has; any that stay (of ids null or repeated) do no more than keep it
+    copies = kept.stage(full.select("key", "doc_id").join(sets.select("key", "least"), "key").where("doc_id > least").select("key", "doc_id").distinct())
+    once = full.join(_of_known_size(copies), ["key", "doc_id"], "left_anti")
+    own = _own(once.select("row", "part"), known.agg(F.sum("n")).first()[0] or 0)
+    own = full.select("key", "row").join(own, "row").groupBy("key").agg(F.max("own").alias("own"))
+    return sets.join(own, "key", "left").where(_may_link()).select("key", F.col("least").alias("doc_id"))
 
 
 def _with_slack(sets: DataFrame) -> DataFrame:
-    """Of ``sets`` (key, n, shingles) those that can link among themselves, with their slack."""
-    counted = sets.select("key", "n").join(_own(sets.select("key", "shingles")), "key", "left").where(_may_link())
+    """Of staged ``sets`` (key, n, shingles, row) those that can link among themselves, with their slack."""
+    own = _own(sets.select("row", "shingles"), sets.agg(F.sum("n")).first()[0] or 0)
+    counted = sets.select("key", "n", "row").join(own, "row", "left").where(_may_link())
     slack = (OF - NUMBER) * F.col("n") - (OF + NUMBER) * F.coalesce("own", F.lit(0))
     return counted.select("key", slack.alias("slack"))
 
@@ -304,13 +363,14 @@ def _components(sets: DataFrame, kept: Stages) -> DataFrame:
 def _groups(rows: DataFrame) -> DataFrame:
     """doc_id, key, n, component (a set's key) and component_id of every row of (doc_id, text); key null: no words."""
     with Stages(rows.sparkSession) as kept:
-        known = kept.stage(_summaries(rows))
-        candidates = _of_known_size(kept.stage(_candidates(known)))
+        summaries = kept.stage(_summaries(rows))
+        candidates = _of_known_size(kept.stage(_candidates(summaries, kept)))
+        known = stage(summaries.select("doc_id", "key", "n"))
+        kept.drop(summaries)
         picked = rows.join(candidates.select("doc_id"), "doc_id", "left_semi").union(rows.where("doc_id is null"))
-        every = kept.stage(_whole_sets(picked).join(candidates.select("key"), "key", "left_semi").dropDuplicates(["key"]))
-        sets = kept.stage(every.join(_of_known_size(kept.stage(_with_slack(every))), "key"))
+        every = kept.stage(_whole_sets(picked).join(candidates.select("key"), "key", "left_semi").dropDuplicates(["key"]).withColumn("row", F.monotonically_increasing_id()))
+        sets = kept.stage(every.drop("row").join(_of_known_size(kept.stage(_with_slack(every))), "key"))
         kept.drop(every)
-        known = stage(known.select("doc_id", "key", "n"))
         parts = stage(_components(sets, kept))
     keyed = known.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
     named = keyed.join(parts.withColumnRenamed("node", "key"), "key")

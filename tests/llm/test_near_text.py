@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from itertools import combinations
 
 import numpy as np
@@ -118,3 +119,51 @@ def test_pipeline_keeps_columns_and_packs_what_it_kept(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, now, "/root/testdata/sf0.001")
     assert packed.select("doc_id").distinct().count() == now.select("doc_id").distinct().count()
     assert not corpus_pipeline.STAGES[0][1](spark, docs.limit(0), "/root/testdata/sf0.001").count()
+
+
+def shuffled(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_own_shingles_are_counted_at_a_few_bytes_each(spark):
+    rng = np.random.default_rng(2)
+    common = rng.integers(-(1 << 63), (1 << 63) - 1, 50)
+    rows = [(k, [*map(int, rng.integers(-(1 << 63), (1 << 63) - 1, 400)), *map(int, common[: k % 51])]) for k in range(4090, 4600)]
+    sets = near_text.stage(spark.createDataFrame(rows, "row long, features array<long>").repartition(3))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        before = shuffled(spark)
+        got = {r.row: r.own for r in near_text._own(sets, 10).collect()}
+        spent = shuffled(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    times = {}
+    for _, f in rows:
+        for x in f:
+            times[x] = times.get(x, 0) + 1
+    assert got == {k: sum(times[x] == 1 for x in f) for k, f in rows}
+    assert spent < 12 * sum(len(f) for _, f in rows)
+
+
+def test_features_that_fall_together_are_no_ones_own(spark):
+    sets = spark.createDataFrame([(1, [5 << 16, (5 << 16) + 1, 9 << 16]), (2, [(9 << 16) + 7, 4 << 16])], "row long, features array<long>")
+    assert sorted(map(tuple, near_text._own(near_text.stage(sets), 5).collect())) == [(2, 1)]
+
+
+def test_a_stage_leaves_no_shuffle_files(spark, tmp_path):
+    def files():
+        disks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(disks.size()) if (name := disks.apply(i).getName()).startswith("shuffle_")}
+
+    held = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    before = files()
+    out = near_text.stage(spark.range(1000).repartition(3, "id").groupBy("id").count(), str(tmp_path / "out"))
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and out.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == held
