@@ -93,3 +93,46 @@ def test_memory_search_shuffles_keys_in_place_of_texts(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.split("\n") if "Join" in line]
     assert joins and "_key" in plan and not any("content" in line for line in joins)
+
+
+def test_matches_of_common_words_are_not_gathered(spark, shuffled_rows):
+    index = spark.range(3000).selectExpr("id as entry_id", "id % 100 as session_id", "'alpha beta gamma' as content", "'turn' as source_type")
+    sessions = spark.range(100).selectExpr("id as session_id", "'r' as repository", "'main' as branch", "id % 7 as updated_at")
+    asked = spark.range(200).selectExpr("id as query_id", "array('alpha', 'beta') as terms")
+    before = shuffled_rows()
+    got = sorted((r.query_id, r.session_id) for r in R.relevant_sessions(index, sessions, asked).collect())
+    assert got == [(q, s) for q in range(200) for s in (6, 13, 20, 27, 34)]
+    assert sorted((r.query_id, r.entry_id) for r in R.search_index(index, sessions, asked).collect()) == [(q, e) for q in range(200) for e in range(5)]
+    assert shuffled_rows() - before < 100_000  # there are 600,000 matches
+
+
+@pytest.mark.parametrize("together", [(512, 32_768), (3, 10)])
+def test_bits_of_a_block_tell_what_brute_force_tells(monkeypatch, together):
+    import random
+
+    import pyarrow as pa
+
+    rnd = random.Random(5)
+    monkeypatch.setattr(R, "QUERIES", together[0])
+    monkeypatch.setattr(R, "TERMS", together[1])
+    pool = [b + e for b in ("story", "stor", "test", "bus", "glass", "need", "ring", "bed", "fly") for e in ("", "s", "ies", "ing", "ed", "eds", "ss")]
+    contents = [None, "", *(" ".join(rnd.choices(pool, k=rnd.randrange(1, 40))) for _ in range(150))]
+    queries = [(i, rnd.sample(pool, rnd.randrange(1, 5))) for i in range(200)] + [(200, ["absent", "test"])]
+    asked = R._asked(pa.table({"query_id": [q for q, _ in queries], "terms": [t for _, t in queries]}))
+    batch = pa.RecordBatch.from_pydict({"entry_id": list(range(len(contents))), "content": contents})
+    known = {t: i for i, t in enumerate(asked["names"])}
+    got = [x for q, e, n in R._met(batch, asked, known, dict(asked["forms"])) for x in zip(q.tolist(), e.tolist(), n.tolist(), strict=True)]
+    held = [set((c or "").split()) for c in contents]
+    stems = [{s for w in ws if len(s := R.stemmed(w)) > 2} for ws in held]
+    assert sorted(got) == [(q, e, len(set(t) & stems[e])) for q, t in queries for e in range(len(contents)) if set(t) <= held[e]]
+    assert any(n < len(queries[q][1]) for q, _, n in got) and len({n for *_, n in got}) > 2
+
+
+def test_words_are_stemmed_as_by_columns(spark):
+    from pyspark.sql import functions as F
+
+    from mnemark.functions.text import stem_word
+
+    words = ["ies", "flies", "dies", "ring", "bring", "caring", "bed", "shed", "need", "bus", "glass", "tests", "a", "ss", "going", "seeds"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", stem_word(F.col("w")).alias("s")).collect()
+    assert [R.stemmed(r.w) for r in rows] == [r.s for r in rows]
