@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.terms import let
 from ..functions.text import normalize
 from .ranking import first_of
 
@@ -26,7 +27,7 @@ IN_PLAN, LONG = 200_000, 32
 SESSIONS = 1_000_000
 #: Entries of a block, and the most queries and terms whose bits are put together at a time.
 BLOCK, QUERIES, TERMS = 4096, 512, 32_768
-EXCERPT = 220
+EXCERPT, BEGINNING = 220, 1000
 #: Which of a block's matches (block, place of the query, place of the entry, stems) may be among the best of all.
 Pick = Callable[[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
@@ -163,6 +164,12 @@ def search_index(index: DataFrame, sessions: DataFrame, queries: DataFrame, limi
     return found.select("query_id", "entry_id", "session_id", "source_type", "repository", "branch")
 
 
+def excerpt(content: Column) -> Column:
+    """The first signs of the normalised text; where its beginning has enough of them, the rest is not looked at."""
+    whole = F.substring(normalize(content), 1, EXCERPT)
+    return let(normalize(F.substring(content, 1, BEGINNING)), lambda t: F.when(F.length(t) > EXCERPT, F.substring(t, 1, EXCERPT)).otherwise(whole))
+
+
 def relevant_sessions(index: DataFrame, sessions: DataFrame, queries: DataFrame, limit: int = 5, repository: str | None = None) -> DataFrame:
     """The best ``limit`` sessions of a query, each by its best entry; scores count stems, and checkpoints before turns count more.
 
@@ -186,5 +193,5 @@ def relevant_sessions(index: DataFrame, sessions: DataFrame, queries: DataFrame,
     entry = F.struct("score", (-F.col("entry_id")).alias("early"), "entry_id", "source_type", "repository", "branch", "updated_at")
     best = scored.groupBy("query_id", "session_id").agg(F.max(entry).alias("e")).select("query_id", "session_id", "e.*")
     chosen = first_of(best, ["query_id"], [F.desc("score"), F.desc("updated_at"), F.col("session_id")], limit)
-    texts = index.select("entry_id", F.substring(normalize(F.col("content")), 1, EXCERPT).alias("excerpt"))
+    texts = index.select("entry_id", excerpt(F.col("content")).alias("excerpt"))
     return chosen.join(texts, "entry_id").select("query_id", "session_id", "repository", "branch", "updated_at", "score", "source_type", "excerpt")

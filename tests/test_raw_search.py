@@ -136,3 +136,13 @@ def test_words_are_stemmed_as_by_columns(spark):
     words = ["ies", "flies", "dies", "ring", "bring", "caring", "bed", "shed", "need", "bus", "glass", "tests", "a", "ss", "going", "seeds"]
     rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", stem_word(F.col("w")).alias("s")).collect()
     assert [R.stemmed(r.w) for r in rows] == [r.s for r in rows]
+
+
+def test_an_excerpt_is_the_beginning_of_the_normalised_text(spark):
+    from pyspark.sql import functions as F
+
+    from mnemark.functions.text import normalize
+
+    texts = [None, "", "  a  b ", "x" * 219 + " " * 900 + "y z", " " * 2000 + "late  words", "w  " * 600, "x" * 220 + "  tail", ("ab" + "\t" * 40) * 50]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(R.excerpt(F.col("t")).alias("e"), F.substring(normalize(F.col("t")), 1, 220).alias("w")).collect()
+    assert [r.e for r in rows] == [r.w for r in rows]
